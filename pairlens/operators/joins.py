@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairlens.lineage import cut_lineage
+
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_SALT = 2_000_000
 
@@ -33,6 +35,7 @@ def skew_join(
     how: str = "inner",
     spread: Column | None = None,
     hot: DataFrame | None = None,
+    n_left: int | None = None,
     rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Join where keys of ``left`` may be heavily skewed and ``right`` has few rows per key.
@@ -40,8 +43,11 @@ def skew_join(
     Rows of hot keys get a salt derived from ``spread`` (default: a hash of the left row), the
     matching right rows are repeated once per salt, every other key is joined as usual. Rows
     with a null key match nothing, so a left join scatters them instead of sending them to one
-    task.
+    task. ``n_left`` is the number of left rows where known: if all of them fit one salt, no
+    key can be hot and a plain join does.
     """
+    if n_left is not None and n_left <= rows_per_salt:
+        return left.join(right, keys, how)
     if hot is None:
         hot = hot_keys(left.select(*keys), keys, rows_per_salt)
     hot = F.broadcast(hot)
@@ -103,12 +109,16 @@ def response_deltas(
     shuffled; a response repeated in a large share of the pairs is salted. Pairs without both
     vectors are dropped, see :func:`missing_embeddings`.
     """
-    keyed = pairs.select(id, key_a.alias("_a"), key_b.alias("_b"))
+    # The texts are read and hashed once, the joins and skew counts work on the narrow keys.
+    keyed = cut_lineage(pairs.select(id, key_a.alias("_a"), key_b.alias("_b")))
+    n = keyed.count()
     side_a = embeddings.select(F.col("text_key").alias("_a"), F.col("embedding").alias("_ea"))
     side_b = embeddings.select(F.col("text_key").alias("_b"), F.col("embedding").alias("_eb"))
-    joined = skew_join(keyed, side_a, ["_a"], spread=F.col(id))
     joined = skew_join(
-        joined, side_b, ["_b"], spread=F.col(id), hot=hot_keys(keyed.select("_b"), ["_b"])
+        keyed, side_a, ["_a"], spread=F.col(id), hot=hot_keys(keyed.select("_a"), ["_a"]), n_left=n
+    )
+    joined = skew_join(
+        joined, side_b, ["_b"], spread=F.col(id), hot=hot_keys(keyed.select("_b"), ["_b"]), n_left=n
     )
     return joined.select(id, F.zip_with("_ea", "_eb", lambda x, y: x - y).alias("delta"))
 

@@ -21,6 +21,14 @@ from pairlens.functions.vectors import matrix_of
 from pairlens.operators.ordered import cap_rows
 
 
+BYTES_PER_TASK = 64 << 20
+
+
+def tasks_for(n_bytes: int) -> int:
+    """Tasks an iterative job needs for cached data of this size; never more than there are."""
+    return max(1, -(-n_bytes // BYTES_PER_TASK))
+
+
 def add_over_tasks(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], length: int) -> np.ndarray:
     """Sum of ``kernel(x, y)`` over all batches of a design (x array, y double)."""
 
@@ -42,24 +50,35 @@ def add_over_tasks(df: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.
     return out
 
 
+@dataclass
+class Scaling:
+    """Column moments, the part of a design that travels with the tasks."""
+
+    mean: np.ndarray
+    scale: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
+
 @dataclass
 class Design:
-    """Persisted (x, y) rows with the controls first, and the scaling applied on the fly."""
+    """Persisted (x, y) rows with the controls first; scaling is applied on the fly.
+
+    ``packed`` are the same rows in as few tasks as their size allows.
+    """
 
     rows: DataFrame
+    packed: DataFrame
     n_controls: int
     n_features: int
     n: float
-    mean: np.ndarray
-    scale: np.ndarray
+    scaling: Scaling
 
     @property
     def width(self) -> int:
         return self.n_controls + self.n_features
 
-    def scaled(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale
-
     def release(self) -> None:
         self.rows.unpersist()
 
@@ -70,26 +89,26 @@ def build_design(df: DataFrame, acts: str, label: str, controls: list[str], stan
     rows = df.select(x.alias("x"), F.col(label).cast("double").alias("y")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    first = rows.first()
-    if first is None:
+    n_rows, width = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
+    if not n_rows:
         raise ValueError("no rows to fit on")
-    width = len(first.x)
+    packed = rows.coalesce(tasks_for(n_rows * width * 8))
 
     def moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.concatenate([[len(x)], x.sum(axis=0)])
 
-    sums = add_over_tasks(rows, moments, width + 1)
+    sums = add_over_tasks(packed, moments, width + 1)
     n, mean = sums[0], sums[1:] / sums[0]
 
     def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return ((x - mean) ** 2).sum(axis=0)
 
     if standardize:
-        deviation = np.sqrt(add_over_tasks(rows, squares, width) / n)
+        deviation = np.sqrt(add_over_tasks(packed, squares, width) / n)
         scale = np.where(deviation > 0, deviation, 1.0)
     else:
         mean, scale = np.zeros(width), np.ones(width)
-    return Design(rows, len(controls), width - len(controls), n, mean, scale)
+    return Design(rows, packed, len(controls), width - len(controls), n, Scaling(mean, scale))
 
 
 Evaluation = tuple[float, np.ndarray, np.ndarray]
@@ -98,9 +117,10 @@ Evaluation = tuple[float, np.ndarray, np.ndarray]
 def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], Evaluation]:
     """Mean loss, gradient and Hessian as functions of (coefficients, intercept)."""
     p = design.width + 1
+    scaling = design.scaling
 
     def with_intercept(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([design.scaled(x), np.ones(len(x))])
+        return np.column_stack([scaling(x), np.ones(len(x))])
 
     def unpack(sums: np.ndarray) -> Evaluation:
         return sums[0] / design.n, sums[1 : p + 1] / design.n, sums[p + 1 :].reshape(p, p) / design.n
@@ -116,7 +136,7 @@ def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], E
                 hess = (z * (prob * (1 - prob))[:, None]).T @ z
                 return np.concatenate([[loss.sum()], z.T @ (prob - y), hess.ravel()])
 
-            return unpack(add_over_tasks(design.rows, kernel, 1 + p + p * p))
+            return unpack(add_over_tasks(design.packed, kernel, 1 + p + p * p))
 
         return logistic
 
@@ -125,7 +145,7 @@ def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], E
         return np.concatenate([[(y**2).sum()], z.T @ y, (z.T @ z).ravel()])
 
     # The squared loss is determined by one pass over the data, whatever the penalty.
-    yy, zy, zz = unpack(add_over_tasks(design.rows, second_moments, 1 + p + p * p))
+    yy, zy, zz = unpack(add_over_tasks(design.packed, second_moments, 1 + p + p * p))
 
     def squared(beta: np.ndarray) -> Evaluation:
         return 0.5 * (yy - 2 * zy @ beta + beta @ zz @ beta), zz @ beta - zy, zz
@@ -335,10 +355,11 @@ def _all_coefs(design: Design, classification: bool, max_steps: int) -> np.ndarr
     c, m = design.n_controls + 1, design.n_features
     beta = np.zeros((m, c + 1))
     size = m * ((c + 1) + (c + 1) * (c + 1))
+    scaling = design.scaling
 
     def systems(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            z = design.scaled(x)
+            z = scaling(x)
             shared = np.column_stack([np.ones(len(z)), z[:, : c - 1]])
             act = z[:, c - 1 :]
             f = shared @ beta[:, :c].T + act * beta[:, c]
@@ -357,7 +378,7 @@ def _all_coefs(design: Design, classification: bool, max_steps: int) -> np.ndarr
             hess[:, c, c] = (weight * act**2).sum(axis=0)
             return np.concatenate([grad.ravel(), hess.ravel()])
 
-        sums = add_over_tasks(design.rows, kernel, size)
+        sums = add_over_tasks(design.packed, kernel, size)
         return sums[: m * (c + 1)].reshape(m, c + 1), sums[m * (c + 1) :].reshape(m, c + 1, c + 1)
 
     solvable = np.ones(m, dtype=bool)

@@ -15,29 +15,43 @@ def _neighbour_minimum(edges: DataFrame) -> DataFrame:
     return lowest.withColumn("m", F.least("m", "u"))
 
 
-def _attach_minimum(edges: DataFrame) -> DataFrame:
+def _attach_minimum(edges: DataFrame, n_edges: int) -> DataFrame:
     """(u, v, m) with m the smallest node among u and its neighbours; hubs are salted."""
     minima = _neighbour_minimum(edges)
     hot = hot_from_counts(minima, ["u"])
-    return skew_join(edges, minima.drop("_rows"), ["u"], spread=F.col("v"), hot=hot)
+    return skew_join(edges, minima.drop("_rows"), ["u"], spread=F.col("v"), hot=hot, n_left=n_edges)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.explode(F.array(
-        F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
-    )).alias("e")).select("e.u", "e.v")
-    return _attach_minimum(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+    """Expects edges with u > v; links every larger neighbour of a node to its minimum."""
+    there, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    both = edges.select(F.explode(F.array(there, back)).alias("e")).select("e.u", "e.v")
+    linked = _attach_minimum(both, 2 * n_edges).filter("v > u")
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Expects edges with u > v; links every smaller neighbour and u itself to the minimum."""
-    linked = _attach_minimum(edges).select(
-        F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-                          F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")
-    )
+    neighbour = F.struct(F.col("v").alias("u"), F.col("m").alias("v"))
+    itself = F.struct(F.col("u"), F.col("m").alias("v"))
+    linked = _attach_minimum(edges, n_edges).select(F.explode(F.array(neighbour, itself)).alias("e"))
     return linked.select("e.u", "e.v").filter("u > v").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node either hangs on exactly one other or is hung on."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+            )
+        ).alias("e")
+    ).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.filter("up + down > 1").isEmpty()
+
+
 def component_of_edges(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (u, v) as (node, component).
 
@@ -48,26 +62,23 @@ def component_of_edges(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = cut_lineage(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    mark = None
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
-        state = current.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))
-        ).first()
-        if tuple(state) == mark:
+        if _is_star_forest(current):
             roots = current.select(F.col("v").alias("node")).distinct()
-            return (
-                current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-                .unionByName(roots.withColumn("component", F.col("node")))
+            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                roots.withColumn("component", F.col("node"))
             )
-        mark = tuple(state)
+        n_edges = current.count()
+        starred = _large_star(current, n_edges)
+        # A large star never adds edges, so the count still bounds the small star's input.
+        current = cut_lineage(_small_star(starred, n_edges))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _value_key(column: str, id: str, nulls_connect: bool) -> Column:
     text = F.col(column).cast("string")
     missing = F.lit("null") if nulls_connect else F.concat(F.lit("row:"), F.col(id).cast("string"))
-    return F.coalesce(F.sha2(text, 256), missing)
+    return F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), text), missing), 256))
 
 
 def connected_components(
@@ -79,23 +90,32 @@ def connected_components(
     the first column plus the representatives of the others, and only distinct links between
     representatives enter the iteration. The component is its smallest row id.
     """
+    return _components(df, columns, id, nulls_connect)[0]
+
+
+def _components(
+    df: DataFrame, columns: list[str], id: str, nulls_connect: bool
+) -> tuple[DataFrame, int]:
     keys = [f"_key{i}" for i in range(len(columns))]
-    rows = df.select(
-        id, *[_value_key(c, id, nulls_connect).alias(k) for c, k in zip(columns, keys)]
+    # Long values are read and hashed once; from here on rows are an id and 32-byte keys.
+    rows = cut_lineage(
+        df.select(id, *[_value_key(c, id, nulls_connect).alias(k) for c, k in zip(columns, keys)])
     )
+    n = rows.count()
     for i, key in enumerate(keys):
         minima = rows.groupBy(key).agg(F.min(id).alias(f"_rep{i}"), F.count(F.lit(1)).alias("_rows"))
-        rows = skew_join(
-            rows, minima.drop("_rows"), [key], spread=F.col(id), hot=hot_from_counts(minima, [key])
-        ).drop(key)
+        hot = hot_from_counts(minima, [key])
+        rows = skew_join(rows, minima.drop("_rows"), [key], spread=F.col(id), hot=hot, n_left=n).drop(key)
     if len(columns) == 1:
-        return rows.select(id, F.col("_rep0").alias("component"))
+        return rows.select(id, F.col("_rep0").alias("component")), n
     rows = cut_lineage(rows)
     links = F.explode(F.array(*[F.col(f"_rep{i}") for i in range(1, len(columns))])).alias("v")
     edges = rows.select(F.col("_rep0").alias("u"), links).filter("u <> v").distinct()
     labels = component_of_edges(edges).withColumnRenamed("node", "_rep0")
-    joined = skew_join(rows.select(id, "_rep0"), labels, ["_rep0"], how="left", spread=F.col(id))
-    return joined.select(id, F.coalesce("component", "_rep0").alias("component"))
+    joined = skew_join(
+        rows.select(id, "_rep0"), labels, ["_rep0"], how="left", spread=F.col(id), n_left=n
+    )
+    return joined.select(id, F.coalesce("component", "_rep0").alias("component")), n
 
 
 def component_split(
@@ -111,7 +131,7 @@ def component_split(
     Components are taken in seeded hash order while the rows taken so far are below
     ``train_frac`` of all rows, so train overshoots by at most one component.
     """
-    members = connected_components(df, columns, id, nulls_connect)
+    members, n = _components(df, columns, id, nulls_connect)
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_rows"))
     placed = hash_prefix_sum(sizes, seed, "component", F.col("_rows")).withColumn(
         "split",
@@ -123,6 +143,7 @@ def component_split(
         ["component"],
         spread=F.col(id),
         hot=hot_from_counts(sizes, ["component"]),
+        n_left=n,
     ).select(id, "component", "split")
 
 

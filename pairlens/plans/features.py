@@ -25,9 +25,10 @@ from pairlens.operators.encoder_fit import fit_encoder
 from pairlens.operators.fidelity import best_candidates, faithful, fidelity, mean_abs_correlation
 from pairlens.operators.interpret import abbreviate, interpret
 from pairlens.operators.linear import controlled_coefs, controlled_lasso
-from pairlens.operators.probe import feature_vector, linear_probe
+from pairlens.operators.probe import feature_vector, fit_probe, probe_scores
 from pairlens.operators.redundancy import redundancy
 from pairlens.operators.sampling import sample_percentile_bins
+from pairlens.operators.stats import pearson, roc_auc
 from pairlens.plans.preprocess import Embedded, Preprocessed, embed_responses, load_and_preprocess, pair_texts, preprocess
 
 SIMILARITY_THRESHOLD = 0.7
@@ -115,14 +116,18 @@ def _picked(neurons: list[int]) -> Column:
     return F.array(*[F.col("acts")[i] for i in neurons])
 
 
-def _probe(train: DataFrame, val: DataFrame, features, cfg: SelectionConfig, name: str) -> DataFrame:
-    """(metric, value) of one probe on both splits."""
-    parts = [features, *([F.array(*[F.col(c) for c in cfg.controls])] if cfg.controls else [])]
-    vector = feature_vector(*parts).alias("features")
-    scores = linear_probe(
-        train.select("row_id", "label", vector), val.select("row_id", "label", vector), binary=cfg.classification
-    )
-    return scores.select(F.concat(F.lit(name + "_"), "split", F.lit("_auc")).alias("metric"), F.col("score").alias("value"))
+def _scores(train: DataFrame, val: DataFrame, acts: Column, cfg: SelectionConfig, name: str) -> DataFrame:
+    """(probe, split, label, score) of a probe on these activations and the controls."""
+    parts = [acts, *([F.array(*[F.col(c) for c in cfg.controls])] if cfg.controls else [])]
+    sides = [
+        df.select("row_id", "label", feature_vector(*parts).alias("features")) for df in (train, val)
+    ]
+    model = fit_probe(sides[0], binary=cfg.classification)
+    scored = [
+        probe_scores(model, side).select(F.lit(name).alias("probe"), F.lit(split).alias("split"), "label", "score")
+        for side, split in zip(sides, ("train", "val"))
+    ]
+    return scored[0].unionByName(scored[1])
 
 
 @dataclass
@@ -135,10 +140,13 @@ COEFS = "top_k int, neuron_idx int, coef double"
 
 
 def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: SelectionConfig) -> Selections:
-    """For each size: pick features by controlled L1, refit a probe; then probe all features."""
+    """For each size: pick features by controlled L1, refit a probe; then probe all features.
+
+    All probes are ranked in one pass over their scores.
+    """
     spark = train.sparkSession
     train, val = train.persist(), val.persist()
-    aucs, coefs = [], []
+    scores, coefs = [], []
     if cfg.use_lasso and kept:
         sizes = {*cfg.lasso_top_k, min(len(kept), max(cfg.lasso_top_k, default=len(kept)))}
         kept_rows = train.withColumn("acts", _picked(kept))
@@ -152,14 +160,19 @@ def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: Sel
                 continue
             neurons = [kept[i] for i in chosen.neurons]
             coefs += [(size, n, c) for n, c in zip(neurons, chosen.coefs)]
-            aucs.append(_probe(train, val, _picked(neurons), cfg, f"lasso_top_{size}"))
-    aucs.append(_probe(train, val, F.col("acts"), cfg, "full_sae"))
-    table = aucs[0]
-    for part in aucs[1:]:
-        table = table.unionByName(part)
-    table = cut_lineage(table)
+            scores.append(_scores(train, val, _picked(neurons), cfg, f"lasso_top_{size}"))
+    scores.append(_scores(train, val, F.col("acts"), cfg, "full_sae"))
+    together = scores[0]
+    for part in scores[1:]:
+        together = together.unionByName(part)
+    by = ("probe", "split")
+    if cfg.classification:
+        values = roc_auc(together, "label", "score", by).withColumnRenamed("auc", "value")
+    else:
+        values = together.groupBy(*by).agg(pearson(F.col("label"), F.col("score")).alias("value"))
+    aucs = cut_lineage(values.select(F.concat("probe", F.lit("_"), "split", F.lit("_auc")).alias("metric"), "value"))
     train.unpersist(), val.unpersist()
-    return Selections(table, spark.createDataFrame(coefs, COEFS))
+    return Selections(aucs, spark.createDataFrame(coefs, COEFS))
 
 
 def feature_table(
