@@ -16,11 +16,11 @@ ASSISTANT_TAG = "\n\nAssistant: "
 OPEN_ASSISTANT = "\n\nAssistant:"
 SWAP_PATTERN = r'(?s)(RESPONSE A: "Assistant: )(.*?)("\n\nRESPONSE B: "Assistant: )(.*?)(")'
 
-# The blanks str.split() recognises, written so that Java and RE2 read the class alike.
-BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WORD = f"[^{BLANKS}]+"
-WORD_WITH_LEAD = f"[{BLANKS}]*[^{BLANKS}]+"
-EDGE_BLANKS = f"^[{BLANKS}]+|[{BLANKS}]+$"
+# What str.split() takes for blanks: Unicode white space and the four separators \x1c-\x1f.
+BLANK = r"[\s\x1c-\x1f]"
+NON_BLANK = r"[^\s\x1c-\x1f]"
+WORD = f"(?U){NON_BLANK}++"
+EDGE_BLANKS = rf"(?U)\A{BLANK}++|(?<!{BLANK}){BLANK}++\z"
 
 TokenCut = Callable[[Column, int, bool], Column]
 
@@ -48,12 +48,18 @@ def text_key(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _first_words(text: Column, n: int) -> Column:
+    """The text up to the end of its n-th word; '' if it has no more than n words.
+
+    Possessive matching reads n words and never backtracks, however long the text is.
+    """
+    more = f"(?:{BLANK}++{NON_BLANK}++){{{n - 1}}}+" if n > 1 else ""
+    return F.regexp_extract(text, rf"(?U)\A({BLANK}*+{NON_BLANK}++{more}){BLANK}++{NON_BLANK}", 1)
+
+
 def _keep_words(text: Column, n: int, left: bool) -> Column:
-    words = F.regexp_extract_all(text, F.lit(WORD_WITH_LEAD), F.lit(0))
-    if not left:
-        return F.array_join(F.slice(words, 1, n), "")
-    tail = F.regexp_replace(F.array_join(F.slice(words, -n, n), ""), f"^[{BLANKS}]+", "")
-    return F.concat(tail, F.regexp_extract(text, f"[{BLANKS}]*$", 0))
+    """The first (last) n words with the blanks between and before (after) them, or ''."""
+    return F.reverse(_first_words(F.reverse(text), n)) if left else _first_words(text, n)
 
 
 def truncate_col(
@@ -81,12 +87,13 @@ def truncate_col(
         return F.concat(F.lit(LEFT_MARK), cut) if left else F.concat(cut, F.lit(RIGHT_MARK))
 
     if max_chars is None and max_tokens is None:
-        too_long = ~marked & (word_count(text) > max_words)
-        return F.when(too_long, with_mark(_keep_words(text, max_words, left))).otherwise(text)
+        kept = _keep_words(text, max_words, left)
+        return F.when(~marked & (kept != ""), with_mark(kept)).otherwise(text)
 
     cut = text
     if max_words is not None:
-        cut = F.when(word_count(text) > max_words, _keep_words(text, max_words, left)).otherwise(text)
+        kept = _keep_words(text, max_words, left)
+        cut = F.when(kept != "", kept).otherwise(text)
     if max_chars is not None:
         kept = F.right(cut, F.lit(max_chars)) if left else F.substring(cut, 1, max_chars)
         cut = F.when(F.length(cut) > max_chars, kept).otherwise(cut)

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.functions.text import BLANKS, LEFT_MARK, RIGHT_MARK, WORD, WORD_WITH_LEAD
+from pairlens.functions.text import LEFT_MARK, RIGHT_MARK
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The blanks of pairlens.functions.text, spelled out for the SQL side.
+BLANKS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = f"[^{BLANKS}]+"
+WORD_WITH_LEAD = f"[{BLANKS}]*[^{BLANKS}]+"
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
