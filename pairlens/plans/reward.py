@@ -112,7 +112,10 @@ def feature_baselines(
 
     out = {"full": probe(None)}
     wanted = min(max(TOP_K), params.n_neurons)
-    chosen = controlled_lasso(train, wanted, ["length_delta"]).neurons
+    try:
+        chosen = controlled_lasso(train, wanted, ["length_delta"]).neurons
+    except ValueError:  # too few informative features; the selections stay NaN
+        chosen = []
     for k in TOP_K:
         if k <= len(chosen):
             out[f"top{k}"] = probe(chosen[:k])
