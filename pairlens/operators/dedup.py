@@ -33,19 +33,25 @@ def seeded_rank(seed: int | Column, *parts: Column) -> Column:
 
 
 def dedup_unordered_pairs(
-    df: DataFrame, a: str = "response_A", b: str = "response_B", seed: int = 42, id: str = "row_id"
+    df: DataFrame,
+    a: str = "response_A",
+    b: str = "response_B",
+    seed: int = 42,
+    id: str = "row_id",
+    within: list[str] | None = None,
 ) -> DataFrame:
-    """One row per unordered pair of responses, chosen by seeded hash.
+    """One row per unordered pair of responses (per group of ``within``), by seeded hash.
 
     The winner per pair is found on ids alone with a map-side combined aggregate.
     """
+    groups = within or []
     pair_key = F.sha2(
         F.concat(text_key(F.least(a, b)), text_key(F.greatest(a, b))), 256
     )
     winners = (
         df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-        .select(pair_key.alias("_pair"), id)
-        .groupBy("_pair")
+        .select(*groups, pair_key.alias("_pair"), id)
+        .groupBy(*groups, "_pair")
         .agg(F.min_by(F.col(id), seeded_rank(seed, F.col(id))).alias(id))
         .select(id)
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.answers import clean_interpretation
 from pairlens.functions.text import render, strip, swap_if_negative, truncate_col
+from pairlens.lineage import cut_lineage
 from pairlens.operators.completion import Completer, complete
 from pairlens.operators.sampling import sample_top_only
 from pairlens.prompts import template
@@ -27,18 +29,23 @@ class InterpretConfig:
     prompt_name: str = "interpret-feature-top-pairs"
 
 
-def interpretation_prompts(acts: DataFrame, pairs: DataFrame, cfg: InterpretConfig, id: str = "row_id") -> DataFrame:
+TextsFor = Callable[[DataFrame], DataFrame]
+
+
+def interpretation_prompts(acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, id: str = "row_id") -> DataFrame:
     """(neuron_idx, candidate_idx, prompt) with ``n_examples`` rendered pairs each.
 
-    ``pairs`` has (id, text). The samples are few, so it is their ids that are broadcast-joined
-    to the texts when small enough, as Spark decides.
+    ``texts_for(samples)`` returns (id, text) for the sampled ids; it is given the samples in a
+    checkpoint, so that only these few rows of the wide table are ever rendered.
     """
-    samples = sample_top_only(
-        acts, cfg.n_examples, cfg.percentile_bin, cfg.n_top, cfg.nonzero_only, cfg.seed, id, cfg.n_candidates
+    samples = cut_lineage(
+        sample_top_only(
+            acts, cfg.n_examples, cfg.percentile_bin, cfg.n_top, cfg.nonzero_only, cfg.seed, id, cfg.n_candidates
+        )
     )
     text = swap_if_negative(F.col("text"), F.col("act")) if cfg.swap_negative else F.col("text")
     text = truncate_col(text, max_words=cfg.max_words)
-    rendered = samples.join(pairs.select(id, "text"), id).select(
+    rendered = samples.join(texts_for(samples).select(id, "text"), id).select(
         "neuron_idx", "candidate_idx", F.struct(F.col(id), text.alias("text")).alias("example")
     )
     # n_examples rows per group.
@@ -52,11 +59,11 @@ def interpretation_prompts(acts: DataFrame, pairs: DataFrame, cfg: InterpretConf
 
 
 def interpret(
-    acts: DataFrame, pairs: DataFrame, cfg: InterpretConfig, completer: Completer,
+    acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, completer: Completer,
     concurrency: int | None = None, id: str = "row_id",
 ) -> DataFrame:
     """(neuron_idx, candidate_idx, interpretation); empty or failed answers are left out."""
-    prompts = interpretation_prompts(acts, pairs, cfg, id)
+    prompts = interpretation_prompts(acts, texts_for, cfg, id)
     keys = ["neuron_idx", "candidate_idx"]
     answers = complete(prompts, keys, completer, clean_interpretation, 1, concurrency)
     return answers.select(*keys, F.col("parsed").alias("interpretation")).filter("interpretation <> ''")

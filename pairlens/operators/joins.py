@@ -101,16 +101,23 @@ def texts_to_reannotate(tasks: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def response_deltas(
-    pairs: DataFrame, embeddings: DataFrame, key_a: Column, key_b: Column, id: str = "row_id"
+    pairs: DataFrame,
+    embeddings: DataFrame,
+    key_a: Column,
+    key_b: Column,
+    id: str = "row_id",
+    materialised: bool = False,
 ) -> DataFrame:
     """Difference of the two response vectors of each pair.
 
-    ``embeddings`` has (text_key, embedding). Only ids and 32-byte keys of the pairs are
-    shuffled; a response repeated in a large share of the pairs is salted. Pairs without both
-    vectors are dropped, see :func:`missing_embeddings`.
+    ``embeddings`` has (text_key, embedding). Only ids and keys of the pairs are shuffled; a
+    response repeated in a large share of the pairs is salted. Pairs without both vectors are
+    dropped, see :func:`missing_embeddings`. ``materialised`` says that ``pairs`` holds ready
+    keys in a checkpoint; otherwise the texts are read and hashed once into one.
     """
-    # The texts are read and hashed once, the joins and skew counts work on the narrow keys.
-    keyed = cut_lineage(pairs.select(id, key_a.alias("_a"), key_b.alias("_b")))
+    keyed = pairs.select(id, key_a.alias("_a"), key_b.alias("_b"))
+    if not materialised:
+        keyed = cut_lineage(keyed)
     n = keyed.count()
     side_a = embeddings.select(F.col("text_key").alias("_a"), F.col("embedding").alias("_ea"))
     side_b = embeddings.select(F.col("text_key").alias("_b"), F.col("embedding").alias("_eb"))
@@ -123,6 +130,22 @@ def response_deltas(
     return joined.select(id, F.zip_with("_ea", "_eb", lambda x, y: x - y).alias("delta"))
 
 
+# A set of ids is broadcast up to this many.
+BROADCAST_IDS = 2_000_000
+
+
+def pick_rows(wide: DataFrame, ids: DataFrame, id: str = "row_id") -> DataFrame:
+    """Rows of a wide table by id; ``ids`` should be materialised, as it is counted first.
+
+    A sample small enough is sent to the wide scan, so that the rest of the table is neither
+    shuffled nor processed any further; a larger one is joined as usual.
+    """
+    ids = ids.select(id).distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return wide.join(ids, id, "left_semi")
+
+
 def missing_embeddings(pairs: DataFrame, deltas: DataFrame, id: str = "row_id") -> DataFrame:
     """Pairs the inner joins of :func:`response_deltas` dropped."""
     return pairs.join(deltas.select(id), id, "left_anti")

@@ -29,7 +29,9 @@ from pairlens.operators.probe import feature_vector, fit_probe, probe_scores
 from pairlens.operators.redundancy import redundancy
 from pairlens.operators.sampling import sample_percentile_bins
 from pairlens.operators.stats import pearson, roc_auc
-from pairlens.plans.preprocess import Embedded, Preprocessed, embed_responses, load_and_preprocess, pair_texts, preprocess
+from pairlens.plans.preprocess import (
+    Embedded, Preprocessed, embed_responses, load_and_preprocess, preprocess, sampled_pair_texts,
+)
 
 SIMILARITY_THRESHOLD = 0.7
 
@@ -51,11 +53,15 @@ def train_encoder(
 
 
 def interpret_features(
-    dedup_train: DataFrame, acts_dedup: DataFrame, dataset: DatasetConfig, cfg: InterpretationConfig,
+    rows: DataFrame, acts_dedup: DataFrame, dataset: DatasetConfig, cfg: InterpretationConfig,
     completer: Completer, concurrency: int | None = None,
 ) -> DataFrame:
-    """(neuron_idx, candidate_idx, interpretation)."""
-    return interpret(acts_dedup, pair_texts(dedup_train, dataset), cfg.interpret_config(), completer, concurrency)
+    """(neuron_idx, candidate_idx, interpretation) from samples of ``acts_dedup``."""
+
+    def texts_for(samples: DataFrame) -> DataFrame:
+        return sampled_pair_texts(rows, samples, dataset)
+
+    return interpret(acts_dedup, texts_for, cfg.interpret_config(), completer, concurrency)
 
 
 @dataclass
@@ -66,23 +72,24 @@ class Scores:
 
 
 def score_features(
-    interpretations: DataFrame, train: DataFrame, acts_train: DataFrame, dataset: DatasetConfig,
+    interpretations: DataFrame, rows: DataFrame, acts_train: DataFrame, dataset: DatasetConfig,
     cfg: InterpretationConfig, completer: Completer, cache_path: str | None = None,
     concurrency: int | None = None,
 ) -> Scores:
     """Annotate sampled pairs with every description and keep the faithful ones."""
     kw = cfg.scoring_sampling_kwargs
     low = kw.get("low_percentile")
-    described = acts_train
-    samples = sample_percentile_bins(
-        described,
-        cfg.scoring_n_examples,
-        tuple(kw.get("high_percentile", (90, 100))),
-        tuple(low) if low is not None else None,
-        kw.get("nonzero_only", True),
-        seed="neuron_idx",
-    ).join(interpretations.select("neuron_idx").distinct(), "neuron_idx", "left_semi")
-    texts = pair_texts(train, dataset)
+    samples = cut_lineage(
+        sample_percentile_bins(
+            acts_train,
+            cfg.scoring_n_examples,
+            tuple(kw.get("high_percentile", (90, 100))),
+            tuple(low) if low is not None else None,
+            kw.get("nonzero_only", True),
+            seed="neuron_idx",
+        ).join(interpretations.select("neuron_idx").distinct(), "neuron_idx", "left_semi")
+    )
+    texts = sampled_pair_texts(rows, samples, dataset)
     samples = cut_lineage(
         samples.join(texts, "row_id").withColumn("text_key", text_key(F.col("text")))
     )
@@ -101,8 +108,9 @@ def score_features(
 
 
 def prediction_rows(pred: DataFrame, acts: DataFrame, controls: list[str]) -> DataFrame:
-    """Binary-label rows with their activations, narrowed to what the models read."""
-    return pred.select("row_id", "label", *controls).join(acts, "row_id")
+    """Binary-label members with their activations, narrowed to what the models read."""
+    numbers = [F.col(c).cast("double").alias(c) for c in controls]
+    return pred.select("row_id", "label", *numbers).join(acts, "row_id")
 
 
 def feature_coefs(train_rows: DataFrame, cfg: SelectionConfig) -> DataFrame:
@@ -202,9 +210,7 @@ class JobResult:
     params: EncoderParams
     data: Preprocessed
     embedded: Embedded
-    acts_train: DataFrame
-    acts_val: DataFrame
-    acts_dedup: DataFrame
+    activations: DataFrame  # (row_id, acts) of every row
     interpretations: DataFrame
     scores: Scores
     features: DataFrame
@@ -228,10 +234,11 @@ def run_job(
     runtime = cfg.runtime
     if runtime.debug:
         cfg = for_debug(cfg)
+    controls = tuple(cfg.selection.controls)
     data = (
-        load_and_preprocess(spark, cfg.dataset, runtime)
+        load_and_preprocess(spark, cfg.dataset, runtime, controls)
         if df is None
-        else preprocess(df, cfg.dataset, runtime.debug)
+        else preprocess(df, cfg.dataset, runtime.debug, controls)
     )
 
     def cache(name: str) -> str | None:
@@ -239,20 +246,23 @@ def run_job(
 
     cores = spark.sparkContext.defaultParallelism
     emb = embed_responses(data, embedder, cfg.embedding.model, cache("embeddings"))
-    params = train_encoder(spark, emb.dedup_train, emb.dedup_val, cfg.sae, runtime, n_partitions)
-    acts_train, acts_val, acts_dedup = (
-        cut_lineage(encode(d, params)) for d in (emb.train, emb.val, emb.dedup_train)
-    )
-    loss = reconstruction_loss(emb.train.unionByName(emb.val), params)
+    params = train_encoder(spark, emb.of("dedup_train"), emb.of("dedup_val"), cfg.sae, runtime, n_partitions)
+    acts = cut_lineage(encode(emb.deltas, params))
+
+    def acts_of(subset: str) -> DataFrame:
+        return acts.join(data.narrow(subset).select("row_id"), "row_id", "left_semi")
+
+    acts_train = cut_lineage(acts_of("train"))
+    loss = reconstruction_loss(emb.deltas, params)
 
     icfg = cfg.interpretation
     interpretations = cut_lineage(
         interpret_features(
-            data.dedup_train, acts_dedup, cfg.dataset, icfg, completer, min(icfg.n_workers_interpretation, cores)
+            data.rows, acts_of("dedup_train"), cfg.dataset, icfg, completer, min(icfg.n_workers_interpretation, cores)
         )
     )
     scores = score_features(
-        interpretations, data.train, acts_train, cfg.dataset, icfg, completer, cache("annotations"),
+        interpretations, data.rows, acts_train, cfg.dataset, icfg, completer, cache("annotations"),
         min(icfg.n_workers_annotation, cores),
     )
     best = cut_lineage(scores.best)
@@ -265,8 +275,10 @@ def run_job(
         cut_lineage(concepts.join(vectors, "text_key").select("id", "text", "embedding")), SIMILARITY_THRESHOLD
     )
 
-    train_rows = cut_lineage(prediction_rows(data.train_pred, acts_train, cfg.selection.controls))
-    val_rows = cut_lineage(prediction_rows(data.val_pred, acts_val, cfg.selection.controls))
+    train_rows, val_rows = (
+        cut_lineage(prediction_rows(data.narrow(subset), acts, cfg.selection.controls))
+        for subset in ("train_pred", "val_pred")
+    )
     coefs = feature_coefs(train_rows, cfg.selection)
     # At most one number per neuron of the model.
     kept = sorted(r.neuron_idx for r in scores.kept.select("neuron_idx").collect())
@@ -283,6 +295,6 @@ def run_job(
         ("sae/reconstruction_norm_mse_train_val", loss.first()[0]),
     ]
     return JobResult(
-        params, data, emb, acts_train, acts_val, acts_dedup, interpretations, scores,
+        params, data, emb, acts, interpretations, scores,
         cut_lineage(features), selections, spark.createDataFrame(summary, SUMMARY), kept,
     )

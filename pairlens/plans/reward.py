@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,32 +25,60 @@ from pairlens.sources.loader import load_preferences, with_length_delta
 TOP_K = (5, 10)
 
 
-def response_only(df_side: str) -> Column:
-    return F.col(df_side)
+@dataclass
+class TextForm:
+    """A way to turn a response (and its prompt) into the text that is embedded."""
+
+    name: str
+    of: Callable[[str], Column]  # response column name to text
+
+    def keys(self) -> list[Column]:
+        return [text_key(self.of(f"response_{side}")).alias(f"{self.name}_{side}") for side in "AB"]
 
 
-def prompt_and_response(df_side: str) -> Column:
-    return prompt_response_text(F.col("prompt"), F.col(df_side))
+RESPONSE_ONLY = TextForm("response", F.col)
+PROMPT_AND_RESPONSE = TextForm("both", lambda side: prompt_response_text(F.col("prompt"), F.col(side)))
 
 
 @dataclass
 class RewardRows:
-    """Training rows merged per (prompt, A, B), validation rows as they are; binary labels."""
+    """Binary-label rows: (row_id, label, length_delta, text keys), checkpointed.
+
+    Training rows are merged per (prompt, A, B), validation rows are as they come. ``texts`` are
+    the wide rows the keys stand for.
+    """
 
     train: DataFrame
     val: DataFrame
+    texts: DataFrame
 
 
 def reward_rows(df: DataFrame, cfg: DatasetConfig) -> RewardRows:
+    """Texts are read once into keys; split and label merge run on those."""
     df = with_length_delta(df)
-    sides = cut_lineage(
-        component_split(df, cfg.split_on, cfg.train_split_size, cfg.split_random_seed)
+    split_keys = {f"_split{i}": F.sha2(F.col(c).cast("string"), 256) for i, c in enumerate(cfg.split_on)}
+    narrow = cut_lineage(
+        df.select(
+            "row_id", "label", "length_delta",
+            text_key(F.col("prompt")).alias("prompt_key"),
+            *RESPONSE_ONLY.keys(), *PROMPT_AND_RESPONSE.keys(),
+            *[key.alias(name) for name, key in split_keys.items()],
+        )
+    )
+    sides = component_split(narrow, list(split_keys), cfg.train_split_size, cfg.split_random_seed)
+    rows = cut_lineage(
+        narrow.drop(*split_keys)
+        .filter(is_binary_label(F.col("label")))
+        .join(sides.select("row_id", "split"), "row_id")
+    )
+    train = rows.filter(F.col("split") == "train")
+    merged = merge_duplicate_labels(train, "prompt_key", "response_A", "response_B").select(
+        "row_id", "label", "length_delta"
+    )
+    kept = train.drop("label", "length_delta", "split").join(merged, "row_id")
+    out = RewardRows(
+        cut_lineage(kept), rows.filter(F.col("split") == "val"), df.filter(is_binary_label(F.col("label")))
     )
-    rows = df.join(sides.select("row_id", "split"), "row_id").filter(is_binary_label(F.col("label")))
-    columns = ["row_id", "prompt", "response_A", "response_B", "label", "length_delta"]
-    train = merge_duplicate_labels(rows.filter(F.col("split") == "train"))
-    val = rows.filter(F.col("split") == "val")
-    out = RewardRows(cut_lineage(train.select(*columns)), cut_lineage(val.select(*columns)))
     for name, part in (("training", out.train), ("validation", out.val)):
         if part.isEmpty():
             raise ValueError(f"{cfg.name}: no binary-label rows in the {name} split")
@@ -57,16 +86,14 @@ def reward_rows(df: DataFrame, cfg: DatasetConfig) -> RewardRows:
 
 
 def baseline_deltas(
-    rows: RewardRows, text_of, embedder: Embedder, model: str, cache_path: str | None = None
+    rows: RewardRows, form: TextForm, embedder: Embedder, model: str, cache_path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(row_id, delta) of both splits for texts made by ``text_of(side)``."""
-    sides = (text_of("response_A"), text_of("response_B"))
-    both = rows.train.unionByName(rows.val, allowMissingColumns=True)
-    embeddings = embed_texts(unique_texts(both, *sides), embedder, model, cache_path)
-    keys = [text_key(s) for s in sides]
-    return (
-        response_deltas(rows.train, embeddings, *keys),
-        response_deltas(rows.val, embeddings, *keys),
+    """(row_id, delta) of both splits for one text form."""
+    texts = unique_texts(rows.texts, form.of("response_A"), form.of("response_B"))
+    embeddings = embed_texts(texts, embedder, model, cache_path)
+    keys = [F.col(f"{form.name}_{side}") for side in "AB"]
+    return tuple(
+        response_deltas(part, embeddings, *keys, materialised=True) for part in (rows.train, rows.val)
     )
 
 
@@ -138,9 +165,9 @@ def reward_baselines(
     """
     rows = reward_rows(df, cfg)
     with_prompt = tuple(
-        cut_lineage(d) for d in baseline_deltas(rows, prompt_and_response, embedder, model, cache_path)
+        cut_lineage(d) for d in baseline_deltas(rows, PROMPT_AND_RESPONSE, embedder, model, cache_path)
     )
-    alone = baseline_deltas(rows, response_only, embedder, model, cache_path)
+    alone = baseline_deltas(rows, RESPONSE_ONLY, embedder, model, cache_path)
     results = {
         "embed_prompt_response": embedding_baseline(rows, with_prompt),
         "embed_response_only": embedding_baseline(rows, alone),

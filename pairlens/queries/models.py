@@ -16,7 +16,7 @@ from pairlens.operators.encoder_fit import FitConfig, fit_encoder
 from pairlens.operators.interpret import InterpretConfig, abbreviate, interpret
 from pairlens.operators.split import component_split
 from pairlens.plans.features import run_job, select_and_probe
-from pairlens.plans.preprocess import pair_texts
+from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
 from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows, deltas
 from pairlens.queries.pairs import SPLIT_ON, preferences
@@ -87,7 +87,9 @@ def abbreviated_descriptions(spark, sf_dir):
 def generated_descriptions(spark, sf_dir):
     prefs = derived.preferences(spark, sf_dir)
     cfg = InterpretConfig(n_examples=5, n_candidates=2, percentile_bin=(80, 100))
-    return interpret(acts(spark, sf_dir), pair_texts(prefs, _dataset(sf_dir)), cfg, lexical_completer)
+    return interpret(
+        acts(spark, sf_dir), lambda samples: sampled_pair_texts(prefs, samples, _dataset(sf_dir)), cfg, lexical_completer
+    )
 
 
 @query()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.functions.text import length_delta
+from pairlens.lineage import stage_table
 from pairlens.schema import PREFERENCES, ColumnNames
 
 # Readable file suffixes.
@@ -31,6 +32,10 @@ def load_preferences(
 
     The schema is given, never inferred, so only needed columns are read. ``extra`` names
     further (string) columns, such as split columns. JSON means one object per line.
+
+    Later jobs read the rows several times and meet again by ``row_id``, so the id must not
+    depend on how a scan happens to be cut into tasks. Parquet rows are numbered by file and
+    position in it; JSON and CSV are numbered while being copied once to a Parquet table.
     """
     fmt = fmt or file_format(path)
     renamed = {
@@ -45,34 +50,48 @@ def load_preferences(
     schema = T.StructType(known + [T.StructField(c, T.StringType()) for c in extra if c not in names])
     reader = spark.read
     if fmt == "parquet":
-        stored = reader.parquet(path)
-        missing = set(renamed) - set(stored.columns)
-        if missing:
-            raise ValueError(f"columns missing: {sorted(missing)}")
-        df = stored.select(
-            *[
-                (F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.fields
-            ]
-        )
+        df = _numbered_by_file(_conform(reader.parquet(path), schema, set(renamed), FILE_POSITION))
     elif fmt == "json":
-        df = reader.schema(schema).json(path)
+        df = _numbered_copy(reader.schema(schema).json(path))
     elif fmt == "csv":
         # Quoted texts may span lines. Columns are matched by header name, not position.
         stored = reader.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-        missing = set(renamed) - set(stored.columns)
-        if missing:
-            raise ValueError(f"columns missing: {sorted(missing)}")
-        df = stored.select(
-            *[
-                (F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.fields
-            ]
-        )
+        df = _numbered_copy(_conform(stored, schema, set(renamed)))
     else:
         raise ValueError(f"unsupported format: {fmt}")
-    df = df.withColumnsRenamed(renamed)
-    return with_length_delta(df.withColumn("row_id", F.monotonically_increasing_id()))
+    return with_length_delta(df.withColumnsRenamed(renamed))
+
+
+FILE_POSITION = ("file_path", "row_index")
+ROW_BITS = 36  # rows within one file
+
+
+def _conform(
+    stored: DataFrame, schema: T.StructType, required: set[str], metadata: tuple[str, ...] = ()
+) -> DataFrame:
+    """The columns of ``schema``, null where the file lacks them; required ones must exist."""
+    missing = required - set(stored.columns)
+    if missing:
+        raise ValueError(f"columns missing: {sorted(missing)}")
+    columns = [
+        (F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in schema.fields
+    ]
+    return stored.select(*columns, *[F.col(f"_metadata.{m}").alias(f"_{m}") for m in metadata])
+
+
+def _numbered_by_file(df: DataFrame) -> DataFrame:
+    """Row id from the rank of the file name and the position in the file."""
+    files = df.select("_file_path").distinct()
+    numbered = files.withColumn("_file", F.row_number().over(Window.orderBy("_file_path")).cast("long"))
+    # One row per input file.
+    joined = df.join(F.broadcast(numbered), "_file_path")
+    row_id = F.shiftleft("_file", ROW_BITS) + F.col("_row_index")
+    return joined.withColumn("row_id", row_id).drop("_file_path", "_file", "_row_index")
+
+
+def _numbered_copy(df: DataFrame) -> DataFrame:
+    return stage_table(df.withColumn("row_id", F.monotonically_increasing_id()))
 
 
 def with_length_delta(df: DataFrame, a: str = "response_A", b: str = "response_B") -> DataFrame:

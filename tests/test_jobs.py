@@ -157,6 +157,21 @@ def test_readers_agree(spark, tmp_path):
     assert caches.table_exists(spark, str(tmp_path / "x.parquet")) and not caches.table_exists(spark, str(tmp_path / "none"))
 
 
+def test_row_ids_do_not_depend_on_how_a_scan_is_cut(spark, tmp_path):
+    path = str(tmp_path / "many.parquet")
+    rows = [(f"p{i}", f"a{i}", "b", 1.0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "prompt string, response_A string, response_B string, label double")
+    df.repartition(6).write.option("parquet.block.size", 4096).parquet(path)
+    first = {r.row_id: r.prompt for r in loader.load_preferences(spark, path).collect()}
+    assert len(first) == 3000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "6000")
+    try:
+        again = {r.row_id: r.prompt for r in loader.load_preferences(spark, path).select("row_id", "prompt").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert again == first
+
+
 def test_given_length_delta_is_kept(spark):
     df = spark.createDataFrame([("a b", "c", 9), ("a b", "c", None)], "response_A string, response_B string, length_delta long")
     assert [r.length_delta for r in loader.with_length_delta(df).collect()] == [9, 1]
@@ -208,10 +223,10 @@ def test_whole_job_writes_consistent_tables(spark, tmp_path):
     cfg = config.job_config(spec)
     data_again = preprocess.load_and_preprocess(spark, cfg.dataset)
     emb = preprocess.embed_responses(data_again, failing_completer, cfg.embedding.model, str(tmp_path / "cache/embeddings"))
-    params = features.train_encoder(spark, emb.dedup_train, emb.dedup_val, cfg.sae, cfg.runtime)
+    params = features.train_encoder(spark, emb.of("dedup_train"), emb.of("dedup_val"), cfg.sae, cfg.runtime)
     assert params.n_neurons == 6
     # Train and validation share no prompt.
-    shared = data_again.train.select("prompt").intersect(data_again.val.select("prompt"))
+    shared = data_again.wide("train").select("prompt").intersect(data_again.wide("val").select("prompt"))
     assert shared.count() == 0
     sinks.write_interpretations(
         spark.createDataFrame([(0, "a"), (1, "b")], "neuron_idx int, interpretation string"), str(tmp_path / "interp"),
