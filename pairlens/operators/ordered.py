@@ -96,7 +96,6 @@ def exact_order_statistics(
     value: str,
     fractions: list[float],
     accuracy: int = 10_000,
-    cell_values: int | None = None,
 ) -> DataFrame:
     """Neighbouring order statistics around ``fraction * (n - 1)`` for every group.
 
@@ -137,10 +136,14 @@ def exact_order_statistics(
             ]
         ).alias("_targets"),
     )
-    # One row per group: groups are features, splits or slices of one model, not data keys.
+    if groups:
+        # One row per group: groups are features or splits of one model, not data keys.
+        placed = data.join(F.broadcast(brackets), keys)
+    else:
+        whole = brackets.select(F.struct("_n", "_targets")).scalar()
+        placed = data.withColumn("_b", whole).select(*keys, "_v", "_b._n", "_b._targets")
     hits = (
-        data.join(F.broadcast(brackets), keys)
-        .select(
+        placed.select(
             *keys,
             "_n",
             "_v",

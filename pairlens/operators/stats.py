@@ -39,9 +39,14 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: tuple
         )
     )
     shares = [(i + 1) / (AUC_BUCKETS + 1) for i in range(AUC_BUCKETS)]
-    # One short array per group; groups are splits or models, not data keys.
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", shares, 2000).alias("_cuts"))
-    placed = counts.join(F.broadcast(cuts), keys).withColumn(
+    sketch = F.percentile_approx("_s", shares, 2000)
+    if by:
+        # One short array per group; groups are splits or models, not data keys.
+        cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
+        placed = counts.join(F.broadcast(cuts), keys)
+    else:
+        placed = counts.withColumn("_cuts", counts.agg(sketch).scalar())
+    placed = placed.withColumn(
         "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))
     ).drop("_cuts")
     within = (
@@ -85,27 +90,26 @@ def margin_evaluation(scores: DataFrame, label: str = "label", a: str = "score_A
     margins = scores.withColumn("_margin", (F.col(a) - F.col(b)).cast("double"))
     auc = roc_auc(margins, label, "_margin", by).drop("n_pos", "n_neg")
     acc = accuracy(margins, label, "_margin", 0.0, strict=True, by=by)
-    if by:
-        return auc.join(acc, list(by))
-    return auc.withColumn("_k", F.lit(0)).join(acc.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return auc.join(acc, list(by)) if by else auc.withColumn("accuracy", acc.scalar())
 
 
 def standardise(train: DataFrame, other: DataFrame | None, columns: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(x - mean) / population deviation with moments of ``train``; a constant is only centred."""
     moments = train.agg(
-        *[F.avg(F.col(c).cast("double")).alias(f"_m_{c}") for c in columns],
-        *[F.stddev_pop(F.col(c).cast("double")).alias(f"_s_{c}") for c in columns],
-    ).withColumn("_k", F.lit(0))
+        F.struct(
+            *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns],
+            *[F.stddev_pop(F.col(c).cast("double")).alias(f"dev_{c}") for c in columns],
+        )
+    ).scalar()
 
     def scaled(df: DataFrame) -> DataFrame:
-        # The moments are a single row.
-        joined = df.withColumn("_k", F.lit(0)).join(F.broadcast(moments), "_k")
+        known = df.withColumn("_moments", moments)
         values = {
-            c: (F.col(c) - F.col(f"_m_{c}"))
-            / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(F.lit(1.0))
+            c: (F.col(c) - F.col(f"_moments.mean_{c}"))
+            / F.when(F.col(f"_moments.dev_{c}") > 0, F.col(f"_moments.dev_{c}")).otherwise(F.lit(1.0))
             for c in columns
         }
-        return joined.withColumns(values).select(*df.columns)
+        return known.withColumns(values).select(*df.columns)
 
     return scaled(train), None if other is None else scaled(other)
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from pairlens.functions.text import text_key
+from pairlens.lineage import cut_lineage
 from pairlens.operators import activations, fidelity, sampling, stats
 from pairlens.operators.encoder import EncoderParams, encode, reconstruction_loss
 from pairlens.operators.encoder_fit import lower_medians
@@ -16,7 +16,7 @@ from pairlens.operators.linear import controlled_coefs
 from pairlens.operators.ordered import exact_quantiles
 from pairlens.operators.redundancy import redundancy
 from pairlens.plans.features import feature_table
-from pairlens.queries.pairs import deltas, preferences
+from pairlens.queries.pairs import deltas, preferences, stored_deltas
 from pairlens.queries.registry import query
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
@@ -26,7 +26,8 @@ CONCEPTS = ["is written at greater length", "lists things with commas"]
 
 
 def acts(spark, sf_dir):
-    return encode(deltas(spark, sf_dir), one_hot_params(DIMS))
+    """Activations in a checkpoint, as the composite job keeps them: they are read many times."""
+    return cut_lineage(encode(deltas(spark, sf_dir), one_hot_params(DIMS)))
 
 
 def _as_double(df, *columns):
@@ -35,7 +36,7 @@ def _as_double(df, *columns):
 
 @query("SELECT row_id, neuron_idx, act::double AS act FROM acts WHERE act <> 0", ("acts",))
 def encoded_activations(spark, sf_dir):
-    return _as_double(activations.long_activations(acts(spark, sf_dir)), "act")
+    return _as_double(activations.long_activations(encode(deltas(spark, sf_dir), one_hot_params(DIMS))), "act")
 
 
 @query("SELECT neuron_idx, round(avg(CASE WHEN act <> 0 THEN 1.0 ELSE 0.0 END), 9)::double AS prevalence FROM acts GROUP BY neuron_idx", ("acts",))
@@ -73,7 +74,7 @@ def activation_quantiles(spark, sf_dir):
     ("deltas",),
 )
 def lower_median_per_dimension(spark, sf_dir):
-    return _as_double(lower_medians(deltas(spark, sf_dir)), "median")
+    return _as_double(lower_medians(stored_deltas(spark, sf_dir)), "median")
 
 
 _HASH = "md5({seed} || '|' || neuron_idx || '|' || row_id)"
@@ -249,7 +250,7 @@ def semantic_components(spark, sf_dir):
     ("deltas",),
 )
 def normalised_reconstruction_error(spark, sf_dir):
-    d = deltas(spark, sf_dir)
+    d = stored_deltas(spark, sf_dir)
     decoded = encode(d, one_hot_params(DIMS)).select(
         "row_id", F.concat("acts", F.array_repeat(F.lit(0.0).cast("float"), DIMS - 8)).alias("predicted")
     )
@@ -272,7 +273,7 @@ def normalised_reconstruction_error(spark, sf_dir):
 def reconstruction_loss_over_slices(spark, sf_dir):
     p = one_hot_params(DIMS, threshold=float(np.float32(0.1)))
     params = EncoderParams(p.enc, p.dec, p.input_bias, p.neuron_bias, p.threshold, p.k, [4, 8])
-    loss = reconstruction_loss(deltas(spark, sf_dir), params)
+    loss = reconstruction_loss(stored_deltas(spark, sf_dir), params)
     return loss.select(F.round("reconstruction_loss", 8).alias("reconstruction_loss"))
 
 

@@ -18,8 +18,8 @@ from pairlens.operators.split import component_split
 from pairlens.plans.features import run_job, select_and_probe
 from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
-from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows, deltas
-from pairlens.queries.pairs import SPLIT_ON, preferences
+from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows
+from pairlens.queries.pairs import SPLIT_ON, deltas, preferences, stored_deltas
 from pairlens.queries.registry import query, responses_sql
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
@@ -104,7 +104,7 @@ def correlation_p_values(spark, sf_dir):
 
 @query()
 def fitted_encoder_activity(spark, sf_dir):
-    d = deltas(spark, sf_dir).persist()
+    d = stored_deltas(spark, sf_dir)
     cfg = FitConfig(n_neurons=16, k=4, prefix_lengths=[4, 16], batch_size=128, n_epochs=4, min_epochs=2)
     params, _ = fit_encoder(augment_signs(d), d, cfg)
     from pairlens.operators.activations import firing_rates

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pairlens.config import DatasetConfig
 from pairlens.functions.text import text_key
+from pairlens.lineage import cut_lineage
 from pairlens.operators import joins, stats
 from pairlens.operators.dedup import augment_signs, dedup_unordered_pairs, merge_duplicate_labels
 from pairlens.operators.ordered import cap_rows
@@ -27,6 +28,11 @@ def deltas(spark, sf_dir):
     return deltas_of(derived.preferences(spark, sf_dir), derived.response_embeddings(spark, sf_dir))
 
 
+def stored_deltas(spark, sf_dir):
+    """Deltas for jobs that read them more than once."""
+    return cut_lineage(deltas(spark, sf_dir))
+
+
 @query(
     "SELECT row_id, md5(prompt) AS prompt, md5(response_A) AS a, md5(response_B) AS b, label, conversation_id FROM prefs",
     ("prefs",),

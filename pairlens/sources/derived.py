@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions.text import text_key
 from pairlens.operators.encoder import EncoderParams
@@ -12,8 +13,15 @@ from pairlens.operators.encoder import EncoderParams
 PAIR_REACH = 60  # documents of a source are compared up to this distance of ids
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is looked up in the file once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
