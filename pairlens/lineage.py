@@ -1,7 +1,8 @@
-"""Cutting the lineage of iterative jobs with reliable checkpoints.
+"""Cutting the lineage of iterative jobs, and keeping results that must not be computed twice.
 
-Checkpoints live in the shared folder named by ``spark.checkpoint.dir``, so they survive the
-loss of any executor. Only a local session without that setting gets a folder of its own.
+Results are written as Parquet tables to the shared folder named by ``spark.checkpoint.dir``, so
+they survive the loss of any executor, and later jobs read only the columns they need. Only a
+local session without that setting gets a folder of its own.
 """
 
 from __future__ import annotations
@@ -12,32 +13,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The application's folder below ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-checkpoints-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            sc.setCheckpointDir(configured)
+        elif sc.master.startswith("local"):
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-checkpoints-"))
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and return it with a fresh, short plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stage_table(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the checkpoint folder and return a reader of it.
-
-    Unlike a checkpoint the copy is columnar, so later jobs read only the columns they need.
-    """
+    """Write ``df`` to a table in the checkpoint folder and return a reader of that table."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

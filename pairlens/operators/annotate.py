@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions.answers import parse_multi_label, parse_pairwise
+from pairlens.functions.answers import parse_multi_label, parse_pairwise, parse_yes_no
 from pairlens.functions.text import render, truncate_col
 from pairlens.lineage import cut_lineage
 from pairlens.operators.completion import Completer, complete
 from pairlens.operators.dedup import seeded_rank
 from pairlens.operators.fidelity import annotated_or_zero
 from pairlens.operators.joins import cached_split, text_concept_tasks, texts_to_reannotate
-from pairlens.prompts import template
+from pairlens.prompts import canonical, template
 from pairlens.schema import ANNOTATION_CACHE
 from pairlens.sources.caches import append_cache, read_cache
 
 KEYS = ["concept_key", "text_key"]
+PAIRWISE_PROMPTS = {"pairwise-annotate-singleconcept"}
 
 
 def cache_key(model: str, prompt_name: str, concept: Column, text: Column) -> Column:
@@ -35,12 +36,15 @@ def annotate(
     max_tries: int = 3,
     concurrency: int | None = None,
     max_words: int | None = None,
-    parse: Callable[[Column], Column] = parse_pairwise,
+    parse: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """(concept_key, text_key, annotation) of (text_key, text, concept_key, concept) tasks.
 
-    Equal tasks are asked once, cached ones not at all; unparseable answers are absent.
+    Equal tasks are asked once, cached ones not at all; unparseable answers are absent. Without
+    ``parse`` the pairwise prompts expect A / B / Tie and all others yes / no.
     """
+    if parse is None:
+        parse = parse_pairwise if canonical(prompt_name) in PAIRWISE_PROMPTS else parse_yes_no
     wanted = tasks.dropDuplicates(KEYS)
     spark = tasks.sparkSession
     cache = read_cache(spark, cache_path, ANNOTATION_CACHE, model=model, prompt_name=prompt_name)

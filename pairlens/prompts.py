@@ -33,8 +33,17 @@ TEMPLATES = {
 ALIASES = {"annotate-pairwise": "pairwise-annotate-singleconcept"}
 
 
+def canonical(name: str) -> str:
+    return ALIASES.get(name, name)
+
+
 def template(name: str) -> str:
-    known = TEMPLATES.get(ALIASES.get(name, name))
+    known = TEMPLATES.get(canonical(name))
     if known is None:
         raise KeyError(f"no prompt template named {name!r}")
     return known
+
+
+def add_template(name: str, text: str) -> None:
+    """Make a template of one's own available under ``name``."""
+    TEMPLATES[name] = text

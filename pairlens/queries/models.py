@@ -8,6 +8,7 @@ from pairlens.config import DatasetConfig, EncoderConfig, InterpretationConfig,
 from pairlens.functions.special import pearson_p_value
 from pairlens.functions.text import pairwise_text, text_key
 from pairlens.operators import annotate, joins, linear, probe, stats
+from pairlens.operators.activations import firing_rates
 from pairlens.operators.completion import HashingEmbedder, lexical_completer
 from pairlens.operators.dedup import augment_signs, unique_texts
 from pairlens.operators.embed import embed_texts
@@ -20,7 +21,7 @@ from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
 from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows
 from pairlens.queries.pairs import SPLIT_ON, deltas, preferences, stored_deltas
-from pairlens.queries.registry import query, responses_sql
+from pairlens.queries.registry import first_words, query, responses_sql, strip_sql
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
 
@@ -39,8 +40,6 @@ _CUT = """, cut AS (SELECT *, {a} AS a, {b} AS b FROM prefs)"""
 
 
 def _annotated_pairs_sql() -> str:
-    from pairlens.queries.registry import first_words
-
     cut = _CUT.format(a=first_words("response_A", 128), b=first_words("response_B", 128))
     return cut + f"""SELECT DISTINCT sha256({responses_sql()}) AS text_key, sha256(concept) AS concept_key,
         CAST(CASE concept WHEN '{CONCEPTS[0]}' THEN sign(length(a) - length(b))
@@ -66,7 +65,7 @@ def pairs_annotated_all_at_once(spark, sf_dir):
     return annotate.annotate_multi(texts, CONCEPTS, lexical_completer)
 
 
-@query()
+@query(f"SELECT DISTINCT sha256(text) AS text_key, {DIMS} AS dims FROM documents WHERE {strip_sql('text')} <> ''")
 def embedded_texts(spark, sf_dir):
     texts = unique_texts(table(spark, sf_dir, "documents"), F.col("text"))
     return embed_texts(texts, HashingEmbedder(DIMS), "hashing").select("text_key", F.size("embedding").alias("dims"))
@@ -107,8 +106,6 @@ def fitted_encoder_activity(spark, sf_dir):
     d = stored_deltas(spark, sf_dir)
     cfg = FitConfig(n_neurons=16, k=4, prefix_lengths=[4, 16], batch_size=128, n_epochs=4, min_epochs=2)
     params, _ = fit_encoder(augment_signs(d), d, cfg)
-    from pairlens.operators.activations import firing_rates
-
     return firing_rates(encode(d, params)).select("neuron_idx", "prevalence")
 
 
@@ -160,9 +157,7 @@ def reward_baseline_scores(spark, sf_dir):
     )
 
 
-@query()
-def feature_report(spark, sf_dir):
-    """The whole job on the derived preferences with the offline stand-ins."""
+def _job(spark, sf_dir):
     cfg = JobConfig(
         _dataset(sf_dir),
         sae=EncoderConfig(M=8, K=2, prefix_lengths=[4, 8], batch_size=128, n_epochs=3, min_epochs=2),
@@ -172,4 +167,17 @@ def feature_report(spark, sf_dir):
         ),
         selection=SelectionConfig(lasso_top_k=[2, 4]),
     )
-    return run_job(spark, cfg, HashingEmbedder(DIMS), lexical_completer, derived.preferences(spark, sf_dir)).features
+    return run_job(spark, cfg, HashingEmbedder(DIMS), lexical_completer, derived.preferences(spark, sf_dir))
+
+
+@query()
+def feature_report(spark, sf_dir):
+    """The feature table of the whole job, with the offline stand-ins."""
+    return _job(spark, sf_dir).features
+
+
+@query()
+def run_summary(spark, sf_dir):
+    """(metric, value): quality and predictive metrics of the whole job."""
+    result = _job(spark, sf_dir)
+    return result.summary.unionByName(result.selections.aucs)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.functions.text import length_delta
-from pairlens.lineage import stage_table
+from pairlens.lineage import cut_lineage
 from pairlens.schema import PREFERENCES, ColumnNames
 
 # Readable file suffixes.
@@ -91,7 +91,7 @@ def _numbered_by_file(df: DataFrame) -> DataFrame:
 
 
 def _numbered_copy(df: DataFrame) -> DataFrame:
-    return stage_table(df.withColumn("row_id", F.monotonically_increasing_id()))
+    return cut_lineage(df.withColumn("row_id", F.monotonically_increasing_id()))
 
 
 def with_length_delta(df: DataFrame, a: str = "response_A", b: str = "response_B") -> DataFrame:

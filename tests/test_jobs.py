@@ -46,6 +46,15 @@ def test_annotation_cache_is_used_and_keyed_by_model(spark, tmp_path):
     assert spark.read.parquet(path).count() == 10
 
 
+def test_prompts_of_ones_own_expect_yes_or_no(spark):
+    prompts.add_template("has-concept", "{text} / {concept}?")
+    tasks = text_concept_tasks(texts(spark, [("aaa", "b")]), CONCEPTS)
+    got = annotate.annotate(tasks, lambda ps: ["Yes" if "asks" in p else "no" for p in ps], prompt_name="has-concept")
+    assert sorted(as_dict(got).values()) == [0, 1]
+    one = annotate.annotate(tasks, lambda ps: ["tie"] * len(ps), prompt_name="annotate-pairwise")
+    assert set(as_dict(one).values()) == {0}
+
+
 def test_unparsed_answers_are_retried_then_missing(spark, tmp_path):
     folder = tmp_path / "calls"
     folder.mkdir()
