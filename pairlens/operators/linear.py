@@ -7,7 +7,8 @@ the size of the model.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -227,7 +228,7 @@ def _strongest_first(coefs: np.ndarray, n: int, nonzero: bool) -> tuple[list[int
 ALPHA_RANGE = (1e-6, 1e4)
 
 
-class _LassoPath:
+class LassoPath:
     """Solutions for several penalties on one design, each started from the last one."""
 
     def __init__(self, design: Design, classification: bool) -> None:
@@ -240,42 +241,27 @@ class _LassoPath:
         self.null, self.null_at = _minimise(self.evaluate, start, 1e30, self.penalised)
         self.alpha_max = float(np.abs(self.null_at[1][self.penalised]).max())
         self.last, self.last_at = self.null, self.null_at
+        self.known: dict[float, np.ndarray] = {}
 
     def coefs(self, alpha: float) -> np.ndarray:
         """Feature coefficients; above alpha_max all are zero without looking at the data."""
         if alpha >= self.alpha_max:
             return np.zeros(self.design.n_features)
-        self.last, self.last_at = _minimise(self.evaluate, self.last, alpha, self.penalised, self.last_at)
-        return self.last[self.design.n_controls : self.design.width]
+        if alpha not in self.known:
+            self.last, self.last_at = _minimise(self.evaluate, self.last, alpha, self.penalised, self.last_at)
+            self.known[alpha] = self.last[self.design.n_controls : self.design.width]
+        return self.known[alpha]
 
+    def select(self, n_select: int) -> Selection:
+        """Bisect the penalty geometrically until exactly ``n_select`` features remain.
 
-def controlled_lasso(
-    df: DataFrame,
-    n_select: int,
-    controls: list[str],
-    acts: str = "acts",
-    label: str = "label",
-    classification: bool = True,
-    max_samples: int | None = None,
-    seed: int = 42,
-    standardize: bool = True,
-    id: str = "row_id",
-) -> Selection:
-    """Features kept by an L1 penalty that spares the controls.
-
-    The penalty is bisected geometrically until exactly ``n_select`` features remain; failing
-    that the last fit with too many is cut to the strongest ``n_select``.
-    """
-    if max_samples is not None:
-        df = cap_rows(df, max_samples, seed, id)
-    design = build_design(df, acts, label, controls, standardize)
-    try:
-        path = _LassoPath(design, classification)
+        Failing that, the last fit with too many features is cut to the strongest ones.
+        """
         low, high = ALPHA_RANGE
         kept: tuple[np.ndarray, float] | None = None
         for _ in range(30):
             alpha = float(np.sqrt(low * high))
-            coefs = path.coefs(alpha)
+            coefs = self.coefs(alpha)
             found = int((coefs != 0).sum())
             if found == n_select:
                 kept = coefs, alpha
@@ -288,12 +274,38 @@ def controlled_lasso(
                 break
         if kept is None:
             raise ValueError("no penalty keeps enough features")
-        neurons, coefs = _strongest_first(kept[0], n_select, nonzero=True)
-        return Selection(neurons, coefs, kept[1])
+        neurons, strongest = _strongest_first(kept[0], n_select, nonzero=True)
+        return Selection(neurons, strongest, kept[1])
+
+
+@contextmanager
+def lasso_search(
+    df: DataFrame,
+    controls: list[str],
+    acts: str = "acts",
+    label: str = "label",
+    classification: bool = True,
+    max_samples: int | None = None,
+    seed: int = 42,
+    standardize: bool = True,
+    id: str = "row_id",
+) -> Iterator[LassoPath]:
+    """Selections of several sizes from one design; fits they have in common are made once."""
+    if max_samples is not None:
+        df = cap_rows(df, max_samples, seed, id)
+    design = build_design(df, acts, label, controls, standardize)
+    try:
+        yield LassoPath(design, classification)
     finally:
         design.release()
 
 
+def controlled_lasso(df: DataFrame, n_select: int, controls: list[str], **options) -> Selection:
+    """Features kept by an L1 penalty that spares the controls, see :func:`lasso_search`."""
+    with lasso_search(df, controls, **options) as path:
+        return path.select(n_select)
+
+
 def lasso_select(
     df: DataFrame, n_select: int, acts: str = "acts", label: str = "label",
     classification: bool = False, alpha: float | None = None,
@@ -304,7 +316,7 @@ def lasso_select(
     """
     design = build_design(df, acts, label, [])
     try:
-        path = _LassoPath(design, classification)
+        path = LassoPath(design, classification)
         per_row = design.n if classification else 1.0
         if alpha is not None:
             coefs = path.coefs(alpha / per_row)

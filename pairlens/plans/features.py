@@ -24,7 +24,7 @@ from pairlens.operators.encoder import (
 from pairlens.operators.encoder_fit import fit_encoder
 from pairlens.operators.fidelity import best_candidates, faithful, fidelity, mean_abs_correlation
 from pairlens.operators.interpret import abbreviate, interpret
-from pairlens.operators.linear import controlled_coefs, controlled_lasso
+from pairlens.operators.linear import controlled_coefs, lasso_search
 from pairlens.operators.probe import feature_vector, fit_probe, probe_scores
 from pairlens.operators.redundancy import redundancy
 from pairlens.operators.sampling import sample_percentile_bins
@@ -158,17 +158,18 @@ def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: Sel
     if cfg.use_lasso and kept:
         sizes = {*cfg.lasso_top_k, min(len(kept), max(cfg.lasso_top_k, default=len(kept)))}
         kept_rows = train.withColumn("acts", _picked(kept))
-        for size in sorted(sizes):
-            try:
-                chosen = controlled_lasso(
-                    kept_rows, min(size, len(kept)), cfg.controls, classification=cfg.classification,
-                    max_samples=cfg.max_samples_lasso, standardize=cfg.standardize,
-                )
-            except ValueError:
-                continue
-            neurons = [kept[i] for i in chosen.neurons]
-            coefs += [(size, n, c) for n, c in zip(neurons, chosen.coefs)]
-            scores.append(_scores(train, val, _picked(neurons), cfg, f"lasso_top_{size}"))
+        with lasso_search(
+            kept_rows, cfg.controls, classification=cfg.classification,
+            max_samples=cfg.max_samples_lasso, standardize=cfg.standardize,
+        ) as path:
+            for size in sorted(sizes):
+                try:
+                    chosen = path.select(min(size, len(kept)))
+                except ValueError:
+                    continue
+                neurons = [kept[i] for i in chosen.neurons]
+                coefs += [(size, n, c) for n, c in zip(neurons, chosen.coefs)]
+                scores.append(_scores(train, val, _picked(neurons), cfg, f"lasso_top_{size}"))
     scores.append(_scores(train, val, F.col("acts"), cfg, "full_sae"))
     together = scores[0]
     for part in scores[1:]:
