@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AUC_BUCKETS = 255
+# Cut points between score buckets: every 16th is looked at first, then the 15 in between.
+CUT_STRIDE = 16
+N_CUTS = CUT_STRIDE**2 - 1
+
+
+def _below(cuts: Column, score: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c < score))
+
+
+def _bucket_of(cuts: Column, coarse: Column, score: Column) -> Column:
+    """Number of (ascending) cut points below the score; ``coarse`` is every 16th of them."""
+    start = _below(coarse, score) * CUT_STRIDE
+    return start + _below(F.slice(cuts, start + 1, CUT_STRIDE - 1), score)
 
 
 def is_binary_label(label: Column) -> Column:
@@ -38,17 +50,18 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", by: tuple
             F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")
         )
     )
-    shares = [(i + 1) / (AUC_BUCKETS + 1) for i in range(AUC_BUCKETS)]
-    sketch = F.percentile_approx("_s", shares, 2000)
+    shares = [(i + 1) / (N_CUTS + 1) for i in range(N_CUTS)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", shares, 2000).alias("_cuts"))
+    coarse = F.filter("_cuts", lambda c, i: (i + 1) % CUT_STRIDE == 0)
+    cuts = cuts.select(*keys, F.struct("_cuts", coarse.alias("_coarse")).alias("_c"))
     if by:
-        # One short array per group; groups are splits or models, not data keys.
-        cuts = counts.groupBy(*keys).agg(sketch.alias("_cuts"))
+        # Two short arrays per group; groups are splits or models, not data keys.
         placed = counts.join(F.broadcast(cuts), keys)
     else:
-        placed = counts.withColumn("_cuts", counts.agg(sketch).scalar())
+        placed = counts.withColumn("_c", cuts.select("_c").scalar())
     placed = placed.withColumn(
-        "_bucket", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))
-    ).drop("_cuts")
+        "_bucket", _bucket_of(F.col("_c._cuts"), F.col("_c._coarse"), F.col("_s"))
+    ).drop("_c")
     within = (
         Window.partitionBy(*keys, "_bucket").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -218,7 +218,7 @@ _SIMS = """, sims AS (SELECT a.label AS a, b.label AS b, CASE WHEN a.label = b.l
 
 
 @query(
-    _SIMS + """SELECT a AS id, round(max(s), 6) AS semantic_redundancy, 'class ' || arg_max(b, (s, -b)) AS semantic_neighbor
+    _SIMS + """SELECT a::bigint AS id, round(max(s), 6) AS semantic_redundancy, 'class ' || arg_max(b, (s, -b)) AS semantic_neighbor
        FROM sims GROUP BY a""",
     ("centroids",),
 )

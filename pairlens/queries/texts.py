@@ -181,7 +181,7 @@ def _lines_cte() -> str:
 
 
 @query(
-    f"""WITH {_lines_cte()} SELECT conv_id, turn, len(messages) AS n_messages,
+    f"""WITH {_lines_cte()} SELECT conv_id, turn, len(messages)::integer AS n_messages,
         array_to_string(list_transform(messages, lambda m: m.role || ':' || m.content), '|') AS content FROM parts"""
 )
 def transcript_messages(spark, sf_dir):
@@ -223,7 +223,7 @@ _RENDERED = "array_to_string(list_transform(convo, lambda m: '<|' || m.role || '
           THEN [{{'role': 'user', 'content': text}}] ELSE messages END,
           {{'role': 'assistant', 'content': {strip_sql('text')}}}) AS convo FROM parts
         WHERE len(messages) = 0 OR messages[len(messages)].role = 'user')
-        SELECT conv_id, turn, len(convo) AS n_messages, CAST({words(_RENDERED)} AS INTEGER) AS length FROM convos"""
+        SELECT conv_id, turn, len(convo)::integer AS n_messages, CAST({words(_RENDERED)} AS INTEGER) AS length FROM convos"""
 )
 def reward_conversation_lengths(spark, sf_dir):
     t = derived.transcripts(spark, sf_dir)

@@ -42,6 +42,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_differences(df, con, sql: str) -> dict[str, tuple[str, str]]:
+    found = {row[0]: row[1] for row in con.execute("DESCRIBE " + sql).fetchall()}
+    return {c: (t, found[c]) for c, t in df.dtypes if SQL_TYPES.get(t, t) != found[c]}
+
+
 def _plain(value):
     if isinstance(value, bool) or value is None:
         return value
@@ -81,6 +89,9 @@ def compare(spark: SparkSession, con, name: str, sf_dir: str) -> tuple[str, int,
     want = rows_of(columns, result.fetchall())
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", len(got), seconds
+    types = type_differences(df, con, sql)
+    if types:
+        return f"types {types}", len(got), seconds
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}", len(got), seconds
     if got == want:
