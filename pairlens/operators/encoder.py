@@ -40,20 +40,24 @@ class EncoderParams:
         return EncoderParams(*arrays, np.float32(self.threshold), self.k, self.prefix_lengths)
 
 
-def encode(deltas: DataFrame, params: EncoderParams, id: str = "row_id", vector: str = "delta") -> DataFrame:
-    """(id, acts): activations of every row in 32-bit arithmetic, one matrix product per batch."""
+def encode(
+    deltas: DataFrame, params: EncoderParams, id: str = "row_id", vector: str = "delta", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, keep..., acts): activations of every row in 32-bit arithmetic, a matrix product per batch."""
     weights = params.in_float32()
+    names = [id, *keep]
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                acts = weights.activations(matrix_of(batch.column(1), np.float32))
+                acts = weights.activations(matrix_of(batch.column(len(names)), np.float32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), list_column(acts, pa.float32())], names=[id, "acts"]
+                    [*batch.columns[: len(names)], list_column(acts, pa.float32())], names=[*names, "acts"]
                 )
 
-    schema = T.StructType([deltas.schema[id], T.StructField("acts", T.ArrayType(T.FloatType()))])
-    return deltas.select(id, vector).mapInArrow(run, schema)
+    fields = [deltas.schema[name] for name in names]
+    schema = T.StructType([*fields, T.StructField("acts", T.ArrayType(T.FloatType()))])
+    return deltas.select(*names, vector).mapInArrow(run, schema)
 
 
 def reconstruction_loss(

@@ -107,15 +107,16 @@ def response_deltas(
     key_b: Column,
     id: str = "row_id",
     materialised: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Difference of the two response vectors of each pair.
+    """Difference of the two response vectors of each pair, next to the columns to ``keep``.
 
     ``embeddings`` has (text_key, embedding). Only ids and keys of the pairs are shuffled; a
     response repeated in a large share of the pairs is salted. Pairs without both vectors are
     dropped, see :func:`missing_embeddings`. ``materialised`` says that ``pairs`` holds ready
     keys in a checkpoint; otherwise the texts are read and hashed once into one.
     """
-    keyed = pairs.select(id, key_a.alias("_a"), key_b.alias("_b"))
+    keyed = pairs.select(id, *keep, key_a.alias("_a"), key_b.alias("_b"))
     if not materialised:
         keyed = cut_lineage(keyed)
     n = keyed.count()
@@ -127,7 +128,7 @@ def response_deltas(
     joined = skew_join(
         joined, side_b, ["_b"], spread=F.col(id), hot=hot_keys(keyed.select("_b"), ["_b"]), n_left=n
     )
-    return joined.select(id, F.zip_with("_ea", "_eb", lambda x, y: x - y).alias("delta"))
+    return joined.select(id, *keep, F.zip_with("_ea", "_eb", lambda x, y: x - y).alias("delta"))
 
 
 # A set of ids is broadcast up to this many.

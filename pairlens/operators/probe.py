@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -36,26 +35,25 @@ def fit_probe(
     """Fitted MLlib model with the penalty of a logistic (1/2c) or ridge (alpha = c) objective.
 
     MLlib divides the loss by the rows and scales by the sample deviation; the population
-    deviation asked for differs by n / (n - 1), which moves into the penalty.
+    deviation asked for differs by n / (n - 1), which moves into the penalty. ``train`` is read
+    a few times and should be stored or persisted.
     """
-    rows = _as_vectors(train, features, label, []).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n, spread, width = rows.agg(
-            F.count(F.lit(1)), F.stddev_pop("_y"), F.max(F.size(vector_to_array("_x")))
-        ).first()
-        packed = rows.coalesce(tasks_for(n * (width or 0) * 8))
-        if binary:
-            penalty = 1.0 / (c * n) * ((n - 1) / n if standardize and n > 1 else 1.0)
-            return LogisticRegression(
-                featuresCol="_x", labelCol="_y", regParam=penalty, elasticNetParam=0.0,
-                standardization=standardize, maxIter=1000, tol=1e-8,
-            ).fit(packed)
-        return LinearRegression(
-            featuresCol="_x", labelCol="_y", regParam=c / n * spread, elasticNetParam=0.0,
-            standardization=standardize, solver="auto", maxIter=1000, tol=1e-9,
+    rows = _as_vectors(train, features, label, [])
+    n, spread, width = rows.agg(
+        F.count(F.lit(1)), F.stddev_pop("_y"), F.max(F.size(vector_to_array("_x")))
+    ).first()
+    # MLlib keeps the rows as blocks while it iterates; few tasks suffice for few bytes.
+    packed = rows.coalesce(tasks_for(n * (width or 0) * 8))
+    if binary:
+        penalty = 1.0 / (c * n) * ((n - 1) / n if standardize and n > 1 else 1.0)
+        return LogisticRegression(
+            featuresCol="_x", labelCol="_y", regParam=penalty, elasticNetParam=0.0,
+            standardization=standardize, maxIter=1000, tol=1e-8,
         ).fit(packed)
-    finally:
-        rows.unpersist()
+    return LinearRegression(
+        featuresCol="_x", labelCol="_y", regParam=c / n * spread, elasticNetParam=0.0,
+        standardization=standardize, solver="auto", maxIter=1000, tol=1e-9,
+    ).fit(packed)
 
 
 def probe_scores(model, df: DataFrame, features: str = "features", label: str = "label", id: str = "row_id") -> DataFrame:

@@ -30,7 +30,7 @@ from pairlens.operators.redundancy import redundancy
 from pairlens.operators.sampling import sample_percentile_bins
 from pairlens.operators.stats import pearson, roc_auc
 from pairlens.plans.preprocess import (
-    Embedded, Preprocessed, embed_responses, load_and_preprocess, preprocess, sampled_pair_texts,
+    Embedded, Preprocessed, embed_responses, in_subset, load_and_preprocess, preprocess, sampled_pair_texts,
 )
 
 SIMILARITY_THRESHOLD = 0.7
@@ -107,10 +107,10 @@ def score_features(
     return Scores(metrics, best, faithful(best, cfg.min_correlation, cfg.p_value_threshold))
 
 
-def prediction_rows(pred: DataFrame, acts: DataFrame, controls: list[str]) -> DataFrame:
-    """Binary-label members with their activations, narrowed to what the models read."""
+def prediction_rows(acts: DataFrame, subset: str, controls: list[str]) -> DataFrame:
+    """Binary-label rows of a split, narrowed to what the models read."""
     numbers = [F.col(c).cast("double").alias(c) for c in controls]
-    return pred.select("row_id", "label", *numbers).join(acts, "row_id")
+    return acts.filter(in_subset(subset)).select("row_id", "label", *numbers, "acts")
 
 
 def feature_coefs(train_rows: DataFrame, cfg: SelectionConfig) -> DataFrame:
@@ -211,7 +211,7 @@ class JobResult:
     params: EncoderParams
     data: Preprocessed
     embedded: Embedded
-    activations: DataFrame  # (row_id, acts) of every row
+    activations: DataFrame  # (row_id, label, controls..., split, binary, dedup, acts) of every row
     interpretations: DataFrame
     scores: Scores
     features: DataFrame
@@ -248,18 +248,14 @@ def run_job(
     cores = spark.sparkContext.defaultParallelism
     emb = embed_responses(data, embedder, cfg.embedding.model, cache("embeddings"))
     params = train_encoder(spark, emb.of("dedup_train"), emb.of("dedup_val"), cfg.sae, runtime, n_partitions)
-    acts = cut_lineage(encode(emb.deltas, params))
-
-    def acts_of(subset: str) -> DataFrame:
-        return acts.join(data.narrow(subset).select("row_id"), "row_id", "left_semi")
-
-    acts_train = cut_lineage(acts_of("train"))
+    acts = cut_lineage(encode(emb.deltas, params, keep=emb.riders))
+    acts_train = acts.filter(in_subset("train"))
     loss = reconstruction_loss(emb.deltas, params)
 
     icfg = cfg.interpretation
     interpretations = cut_lineage(
         interpret_features(
-            data.rows, acts_of("dedup_train"), cfg.dataset, icfg, completer, min(icfg.n_workers_interpretation, cores)
+            data.rows, acts.filter(in_subset("dedup_train")), cfg.dataset, icfg, completer, min(icfg.n_workers_interpretation, cores)
         )
     )
     scores = score_features(
@@ -277,8 +273,7 @@ def run_job(
     )
 
     train_rows, val_rows = (
-        cut_lineage(prediction_rows(data.narrow(subset), acts, cfg.selection.controls))
-        for subset in ("train_pred", "val_pred")
+        prediction_rows(acts, subset, cfg.selection.controls) for subset in ("train_pred", "val_pred")
     )
     coefs = feature_coefs(train_rows, cfg.selection)
     # At most one number per neuron of the model.

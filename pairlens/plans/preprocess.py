@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.config import DatasetConfig, RuntimeConfig
@@ -28,6 +28,16 @@ DEBUG_ROWS = 10_000
 SUBSETS = ("train", "val", "train_pred", "val_pred", "dedup_train", "dedup_val")
 
 
+def in_subset(subset: str) -> Column:
+    """Condition on the membership columns split, binary and dedup."""
+    if subset not in SUBSETS:
+        raise KeyError(subset)
+    side = F.col("split") == ("val" if "val" in subset else "train")
+    if subset.endswith("_pred"):
+        return side & F.col("binary")
+    return side & F.col("dedup") if subset.startswith("dedup_") else side
+
+
 @dataclass
 class Preprocessed:
     """All rows, and which of the six working subsets each belongs to.
@@ -42,12 +52,7 @@ class Preprocessed:
 
     def narrow(self, subset: str) -> DataFrame:
         """Members of ``train``, ``val``, ``train_pred``, ``val_pred``, ``dedup_train`` or ``dedup_val``."""
-        if subset not in SUBSETS:
-            raise KeyError(subset)
-        side = self.members.filter(F.col("split") == ("val" if "val" in subset else "train"))
-        if subset.endswith("_pred"):
-            return side.filter("binary")
-        return side.filter("dedup") if subset.startswith("dedup_") else side
+        return self.members.filter(in_subset(subset))
 
     def wide(self, subset: str) -> DataFrame:
         """Full rows of a subset."""
@@ -110,14 +115,21 @@ def load_and_preprocess(
 
 @dataclass
 class Embedded:
-    """Vectors per distinct response, and the checkpointed delta of every row."""
+    """Vectors per distinct response, and the checkpointed delta of every row.
+
+    Labels, controls and membership ride along with the deltas, so picking a subset never
+    shuffles vectors again.
+    """
 
     embeddings: DataFrame  # (text_key, embedding)
-    deltas: DataFrame  # (row_id, delta)
-    data: Preprocessed
+    deltas: DataFrame  # (row_id, label, controls..., split, binary, dedup, delta)
+
+    @property
+    def riders(self) -> tuple[str, ...]:
+        return tuple(c for c in self.deltas.columns if c not in ("row_id", "delta"))
 
     def of(self, subset: str) -> DataFrame:
-        return self.deltas.join(self.data.narrow(subset).select("row_id"), "row_id", "left_semi")
+        return self.deltas.filter(in_subset(subset))
 
 
 def deltas_of(df: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -138,10 +150,11 @@ def embed_responses(
 
 
 def deltas_for(data: Preprocessed, embeddings: DataFrame) -> Embedded:
+    riders = tuple(c for c in data.members.columns if c not in ("row_id", "key_a", "key_b"))
     deltas = response_deltas(
-        data.members, embeddings, F.col("key_a"), F.col("key_b"), materialised=True
+        data.members, embeddings, F.col("key_a"), F.col("key_b"), materialised=True, keep=riders
     )
-    return Embedded(embeddings, cut_lineage(deltas), data)
+    return Embedded(embeddings, cut_lineage(deltas))
 
 
 def pair_texts(df: DataFrame, cfg: DatasetConfig) -> DataFrame:

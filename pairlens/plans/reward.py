@@ -14,7 +14,7 @@ from pairlens.lineage import cut_lineage
 from pairlens.operators.completion import Embedder
 from pairlens.operators.dedup import merge_duplicate_labels, unique_texts
 from pairlens.operators.embed import embed_texts
-from pairlens.operators.encoder import EncoderParams, encode
+from pairlens.operators.encoder import EncoderParams, encode, load_params, params_exist
 from pairlens.operators.joins import response_deltas
 from pairlens.operators.linear import controlled_lasso
 from pairlens.operators.probe import evaluate_probe, feature_vector, fit_probe
@@ -23,6 +23,7 @@ from pairlens.operators.stats import is_binary_label, margin_evaluation, standar
 from pairlens.sources.loader import load_preferences, with_length_delta
 
 TOP_K = (5, 10)
+RIDERS = ("label", "length_delta")  # carried next to the vectors, which then need no join
 
 
 @dataclass
@@ -88,12 +89,13 @@ def reward_rows(df: DataFrame, cfg: DatasetConfig) -> RewardRows:
 def baseline_deltas(
     rows: RewardRows, form: TextForm, embedder: Embedder, model: str, cache_path: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(row_id, delta) of both splits for one text form."""
+    """(row_id, label, length_delta, delta) of both splits for one text form."""
     texts = unique_texts(rows.texts, form.of("response_A"), form.of("response_B"))
     embeddings = embed_texts(texts, embedder, model, cache_path)
     keys = [F.col(f"{form.name}_{side}") for side in "AB"]
     return tuple(
-        response_deltas(part, embeddings, *keys, materialised=True) for part in (rows.train, rows.val)
+        cut_lineage(response_deltas(part, embeddings, *keys, materialised=True, keep=RIDERS))
+        for part in (rows.train, rows.val)
     )
 
 
@@ -103,18 +105,11 @@ def _evaluate(train: DataFrame, val: DataFrame, standardize: bool) -> tuple[floa
     return scores["score"], scores["accuracy"]
 
 
-def embedding_baseline(rows: RewardRows, deltas: tuple[DataFrame, DataFrame]) -> tuple[float, float]:
+def embedding_baseline(deltas: tuple[DataFrame, DataFrame]) -> tuple[float, float]:
     """AUC and accuracy of a probe on the delta next to the standardised length control."""
-    controls = standardise(
-        rows.train.select("row_id", "label", "length_delta"),
-        rows.val.select("row_id", "label", "length_delta"),
-        ["length_delta"],
-    )
+    features = feature_vector(F.col("delta"), F.array("length_delta")).alias("features")
     train, val = (
-        c.join(d, "row_id").select(
-            "row_id", "label", feature_vector(F.col("delta"), F.array("length_delta")).alias("features")
-        ).persist()
-        for c, d in zip(controls, deltas)
+        side.select("row_id", "label", features).persist() for side in standardise(*deltas, ["length_delta"])
     )
     result = _evaluate(train, val, standardize=False)
     train.unpersist(), val.unpersist()
@@ -122,13 +117,10 @@ def embedding_baseline(rows: RewardRows, deltas: tuple[DataFrame, DataFrame]) ->
 
 
 def feature_baselines(
-    rows: RewardRows, deltas: tuple[DataFrame, DataFrame], params: EncoderParams
+    deltas: tuple[DataFrame, DataFrame], params: EncoderParams
 ) -> dict[str, tuple[float, float]]:
     """Probes on all encoder features and on the strongest 5 and 10 of one controlled L1 fit."""
-    train, val = (
-        part.select("row_id", "label", "length_delta").join(encode(d, params), "row_id").persist()
-        for part, d in zip((rows.train, rows.val), deltas)
-    )
+    train, val = (encode(side, params, keep=RIDERS).persist() for side in deltas)
 
     def probe(neurons: list[int] | None) -> tuple[float, float]:
         acts = F.col("acts") if neurons is None else F.array(*[F.col("acts")[i] for i in neurons])
@@ -164,16 +156,16 @@ def reward_baselines(
     ``reward_scores`` has (row_id, score_A, score_B) of an external reward model.
     """
     rows = reward_rows(df, cfg)
-    with_prompt = tuple(
-        cut_lineage(d) for d in baseline_deltas(rows, PROMPT_AND_RESPONSE, embedder, model, cache_path)
+    with_prompt, alone = (
+        baseline_deltas(rows, form, embedder, model, cache_path)
+        for form in (PROMPT_AND_RESPONSE, RESPONSE_ONLY)
     )
-    alone = baseline_deltas(rows, RESPONSE_ONLY, embedder, model, cache_path)
     results = {
-        "embed_prompt_response": embedding_baseline(rows, with_prompt),
-        "embed_response_only": embedding_baseline(rows, alone),
+        "embed_prompt_response": embedding_baseline(with_prompt),
+        "embed_response_only": embedding_baseline(alone),
     }
     if params is not None:
-        results.update({f"sae_{k}": v for k, v in feature_baselines(rows, with_prompt, params).items()})
+        results.update({f"sae_{k}": v for k, v in feature_baselines(with_prompt, params).items()})
     if reward_scores is not None:
         judged = rows.val.select("row_id", "label").join(reward_scores, "row_id")
         row = margin_evaluation(judged).first()
@@ -189,10 +181,12 @@ def reward_baselines(
 
 
 def run_reward_baselines(spark: SparkSession, configs: list[DatasetConfig], embedder: Embedder, **options) -> DataFrame:
-    """One row per configured data set."""
+    """One row per configured data set, with its stored encoder where there is one."""
     out = None
     for cfg in configs:
+        path = cfg.sae_checkpoint_path
+        params = load_params(spark, path) if path and params_exist(spark, path) else None
         df = load_preferences(spark, cfg.path, columns=cfg.columns, extra=tuple(cfg.split_columns))
-        row = reward_baselines(df, cfg, embedder, **options)
+        row = reward_baselines(df, cfg, embedder, params=params, **options)
         out = row if out is None else out.unionByName(row)
     return out

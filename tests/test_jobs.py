@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pairlens import config, prompts
 from pairlens.functions.text import pairwise_text, text_key
-from pairlens.operators import annotate, embed, interpret
+from pairlens.operators import annotate, embed, encoder, interpret
 from pairlens.operators.completion import HashingEmbedder, complete, lexical_completer
 from pairlens.operators.joins import text_concept_tasks
 from pairlens.plans import features, preprocess, reward, sweep
@@ -260,3 +260,16 @@ def test_reward_baselines(spark):
     assert math.isnan(row.auc_sae_full) and 0 <= row.auc_embed_response_only <= 1
     with pytest.raises(ValueError):
         reward.reward_baselines(prefs.filter("label = 0.5"), cfg, HashingEmbedder(16))
+
+
+def test_reward_baselines_use_a_stored_encoder(spark, tmp_path):
+    data, model = str(tmp_path / "p.parquet"), str(tmp_path / "m.parquet")
+    derived.preferences(spark, "/root/testdata/sf0.01").drop("row_id").write.parquet(data)
+    encoder.save_params(spark, derived.one_hot_params(16, 8, 0.05), model)
+    configs = [
+        config.DatasetConfig("with", data, ["prompt", "conversation_id"], sae_checkpoint_path=model),
+        config.DatasetConfig("without", data, ["prompt"], sae_checkpoint_path=str(tmp_path / "none")),
+    ]
+    rows = {r.dataset_name: r for r in reward.run_reward_baselines(spark, configs, HashingEmbedder(16)).collect()}
+    assert 0 <= rows["with"].auc_sae_full <= 1 and 0 <= rows["with"].auc_sae_top5 <= 1
+    assert math.isnan(rows["with"].auc_sae_top10) and math.isnan(rows["without"].auc_sae_full)
