@@ -1,7 +1,8 @@
 """Job configuration read from JSON.
 
-Field names and defaults are fixed values: they are the format of existing configuration files.
-Unknown keys are rejected.
+Field names and numeric defaults are fixed values: they are the format of existing configuration
+files. Model names only key the caches; the callables passed to a job do the work. Unknown keys
+are rejected.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ class DatasetConfig:
 
 @dataclass
 class EmbeddingConfig:
-    model: str = "text-embedding-3-small"
+    model: str = "offline"
     n_workers: int = 2
 
 
@@ -80,9 +81,9 @@ class EncoderConfig:
 
 @dataclass
 class InterpretationConfig:
-    interpreter_model: str = "gpt-5"
-    annotator_model: str = "gpt-5-mini"
-    abbreviator_model: str = "gpt-5-mini"
+    interpreter_model: str = "offline"
+    annotator_model: str = "offline"
+    abbreviator_model: str = "offline"
     n_candidates: int = 5
     interpret_n_examples: int = 5
     interpret_sampling_kwargs: dict[str, Any] = field(

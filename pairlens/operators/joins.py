@@ -11,7 +11,7 @@ from pairlens.lineage import cut_lineage
 ROWS_PER_SALT = 2_000_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int | None = None) -> DataFrame:
     """Keys too large for one task and the number of salts each one needs.
 
     At most ``rows / rows_per_salt`` keys qualify, which bounds the size of this table.
@@ -21,8 +21,9 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT)
     )
 
 
-def hot_from_counts(counts: DataFrame, keys: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def hot_from_counts(counts: DataFrame, keys: list[str], rows_per_salt: int | None = None) -> DataFrame:
     """Same as :func:`hot_keys` where the counts per key are at hand as ``_rows``."""
+    rows_per_salt = rows_per_salt or ROWS_PER_SALT
     return counts.filter(F.col("_rows") > rows_per_salt).select(
         *keys, F.ceil(F.col("_rows") / rows_per_salt).cast("int").alias("_salts")
     )
@@ -36,7 +37,7 @@ def skew_join(
     spread: Column | None = None,
     hot: DataFrame | None = None,
     n_left: int | None = None,
-    rows_per_salt: int = ROWS_PER_SALT,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """Join where keys of ``left`` may be heavily skewed and ``right`` has few rows per key.
 
@@ -46,6 +47,7 @@ def skew_join(
     task. ``n_left`` is the number of left rows where known: if all of them fit one salt, no
     key can be hot and a plain join does.
     """
+    rows_per_salt = rows_per_salt or ROWS_PER_SALT
     if n_left is not None and n_left <= rows_per_salt:
         return left.join(right, keys, how)
     if hot is None:

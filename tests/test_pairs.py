@@ -42,6 +42,36 @@ def test_deltas_and_missing_vectors(spark):
     assert sorted(r.row_id for r in joins.missing_embeddings(pairs, d).collect()) == [2, 3]
 
 
+def test_deltas_with_one_response_in_a_third_of_the_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [f"t{i}" for i in range(40)]
+
+    def pick():
+        return "t0" if rng.random() < 0.35 else rng.choice(texts)
+
+    rows = [(i, pick(), pick(), float(i % 2)) for i in range(3000)]
+    vectors = {t: [float(rng.random()), float(rng.random())] for t in texts}
+    pairs = spark.createDataFrame(rows, "row_id long, a string, b string, label double")
+    emb = spark.createDataFrame(list(vectors.items()), "text_key string, embedding array<double>")
+    for salt_rows in (100, 10**9):
+        monkeypatch.setattr(joins, "ROWS_PER_SALT", salt_rows)
+        got = joins.response_deltas(pairs, emb, F.col("a"), F.col("b"), keep=("label",)).collect()
+        assert {r.row_id: (r.label, r.delta) for r in got} == {
+            i: (y, [x - z for x, z in zip(vectors[a], vectors[b])]) for i, a, b, y in rows
+        }
+        assert len(got) == 3000
+
+
+def test_split_is_the_same_with_and_without_salting(spark, monkeypatch):
+    df = spark.createDataFrame(random_rows(800, 11), "row_id long, p string, c string")
+    found = []
+    for salt_rows in (50, 10**9):
+        monkeypatch.setattr(joins, "ROWS_PER_SALT", salt_rows)
+        out = component_split(df, ["p", "c"], 0.6).collect()
+        found.append(sorted((r.row_id, r.component, r.split) for r in out))
+    assert found[0] == found[1] and len(found[0]) == 800
+
+
 PAIRS = "row_id long, prompt string, response_A string, response_B string, label double, length_delta long"
 
 
