@@ -56,3 +56,14 @@ def with_key(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame
 def remainder(id: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(modulus))
+
+
+def open_files(uri: str):
+    """(file system, path) of a folder named by a URI, for workers that read or write files."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri
