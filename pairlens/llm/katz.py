@@ -246,11 +246,28 @@ def _word_counts(block: Block, answers: dict[int, bytes], parts: int) -> np.ndar
     return out
 
 
-def pair_part(block: Block, context: np.ndarray, word: np.ndarray, counts: np.ndarray, parts: int, hot: int) -> np.ndarray:
-    """Partition of each pair: by its context, and for hot contexts by its word too."""
-    spread = np.maximum(-(-counts[context] // hot), 1).astype(np.uint64)
-    salt = mixed(block.hashes[word]) % spread
-    return (mixed(block.hashes[context] + salt * MIX) % np.uint64(parts)).astype(np.int64)
+def pair_routes(
+    block: Block, context: np.ndarray, word: np.ndarray, counts: np.ndarray, parts: int, hot: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(partition, its pairs, its contexts) of the block, in ascending order each.
+
+    A pair goes by its context, and if that is hot by its word too. The block asks every partition
+    of a hot context about it, those where it has no pair of its own included.
+    """
+    spread = np.maximum(-(-counts // hot), 1)
+
+    def part(contexts: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return (mixed(block.hashes[contexts] + salt.astype(np.uint64) * MIX) % np.uint64(parts)).astype(np.int64)
+
+    salt = mixed(block.hashes[word]) % spread[context].astype(np.uint64)
+    of_pair = dict(_split(part(context, salt)))
+    present = np.unique(context)
+    times = spread[present]
+    every = np.repeat(present, times)
+    salts = np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
+    none = np.zeros(0, dtype=np.int64)
+    for p, at in _split(part(every, salts)):
+        yield p, of_pair.get(p, none), np.unique(every[at])
 
 
 def ask_pairs(key: tuple, left: pa.Table, right: pa.Table, word_parts: int, parts: int, hot: int) -> pa.Table:
@@ -260,8 +277,8 @@ def ask_pairs(key: tuple, left: pa.Table, right: pa.Table, word_parts: int, part
     seen = np.bincount(where[block.token_training], minlength=len(pairs))
     context, word = np.divmod(pairs, len(block.hashes))
     rows = []
-    for p, at in _split(pair_part(block, context, word, counts, parts, hot)):
-        contexts, runs = np.unique(context[at], return_counts=True)
+    for p, at, contexts in pair_routes(block, context, word, counts, parts, hot):
+        runs = np.bincount(np.searchsorted(contexts, context[at]), minlength=len(contexts))
         words, number = np.unique(word[at], return_inverse=True)
         rows.append(
             {
@@ -329,10 +346,9 @@ def evaluate(
     together = np.zeros(len(pairs), dtype=np.int64)
     by_count = np.zeros((TOP, n))
     covered = np.zeros(n)
-    for p, at in _split(pair_part(block, context, word, counts, parts, hot)):
+    for p, at, contexts in pair_routes(block, context, word, counts, parts, hot):
         found = unpack(answers[1][p])
         together[at] = found[0]
-        contexts = np.unique(context[at])
         for r in range(TOP):
             by_count[r, contexts] += found[1 + r]
         covered[contexts] += found[-1]

@@ -46,7 +46,7 @@ def bands_for(threshold: float, recall: float, max_hashes: int = MAX_HASHES) ->
     best = None
     for rows in range(1, max_hashes + 1):
         hit = threshold**rows
-        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - hit))
+        bands = 1 if hit >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= max_hashes:
             best = (bands, rows)
     if best is None:

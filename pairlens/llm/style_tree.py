@@ -88,16 +88,24 @@ def says_noise(tag: str, attrs: dict[str, str]) -> bool:
     return any(w.lower() in NOISE_WORDS for w in NAME_WORD.findall(named))
 
 
+def _hash(text: str, seed: int = 0) -> int:
+    import xxhash
+
+    value = xxhash.xxh3_64_intdigest(text, seed=seed & (2**64 - 1))
+    return value - (1 << 64) if value >> 63 else value
+
+
 class Page:
-    """Blocks of text as (path, text, is noise, is inside the main element), and the child paths
-    of every path in order of appearance."""
+    """Blocks of text as (node, text, is noise, is inside the main element), and the parent, depth
+    and children of every node. A node is the hash of its path, 0 the root; parents come first."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
-        self.children: dict[str, list[str]] = {"": []}
-        self.parent: dict[str, str] = {}
-        # Open elements: tag, path, noise, main.
-        self.stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        self.blocks: list[tuple[int, str, bool, bool]] = []
+        self.children: dict[int, list[int]] = {0: []}
+        self.parent: dict[int, int] = {}
+        self.depth: dict[int, int] = {0: 0}
+        # Open elements: tag, node, noise, main.
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         self.parts: list[str] = []
         self._read(source)
         self._end_block()
@@ -109,8 +117,8 @@ class Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                _, path, noise, main = self.stack[-1]
-                self.blocks.append((path, text, noise, main))
+                _, node, noise, main = self.stack[-1]
+                self.blocks.append((node, text, noise, main))
 
     def _open(self, tag: str, source: str) -> None:
         attrs = attributes(source)
@@ -122,15 +130,15 @@ class Page:
             self._close_implied(tag)
         _, above, was_noise, main = self.stack[-1]
         name = ".".join([tag, *sorted(attrs.get("class", "").split())])
-        path = f"{above}/{name}"
-        if path not in self.parent:
-            self.parent[path] = above
-            self.children[path] = []
-        if self.children[above][-1:] != [path]:  # a run of equal children counts once
-            self.children[above].append(path)
+        node = _hash(name, above)
+        if node not in self.parent:
+            self.parent[node], self.depth[node] = above, self.depth[above] + 1
+            self.children[node] = []
+        if self.children[above][-1:] != [node]:  # a run of equal children counts once
+            self.children[above].append(node)
         is_main = main or tag in ("article", "main") or attrs.get("role", "").lower() == "main"
         noise = noise or (tag == "header" and not main)
-        self.stack.append((tag, path, was_noise or noise, is_main))
+        self.stack.append((tag, node, was_noise or noise, is_main))
 
     def _close_implied(self, tag: str) -> None:
         if any(x[0] == "p" for x in self.stack[-3:]) and self.stack[-1][0] in ("p", *INLINE):
@@ -189,13 +197,6 @@ class Page:
                 self._open(tag, m[3] or m[6] or "")
 
 
-def _hash(text: str, seed: int) -> int:
-    import xxhash
-
-    value = xxhash.xxh3_64_intdigest(text, seed=seed & (2**64 - 1))
-    return value - (1 << 64) if value >> 63 else value
-
-
 NODE = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("node", "parent", "shown")] + [T.StructField("depth", T.IntegerType())]
 )
@@ -216,15 +217,15 @@ def read_trees(pages: DataFrame) -> DataFrame:
                 tree = Page(source)
                 nodes = [
                     {
-                        "node": _hash(path, host),
-                        "parent": _hash(above, host),
-                        "shown": _hash("\n".join(tree.children[path]), host),
-                        "depth": path.count("/"),
+                        "node": node,
+                        "parent": above,
+                        "shown": _hash(" ".join(map(str, tree.children[node]))),
+                        "depth": tree.depth[node],
                     }
-                    for path, above in tree.parent.items()
+                    for node, above in tree.parent.items()
                 ]
-                blocks = [{"node": _hash(p, host), "block": _hash(t, host)} for p, t, noise, _ in tree.blocks if not noise]
-                page = _hash("\n".join(t for _, t, noise, _ in tree.blocks if not noise), host)
+                blocks = [{"node": n, "block": _hash(t)} for n, t, noise, _ in tree.blocks if not noise]
+                page = _hash("\n".join(t for _, t, noise, _ in tree.blocks if not noise))
                 rows.append({"host": host, "page": page, "nodes": nodes, "blocks": blocks})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
@@ -294,23 +295,16 @@ def unimportant(trees: DataFrame, min_pages: int = 3, min_importance: float = 0.
     return marked.groupBy("host").agg(F.collect_set("low").alias("low_nodes"), F.collect_set("both").alias("low_blocks"))
 
 
-def main_text(source: str, host: int, low_nodes: set[int], low_blocks: set[tuple[int, int]]) -> str:
+def main_text(source: str, low_nodes: set[int], low_blocks: set[tuple[int, int]]) -> str:
     tree = Page(source)
-    fate: dict[str, bool] = {"": True}
-
-    def stays(path: str) -> bool:
-        if path not in fate:
-            fate[path] = stays(tree.parent[path]) and _hash(path, host) not in low_nodes
-        return fate[path]
-
-    kept = []
-    for path, text, noise, _ in tree.blocks:
-        if noise or not stays(path):
-            continue
-        if low_blocks and (_hash(path, host), _hash(text, host)) in low_blocks:
-            continue
-        kept.append(text)
-    return " ".join(kept)
+    stays = {0: True}
+    for node, above in tree.parent.items():
+        stays[node] = stays[above] and node not in low_nodes
+    return " ".join(
+        text
+        for node, text, noise, _ in tree.blocks
+        if not noise and stays[node] and not (low_blocks and (node, _hash(text)) in low_blocks)
+    )
 
 
 def extract(
@@ -337,7 +331,7 @@ def extract(
                         known.clear()
                     nodes, blocks = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
                     known[h] = (set(nodes or ()), {(b["node"], b["block"]) for b in blocks or ()})
-                texts.append(main_text(s, h, *known[h]))
+                texts.append(main_text(s, *known[h]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id, url, "text"]
             )

@@ -14,7 +14,7 @@ def shingle_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, roots=False):
     """(class by smallest id, links) of each (id, text), comparing all pairs."""
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
@@ -39,7 +39,8 @@ def brute(rows):
         if sets[i] and id is not None:
             k = find(i)
             smallest[k] = min(smallest.get(k, id), id)
-    return [(id, smallest.get(find(i)) if sets[i] else id, links[i]) for i, (id, _) in enumerate(rows)]
+    out = [(id, smallest.get(find(i)) if sets[i] else id, links[i]) for i, (id, _) in enumerate(rows)]
+    return (out, [find(i) for i in range(len(rows)) if sets[i]]) if roots else out
 
 
 def pairs_of(df):
@@ -109,19 +110,11 @@ def test_one_of_each_class_stays(spark, table):
     docs = table(spark)
     kept = ngram_join.one_per_class(docs)
     assert kept.columns == docs.columns
-    want = Counter()
     rows = pairs_of(docs)
-    by_class = {}
-    for (id, text), (_, c, _) in zip(rows, brute(rows)):
-        if not words(text):
-            want[(id, text)] += 1
-        else:
-            by_class.setdefault(c, []).append(id)
     got = Counter((r.doc_id, r.text) for r in kept.collect())
-    empty = Counter({k: n for k, n in got.items() if not words(k[1])})
-    assert empty == want
-    classes = Counter(c for (id, t), (_, c, _) in zip(rows, brute(rows)) if words(t))
-    assert sum(got.values()) - sum(empty.values()) == len(classes)
+    assert Counter({k: n for k, n in got.items() if not words(k[1])}) == Counter(r for r in rows if not words(r[1]))
+    _, roots = brute(rows, roots=True)
+    assert sum(n for k, n in got.items() if words(k[1])) == len(set(roots))
 
 
 def test_no_rows(spark):

@@ -6,7 +6,7 @@ from tests.llm.fixtures import SF
 
 
 def text_of(html):
-    return style_tree.main_text(html, 0, set(), set())
+    return style_tree.main_text(html, set(), set())
 
 
 @pytest.mark.parametrize(
