@@ -1,18 +1,23 @@
-"""Fitting the sparse autoencoder: local mini-batch steps per task, averaged once per epoch.
-
-Each epoch is one Spark job. A task streams its partition in mini-batches, updates its own copy
-of the parameters and emits the result as (position, value) rows; an ordinary aggregation
-averages them by rows seen. Only model-sized data reaches the driver. With one partition this is
-plain mini-batch training.
+"""Fitting the sparse autoencoder: local mini-batch steps per shard, averaged once per epoch.
+
+Rows belong to shards by a hash of their id; the number of shards follows from the number of rows
+and ``rows_per_shard`` alone. Each epoch is one Spark job. A task streams its shards one after the
+other in hash order, steps through their mini-batches with a copy of the parameters of its own and
+emits the result as (position, value) rows; an ordinary aggregation averages them by rows seen.
+Tasks, partitions and Arrow batches decide where a shard is worked off, never what it computes, so
+the model is the same on any cluster. Only model-sized data reaches the driver. Up to
+``rows_per_shard`` rows this is plain mini-batch training.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,7 @@ class FitConfig:
     multi_coef: float = 0.0
     clip_norm: float | None = 1.0
     seed: int = 42
+    rows_per_shard: int = 1_000_000  # thousands of steps per epoch and shard
 
     def __post_init__(self) -> None:
         if self.prefix_lengths is not None:
@@ -195,28 +201,59 @@ def train_step(state: FitState, x: np.ndarray, cfg: FitConfig) -> float:
     return loss
 
 
-def _mini_batches(batches, size: int, rng: np.random.Generator | None):
-    """Regroup Arrow batches into mini-batches, shuffled within an Arrow batch if asked."""
+POOL_BATCHES = 16
+
+
+def _mini_batches(parts: Iterator[np.ndarray], size: int, rng: np.random.Generator | None) -> Iterator[np.ndarray]:
+    """Cut the rows of a shard, in their order, into mini-batches.
+
+    With ``rng``, pools of 16 mini-batches are shuffled first. A single row left at the end joins
+    the mini-batch before it.
+    """
+    before: np.ndarray | None = None
+    for pool in _cut(parts, POOL_BATCHES * size):
+        if rng is not None:
+            pool = pool[rng.permutation(len(pool))]
+        for start in range(0, len(pool), size):
+            batch = pool[start : start + size]
+            if before is not None and len(batch) == 1:
+                batch, before = np.concatenate([before, batch]), None
+            if before is not None:
+                yield before
+            before = batch
+    if before is not None:
+        yield before
+
+
+def _cut(parts: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
     held: list[np.ndarray] = []
     count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        x = matrix_of(batch.column(0))
-        if rng is not None:
-            x = x[rng.permutation(len(x))]
+    for x in parts:
         held.append(x)
         count += len(x)
-        if count >= size:
+        while count >= size:
             merged = np.concatenate(held)
-            full = count - count % size
-            for start in range(0, full, size):
-                yield merged[start : start + size]
-            held, count = [merged[full:]], count % size
+            yield merged[:size]
+            held, count = [merged[size:]], count - size
     if count:
         yield np.concatenate(held)
 
 
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """(shard, its matrices) for Arrow batches of (vector, shard) that are sorted by shard."""
+
+    def pieces() -> Iterator[tuple[int, np.ndarray]]:
+        for batch in batches:
+            if batch.num_rows:
+                x, shards = matrix_of(batch.column(0)), batch.column(1).to_numpy()
+                cuts = np.flatnonzero(np.diff(shards)) + 1
+                for first, part in zip(np.r_[0, cuts], np.split(x, cuts)):
+                    yield int(shards[first]), part
+
+    for shard, group in itertools.groupby(pieces(), key=lambda p: p[0]):
+        yield shard, (part for _, part in group)
+
+
 def _positions(values: np.ndarray, weight: float, chunk: int = 65_536):
     for start in range(0, len(values), chunk):
         part = values[start : start + chunk]
@@ -238,20 +275,20 @@ def _run_epoch(data: DataFrame, state: FitState, cfg: FitConfig, epoch: int, tra
     start = state.flat()
 
     def run(batches):
-        local = state.refill(start)
-        task = TaskContext.get().partitionId()
-        rng = np.random.default_rng([cfg.seed, epoch, task]) if training else None
-        losses, rows = [], 0
-        for x in _mini_batches(batches, cfg.batch_size, rng):
-            if len(x) < 2:
-                continue  # a single row has no spread to normalise by
-            rows += len(x)
-            if training:
-                losses.append(train_step(local, x, cfg))
-            else:
-                losses.append(loss_and_gradients(local, x, cfg, training=False)[0])
-        if losses:
-            yield from _positions(np.concatenate([local.flat(), [sum(losses), len(losses)]]), float(rows))
+        for shard, parts in _by_shard(batches):
+            local = state.refill(start)
+            rng = np.random.default_rng([cfg.seed, epoch, shard]) if training else None
+            losses, rows = [], 0
+            for x in _mini_batches(parts, cfg.batch_size, rng):
+                if len(x) < 2:
+                    continue  # a shard of one row: no spread to normalise by
+                rows += len(x)
+                if training:
+                    losses.append(train_step(local, x, cfg))
+                else:
+                    losses.append(loss_and_gradients(local, x, cfg, training=False)[0])
+            if losses:
+                yield from _positions(np.concatenate([local.flat(), [sum(losses), len(losses)]]), float(rows))
 
     merged = (
         data.mapInArrow(run, EPOCH_SCHEMA)
@@ -282,6 +319,21 @@ def lower_medians(deltas: DataFrame, vector: str = "delta", accuracy: int = 1000
     return medians.select("dim", F.element_at("q", 1).alias("median"))
 
 
+def _sharded(rows: DataFrame, id: str, vector: str, cfg: FitConfig, n_partitions: int | None) -> DataFrame:
+    """(vector, shard), each shard whole in one partition and in seeded hash order."""
+    parts = [F.col(c) for c in (id, "sign") if c in rows.columns]
+    n_shards = max(1, -(-rows.count() // cfg.rows_per_shard))
+    placed = rows.select(
+        vector,
+        F.pmod(F.xxhash64(F.lit(cfg.seed), *parts), F.lit(n_shards)).cast("int").alias("_shard"),
+        seeded_rank(cfg.seed, *parts).alias("_order"),
+        *[p.alias(f"_tie{i}") for i, p in enumerate(parts)],
+    )
+    ties = [f"_tie{i}" for i in range(len(parts))]
+    spread = placed.repartition(n_partitions or n_shards, "_shard")
+    return spread.sortWithinPartitions("_shard", "_order", *ties).select(vector, "_shard")
+
+
 def fit_encoder(
     train: DataFrame,
     val: DataFrame | None,
@@ -292,15 +344,12 @@ def fit_encoder(
 ) -> tuple[EncoderParams, list[dict[str, float]]]:
     """Fit on ``train`` vectors, stop early on ``val``; returns parameters and history.
 
-    Rows are scattered by seeded hash so that every task sees a fair sample.
+    ``n_partitions`` says where shards are worked off; the result does not depend on it.
     """
-    order = seeded_rank(cfg.seed, *[F.col(c) for c in (id, "sign") if c in train.columns])
-    shuffled = train.select(vector, order.alias("_order"))
-    shuffled = (
-        shuffled.repartition(n_partitions, "_order") if n_partitions else shuffled.repartition("_order")
-    )
-    data = shuffled.sortWithinPartitions("_order").select(vector).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = None if val is None else val.select(vector).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _sharded(train, id, vector, cfg, n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    held_out = None
+    if val is not None:
+        held_out = _sharded(val, id, vector, cfg, n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
     medians = lower_medians(data, vector).orderBy("dim").toPandas()["median"].to_numpy(float)
     state = initial_state(medians, cfg)
     best, best_loss, misses = state, float("inf"), 0

@@ -7,6 +7,7 @@ the size of the model.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -174,8 +175,8 @@ def _coordinate_descent(
                 out[j] = new
                 largest = max(largest, abs(step) * np.sqrt(curve))
         if largest < 1e-10:
-            break
-    return out
+            return out
+    raise RuntimeError(f"coordinate descent did not settle in {sweeps} sweeps")
 
 
 def _minimise(
@@ -196,10 +197,14 @@ def _minimise(
         while True:
             candidate = target if share == 1.0 else beta + share * (target - beta)
             there = evaluate(candidate)
-            if objective(there[0], candidate) <= objective(at[0], beta) + 1e-12 or share < 1e-4:
+            if objective(there[0], candidate) <= objective(at[0], beta) + 1e-12:
                 break
             share /= 2
+            if share < 1e-4:  # no better point in this direction within rounding
+                return beta, at
         beta, at = candidate, there
+    else:
+        warnings.warn(f"penalised fit at {alpha:g} did not settle in {max_steps} steps", RuntimeWarning, stacklevel=2)
     return beta, at
 
 
@@ -228,6 +233,34 @@ def _strongest_first(coefs: np.ndarray, n: int, nonzero: bool) -> tuple[list[int
 ALPHA_RANGE = (1e-6, 1e4)
 
 
+@dataclass(frozen=True)
+class Trial:
+    """A penalty that was tried, and the coefficients it gave."""
+
+    alpha: float
+    coefs: np.ndarray
+
+    @property
+    def found(self) -> int:
+        return int(np.count_nonzero(self.coefs))
+
+
+def search_penalty(fit: Callable[[float], np.ndarray], wanted: int, rounds: int) -> list[Trial]:
+    """Halve the range of log penalties towards ``wanted`` features; all trials in their order.
+
+    More features than wanted send the search to the stronger half. It ends with a hit.
+    """
+    weakest, strongest = np.log(ALPHA_RANGE)
+    width = strongest - weakest
+    trail: list[Trial] = []
+    while len(trail) < rounds and not (trail and trail[-1].found == wanted):
+        width /= 2
+        alpha = float(np.exp(weakest + width))
+        trail.append(Trial(alpha, fit(alpha)))
+        weakest += width * (trail[-1].found > wanted)
+    return trail
+
+
 class LassoPath:
     """Solutions for several penalties on one design, each started from the last one."""
 
@@ -253,29 +286,17 @@ class LassoPath:
         return self.known[alpha]
 
     def select(self, n_select: int) -> Selection:
-        """Bisect the penalty geometrically until exactly ``n_select`` features remain.
+        """The fit that keeps exactly ``n_select`` features.
 
-        Failing that, the last fit with too many features is cut to the strongest ones.
+        If the search meets none, the sparsest fit that keeps more is cut to its strongest.
         """
-        low, high = ALPHA_RANGE
-        kept: tuple[np.ndarray, float] | None = None
-        for _ in range(30):
-            alpha = float(np.sqrt(low * high))
-            coefs = self.coefs(alpha)
-            found = int((coefs != 0).sum())
-            if found == n_select:
-                kept = coefs, alpha
-                break
-            if found < n_select:
-                high = alpha
-            else:
-                low, kept = alpha, (coefs, alpha)
-            if abs(high - low) < 1e-10:
-                break
-        if kept is None:
+        trail = search_penalty(self.coefs, n_select, rounds=30)
+        enough = [t for t in trail if t.found >= n_select]
+        if not enough:
             raise ValueError("no penalty keeps enough features")
-        neurons, strongest = _strongest_first(kept[0], n_select, nonzero=True)
-        return Selection(neurons, strongest, kept[1])
+        sparsest = max(enough, key=lambda t: t.alpha)
+        neurons, strongest = _strongest_first(sparsest.coefs, n_select, nonzero=True)
+        return Selection(neurons, strongest, sparsest.alpha)
 
 
 @contextmanager
@@ -317,20 +338,14 @@ def lasso_select(
     design = build_design(df, acts, label, [])
     try:
         path = LassoPath(design, classification)
-        per_row = design.n if classification else 1.0
-        if alpha is not None:
-            coefs = path.coefs(alpha / per_row)
-        else:
-            low, high = ALPHA_RANGE
-            for _ in range(20):
-                alpha = float(np.sqrt(low * high))
-                coefs = path.coefs(alpha / per_row)
-                found = int((coefs != 0).sum())
-                if found == n_select:
-                    break
-                low, high = (low, alpha) if found < n_select else (alpha, high)
-        neurons, strongest = _strongest_first(coefs, n_select, nonzero=False)
-        return Selection(neurons, strongest, alpha)
+        weight = design.n if classification else 1.0
+
+        def fit(penalty: float) -> np.ndarray:
+            return path.coefs(penalty / weight)
+
+        last = Trial(alpha, fit(alpha)) if alpha is not None else search_penalty(fit, n_select, rounds=20)[-1]
+        neurons, strongest = _strongest_first(last.coefs, n_select, nonzero=False)
+        return Selection(neurons, strongest, last.alpha)
     finally:
         design.release()
 
@@ -407,4 +422,7 @@ def _all_coefs(design: Design, classification: bool, max_steps: int) -> np.ndarr
             largest = max(largest, np.abs(step).max())
         if largest < 1e-8:
             break
+    else:
+        if classification and solvable.any():
+            warnings.warn(f"some slopes did not settle in {max_steps} steps", RuntimeWarning, stacklevel=3)
     return np.where(solvable, beta[:, c], np.nan)

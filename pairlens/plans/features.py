@@ -147,6 +147,15 @@ class Selections:
 COEFS = "top_k int, neuron_idx int, coef double"
 
 
+def selection_sizes(wanted: list[int], n_kept: int) -> list[int]:
+    """The wanted sizes in ascending order, with the number of kept features where it is smaller
+    than the largest of them, or where none is wanted."""
+    sizes = set(wanted)
+    if not sizes or n_kept < max(sizes):
+        sizes.add(n_kept)
+    return sorted(sizes)
+
+
 def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: SelectionConfig) -> Selections:
     """For each size: pick features by controlled L1, refit a probe; then probe all features.
 
@@ -156,13 +165,12 @@ def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: Sel
     train, val = train.persist(), val.persist()
     scores, coefs = [], []
     if cfg.use_lasso and kept:
-        sizes = {*cfg.lasso_top_k, min(len(kept), max(cfg.lasso_top_k, default=len(kept)))}
         kept_rows = train.withColumn("acts", _picked(kept))
         with lasso_search(
             kept_rows, cfg.controls, classification=cfg.classification,
             max_samples=cfg.max_samples_lasso, standardize=cfg.standardize,
         ) as path:
-            for size in sorted(sizes):
+            for size in selection_sizes(cfg.lasso_top_k, len(kept)):
                 try:
                     chosen = path.select(min(size, len(kept)))
                 except ValueError:

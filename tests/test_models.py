@@ -92,6 +92,40 @@ def test_fit_recovers_planted_directions(spark, parts):
     np.testing.assert_allclose(np.linalg.norm(params.dec, axis=0), 1.0, atol=1e-6)
 
 
+@pytest.mark.parametrize("rows_per_shard", [1_000_000, 150])
+def test_fit_does_not_depend_on_tasks(spark, rows_per_shard):
+    x, _ = planted(n=513)
+    cfg = FitConfig(
+        n_neurons=8, k=2, prefix_lengths=[4, 8], batch_size=64, n_epochs=6, min_epochs=2, rows_per_shard=rows_per_shard
+    )
+    fits, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, shuffle in ((1, 2), (4, 8), (16, 2), (None, 8)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+            train = vectors(spark, x[:449]).repartition(parts or 3)
+            fits.append(encoder_fit.fit_encoder(train, vectors(spark, x[449:]).repartition(5), cfg, n_partitions=parts))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for params, history in fits[1:]:
+        np.testing.assert_allclose(params.enc, fits[0][0].enc, atol=1e-6)
+        np.testing.assert_allclose(params.dec, fits[0][0].dec, atol=1e-6)
+        assert params.threshold == pytest.approx(fits[0][0].threshold, abs=1e-6)
+        assert [h["val_loss"] for h in history] == pytest.approx([h["val_loss"] for h in fits[0][1]], abs=1e-6)
+
+
+@pytest.mark.parametrize("n", [1, 2, 64, 65, 128, 129, 16 * 64, 16 * 64 + 1, 2500])
+def test_mini_batches_hold_every_row(n):
+    x = np.arange(n, dtype=float)[:, None]
+    for cut in (1, 7, 1000):
+        parts = [x[i : i + cut] for i in range(0, n, cut)]
+        plain = list(encoder_fit._mini_batches(iter(parts), 64, None))
+        assert np.concatenate(plain).ravel().tolist() == list(range(n))
+        assert n < 2 or min(map(len, plain)) >= 2
+        mixed = list(encoder_fit._mini_batches(iter(parts), 64, np.random.default_rng(0)))
+        assert [len(b) for b in mixed] == [len(b) for b in plain]
+        assert sorted(np.concatenate(mixed).ravel().tolist()) == list(range(n))
+
+
 def test_invalid_prefixes_are_rejected():
     with pytest.raises(ValueError):
         FitConfig(n_neurons=8, prefix_lengths=[4, 6])
