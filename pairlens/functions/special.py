@@ -27,8 +27,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             value *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return value
+            return value
+    raise ArithmeticError(f"incomplete beta function of ({a}, {b}) did not converge at {x}")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -46,13 +46,33 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
+# Beyond so many points the normal approximation below is exact to double precision.
+MANY = 100_000
+
+
 def pearson_p(r: float, n: float) -> float:
-    """Two-sided p-value of correlation r over n points (t test with n - 2 degrees)."""
+    """Two-sided p-value of correlation r over n points (t test with n - 2 degrees).
+
+    Everything is formed from r squared, never from 1 minus its complement. For many points the t
+    variable is turned into a normal one by Hill's expansion.
+    """
     if r is None or n is None or math.isnan(r) or n < 2:
         return float("nan")
-    if n == 2:
+    if n == 2 or r == 0:
         return 1.0
-    return incomplete_beta(n / 2.0 - 1.0, 0.5, max(0.0, 1.0 - min(1.0, abs(r)) ** 2))
+    r = min(abs(r), 1.0)
+    if r == 1.0:
+        return 0.0
+    if n > MANY:
+        free = n - 2.5
+        z = math.sqrt(-free * math.log1p(-r * r))
+        return math.erfc((z + (z**3 + 3 * z) / (48 * free * free)) / math.sqrt(2))
+    a = n / 2.0 - 1.0
+    front = math.exp(math.lgamma(a + 0.5) - math.lgamma(a) - math.lgamma(0.5) + a * math.log1p(-r * r) + math.log(r))
+    rest = (1.0 - r) * (1.0 + r)
+    if rest < (a + 1.0) / (a + 2.5):
+        return front * _beta_fraction(a, 0.5, rest) / a
+    return 1.0 - front * _beta_fraction(0.5, a, r * r) / 0.5
 
 
 def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,9 +28,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a table in the checkpoint folder and return a reader of that table."""
+@dataclass(frozen=True)
+class Stored:
+    """A table in the checkpoint folder."""
+
+    rows: DataFrame
+    path: str
+
+    def discard(self) -> None:
+        """Delete the table, once nothing will read it again."""
+        spark = self.rows.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame) -> Stored:
+    """Write ``df`` to a table in the checkpoint folder."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the checkpoint folder and return a reader of that table."""
+    return stored(df).rows

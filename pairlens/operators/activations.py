@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +19,40 @@ def long_activations(acts: DataFrame, id: str = "row_id", nonzero: bool = True)
 def firing_rates(acts: DataFrame) -> DataFrame:
     """Per neuron: share of rows with a non-zero activation, signed sum and never-fired flag.
 
-    ``dead`` follows the signed column sum, which may cancel; ``never_fired`` is exact.
+    ``dead`` follows the signed column sum, which may cancel; ``never_fired`` is exact. Null
+    activations are left out, and so are rows without any. Tasks add
+    up their rows, so one row per neuron and task is shuffled.
     """
-    return (
-        acts.select(F.posexplode("acts").alias("neuron_idx", "act"))
-        .groupBy("neuron_idx")
-        .agg(
-            F.avg((F.col("act") != 0).cast("double")).alias("prevalence"),
-            (F.sum(F.col("act").cast("double")) == 0).alias("dead"),
-            (F.count_if(F.col("act") != 0) == 0).alias("never_fired"),
-        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((3, 0))
+        for batch in batches:
+            lists = batch.column(0)
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(float)
+            sizes = np.diff(offsets)
+            at = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+            known = ~np.isnan(values)
+            n = max(int(sizes.max(initial=0)), totals.shape[1])
+            grown = np.zeros((3, n))
+            grown[:, : totals.shape[1]] = totals
+            grown[0] += np.bincount(at[known], minlength=n)
+            grown[1] += np.bincount(at[known], values[known] != 0, n)
+            grown[2] += np.bincount(at[known], values[known], n)
+            totals = grown
+        if totals.shape[1]:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(totals.shape[1], dtype=np.int32)), *[pa.array(t) for t in totals]],
+                names=["neuron_idx", "rows", "fired", "total"],
+            )
+
+    sums = acts.filter(F.col("acts").isNotNull()).select("acts").mapInArrow(
+        add, "neuron_idx int, rows double, fired double, total double"
+    )
+    return sums.groupBy("neuron_idx").agg(
+        (F.sum("fired") / F.sum("rows")).alias("prevalence"),
+        (F.sum("total") == 0).alias("dead"),
+        (F.sum("fired") == 0).alias("never_fired"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.vectors import matrix_of
-from pairlens.operators.ordered import equal_slices
+from pairlens.lineage import cut_lineage
 from pairlens.operators.split import component_of_edges
 
 BLOCK_ROWS = 4096  # vectors held by a task at once, beside its own batch
@@ -19,56 +19,54 @@ def _unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
 
 
-def _compare_block(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, threshold: float) -> DataFrame:
-    """Each vector's closest partner inside the block, and links that span those above threshold.
+def _compare_pair(group: pa.Table, threshold: float) -> pa.Table:
+    """Each vector's closest partner in the other block, and links that span those above threshold.
 
-    (kind 0: id, partner, similarity; kind 1: a link). A task emits a spanning forest of its
-    links, at most one per row and one per block member, never all pairs.
+    (kind 0: id, partner, similarity; kind 1: a link.) A pair of blocks gives a spanning forest of
+    its links, fewer than it has rows, never all pairs.
     """
-
-    def run(batches):
-        parent = np.arange(len(ids))  # block members known to be connected share a value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy()
-            sims = _unit_rows(matrix_of(batch.column(1))) @ block.T
-            sims[own[:, None] == ids[None, :]] = 0.0
-            best = sims.argmax(axis=1)
-            top = sims[np.arange(len(own)), best]
-            kinds, left, right, values = [0] * len(own), list(own), list(ids[best]), list(top)
-            for row in np.flatnonzero((sims > threshold).any(axis=1)):
-                linked = np.flatnonzero(sims[row] > threshold)
-                _, firsts = np.unique(parent[linked], return_index=True)
-                parent[np.isin(parent, parent[linked])] = parent[linked].min()
-                for member in linked[firsts]:
-                    kinds.append(1)
-                    left.append(own[row])
-                    right.append(ids[member])
-                    values.append(sims[row, member])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(kinds, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(values, pa.float64())],
-                names=["kind", "id", "partner", "similarity"],
-            )
-
-    return vectors.mapInArrow(run, "kind int, id long, partner long, similarity double")
+    ids = group.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    blocks = group.column("block").to_numpy()[order]
+    vectors = _unit_rows(matrix_of(group.column("embedding").combine_chunks()).astype(float)[order])
+    left, right = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
+    sims = vectors[left] @ vectors[right].T
+    same = ids[left][:, None] == ids[right][None, :]
+    sims[same] = 0.0
+    near_left, near_right = sims.argmax(axis=1), sims.argmax(axis=0)
+    out = [
+        (np.zeros(len(left), np.int32), ids[left], ids[right][near_left], sims[np.arange(len(left)), near_left]),
+        (np.zeros(len(right), np.int32), ids[right], ids[left][near_right], sims[near_right, np.arange(len(right))]),
+    ]
+    parent = np.arange(len(ids))  # rows known to be connected share a value
+    links = []
+    for row, above in zip(left, sims > threshold):
+        linked = right[above]
+        _, firsts = np.unique(parent[linked], return_index=True)
+        fresh = [m for m in linked[firsts] if parent[m] != parent[row]]
+        links += [(ids[row], ids[m]) for m in fresh]
+        if fresh:
+            parent[np.isin(parent, parent[fresh])] = parent[row]
+    if links:
+        u, v = map(np.array, zip(*links))
+        out.append((np.ones(len(u), np.int32), u, v, np.full(len(u), np.nan)))
+    return pa.table([np.concatenate(c) for c in zip(*out)], names=["kind", "id", "partner", "similarity"])
 
 
 def compare_vectors(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Union of the block comparisons of (id, embedding) with itself, for any number of rows."""
+    """Comparison of (id, embedding) with itself: rows are cut into blocks by a hash of the id, and
+    each task compares one pair of blocks."""
     vectors = vectors.select(F.col("id").cast("long").alias("id"), "embedding")
     n_blocks = max(1, -(-vectors.count() // block_rows))
-    blocks = equal_slices(vectors, n_blocks, "id", "_block").persist()
-    out = None
-    for b in range(n_blocks):
-        rows = blocks.filter(F.col("_block") == b).select("id", "embedding").orderBy("id").toPandas()
-        if rows.empty:
-            continue
-        matrix = _unit_rows(np.stack(rows["embedding"].to_numpy()).astype(float))
-        part = _compare_block(vectors, rows["id"].to_numpy(), matrix, threshold)
-        out = part if out is None else out.unionByName(part)
-    blocks.unpersist()
-    return out
+    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
+    placed = vectors.withColumn("block", block).select("*", others)
+    return (
+        placed.select("id", "embedding", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"))
+        .groupBy("first", "last")
+        .applyInArrow(lambda g: _compare_pair(g, threshold), "kind int, id long, partner long, similarity double")
+    )
 
 
 def redundancy(concepts: DataFrame, threshold: float = 0.7, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
@@ -76,9 +74,10 @@ def redundancy(concepts: DataFrame, threshold: float = 0.7, block_rows: int = BL
 
     ``concepts`` has (id, text, embedding). Returns (id, semantic_redundancy,
     semantic_neighbor). A row counts as its own neighbour with similarity 0, so the redundancy is
-    never negative; the smallest id wins ties.
+    never negative; the smallest id wins ties. Without rows the table is empty and there are 0
+    components.
     """
-    compared = compare_vectors(concepts, threshold, block_rows).persist()
+    compared = cut_lineage(compare_vectors(concepts, threshold, block_rows))
     closest = (
         compared.filter("kind = 0")
         .groupBy("id")

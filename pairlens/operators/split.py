@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.lineage import cut_lineage
+from pairlens.lineage import cut_lineage, stored
 from pairlens.operators.joins import hot_from_counts, skew_join
 from pairlens.operators.ordered import hash_prefix_sum
 
@@ -52,27 +52,27 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return nodes.filter("up + down > 1").isEmpty()
 
 
-def component_of_edges(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def component_of_edges(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (u, v) as (node, component).
 
-    Alternating large-star and small-star rounds; every round ends in a checkpoint, so the plan
-    stays short and a lost executor costs at most one round. The component is named after its
-    smallest node. Nodes without edges do not appear.
+    Alternating large-star and small-star rounds until only stars are left; every round ends in a
+    table of the shared folder, so the plan stays short and a lost executor costs at most one
+    round. The table of the round before is deleted then. The component is named after its smallest
+    node. Nodes without edges do not appear.
     """
-    current = cut_lineage(
+    current = stored(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    for _ in range(max_rounds):
-        if _is_star_forest(current):
-            roots = current.select(F.col("v").alias("node")).distinct()
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                roots.withColumn("component", F.col("node"))
-            )
-        n_edges = current.count()
-        starred = _large_star(current, n_edges)
+    while not _is_star_forest(current.rows):
+        n_edges = current.rows.count()  # from the footers of the table
         # A large star never adds edges, so the count still bounds the small star's input.
-        current = cut_lineage(_small_star(starred, n_edges))
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        after = stored(_small_star(_large_star(current.rows, n_edges), n_edges))
+        current.discard()
+        current = after
+    roots = current.rows.select(F.col("v").alias("node")).distinct()
+    return current.rows.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        roots.withColumn("component", F.col("node"))
+    )
 
 
 def _value_key(column: str, id: str, nulls_connect: bool) -> Column:

@@ -17,7 +17,7 @@ from pairlens.operators.ordered import exact_quantiles
 from pairlens.operators.redundancy import redundancy
 from pairlens.plans.features import feature_table
 from pairlens.queries.pairs import deltas, preferences, stored_deltas
-from pairlens.queries.registry import query
+from pairlens.queries.registry import STEPS, p_value_sql, query
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
 
@@ -167,26 +167,29 @@ _METRICS = (
       CASE WHEN min(annotation) = max(annotation) THEN 0.0 ELSE round(corr(act, annotation::double), 6) END AS correlation,
       CASE WHEN min(annotation) >= 0 THEN avg(CASE WHEN is_positive = 1 THEN annotation END) ELSE 0.0 END AS recall,
       CASE WHEN min(annotation) >= 0 THEN 1 - avg(CASE WHEN is_positive = 0 THEN annotation END) ELSE 0.0 END AS precision
-    FROM samples JOIN annotated USING (row_id) GROUP BY neuron_idx, concept)"""
+      ,CASE WHEN min(annotation) < max(annotation) THEN corr(act, annotation::double) END AS r, count(*) AS n
+    FROM samples JOIN annotated USING (row_id) GROUP BY neuron_idx, concept), """
+    + STEPS
+    + f", tested AS (SELECT *, coalesce({p_value_sql('r', 'n')}, 1.0) AS p_value FROM metrics) "
 )
 
 
 @query(
     _METRICS
     + """SELECT neuron_idx, interpretation, correlation, round(recall, 6) AS recall, round(precision, 6) AS precision,
-       CASE WHEN recall + precision > 0 THEN round(2 * recall * precision / (recall + precision), 6) ELSE 0.0 END AS f1 FROM metrics""",
+       CASE WHEN recall + precision > 0 THEN round(2 * recall * precision / (recall + precision), 6) ELSE 0.0 END AS f1, round(p_value, 6) AS p_value FROM tested""",
     ("bins", "annotated"),
 )
 def description_fidelity(spark, sf_dir):
-    m = _metrics(spark, sf_dir).drop("candidate_idx", "p_value")
-    return m.withColumns({c: F.round(c, 6) for c in ("correlation", "recall", "precision", "f1")})
+    m = _metrics(spark, sf_dir).drop("candidate_idx")
+    return m.withColumns({c: F.round(c, 6) for c in ("correlation", "recall", "precision", "f1", "p_value")})
 
 
-_BEST = _METRICS + """, best AS (SELECT neuron_idx, interpretation, correlation FROM metrics
+_BEST = _METRICS + """, best AS (SELECT neuron_idx, interpretation, correlation, p_value FROM tested
     QUALIFY row_number() OVER (PARTITION BY neuron_idx ORDER BY correlation DESC, interpretation) = 1)"""
 
 
-@query(_BEST + "SELECT * FROM best", ("bins", "annotated"))
+@query(_BEST + "SELECT neuron_idx, interpretation, correlation FROM best", ("bins", "annotated"))
 def best_descriptions(spark, sf_dir):
     best = fidelity.best_candidates(_metrics(spark, sf_dir))
     return best.select("neuron_idx", "interpretation", F.round("correlation", 6).alias("correlation"))
@@ -198,6 +201,13 @@ def faithful_features(spark, sf_dir):
     return fidelity.faithful(best, 0.02, None).select("neuron_idx")
 
 
+@query(_BEST + "SELECT neuron_idx, p_value <= 0.05 / 32 AS strictly FROM best WHERE correlation >= 0.02 AND p_value <= 0.5", ("bins", "annotated"))
+def significant_features(spark, sf_dir):
+    best = fidelity.best_candidates(_metrics(spark, sf_dir))
+    strict = fidelity.faithful(best, 0.02).select("neuron_idx", F.lit(True).alias("strictly"))
+    return fidelity.faithful(best, 0.02, 0.5).select("neuron_idx").join(strict, "neuron_idx", "left").fillna(False)
+
+
 @query(_BEST + "SELECT round(avg(abs(correlation)), 5) AS mean_abs_correlation FROM best", ("bins", "annotated"))
 def mean_abs_fidelity(spark, sf_dir):
     best = fidelity.best_candidates(_metrics(spark, sf_dir))

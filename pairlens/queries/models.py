@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.config import DatasetConfig, EncoderConfig, InterpretationConfig, JobConfig, SelectionConfig
+from pairlens.config import DatasetConfig, JobConfig, SelectionConfig
 from pairlens.functions.special import pearson_p_value
 from pairlens.functions.text import pairwise_text, text_key
 from pairlens.operators import annotate, joins, linear, probe, stats
@@ -21,7 +21,7 @@ from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
 from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows
 from pairlens.queries.pairs import SPLIT_ON, deltas, preferences, stored_deltas
-from pairlens.queries.registry import first_words, query, responses_sql, strip_sql
+from pairlens.queries.registry import STEPS, first_words, p_value_sql, query, responses_sql, strip_sql
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
 
@@ -91,21 +91,27 @@ def generated_descriptions(spark, sf_dir):
     )
 
 
-@query()
+@query(
+    f""", long AS (SELECT neuron_idx, act::double AS act, label FROM acts JOIN prefs USING (row_id) WHERE label IN (0, 1)),
+    r AS (SELECT neuron_idx, corr(act, label) AS c, count(*) AS n FROM long GROUP BY neuron_idx), {STEPS}
+    SELECT neuron_idx, round(coalesce(c, 'nan'::double), 6) AS correlation, n,
+      round(coalesce({p_value_sql('c', 'n')}, 'nan'::double), 6) AS p_value FROM r""",
+    ("acts",),
+)
 def correlation_p_values(spark, sf_dir):
     long = binary_rows(spark, sf_dir).select("label", F.posexplode("acts").alias("neuron_idx", "act"))
     r = long.groupBy("neuron_idx").agg(
         F.coalesce(stats.pearson(F.col("act"), F.col("label")), F.lit(float("nan"))).alias("correlation"),
         F.count(F.lit(1)).alias("n"),
     )
-    return r.withColumn("p_value", pearson_p_value(F.col("correlation"), F.col("n")))
+    tested = r.withColumn("p_value", pearson_p_value(F.col("correlation"), F.col("n")))
+    return tested.withColumns({c: F.round(c, 6) for c in ("correlation", "p_value")})
 
 
 @query()
 def fitted_encoder_activity(spark, sf_dir):
     d = stored_deltas(spark, sf_dir)
-    cfg = FitConfig(n_neurons=16, k=4, prefix_lengths=[4, 16], batch_size=128, n_epochs=4, min_epochs=2)
-    params, _ = fit_encoder(augment_signs(d), d, cfg)
+    params, _ = fit_encoder(augment_signs(d), d, FitConfig())
     return firing_rates(encode(d, params)).select("neuron_idx", "prevalence")
 
 
@@ -158,16 +164,10 @@ def reward_baseline_scores(spark, sf_dir):
 
 
 def _job(spark, sf_dir):
-    cfg = JobConfig(
-        _dataset(sf_dir),
-        sae=EncoderConfig(M=8, K=2, prefix_lengths=[4, 8], batch_size=128, n_epochs=3, min_epochs=2),
-        interpretation=InterpretationConfig(
-            n_candidates=2, scoring_n_examples=100, p_value_threshold=None,
-            interpret_sampling_kwargs={"percentile_bin": (80, 100), "swap_negative_response_pairs": True},
-        ),
-        selection=SelectionConfig(lasso_top_k=[2, 4]),
+    """The whole job with its default sizes."""
+    return run_job(
+        spark, JobConfig(_dataset(sf_dir)), HashingEmbedder(DIMS), lexical_completer, derived.preferences(spark, sf_dir)
     )
-    return run_job(spark, cfg, HashingEmbedder(DIMS), lexical_completer, derived.preferences(spark, sf_dir))
 
 
 @query()

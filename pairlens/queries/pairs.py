@@ -124,15 +124,13 @@ def merged_duplicate_labels(spark, sf_dir):
 
 
 @query(
-    """SELECT row_id, CAST(s AS INTEGER) AS sign, s * delta[1]::double AS first, s * delta[64]::double AS last
-       FROM deltas, (SELECT unnest([1, -1]) AS s)""",
+    """SELECT row_id, CAST(s AS INTEGER) AS sign, CAST(i - 1 AS INTEGER) AS dim, s * delta[i]::double AS value
+       FROM deltas, (SELECT unnest([1, -1]) AS s), (SELECT unnest(range(1, 65)) AS i)""",
     ("deltas",),
 )
 def sign_augmented_deltas(spark, sf_dir):
-    both = augment_signs(deltas(spark, sf_dir))
-    return both.select(
-        "row_id", "sign", F.col("delta")[0].cast("double").alias("first"), F.col("delta")[63].cast("double").alias("last")
-    )
+    both = augment_signs(deltas(spark, sf_dir)).select("row_id", "sign", F.posexplode("delta").alias("dim", "value"))
+    return both.withColumn("value", F.col("value").cast("double"))
 
 
 @query("SELECT row_id, component FROM components", ("components",))

@@ -93,6 +93,19 @@ def responses_sql(n: int = 128) -> str:
     )
 
 
+def p_value_sql(r: str, n: str) -> str:
+    """SQL for the two-sided p-value of correlation r over n points, over a fragment ``steps``.
+
+    With r = sin(t) the tail of Student's distribution is the share of the integral of
+    cos(x) ** (n - 3) that lies beyond t, taken here in 20 000 middle points.
+    """
+    beyond = f"(pi() / 2 - asin(abs({r})))"
+    tail = f"sum(pow(cos(asin(abs({r})) + u * {beyond}), {n} - 3)) * {beyond}"
+    return f"(SELECT {tail} / (pi() / 2 * sum(pow(cos(u * pi() / 2), {n} - 3))) FROM steps)"
+
+
+STEPS = "steps AS (SELECT (range + 0.5::double) / 20000 AS u FROM range(20000))"
+
 # Shared fragments. NEEDS lists what a fragment builds on.
 NEEDS = {
     "prefs": ("labelled", "items", "base"),
@@ -111,7 +124,7 @@ CTES = {
     "labelled": """labelled AS (
   SELECT d.doc_id, d.text, d.source, l.quality FROM documents d JOIN labels l USING (doc_id))""",
     "items": "items AS (SELECT count(*) AS n FROM benchmark)",
-    "base": """base AS (
+    "base": """base AS MATERIALIZED (
   SELECT a.doc_id * 1000000 + b.doc_id AS pair_id,
          bm.text || ' #' || CAST(a.doc_id - a.doc_id % 20 AS string) || '-' || CAST(a.doc_id % 5 AS string) AS prompt,
          a.text AS response_A, b.text AS response_B,
@@ -145,12 +158,14 @@ placed AS (
 split AS (
   SELECT row_id, component, CASE WHEN before < total * 0.8::double THEN 'train' ELSE 'val' END AS split
   FROM components JOIN placed USING (component))""",
-    "vectors": """vectors AS (
-  SELECT f.text, e.embedding FROM (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) f
-  JOIN embeddings e ON e.vec_id = f.doc_id % (SELECT count(*) FROM embeddings))""",
-    "deltas": """deltas AS (
+    "vectors": """firsts AS MATERIALIZED (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents),
+counted AS MATERIALIZED (SELECT count(*) AS n FROM embeddings),
+vectors AS MATERIALIZED (
+  SELECT f.doc_id, e.embedding FROM (SELECT doc_id, first_id % n AS vec_id FROM firsts, counted) f JOIN embeddings e USING (vec_id))""",
+    "deltas": """deltas AS MATERIALIZED (
   SELECT p.row_id, list_transform(list_zip(va.embedding, vb.embedding), lambda z: z[1] - z[2]) AS delta
-  FROM prefs p JOIN vectors va ON va.text = p.response_A JOIN vectors vb ON vb.text = p.response_B)""",
+  FROM (SELECT row_id, a_id, b_id FROM prefs) p JOIN vectors va ON va.doc_id = p.a_id JOIN vectors vb ON vb.doc_id = p.b_id)""",
     "acts": """acts AS (
   SELECT row_id, CAST(i - 1 AS INTEGER) AS neuron_idx,
          CASE WHEN abs(delta[i]) > 0.1::float THEN delta[i] ELSE 0::float END AS act

@@ -168,41 +168,47 @@ def annotation_cache_keys(spark, sf_dir):
     return docs.select("doc_id", cache_key("m", "p", F.col("source"), F.col("text")).alias("key"))
 
 
-def _lines_cte() -> str:
-    return """tagged AS (SELECT conv_id, turn,
+_TURNS = """tagged AS (SELECT conv_id, turn, text,
       CASE role WHEN 'user' THEN 'Human: ' WHEN 'assistant' THEN 'Assistant: ' END || text AS line FROM conversations),
-    transcripts AS (SELECT t.conv_id, t.turn, concat_ws(chr(10) || chr(10), p.line, t.line) AS text
-      FROM tagged t LEFT JOIN tagged p ON p.conv_id = t.conv_id AND p.turn + 1 = t.turn),
-    parts AS (SELECT conv_id, turn, text, list_filter(list_transform(
+    spoken AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM tagged WHERE line IS NOT NULL)"""
+_TRANSCRIPTS = "texts AS (SELECT conv_id, string_agg(line, chr(10) || chr(10) ORDER BY turn) AS text FROM spoken GROUP BY conv_id)"
+_REPLIES = """texts AS (SELECT conv_id, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE back > 1), '') AS text,
+      max(text) FILTER (WHERE back = 1) AS chosen, arg_min(text, turn) AS rejected FROM spoken GROUP BY conv_id)"""
+
+
+def _parts_cte(texts: str) -> str:
+    """Fragments ending in ``parts``: the rows of ``texts`` with their messages."""
+    return f"""{_TURNS}, {texts},
+    parts AS (SELECT *, list_filter(list_transform(
         string_split(regexp_replace(text, '(Human:|Assistant:)', chr(1) || '\\1', 'g'), chr(1))[2:],
-        lambda p: {'role': CASE WHEN starts_with(p, 'Human:') THEN 'user' ELSE 'assistant' END,
+        lambda p: {{'role': CASE WHEN starts_with(p, 'Human:') THEN 'user' ELSE 'assistant' END,
                    'content': """ + strip_sql("regexp_replace(p, '^(Human|Assistant):', '')") + """}),
-        lambda m: m.content <> '') AS messages FROM transcripts)"""
+        lambda m: m.content <> '') AS messages FROM texts)"""
 
 
 @query(
-    f"""WITH {_lines_cte()} SELECT conv_id, turn, len(messages)::integer AS n_messages,
+    f"""WITH {_parts_cte(_TRANSCRIPTS)} SELECT conv_id, len(messages)::integer AS n_messages,
         array_to_string(list_transform(messages, lambda m: m.role || ':' || m.content), '|') AS content FROM parts"""
 )
 def transcript_messages(spark, sf_dir):
     parsed = derived.transcripts(spark, sf_dir).withColumn("m", chat.parse_transcript(F.col("text")))
     return parsed.select(
         "conv_id",
-        "turn",
         F.size("m").alias("n_messages"),
         F.array_join(F.transform("m", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("content"),
     )
 
 
 @query(
-    f"""WITH {_lines_cte()} SELECT conv_id, turn, CASE WHEN len(messages) = 0 THEN text
+    f"""WITH {_parts_cte(_REPLIES)} SELECT conv_id, CASE WHEN len(messages) = 0 THEN text
         WHEN messages[len(messages)].role = 'user' THEN messages[len(messages)].content END AS last_user FROM parts"""
 )
 def transcripts_ending_on_user(spark, sf_dir):
-    fixed = derived.transcripts(spark, sf_dir).withColumn(
-        "m", chat.ensure_user_last(chat.parse_transcript(F.col("text")), F.col("text"), strict=False)
+    """Of the transcripts before the last turn; null where they end on the assistant."""
+    fixed = derived.replies(spark, sf_dir).withColumn(
+        "m", chat.ensure_user_last(chat.parse_transcript(F.col("prompt")), F.col("prompt"), strict=False)
     )
-    return fixed.select("conv_id", "turn", F.try_element_at("m", F.lit(-1))["content"].alias("last_user"))
+    return fixed.select("conv_id", F.try_element_at("m", F.lit(-1))["content"].alias("last_user"))
 
 
 @query(
@@ -215,22 +221,25 @@ def chosen_and_rejected(spark, sf_dir):
     return sides.select("row_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
 
 
-_RENDERED = "array_to_string(list_transform(convo, lambda m: '<|' || m.role || '|>' || chr(10) || m.content), chr(10))"
+def _rendered_sql(side: str) -> str:
+    convo = f"""list_append(CASE WHEN len(messages) = 0 THEN [{{'role': 'user', 'content': text}}] ELSE messages END,
+        {{'role': 'assistant', 'content': {strip_sql(f"coalesce({side}, '')")}}})"""
+    return f"array_to_string(list_transform({convo}, lambda m: '<|' || m.role || '|>' || chr(10) || m.content), chr(10))"
 
 
 @query(
-    f"""WITH {_lines_cte()}, convos AS (SELECT conv_id, turn, list_append(CASE WHEN len(messages) = 0
-          THEN [{{'role': 'user', 'content': text}}] ELSE messages END,
-          {{'role': 'assistant', 'content': {strip_sql('text')}}}) AS convo FROM parts
-        WHERE len(messages) = 0 OR messages[len(messages)].role = 'user')
-        SELECT conv_id, turn, len(convo)::integer AS n_messages, CAST({words(_RENDERED)} AS INTEGER) AS length FROM convos"""
+    f"""WITH {_parts_cte(_REPLIES)}, told AS (
+        SELECT conv_id, len(messages) = 0 OR messages[len(messages)].role = 'user' AS accepted, greatest(len(messages), 1) + 1 AS n,
+          {words(_rendered_sql('chosen'))} AS a, {words(_rendered_sql('rejected'))} AS b FROM parts)
+        SELECT conv_id, accepted, CASE WHEN accepted THEN n::integer END AS n_messages,
+          CASE WHEN accepted THEN greatest(a, b)::integer END AS length FROM told"""
 )
 def reward_conversation_lengths(spark, sf_dir):
-    t = derived.transcripts(spark, sf_dir)
-    pairs = t.withColumn("prompt", F.col("text")).withColumns({"chosen": F.col("text"), "rejected": F.lit(None).cast("string")})
-    open_only = pairs.filter(chat.ends_open(chat.parse_transcript(F.col("prompt"))))
-    return chat.reward_conversations(open_only, strict=False).select(
-        "conv_id", "turn", F.size("chosen").alias("n_messages"), "length"
+    """Conversations whose prompt ends on the assistant are kept as rejects, without a length."""
+    built = chat.reward_conversations(derived.replies(spark, sf_dir), strict=False)
+    accepted = F.col("chosen").isNotNull()
+    return built.select(
+        "conv_id", accepted.alias("accepted"), F.when(accepted, F.size("chosen")).alias("n_messages"), "length"
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,18 +119,38 @@ def one_hot_params(dims: int, n_neurons: int = 8, threshold: float = 0.1) -> Enc
     return EncoderParams(enc, enc.T.copy(), np.zeros(dims), np.zeros(n_neurons), threshold)
 
 
-def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, text): each turn with the one before it, system turns left out.
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turns): user and assistant turns in order, each with its tagged line.
 
-    Turns meet by an equi-join on (conversation, turn), so a conversation of any length is
-    spread over tasks.
+    System turns and turns without text are left out. A transcript is one text, so the turns of a
+    conversation come together in one row.
     """
     tag = F.when(F.col("role") == "user", F.lit("Human: ")).when(
         F.col("role") == "assistant", F.lit("Assistant: ")
     )
-    turns = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.concat(tag, F.col("text")).alias("line")
+    lines = table(spark, sf_dir, "conversations").select(
+        "conv_id", F.struct("turn", "text", F.concat(tag, F.col("text")).alias("line")).alias("t")
+    )
+    spoken = lines.filter(F.col("t.line").isNotNull())
+    return spoken.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+
+
+def _joined(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda t: t["line"]), "\n\n")
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): each conversation as one transcript."""
+    return _turns(spark, sf_dir).select("conv_id", _joined(F.col("turns")).alias("text"))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, prompt, chosen, rejected): the transcript before the last turn, that turn's text,
+    and the first turn's text as the worse answer."""
+    turns = F.col("turns")
+    return _turns(spark, sf_dir).select(
+        "conv_id",
+        _joined(F.slice(turns, F.lit(1), F.size(turns) - 1)).alias("prompt"),
+        F.element_at(turns, -1)["text"].alias("chosen"),
+        F.element_at(turns, 1)["text"].alias("rejected"),
     )
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("line").alias("_before"))
-    joined = turns.join(before, ["conv_id", "turn"], "left")
-    return joined.select("conv_id", "turn", F.concat_ws("\n\n", "_before", "line").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,13 +27,17 @@ def load_preferences(
     fmt: str | None = None,
     columns: ColumnNames = ColumnNames(),
     extra: tuple[str, ...] = (),
+    multi_line: bool = False,
 ) -> DataFrame:
     """Preference rows with the library's column names and a surrogate ``row_id``.
 
-    The schema is given, never inferred, so only needed columns are read. ``extra`` names
-    further (string) columns, such as split columns. JSON means one object per line.
+    Types are given, never inferred, so only needed columns are read. ``extra`` names further
+    (string) columns, such as split columns. JSON means one object per line. A required column
+    that the file lacks, a line that is no record, a label or length that is no number raise
+    ValueError; true and false are the labels 1 and 0.
 
-    Later jobs read the rows several times and meet again by ``row_id``, so the id must not
+    CSV files are split among tasks; ``multi_line`` reads each whole, for quoted texts that span
+    lines. Later jobs read the rows several times and meet again by ``row_id``, so the id must not
     depend on how a scan happens to be cut into tasks. Parquet rows are numbered by file and
     position in it; JSON and CSV are numbered while being copied once to a Parquet table.
     """
@@ -45,18 +49,12 @@ def load_preferences(
         columns.label: "label",
     }
     back = {new: old for old, new in renamed.items()}
-    known = [T.StructField(back.get(f.name, f.name), f.dataType) for f in PREFERENCES.fields]
-    names = {f.name for f in known}
-    schema = T.StructType(known + [T.StructField(c, T.StringType()) for c in extra if c not in names])
-    reader = spark.read
+    wanted = {back.get(f.name, f.name): f.dataType for f in PREFERENCES.fields}
+    wanted |= {c: T.StringType() for c in extra if c not in wanted}
     if fmt == "parquet":
-        df = _numbered_by_file(_conform(reader.parquet(path), schema, set(renamed), FILE_POSITION))
-    elif fmt == "json":
-        df = _numbered_copy(reader.schema(schema).json(path))
-    elif fmt == "csv":
-        # Quoted texts may span lines. Columns are matched by header name, not position.
-        stored = reader.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
-        df = _numbered_copy(_conform(stored, schema, set(renamed)))
+        df = _numbered_by_file(spark.read.parquet(path), wanted, set(renamed))
+    elif fmt in ("json", "csv"):
+        df = _numbered_copy(_records(spark, path, fmt, wanted, multi_line), wanted, set(renamed))
     else:
         raise ValueError(f"unsupported format: {fmt}")
     return with_length_delta(df.withColumnsRenamed(renamed))
@@ -64,34 +62,82 @@ def load_preferences(
 
 FILE_POSITION = ("file_path", "row_index")
 ROW_BITS = 36  # rows within one file
-
-
-def _conform(
-    stored: DataFrame, schema: T.StructType, required: set[str], metadata: tuple[str, ...] = ()
-) -> DataFrame:
-    """The columns of ``schema``, null where the file lacks them; required ones must exist."""
-    missing = required - set(stored.columns)
+BAD_LINE = "_bad_line"
+
+
+def _records(spark: SparkSession, path: str, fmt: str, wanted: dict[str, T.DataType], multi_line: bool) -> DataFrame:
+    """The wanted columns as text, and what of a line could not be read."""
+    names = list(wanted)
+    if fmt == "csv":
+        # Columns are matched by header name, so the header is read first; one line.
+        head = spark.read.csv(path, multiLine=multi_line, escape='"', inferSchema=False).limit(1).collect()
+        names = [c if c is not None else f"_column{i}" for i, c in enumerate(head[0])] if head else []
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, BAD_LINE]])
+    reader = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_LINE)
+    if fmt == "json":
+        return reader.json(path)
+    return reader.csv(path, header=True, multiLine=multi_line, escape='"', enforceSchema=True)
+
+
+def _number(text: Column, kind: T.DataType) -> Column:
+    told = F.lower(F.trim(text))
+    value = F.when(told == "true", 1.0).when(told == "false", 0.0).otherwise(told.try_cast("double"))
+    return value.cast(kind) if isinstance(kind, T.DoubleType) else F.round(value).cast(kind)
+
+
+def _numbered_copy(records: DataFrame, wanted: dict[str, T.DataType], required: set[str]) -> DataFrame:
+    """Typed and numbered rows in a table of the shared folder, checked while they are written."""
+    _require(required - set(records.columns))
+    columns, unread = [], []
+    for name, kind in wanted.items():
+        text = F.col(name) if name in records.columns else F.lit(None).cast("string")
+        if isinstance(kind, T.StringType):
+            columns.append(text.alias(name))
+            continue
+        given = F.nullif(F.trim(text), F.lit(""))
+        columns.append(_number(given, kind).alias(name))
+        unread.append(given.isNotNull() & _number(given, kind).isNull())
+    bad = F.col(BAD_LINE).isNotNull()
+    for wrong in unread:
+        bad = bad | wrong
+    table = cut_lineage(records.select(*columns, bad.alias("_bad"), F.monotonically_increasing_id().alias("row_id")))
+    # One pass over the columns' null masks and flags of the copy.
+    found = table.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("_bad").alias("bad"),
+        *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(sorted(required))],
+    ).first()
+    if found["bad"]:
+        raise ValueError(f"{found['bad']} of {found['rows']} rows are malformed or hold a label or length that is no number")
+    if found["rows"]:
+        _require({c for i, c in enumerate(sorted(required)) if not found[f"n_{i}"]})
+    return table.drop("_bad")
+
+
+def _require(missing: set[str]) -> None:
     if missing:
         raise ValueError(f"columns missing: {sorted(missing)}")
-    columns = [
-        (F.col(f.name) if f.name in stored.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in schema.fields
-    ]
-    return stored.select(*columns, *[F.col(f"_metadata.{m}").alias(f"_{m}") for m in metadata])
 
 
-def _numbered_by_file(df: DataFrame) -> DataFrame:
-    """Row id from the rank of the file name and the position in the file."""
-    files = df.select("_file_path").distinct()
-    numbered = files.withColumn("_file", F.row_number().over(Window.orderBy("_file_path")).cast("long"))
-    # One row per input file.
-    joined = df.join(F.broadcast(numbered), "_file_path")
-    row_id = F.shiftleft("_file", ROW_BITS) + F.col("_row_index")
-    return joined.withColumn("row_id", row_id).drop("_file_path", "_file", "_row_index")
+def _numbered_by_file(stored: DataFrame, wanted: dict[str, T.DataType], required: set[str]) -> DataFrame:
+    """Row id from the rank of the file name and the position in the file.
 
-
-def _numbered_copy(df: DataFrame) -> DataFrame:
-    return cut_lineage(df.withColumn("row_id", F.monotonically_increasing_id()))
+    The file list is the one Spark planned the scan with; no row is read for it.
+    """
+    _require(required - set(stored.columns))
+    columns = [
+        (F.col(c) if c in stored.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()
+    ]
+    rows = stored.select(*columns, *[F.col(f"_metadata.{m}").alias(f"_{m}") for m in FILE_POSITION])
+    ranks = [(path, rank) for rank, path in enumerate(sorted(stored.inputFiles()), 1)]
+    files = stored.sparkSession.createDataFrame(ranks, "_file_path string, _file long")
+    unknown = F.raise_error(F.concat(F.lit("file not in the list: "), F.col("_file_path"))).cast("long")
+    file = F.when(F.col("_file").isNull(), unknown).otherwise(F.col("_file"))
+    return (
+        rows.join(files, "_file_path", "left")
+        .withColumn("row_id", F.shiftleft(file, ROW_BITS) + F.col("_row_index"))
+        .drop("_file_path", "_file", "_row_index")
+    )
 
 
 def with_length_delta(df: DataFrame, a: str = "response_A", b: str = "response_B") -> DataFrame:

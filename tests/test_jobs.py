@@ -153,7 +153,7 @@ def test_readers_agree(spark, tmp_path):
     for df in (
         from_json,
         loader.load_preferences(spark, str(tmp_path / "x.parquet"), columns=names, extra=("topic",)),
-        loader.load_preferences(spark, str(tmp_path / "x.csv"), columns=names, extra=("topic",)),
+        loader.load_preferences(spark, str(tmp_path / "x.csv"), columns=names, extra=("topic",), multi_line=True),
     ):
         got = sorted(map(tuple, df.select("prompt", "response_A", "response_B", "label", "length_delta", "topic").collect()))
         want = want or got
@@ -166,6 +166,56 @@ def test_readers_agree(spark, tmp_path):
     assert caches.table_exists(spark, str(tmp_path / "x.parquet")) and not caches.table_exists(spark, str(tmp_path / "none"))
 
 
+def _lines(path, rows):
+    path.write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in rows) + "\n")
+    return str(path)
+
+
+def test_json_labels_and_lengths(spark, tmp_path):
+    base = {"prompt": "p", "response_A": "a b c", "response_B": "b"}
+    rows = [
+        base | {"label": True}, base | {"label": False, "length_delta": 2.0}, base | {"label": 1},
+        base | {"label": 0.5, "length_delta": -7}, base | {"label": None},
+    ]
+    got = loader.load_preferences(spark, _lines(tmp_path / "x.json", rows)).orderBy("row_id").collect()
+    assert [r.label for r in got] == [1.0, 0.0, 1.0, 0.5, None]
+    assert [r.length_delta for r in got] == [2, 2, 2, -7, 2]
+
+
+@pytest.mark.parametrize(
+    "row, message",
+    [
+        ('{"prompt": "p", "response_A": ', "malformed"),
+        ({"prompt": "p", "response_A": "a", "response_B": "b", "label": "maybe"}, "no number"),
+        ({"prompt": "p", "response_A": "a", "response_B": "b", "label": 1, "length_delta": "x"}, "no number"),
+    ],
+)
+def test_json_rows_that_cannot_be_read(spark, tmp_path, row, message):
+    good = {"prompt": "p", "response_A": "a", "response_B": "b", "label": 1}
+    with pytest.raises(ValueError, match=message):
+        loader.load_preferences(spark, _lines(tmp_path / "x.jsonl", [good, row, good]))
+
+
+def test_json_without_a_required_column(spark, tmp_path):
+    with pytest.raises(ValueError, match="response_B"):
+        loader.load_preferences(spark, _lines(tmp_path / "x.jsonl", [{"prompt": "p", "response_A": "a", "label": 1}] * 2))
+
+
+def test_csv_files_are_split_among_tasks(spark, tmp_path):
+    lines = ["label,response_B,prompt,response_A", *[f'{i % 2},b,"p, {i}",a b' for i in range(4000)]]
+    path = _lines(tmp_path / "x.csv", lines)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        table = loader.load_preferences(spark, path)
+        assert len(table.inputFiles()) > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.prompt for r in table.collect()) == sorted(f"p, {i}" for i in range(4000))
+    assert table.select("row_id").distinct().count() == 4000
+    with pytest.raises(ValueError, match="malformed"):
+        loader.load_preferences(spark, _lines(tmp_path / "y.csv", [*lines, "1,b,p,a,too,many"]))
+
+
 def test_row_ids_do_not_depend_on_how_a_scan_is_cut(spark, tmp_path):
     path = str(tmp_path / "many.parquet")
     rows = [(f"p{i}", f"a{i}", "b", 1.0) for i in range(3000)]

@@ -301,3 +301,9 @@ def test_redundancy_in_blocks_equals_all_pairs(spark, block_rows):
 
     labels = components_by_hand([(i, j) for i in range(11) for j in range(11) if i == j or sims[i, j] > 0.8])
     assert n_components == len(set(labels.values()))
+
+
+def test_redundancy_of_nothing(spark):
+    none = spark.createDataFrame([], "id long, text string, embedding array<double>")
+    table, components = redundancy.redundancy(none)
+    assert table.count() == 0 and components == 0
