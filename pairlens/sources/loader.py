@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +65,7 @@ def load_preferences(
 FILE_POSITION = ("file_path", "row_index")
 ROW_BITS = 36  # rows within one file
 BAD_LINE = "_bad_line"
+SCHEME_SLASHES = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
 
 
 def _records(spark: SparkSession, path: str, fmt: str, wanted: dict[str, T.DataType], multi_line: bool) -> DataFrame:
@@ -129,7 +132,10 @@ def _numbered_by_file(stored: DataFrame, wanted: dict[str, T.DataType], required
         (F.col(c) if c in stored.columns else F.lit(None)).cast(kind).alias(c) for c, kind in wanted.items()
     ]
     rows = stored.select(*columns, *[F.col(f"_metadata.{m}").alias(f"_{m}") for m in FILE_POSITION])
-    ranks = [(path, rank) for rank, path in enumerate(sorted(stored.inputFiles()), 1)]
+    # "file:///a" and "file:/a" are the same place.
+    rows = rows.withColumn("_file_path", F.regexp_replace("_file_path", SCHEME_SLASHES, "$1:/"))
+    paths = sorted(re.sub(SCHEME_SLASHES, r"\1:/", path) for path in stored.inputFiles())
+    ranks = [(path, rank) for rank, path in enumerate(paths, 1)]
     files = stored.sparkSession.createDataFrame(ranks, "_file_path string, _file long")
     unknown = F.raise_error(F.concat(F.lit("file not in the list: "), F.col("_file_path"))).cast("long")
     file = F.when(F.col("_file").isNull(), unknown).otherwise(F.col("_file"))

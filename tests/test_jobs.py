@@ -217,7 +217,7 @@ def test_csv_files_are_split_among_tasks(spark, tmp_path):
 
 
 def test_row_ids_do_not_depend_on_how_a_scan_is_cut(spark, tmp_path):
-    path = str(tmp_path / "many.parquet")
+    path = str(tmp_path / "many rows 100%.parquet")
     rows = [(f"p{i}", f"a{i}", "b", 1.0) for i in range(3000)]
     df = spark.createDataFrame(rows, "prompt string, response_A string, response_B string, label double")
     df.repartition(6).write.option("parquet.block.size", 4096).parquet(path)
