@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.lineage import cut_lineage
 
@@ -98,8 +99,11 @@ def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
 ROW = "bucket_table int, bucket bigint, length int, id bigint, is_query boolean, vector binary"
 
 
-def hashed_rows(found: DataFrame, is_query: Column, tables: int, parts: int, probes: int, seed: int, vectors: bool) -> DataFrame:
-    """A row per table of every vector, and a row per table and probe of every query."""
+def hashed_rows(
+    found: DataFrame, is_query: Column, tables: int, parts: int, probes: int, seed: int, dtype: str | None
+) -> DataFrame:
+    """A row per table of every vector, and a row per table and probe of every query, with the
+    vectors as ``dtype``; without ``dtype`` neither vectors nor queries, for counting."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Hasher] = {}
@@ -113,14 +117,14 @@ def hashed_rows(found: DataFrame, is_query: Column, tables: int, parts: int, pro
                 rows = np.flatnonzero(lengths == length)
                 x = values[offsets[rows][:, None] + np.arange(length)]
                 hasher = known.setdefault(int(length), Hasher(int(length), tables, parts, seed))
-                payload = np.array([v.tobytes() for v in x], dtype=object) if vectors else None
+                payload = np.array([v.tobytes() for v in x.astype(dtype)], dtype=object) if dtype else None
                 for table in range(tables):
                     ask = asks[rows]
                     own = hasher.probes(x, table, 1)[:, 0]
                     names = [own]
                     which = [np.arange(len(rows))]
                     kinds = [np.zeros(len(rows), bool)]
-                    if vectors and ask.any():
+                    if dtype and ask.any():
                         q = np.flatnonzero(ask)
                         more = hasher.probes(x[q], table, probes)
                         names.append(more.ravel())
@@ -134,7 +138,7 @@ def hashed_rows(found: DataFrame, is_query: Column, tables: int, parts: int, pro
                             pa.array(np.full(len(at), length, np.int32)),
                             pa.array(ids[rows][at]),
                             pa.array(np.concatenate(kinds)),
-                            pa.array(payload[at], pa.binary()) if vectors else pa.nulls(len(at), pa.binary()),
+                            pa.array(payload[at], pa.binary()) if dtype else pa.nulls(len(at), pa.binary()),
                         ],
                         names=["bucket_table", "bucket", "length", "id", "is_query", "vector"],
                     )
@@ -142,13 +146,13 @@ def hashed_rows(found: DataFrame, is_query: Column, tables: int, parts: int, pro
     return found.select("id", "vector", is_query.alias("is_query")).mapInArrow(over, ROW)
 
 
-def nearest_in_block(group: pa.Table, k: int, rows_at_once: int = 256) -> pa.Table:
+def nearest_in_block(group: pa.Table, k: int, dtype: str, rows_at_once: int = 256) -> pa.Table:
     """The k nearest vectors of the block for each of its queries: (query_id, vec_id, score)."""
     asks = group.column("is_query").to_numpy(zero_copy_only=False)
     ids = group.column("id").to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if asks.any() and not asks.all():
-        x = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype=np.float64).reshape(len(ids), -1)
+        x = np.frombuffer(b"".join(group.column("vector").to_pylist()), dtype).reshape(len(ids), -1).astype(float)
         order = np.argsort(ids[~asks], kind="stable")
         vec_ids, vecs = ids[~asks][order], x[~asks][order]
         q_ids, first = np.unique(ids[asks], return_index=True)
@@ -173,7 +177,7 @@ def nearest_in_block(group: pa.Table, k: int, rows_at_once: int = 256) -> pa.Tab
 FOUND = "query_id bigint, vec_id bigint, score double"
 
 
-def _in_blocks(rows: DataFrame, by: list[str], sizes: DataFrame, block_rows: int, k: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, by: list[str], sizes: DataFrame, block_rows: int, k: int, dtype: str) -> DataFrame:
     """Search every group of rows, large ones in blocks; ``sizes`` has the groups above a block."""
     blocks = F.coalesce(F.ceil(F.col("m") / block_rows), F.lit(1)).cast("int")
     all_blocks, own = F.sequence(F.lit(0), blocks - 1), F.array(F.pmod(F.xxhash64("id"), blocks).cast("int"))
@@ -181,7 +185,7 @@ def _in_blocks(rows: DataFrame, by: list[str], sizes: DataFrame, block_rows: int
     return (
         placed.select(*by, "block", "id", "is_query", "vector")
         .groupBy(*by, "block")
-        .applyInArrow(lambda g: nearest_in_block(g, k), FOUND)
+        .applyInArrow(lambda g: nearest_in_block(g, k, dtype), FOUND)
     )
 
 
@@ -191,23 +195,26 @@ def nearest_neighbours(
     id: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    tables: int = 16,
+    tables: int = 20,
     probes: int = 8,
     bucket_rows: int = 512,
     block_rows: int = 4096,
     seed: int = 5,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows for which
-    ``is_query``, a condition on the column ``id``, holds; score is the Euclidean distance."""
+    ``is_query``, a condition on the column ``id``, holds; score is the Euclidean distance.
+
+    ``probes`` is per part of a bucket's name: names of two parts have probes ** 2 probes.
+    """
+    dtype = "<f4" if rows.schema[vector].dataType == T.ArrayType(T.FloatType()) else "<f8"
     found = cut_lineage(usable(rows, id, vector))
     n, length = found.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     parts = parts_for(n, length or 1, bucket_rows)
     by = ["bucket_table", "bucket", "length"]
-    codes = hashed_rows(found, F.lit(False), tables, parts, probes, seed, vectors=False)
+    codes = hashed_rows(found, F.lit(False), tables, parts, 1, seed, None)
     sizes = cut_lineage(codes.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block_rows))
-    placed = hashed_rows(found, is_query, tables, parts, probes, seed, vectors=True)
-    near = _best(_in_blocks(placed, by, sizes, block_rows, k), k)
-    near = cut_lineage(near)
+    placed = hashed_rows(found, is_query, tables, parts, probes**parts, seed, dtype)
+    near = cut_lineage(_best(_in_blocks(placed, by, sizes, block_rows, k, dtype), k))
     asked = found.filter(is_query).select(F.col("id").alias("query_id")).distinct()
     short = cut_lineage(
         asked.join(near.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
@@ -218,17 +225,17 @@ def nearest_neighbours(
         return near
     every = found.select(F.size("vector").alias("length"), "id", F.lit(False).alias("is_query"), "vector")
     again = every.join(short, "id").withColumn("is_query", F.lit(True))
-    packed = _as_binary(every.unionByName(again))
+    packed = _as_binary(every.unionByName(again), dtype)
     whole = found.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("m"))
-    rest = _best(_in_blocks(packed, ["length"], whole, block_rows, k), k)
+    rest = _best(_in_blocks(packed, ["length"], whole, block_rows, k, dtype), k)
     return near.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").unionByName(rest)
 
 
-def _as_binary(rows: DataFrame) -> DataFrame:
+def _as_binary(rows: DataFrame, dtype: str) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(dtype)
             data = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(3)] + [pa.array(data, pa.binary())], names=["length", "id", "is_query", "vector"]
