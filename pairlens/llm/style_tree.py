@@ -42,20 +42,22 @@ from pairlens.lineage import cut_lineage
 from pairlens.llm.common import OWN, whole
 
 GAMMA = 0.9
-SKIPPED = "script style noscript template head iframe svg math object canvas audio video textarea select option button".split()
+SKIPPED = "script style noscript template title head iframe svg math object canvas audio video textarea select option button".split()
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var".split()
 )
-NOISE_TAGS = frozenset("nav footer aside form menu dialog fieldset figcaption".split())
+NOISE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner menu nav navbar "
     "navigation sidebar side aside footer foot breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
-    "comment comments reply replies respondent disqus widget toolbar pagination pager masthead topbar skip hidden".split()
+    "comment comments commentlist commentform reply replies respondent disqus adsbygoogle copyright widget toolbar pagination pager masthead topbar skip hidden".split()
 )
+# A header with one of these in its name belongs to the article.
+OWN_HEADER = frozenset("article post entry content story title image".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "option": {"option"},
@@ -84,8 +86,19 @@ def says_noise(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(w.lower() in NOISE_WORDS for w in NAME_WORD.findall(named))
+    return not NOISE_WORDS.isdisjoint(name_words(attrs))
+
+
+def name_words(attrs: dict[str, str]) -> list[str]:
+    """Words of the class and id of an element."""
+    return [w.lower() for w in NAME_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
+
+
+def is_page_header(tag: str, attrs: dict[str, str]) -> bool:
+    if tag == "header":
+        return True
+    words = name_words(attrs)
+    return tag not in ("html", "body") and "header" in words and OWN_HEADER.isdisjoint(words)
 
 
 def _hash(text: str, seed: int = 0) -> int:
@@ -137,7 +150,7 @@ class Page:
         if self.children[above][-1:] != [node]:  # a run of equal children counts once
             self.children[above].append(node)
         is_main = main or tag in ("article", "main") or attrs.get("role", "").lower() == "main"
-        noise = noise or (tag == "header" and not main)
+        noise = noise or (not main and is_page_header(tag, attrs))
         self.stack.append((tag, node, was_noise or noise, is_main))
 
     def _close_implied(self, tag: str) -> None:
@@ -187,7 +200,7 @@ class Page:
                     end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
                     if end is None and tag == "head":
                         end = re.compile(r"(?=<body\b)", re.I).search(source, at)
-                    if end is None and tag not in ("option", "button", "select"):
+                    if end is None and tag not in ("head", "option", "button", "select"):
                         return
                     at = end.end() if end else at
             elif tag in VOID:

@@ -30,6 +30,9 @@ def text_of(html):
         ("<div hidden>x</div><div style='display: none'>y</div><div role=navigation>z</div><p>k</p>", "k"),
         ("<p>a</p></div></p></article><p>b</p>", "a b"),
         ("<span class='advert'>buy</span><p>own</p>", "own"),
+        ("<div class='site-header'>S</div><div class=entry-header>T</div><ol class=commentlist><li>hm</ol><p>own</p>", "T own"),
+        ("<title>no</title><head><meta charset=utf-8><p>yes</p>", "yes"),
+        ("<figure><img src=x><figcaption>seen</figcaption></figure><p>read", "seen read"),
         ("<adverse><p>a</p></adverse><div class=shadow>b</div><div class=header-image>c</div>", "a b c"),
     ],
 )
