@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,20 @@ Completer = Callable[[Sequence[str]], Sequence[str | None]]
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
+@dataclass(frozen=True)
+class Completers:
+    """A service for each role of a job. Models, timeouts and token limits are the services' own."""
+
+    interpreter: Completer
+    annotator: Completer
+    abbreviator: Completer
+
+    @classmethod
+    def of(cls, given: Completer | Completers) -> Completers:
+        """One completer serves all roles."""
+        return given if isinstance(given, cls) else cls(given, given, given)
+
+
 def ask(tasks: DataFrame, keys: list[str], completer: Completer, concurrency: int | None = None, batch_size: int = 64) -> DataFrame:
     """(keys..., answer) for every row's ``prompt``; a failing batch is retried item by item.
 

@@ -30,19 +30,26 @@ class InterpretConfig:
 
 
 TextsFor = Callable[[DataFrame], DataFrame]
+# (activations, config, id) to (neuron_idx, candidate_idx, id, act).
+Sampler = Callable[[DataFrame, InterpretConfig, str], DataFrame]
 
 
-def interpretation_prompts(acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, id: str = "row_id") -> DataFrame:
+def strongest_rows(acts: DataFrame, cfg: InterpretConfig, id: str) -> DataFrame:
+    """The sampler unless another one is given: random rows among the strongest activations."""
+    return sample_top_only(
+        acts, cfg.n_examples, cfg.percentile_bin, cfg.n_top, cfg.nonzero_only, cfg.seed, id, cfg.n_candidates
+    )
+
+
+def interpretation_prompts(
+    acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, id: str = "row_id", sampler: Sampler = strongest_rows
+) -> DataFrame:
     """(neuron_idx, candidate_idx, prompt) with ``n_examples`` rendered pairs each.
 
     ``texts_for(samples)`` returns (id, text) for the sampled ids; it is given the samples in a
     checkpoint, so that only these few rows of the wide table are ever rendered.
     """
-    samples = cut_lineage(
-        sample_top_only(
-            acts, cfg.n_examples, cfg.percentile_bin, cfg.n_top, cfg.nonzero_only, cfg.seed, id, cfg.n_candidates
-        )
-    )
+    samples = cut_lineage(sampler(acts, cfg, id))
     text = swap_if_negative(F.col("text"), F.col("act")) if cfg.swap_negative else F.col("text")
     text = truncate_col(text, max_words=cfg.max_words)
     rendered = samples.join(texts_for(samples).select(id, "text"), id).select(
@@ -60,10 +67,10 @@ def interpretation_prompts(acts: DataFrame, texts_for: TextsFor, cfg: InterpretC
 
 def interpret(
     acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, completer: Completer,
-    concurrency: int | None = None, id: str = "row_id",
+    concurrency: int | None = None, id: str = "row_id", sampler: Sampler = strongest_rows,
 ) -> DataFrame:
     """(neuron_idx, candidate_idx, interpretation); empty or failed answers are left out."""
-    prompts = interpretation_prompts(acts, texts_for, cfg, id)
+    prompts = interpretation_prompts(acts, texts_for, cfg, id, sampler)
     keys = ["neuron_idx", "candidate_idx"]
     answers = complete(prompts, keys, completer, clean_interpretation, 1, concurrency)
     return answers.select(*keys, F.col("parsed").alias("interpretation")).filter("interpretation <> ''")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pairlens.functions.text import text_key
 from pairlens.lineage import cut_lineage
 from pairlens.operators.activations import firing_rates
 from pairlens.operators.annotate import annotate
-from pairlens.operators.completion import Completer, Embedder
+from pairlens.operators.completion import Completer, Completers, Embedder
 from pairlens.operators.dedup import augment_signs
 from pairlens.operators.embed import embed_texts
 from pairlens.operators.encoder import (
@@ -23,7 +24,7 @@ from pairlens.operators.encoder import (
 )
 from pairlens.operators.encoder_fit import fit_encoder
 from pairlens.operators.fidelity import best_candidates, faithful, fidelity, mean_abs_correlation
-from pairlens.operators.interpret import abbreviate, interpret
+from pairlens.operators.interpret import Sampler, abbreviate, interpret, strongest_rows
 from pairlens.operators.linear import controlled_coefs, lasso_search
 from pairlens.operators.probe import feature_vector, fit_probe, probe_scores
 from pairlens.operators.redundancy import redundancy
@@ -52,16 +53,45 @@ def train_encoder(
     return params
 
 
+def bins_by_config(acts: DataFrame, cfg: InterpretationConfig) -> DataFrame:
+    """Scoring samples: random rows of a high and a low bin of each neuron's activations."""
+    kw = cfg.scoring_sampling_kwargs
+    low = kw.get("low_percentile")
+    return sample_percentile_bins(
+        acts,
+        cfg.scoring_n_examples,
+        tuple(kw.get("high_percentile", (90, 100))),
+        tuple(low) if low is not None else None,
+        kw.get("nonzero_only", True),
+        seed="neuron_idx",
+    )
+
+
+@dataclass(frozen=True)
+class Hooks:
+    """What a job may be given in place of its own samplers and its rendering of a pair.
+
+    ``interpret_sampler`` returns (neuron_idx, candidate_idx, row_id, act), ``scoring_sampler``
+    (neuron_idx, row_id, act, is_positive), and ``texts`` the (row_id, text) of sampled rows.
+    """
+
+    interpret_sampler: Sampler = strongest_rows
+    scoring_sampler: Callable[[DataFrame, InterpretationConfig], DataFrame] = bins_by_config
+    texts: Callable[[DataFrame, DataFrame, DatasetConfig], DataFrame] = sampled_pair_texts
+
+
 def interpret_features(
     rows: DataFrame, acts_dedup: DataFrame, dataset: DatasetConfig, cfg: InterpretationConfig,
-    completer: Completer, concurrency: int | None = None,
+    completer: Completer, concurrency: int | None = None, hooks: Hooks = Hooks(),
 ) -> DataFrame:
     """(neuron_idx, candidate_idx, interpretation) from samples of ``acts_dedup``."""
 
     def texts_for(samples: DataFrame) -> DataFrame:
-        return sampled_pair_texts(rows, samples, dataset)
+        return hooks.texts(rows, samples, dataset)
 
-    return interpret(acts_dedup, texts_for, cfg.interpret_config(), completer, concurrency)
+    return interpret(
+        acts_dedup, texts_for, cfg.interpret_config(), completer, concurrency, sampler=hooks.interpret_sampler
+    )
 
 
 @dataclass
@@ -74,22 +104,12 @@ class Scores:
 def score_features(
     interpretations: DataFrame, rows: DataFrame, acts_train: DataFrame, dataset: DatasetConfig,
     cfg: InterpretationConfig, completer: Completer, cache_path: str | None = None,
-    concurrency: int | None = None,
+    concurrency: int | None = None, hooks: Hooks = Hooks(),
 ) -> Scores:
     """Annotate sampled pairs with every description and keep the faithful ones."""
-    kw = cfg.scoring_sampling_kwargs
-    low = kw.get("low_percentile")
-    samples = cut_lineage(
-        sample_percentile_bins(
-            acts_train,
-            cfg.scoring_n_examples,
-            tuple(kw.get("high_percentile", (90, 100))),
-            tuple(low) if low is not None else None,
-            kw.get("nonzero_only", True),
-            seed="neuron_idx",
-        ).join(interpretations.select("neuron_idx").distinct(), "neuron_idx", "left_semi")
-    )
-    texts = sampled_pair_texts(rows, samples, dataset)
+    described = interpretations.select("neuron_idx").distinct()
+    samples = cut_lineage(hooks.scoring_sampler(acts_train, cfg).join(described, "neuron_idx", "left_semi"))
+    texts = hooks.texts(rows, samples, dataset)
     samples = cut_lineage(
         samples.join(texts, "row_id").withColumn("text_key", text_key(F.col("text")))
     )
@@ -232,14 +252,17 @@ SUMMARY = "metric string, value double"
 
 
 def run_job(
-    spark: SparkSession, cfg: JobConfig, embedder: Embedder, completer: Completer,
-    df: DataFrame | None = None, n_partitions: int | None = None,
+    spark: SparkSession, cfg: JobConfig, embedder: Embedder, completer: Completer | Completers,
+    df: DataFrame | None = None, n_partitions: int | None = None, hooks: Hooks = Hooks(),
 ) -> JobResult:
     """Everything from the preference table (or ``df``) to the feature table.
 
+    ``completer`` serves all roles, or is one service for each (``Completers``).
+
     Results that later steps share, and all answers that cost money, are checkpointed or
     cached; the rest stays lazy.
     """
+    ask = Completers.of(completer)
     runtime = cfg.runtime
     if runtime.debug:
         cfg = for_debug(cfg)
@@ -263,15 +286,16 @@ def run_job(
     icfg = cfg.interpretation
     interpretations = cut_lineage(
         interpret_features(
-            data.rows, acts.filter(in_subset("dedup_train")), cfg.dataset, icfg, completer, min(icfg.n_workers_interpretation, cores)
+            data.rows, acts.filter(in_subset("dedup_train")), cfg.dataset, icfg, ask.interpreter,
+            min(icfg.n_workers_interpretation, cores), hooks,
         )
     )
     scores = score_features(
-        interpretations, data.rows, acts_train, cfg.dataset, icfg, completer, cache("annotations"),
-        min(icfg.n_workers_annotation, cores),
+        interpretations, data.rows, acts_train, cfg.dataset, icfg, ask.annotator, cache("annotations"),
+        min(icfg.n_workers_annotation, cores), hooks,
     )
     best = cut_lineage(scores.best)
-    short = abbreviate(best, completer)
+    short = abbreviate(best, ask.abbreviator)
     concepts = best.select(
         F.col("neuron_idx").alias("id"), F.col("interpretation").alias("text"), text_key(F.col("interpretation")).alias("text_key")
     )
@@ -297,6 +321,8 @@ def run_job(
         ("quality/num_neurons_total", float(params.n_neurons)),
         ("quality/num_neurons_kept", float(len(kept))),
         ("sae/reconstruction_norm_mse_train_val", loss.first()[0]),
+        # Pairs that take no part because a response has no vector.
+        ("data/num_pairs_without_vector", float(data.members.count() - emb.deltas.count())),
     ]
     return JobResult(
         params, data, emb, acts, interpretations, scores,

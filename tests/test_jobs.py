@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pairlens import config, prompts
 from pairlens.functions.text import pairwise_text, text_key
-from pairlens.operators import annotate, embed, encoder, interpret
-from pairlens.operators.completion import HashingEmbedder, complete, lexical_completer
+from pairlens.operators import annotate, embed, encoder, interpret, sampling
+from pairlens.operators.completion import Completers, HashingEmbedder, complete, lexical_completer
 from pairlens.operators.joins import text_concept_tasks
 from pairlens.plans import features, preprocess, reward, sweep
 from pairlens.sources import caches, derived, loader, sinks
@@ -295,6 +295,33 @@ def test_whole_job_writes_consistent_tables(spark, tmp_path):
     assert not stored[0].selected and stored[1].selection_score == 0.5 and stored[1].selection_method == "lasso"
 
 
+def test_roles_and_hooks(spark):
+    """Each role asks its own service; samplers and texts may be replaced."""
+    seen = []
+
+    def top_zero(acts, cfg):
+        seen.append("scoring")
+        return sampling.sample_top_zero(acts, cfg.scoring_n_examples)
+
+    def shouted(rows, samples, dataset):
+        texts = preprocess.sampled_pair_texts(rows, samples, dataset)
+        return texts.withColumn("text", F.upper("text"))
+
+    spec = small_config()
+    spec["sae"]["n_epochs"] = 1
+    spec["interpretation"]["n_candidates"] = 1
+    result = features.run_job(
+        spark, config.job_config(spec), HashingEmbedder(16),
+        Completers(lexical_completer, lexical_completer, lambda ps: ["short form"] * len(ps)),
+        derived.preferences(spark, SF), hooks=features.Hooks(scoring_sampler=top_zero, texts=shouted),
+    )
+    rows = result.features.collect()
+    assert seen == ["scoring"]
+    assert {r.abbreviated_interpretation for r in rows} <= {"short form", ""}
+    values = {r.metric: r.value for r in result.summary.collect()}
+    assert values["data/num_pairs_without_vector"] == 0.0
+
+
 def lexical_traits():
     from pairlens.operators.completion import LEXICAL_TRAITS
 
