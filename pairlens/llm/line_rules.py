@@ -132,7 +132,7 @@ def judge_documents(
     min_documents: int = 20,
     share: float = 0.005,
     min_words: int = MIN_WORDS,
-    min_left: float = 0.4,
+    min_left: float = 1 / 3,
 ) -> DataFrame:
     """One row per row of ``docs``: key, id, measures, base_failed, n_common_lines,
     n_common_words and kept.
@@ -155,13 +155,14 @@ def judge_documents(
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     left = F.col("n_words") - F.col("n_common_words")
-    depleted = (left < min_words) | (left < min_left * F.col("n_words"))
+    share_left = left / F.col("n_words")
+    depleted = (share_left < min_left) | ((share_left < 0.5) & (left < min_words))
     return (
         measured.drop(HOST, SIGNATURE, LINES)
         .join(hits, KEY, "left")
         .fillna(0, ["n_common_lines", "n_common_words"])
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & ~((F.col("n_common_words") > 0) & depleted))
+        .withColumn("kept", ~(F.col("base_failed") | ((F.col("n_common_words") > 0) & depleted)))
     )
 
 
