@@ -3,8 +3,11 @@ documents of which too little is left without them. DataFrame functions only.
 
 Lines are normalised (lower case, single blanks, trimmed) and hashed with their host. A line's
 frequency is the number of distinct documents of the host that hold it. Copies and near copies are
-not distinct documents: a document is represented by the smallest hash of its five-word windows,
-which copies share, so the text of a much-copied page is not mistaken for boilerplate.
+not distinct documents: a document is represented by the smallest and by the largest hash of its
+five-word windows, which copies share, so the text of a much-copied page is not mistaken for
+boilerplate. Each of the two is counted, and the larger count holds: documents that share a line
+may by chance share one extreme through it, but hardly both. The count never exceeds the number of
+distinct texts.
 
 A line is common if its frequency exceeds both ``min_documents`` and ``share`` of the distinct
 documents of its host. A document is depleted if, without its common lines, fewer than
@@ -30,7 +33,7 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 LINE_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-HOST, SIGNATURE, LINES = OWN + "host", OWN + "signature", OWN + "lines"
+HOST, SIGNATURES, LINES = OWN + "host", OWN + "signatures", OWN + "lines"
 
 
 def window_hashes(w: Column, size: int = WINDOW) -> Column:
@@ -87,7 +90,7 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
         "n_symbols",
         (F.size(spoken) - F.size(F.array_distinct(spoken))).cast("long").alias("n_dup_lines"),
         _covered(F.col(h), WINDOW).alias("n_repeat_words"),
-        F.coalesce(F.array_min(h), F.xxhash64(w)).alias(SIGNATURE),
+        F.array(*[F.coalesce(end(h), F.xxhash64(w)) for end in (F.array_min, F.array_max)]).alias(SIGNATURES),
         F.transform(
             spoken,
             lambda x: F.struct(
@@ -103,20 +106,15 @@ def common_lines(measured: DataFrame, min_documents: int, share: float) -> DataF
     Counted in two steps, by (host, line, document) and by (host, line), both combined on the map
     side, so a line that a third of all documents hold is spread over all tasks.
     """
-    held = measured.select(HOST, SIGNATURE, F.explode(LINES).alias("l")).select(HOST, SIGNATURE, "l.line")
-    frequency = (
-        held.select(HOST, "line", SIGNATURE)
-        .distinct()
-        .groupBy(HOST, "line")
-        .agg(F.count(F.lit(1)).alias("n_documents"))
-        .filter(F.col("n_documents") > min_documents)
-    )
-    hosts = (
-        measured.select(HOST, SIGNATURE)
-        .distinct()
-        .groupBy(HOST)
-        .agg(F.count(F.lit(1)).alias("_host_documents"))
-    )
+    signed = measured.select(HOST, LINES, F.posexplode(SIGNATURES).alias("_kind", "_signature"))
+    lines = signed.select(HOST, "_kind", "_signature", F.explode(LINES).alias("l")).select("*", "l.line")
+
+    def distinct_documents(rows: DataFrame, by: list[str], out: str) -> DataFrame:
+        each = rows.select(*by, "_kind", "_signature").distinct().groupBy(*by)
+        return each.agg(F.greatest(*[F.count_if(F.col("_kind") == k) for k in range(2)]).alias(out))
+
+    frequency = distinct_documents(lines, [HOST, "line"], "n_documents").filter(F.col("n_documents") > min_documents)
+    hosts = distinct_documents(signed, [HOST], "_host_documents")
     return (
         frequency.join(hosts, HOST)
         .filter(F.col("n_documents") > F.col("_host_documents") * share)
@@ -155,10 +153,10 @@ def judge_documents(
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     left = F.col("n_words") - F.col("n_common_words")
-    share_left = left / F.col("n_words")
-    depleted = (share_left < min_left) | ((share_left < 0.5) & (left < min_words))
+    most = 2 * left < F.col("n_words")
+    depleted = (left < min_left * F.col("n_words")) | (most & (left < min_words))
     return (
-        measured.drop(HOST, SIGNATURE, LINES)
+        measured.drop(HOST, SIGNATURES, LINES)
         .join(hits, KEY, "left")
         .fillna(0, ["n_common_lines", "n_common_words"])
         .withColumn("base_failed", failed)
