@@ -8,7 +8,7 @@ two nodes or more go on.
 Buckets are compared without listing their pairs. Every node has a home, the largest of its buckets,
 and large homes are cut into blocks of at most ``block_nodes`` nodes and ``block_shingles``
 shingles by hash. Blocks that meet in some bucket make a block pair, compared once, in one task, by
-products of sparse membership matrices. A node is in one block only, so no pair of nodes is seen
+pair counts of rare shingles and matrix products of frequent ones. A node is in one block only, so no pair of nodes is seen
 twice. A task returns, per node, the number of linked documents and one edge of a spanning forest.
 Homes are the largest buckets, hence a bucket of m nodes meets few blocks: at most m, and at most
 all buckets' members divided by m.
@@ -134,31 +134,66 @@ def sign(docs: DataFrame, id: str, text: str, n: int, bands: int, rows: int) ->
     return keyed.select(*KEY, F.col(id).cast("long"), F.col(text).cast("binary")).mapInArrow(over, schema)
 
 
-def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs with a Jaccard similarity of at least ``threshold``.
+# Shingles of up to so many sets are counted pair by pair, the others by matrix products.
+RARE = 64
+WIDTH = 2048
 
-    Only shingles of at least two sets matter; their columns are worked off in bounded slices.
-    """
-    sets = [*left, *right]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+
+def common_counts(sets: list[np.ndarray], n_left: int) -> np.ndarray:
+    """Numbers of shingles that the first ``n_left`` sets share with the rest, or, where there is
+    no rest, with each other. Sets are ascending and without repetitions."""
+    within = n_left == len(sets)
+    first = 0 if within else n_left
+    common = np.zeros((n_left, len(sets) - first), dtype=np.float32)
+    sizes = [len(s) for s in sets]
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    fresh = np.r_[True, values[1:] != values[:-1]] if len(values) else np.zeros(0, bool)
-    column = np.cumsum(fresh) - 1
-    shared = np.bincount(column, minlength=1)[column] > 1 if len(values) else fresh
-    owner, column = owner[shared], column[shared]
-    column = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
-    common = np.zeros((len(left), len(right)), dtype=np.float32)
-    width = 4096
-    starts = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + width, width))
-    for k, (a, b) in enumerate(zip(starts[:-1], starts[1:])):
-        member = np.zeros((len(sets), width), dtype=np.float32)
-        member[owner[a:b], column[a:b] - k * width] = 1.0
-        common += member[: len(left)] @ member[len(left) :].T
-    union = sizes[: len(left), None] + sizes[None, len(left) :] - common
-    return (union > 0) & (common >= threshold * union - 1e-6 * union)
+    if not len(values):
+        return common
+    column = np.cumsum(np.r_[True, values[1:] != values[:-1]]) - 1
+    holders = np.bincount(column)[column]
+
+    rare = (holders > 1) & (holders <= RARE)
+    own, col = owner[rare], column[rare]
+    for step in range(1, RARE):
+        if step >= len(col):
+            break
+        a, b = own[:-step], own[step:]
+        both = col[:-step] == col[step:]
+        if not within:
+            both &= (a < n_left) & (b >= n_left)
+        if not both.any():
+            if not (col[:-step] == col[step:]).any():
+                break
+            continue
+        np.add.at(common, (a[both], b[both] - first), 1.0)
+        if within:
+            np.add.at(common, (b[both], a[both]), 1.0)
+
+    frequent = holders > RARE
+    own, col = owner[frequent], column[frequent]
+    col = np.cumsum(np.r_[True, col[1:] != col[:-1]]) - 1 if len(col) else col
+    for start in range(0, (int(col[-1]) + 1) if len(col) else 0, WIDTH):
+        a, b = np.searchsorted(col, [start, start + WIDTH])
+        member = np.zeros((len(sets), WIDTH), dtype=np.float32)
+        member[own[a:b], col[a:b] - start] = 1.0
+        common += member[:n_left] @ member[first:].T
+    return common
+
+
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Boolean matrix of the pairs with a Jaccard similarity of at least ``threshold``, between two
+    lists of sets or, without ``right``, within one, where no set pairs with itself."""
+    common = common_counts([*left, *(right or [])], len(left))
+    rows = np.array([len(s) for s in left], dtype=np.float32)
+    columns = rows if right is None else np.array([len(s) for s in right], dtype=np.float32)
+    union = rows[:, None] + columns[None, :] - common
+    linked = (common > 0) & (common >= (threshold - 1e-6) * union)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    return linked
 
 
 def compare_blocks(group: pa.Table, threshold: float, n: int) -> pa.Table:
@@ -169,9 +204,7 @@ def compare_blocks(group: pa.Table, threshold: float, n: int) -> pa.Table:
     sets = [shingles(t, n) for t in group.column("text").to_pylist()]
     first, last = np.flatnonzero(blocks == blocks.min()), np.flatnonzero(blocks == blocks.max())
     alone = blocks.min() == blocks.max()
-    linked = similar_pairs([sets[i] for i in first], [sets[i] for i in last], threshold)
-    if alone:
-        np.fill_diagonal(linked, False)
+    linked = similar_pairs([sets[i] for i in first], None if alone else [sets[i] for i in last], threshold)
     links = np.zeros(len(nodes), dtype=np.int64)
     links[first] += linked @ copies[last]
     if not alone:
@@ -206,7 +239,7 @@ def jaccard_classes(
     threshold: float = THRESHOLD,
     recall: float = RECALL,
     n: int = SHINGLE,
-    block_nodes: int = 256,
+    block_nodes: int = 2048,
     block_shingles: int = 1 << 19,
 ) -> DataFrame:
     """One row per row of ``docs``: key, id, class_id, n_links (documents of similarity

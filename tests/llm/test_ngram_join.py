@@ -105,6 +105,22 @@ def test_similar_pairs_in_slices_of_columns():
     assert ngram_join.similar_pairs(left, right, 0.8).tolist() == want
 
 
+@pytest.mark.parametrize("rare", [2, 64])
+def test_common_counts_by_pairs_and_by_products(monkeypatch, rare):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    monkeypatch.setattr(ngram_join, "WIDTH", 16)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(0, 40), dtype=np.uint64)) for _ in range(100)]
+    common = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    between = ngram_join.common_counts(sets, 30)
+    assert between.tolist() == [row[30:] for row in common[:30]]
+    within = ngram_join.common_counts(sets, 100)
+    np.fill_diagonal(within, 0)
+    np.fill_diagonal(want := np.array(common), 0)
+    assert within.tolist() == want.tolist()
+    assert ngram_join.common_counts([], 0).shape == (0, 0)
+
+
 @pytest.mark.parametrize("table", [documents, odd_documents])
 def test_one_of_each_class_stays(spark, table):
     docs = table(spark)
