@@ -48,9 +48,10 @@ TOP = 5
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string."""
+    """Arrays as one compressed string; bytes of equal weight stand together, as they are alike."""
     head = np.array([len(arrays), *[x for a in arrays for x in (ord(a.dtype.char), len(a))]], dtype=np.int64).tobytes()
-    data = head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    data = head + b"".join(planes)
     return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
@@ -60,11 +61,33 @@ def unpack(data: bytes) -> list[np.ndarray]:
     kinds = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2)
     at, out = 8 * (2 * n + 1), []
     for char, length in kinds.tolist():
-        out.append(np.frombuffer(raw, np.dtype(chr(char)), length, at))
-        at += out[-1].nbytes
+        kind = np.dtype(chr(char))
+        planes = np.frombuffer(raw, np.uint8, length * kind.itemsize, at).reshape(kind.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(length))
+        at += length * kind.itemsize
     return out
 
 
+def steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending integers from 0 on; ``np.cumsum`` undoes it."""
+    return narrow(np.diff(ascending, prepend=0))
+
+
+def steps_in_runs(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Differences within runs of ascending integers, each run from 0 on."""
+    out = np.diff(values, prepend=0)
+    first = (np.cumsum(runs) - runs)[runs > 0]
+    out[first] = values[first]
+    return narrow(out)
+
+
+def from_steps_in_runs(differences: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    total = np.cumsum(differences.astype(np.int64))
+    first = np.cumsum(runs) - runs
+    before = np.r_[0, total][first]
+    return total - np.repeat(before, runs)
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     """Counts in the smallest unsigned type."""
     top = int(values.max()) if len(values) else 0
@@ -124,10 +147,14 @@ def blocks_of(docs: DataFrame, training: Column, id: str, text: str, block_token
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(p) for p in parts], dtype=np.int64)
-            hashes, local = np.unique(np.concatenate(parts), return_inverse=True)
+            hashes, local, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            frequent = np.argsort(-counts, kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(hashes), dtype=np.uint32)
+            rank[frequent] = np.arange(len(hashes), dtype=np.uint32)
+            hashes, local = hashes[frequent], rank[local]
             row = {
                 "block": base + nth, "doc_ids": ids, "training": trained, "lengths": pack(narrow(lengths)),
-                "words": pack(local.astype(np.uint32)), "hashes": pack(hashes), "n_words": len(hashes), "n_tokens": len(local),
+                "words": pack(local), "hashes": pack(hashes), "n_words": len(hashes), "n_tokens": len(local),
             }
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
@@ -157,7 +184,7 @@ def blocks_of(docs: DataFrame, training: Column, id: str, text: str, block_token
 
 
 class Block:
-    """A block read back: its documents, and per token its word, context and document."""
+    """A block read back: its documents and the word of each token, a number into ``hashes``."""
 
     def __init__(self, row: dict):
         self.number = row["block"]
@@ -169,14 +196,30 @@ class Block:
         (self.hashes,) = unpack(row["hashes"])
         self.token_training = np.repeat(self.training, self.lengths)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (context, word) as context * n + word, and the pair of each token."""
+    def answered(self, answers: dict[int, bytes], parts: int) -> None:
+        """Take in the words' counts and ids, and number the words by ascending id.
+
+        An id is the rank of the word in its partition, made unique by the partition.
+        """
+        n = len(self.hashes)
+        counts, ids = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for p, at in _split(word_part(self.hashes, parts)):
+            count, rank = unpack(answers[p])
+            counts[at], ids[at] = count, rank.astype(np.int64) * parts + p
+        by_id = np.argsort(ids, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[by_id] = np.arange(n)
+        self.words = rank[self.words]
+        self.hashes, self.counts, self.ids = self.hashes[by_id], counts[by_id], ids[by_id]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts and words of the distinct pairs in ascending order, and the pair of each token."""
         n = len(self.hashes)
-        end = int(np.searchsorted(self.hashes, END))
         before = np.empty(len(self.words), dtype=np.int64)
         before[1:] = self.words[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = end
-        return np.unique(before * n + self.words, return_inverse=True)
+        before[np.cumsum(self.lengths) - self.lengths] = int(np.flatnonzero(self.hashes == END)[0])
+        pairs, where = np.unique(before * n + self.words, return_inverse=True)
+        return *np.divmod(pairs, n), where
 
 
 ASK = "part bigint, block bigint, question binary"
@@ -232,34 +275,29 @@ def count_words(group: pa.Table) -> pa.Table:
     counts = np.bincount(where, given, len(words)).astype(np.int64)
     rows, at = [], 0
     for block, (hashes, _) in zip(blocks, questions):
-        rows.append(_answer(0, block, part, pack(narrow(counts[where[at : at + len(hashes)]]))))
+        here = where[at : at + len(hashes)]
+        rows.append(_answer(0, block, part, pack(narrow(counts[here]), narrow(here))))
         at += len(hashes)
     stats = np.concatenate([_counts_of_counts(counts), [counts.sum(), (counts > 0).sum()]])
     rows.append(_answer(2, None, part, stats.astype(np.int64).tobytes()))
     return pa.Table.from_pylist(rows, schema=ANSWER_ARROW)
 
 
-def _word_counts(block: Block, answers: dict[int, bytes], parts: int) -> np.ndarray:
-    out = np.zeros(len(block.hashes), dtype=np.int64)
-    for p, at in _split(word_part(block.hashes, parts)):
-        out[at] = unpack(answers[p])[0]
-    return out
-
-
 def pair_routes(
-    block: Block, context: np.ndarray, word: np.ndarray, counts: np.ndarray, parts: int, hot: int
+    block: Block, context: np.ndarray, word: np.ndarray, parts: int, hot: int
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(partition, its pairs, its contexts) of the block, in ascending order each.
 
     A pair goes by its context, and if that is hot by its word too. The block asks every partition
     of a hot context about it, those where it has no pair of its own included.
     """
-    spread = np.maximum(-(-counts // hot), 1)
+    spread = np.maximum(-(-block.counts // hot), 1)
+    ids = block.ids.astype(np.uint64)
 
     def part(contexts: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        return (mixed(block.hashes[contexts] + salt.astype(np.uint64) * MIX) % np.uint64(parts)).astype(np.int64)
+        return (mixed(ids[contexts] * STEP + salt.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-    salt = mixed(block.hashes[word]) % spread[context].astype(np.uint64)
+    salt = mixed(ids[word]) % spread[context].astype(np.uint64)
     of_pair = dict(_split(part(context, salt)))
     present = np.unique(context)
     times = spread[present]
@@ -272,12 +310,11 @@ def pair_routes(
 
 def ask_pairs(key: tuple, left: pa.Table, right: pa.Table, word_parts: int, parts: int, hot: int) -> pa.Table:
     block = Block(left.to_pylist()[0])
-    counts = _word_counts(block, dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist())), word_parts)
-    pairs, where = block.pairs()
-    seen = np.bincount(where[block.token_training], minlength=len(pairs))
-    context, word = np.divmod(pairs, len(block.hashes))
+    block.answered(dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist())), word_parts)
+    context, word, where = block.pairs()
+    seen = np.bincount(where[block.token_training], minlength=len(context))
     rows = []
-    for p, at, contexts in pair_routes(block, context, word, counts, parts, hot):
+    for p, at, contexts in pair_routes(block, context, word, parts, hot):
         runs = np.bincount(np.searchsorted(contexts, context[at]), minlength=len(contexts))
         words, number = np.unique(word[at], return_inverse=True)
         rows.append(
@@ -285,8 +322,8 @@ def ask_pairs(key: tuple, left: pa.Table, right: pa.Table, word_parts: int, part
                 "part": p,
                 "block": block.number,
                 "question": pack(
-                    block.hashes[contexts], narrow(runs), block.hashes[words], narrow(counts[words]),
-                    narrow(number), narrow(seen[at]),
+                    steps(block.ids[contexts]), narrow(runs), steps(block.ids[words]), narrow(block.counts[words]),
+                    steps_in_runs(number, runs), narrow(seen[at]),
                 ),
             }
         )
@@ -297,34 +334,41 @@ def count_pairs(group: pa.Table, unigrams: Unigrams) -> pa.Table:
     """Bigram counts, and per context the numbers of successors by count and their unigram mass."""
     part = group.column("part")[0].as_py()
     blocks = group.column("block").to_pylist()
-    questions = [unpack(q) for q in group.column("question").to_pylist()]
+    questions = []
+    for data in group.column("question").to_pylist():
+        contexts, runs, words, counts, number, seen = unpack(data)
+        runs = runs.astype(np.int64)
+        ids = np.cumsum(contexts.astype(np.int64))
+        number = from_steps_in_runs(number, runs)
+        questions.append((ids, runs, np.cumsum(words.astype(np.int64)), counts.astype(np.int64), number, seen))
     contexts, which = np.unique(np.concatenate([q[0] for q in questions]), return_inverse=True)
-    keys, given, owner, mass = [], [], [], []
-    at = 0
-    for hashes, runs, words, counts, number, seen in questions:
-        own = np.repeat(which[at : at + len(hashes)], runs)
-        at += len(hashes)
-        keys.append(mixed(contexts[own]) * STEP + mixed(words)[number])
-        owner.append(own.astype(np.int32))
-        mass.append(unigrams.p(counts.astype(np.int64))[number])
-        given.append(seen.astype(np.int64))
-    pairs, first, where = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    successors, follows = np.unique(np.concatenate([q[2] for q in questions]), return_inverse=True)
+    keys, given = [], []
+    p_word = np.zeros(len(successors))
+    at = done = 0
+    for ids, runs, words, counts, number, seen in questions:
+        own, word = which[at : at + len(ids)], follows[done : done + len(words)]
+        at, done = at + len(ids), done + len(words)
+        keys.append(np.repeat(own, runs) * len(successors) + word[number])
+        given.append(seen)
+        p_word[word] = unigrams.p(counts)
+    pairs, where = np.unique(np.concatenate(keys), return_inverse=True)
     count = np.bincount(where, np.concatenate(given), len(pairs)).astype(np.int64)
-    own, p = np.concatenate(owner)[first], np.concatenate(mass)[first]
+    own, word = np.divmod(pairs, max(len(successors), 1))
     real = count > 0
     n = len(contexts)
     by_count = [np.bincount(own[count == r], minlength=n) for r in range(1, TOP + 1)]
-    covered = np.bincount(own[real], p[real], n)
+    covered = np.bincount(own[real], p_word[word[real]], n)
     rows, at, done = [], 0, 0
-    for block, (hashes, _, _, _, number, _) in zip(blocks, questions):
-        here = which[at : at + len(hashes)]
+    for block, (ids, _, _, _, number, _) in zip(blocks, questions):
+        here = which[at : at + len(ids)]
         rows.append(
             _answer(
                 1, block, part,
                 pack(narrow(count[where[done : done + len(number)]]), *[narrow(c[here]) for c in by_count], covered[here]),
             )
         )
-        at, done = at + len(hashes), done + len(number)
+        at, done = at + len(ids), done + len(number)
     rows.append(_answer(2, None, part, _counts_of_counts(count).astype(np.int64).tobytes()))
     return pa.Table.from_pylist(rows, schema=ANSWER_ARROW)
 
@@ -339,14 +383,13 @@ def evaluate(
     answers: list[dict[int, bytes]] = [{}, {}]
     for kind, p, data in zip(*(right.column(c).to_pylist() for c in ("kind", "part", "answer"))):
         answers[kind][p] = data
-    counts = _word_counts(block, answers[0], word_parts)
-    pairs, where = block.pairs()
-    n = len(block.hashes)
-    context, word = np.divmod(pairs, n)
-    together = np.zeros(len(pairs), dtype=np.int64)
+    block.answered(answers[0], word_parts)
+    counts, n = block.counts, len(block.hashes)
+    context, word, where = block.pairs()
+    together = np.zeros(len(context), dtype=np.int64)
     by_count = np.zeros((TOP, n))
     covered = np.zeros(n)
-    for p, at, contexts in pair_routes(block, context, word, counts, parts, hot):
+    for p, at, contexts in pair_routes(block, context, word, parts, hot):
         found = unpack(answers[1][p])
         together[at] = found[0]
         for r in range(TOP):

@@ -133,3 +133,14 @@ def test_arrays_come_back():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.uint8), np.array([1.5, 2.5])]
     for a, b in zip(arrays, katz.unpack(katz.pack(*arrays))):
         assert a.dtype == b.dtype and a.tolist() == b.tolist()
+
+
+def test_steps_come_back():
+    rng = np.random.default_rng(0)
+    runs = np.array([3, 0, 1, 5, 0, 2, 0])
+    values = np.concatenate([np.sort(rng.integers(0, 100, n)) for n in runs])
+    assert katz.from_steps_in_runs(katz.steps_in_runs(values, runs), runs).tolist() == values.tolist()
+    ids = np.sort(rng.integers(0, 10**12, 50))
+    assert np.cumsum(katz.steps(ids).astype(np.int64)).tolist() == ids.tolist()
+    none = np.zeros(0, dtype=np.int64)
+    assert katz.from_steps_in_runs(katz.steps_in_runs(none, none), none).tolist() == []
