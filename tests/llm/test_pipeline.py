@@ -25,6 +25,10 @@ def stages(request, spark):
     return dict(out)
 
 
+# Words that only toxic documents of the test data hold.
+INSULTS = set("loser idiot pathetic scum worthless moron trash clown disgusting stupid".split())
+
+
 def rows_of(df):
     return Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
 
@@ -81,7 +85,7 @@ def test_planted_cases(spark, tmp_path):
     """Copies, near copies, toxic and clean documents among those of the test data."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     base = [r for r in docs.filter("lang = 'en' and n_chars between 1500 and 3000").orderBy("doc_id").limit(60).collect()]
-    clean = [r for r in base if not set(r.text.lower().replace(".", " ").replace(",", " ").split()) & {"idiot", "moron", "stupid", "loser"}]
+    clean = [r for r in base if not set(r.text.lower().replace(".", " ").replace(",", " ").split()) & INSULTS]
     near = [(90_000 + i, r.text.replace(" the ", " this ", 1), r.lang, r.source, r.n_chars) for i, r in enumerate(clean[:10])]
     exact = [(91_000 + i, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(clean[10:20])]
     toxic = [
