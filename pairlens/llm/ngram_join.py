@@ -5,13 +5,12 @@ of equal sets form a node with a number of copies, so copies are never compared.
 follow from the threshold and a target recall. Bands are shuffled on their hashes; only buckets of
 two nodes or more go on.
 
-Buckets are compared without listing their pairs. Every node has a home, the largest of its buckets,
-and large homes are cut into blocks of at most ``block_nodes`` nodes and ``block_shingles``
-shingles by hash. Blocks that meet in some bucket make a block pair, compared once, in one task, by
-pair counts of rare shingles and matrix products of frequent ones. A node is in one block only, so no pair of nodes is seen
-twice. A task returns, per node, the number of linked documents and one edge of a spanning forest.
-Homes are the largest buckets, hence a bucket of m nodes meets few blocks: at most m, and at most
-all buckets' members divided by m.
+Buckets are compared without listing their pairs. Every node has a home, the largest bucket that it
+or another member of one of its buckets is in, and large homes are cut into blocks of about
+``block_nodes`` nodes and ``block_shingles`` shingles by hash. Blocks that meet in some bucket make
+a block pair, compared once, in one task, by pair counts of rare shingles and matrix products of
+frequent ones. A node is in one block only, so no pair of nodes is seen twice. A task returns, per
+node, the number of linked documents and one edge of a spanning forest.
 
 Defined results: null and blank texts have no shingles, link with nothing and are classes of their
 own; classes are named after their smallest id; null ids stay null and name a class only if it has
@@ -260,15 +259,22 @@ def jaccard_classes(
     held = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     buckets = (
         held.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("weight"))
+        .agg(F.count(F.lit(1)).alias("m"))
         .filter("m > 1")
     )
-    members = cut_lineage(held.select("node", "bucket").join(buckets, "bucket"))
-    parts = F.greatest(F.ceil(F.col("home.m") / block_nodes), F.ceil(F.col("home.weight") / block_shingles))
+    members = cut_lineage(held.join(buckets, "bucket"))
+    largest = members.groupBy("node").agg(F.max(F.struct("m", "bucket")).alias("home"))
+    # Nodes follow the members of their buckets into a larger home, so a group has few homes.
+    drawn = members.join(largest, "node").groupBy("bucket").agg(F.max("home").alias("home"))
+    settled = cut_lineage(
+        members.join(drawn, "bucket").groupBy("node").agg(F.max("home").alias("home"), F.max("n_shingles").alias("n_shingles"))
+    )
+    sizes = settled.groupBy("home").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("weight"))
+    parts = F.greatest(F.ceil(F.col("rows") / block_nodes), F.ceil(F.col("weight") / block_shingles))
     homes = cut_lineage(
-        members.groupBy("node")
-        .agg(F.max(F.struct("m", "weight", "bucket")).alias("home"))
-        .select("node", F.xxhash64("home.bucket", F.pmod(F.xxhash64("node"), parts)).alias("block"))
+        settled.join(sizes, "home").select(
+            "node", F.xxhash64("home.bucket", F.pmod(F.xxhash64("node"), parts)).alias("block")
+        )
     )
     met = members.select("node", "bucket").join(homes, "node").select("bucket", "block").distinct()
     pairs = (
