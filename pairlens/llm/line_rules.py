@@ -189,9 +189,9 @@ def without_common_lines(
 def drop_rejected(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged and with all their columns.
 
-    Only keys of rejected rows are joined, so texts are shuffled only if those are too many to
-    broadcast under Spark's own threshold.
+    The keys of rejected rows grow with the table, so they are joined by a shuffle at every size
+    and never broadcast.
     """
     id, text = options.get("id", "doc_id"), options.get("text", "text")
     rejected = cut_lineage(judge_documents(docs, **options).filter("not kept").select(*KEY).distinct())
-    return with_key(docs, id, text).join(rejected, KEY, "left_anti").drop(*KEY)
+    return with_key(docs, id, text).join(rejected.hint("merge"), KEY, "left_anti").drop(*KEY)

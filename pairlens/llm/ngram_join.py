@@ -340,7 +340,8 @@ def one_per_class(docs: DataFrame, id: str = "doc_id", text: str = "text", **opt
     dropped = cut_lineage(named.filter(F.struct(*KEY) != F.col("_first")).select(*KEY).distinct())
     repeated = cut_lineage(full.groupBy(*KEY).count().filter("count > 1").select(*KEY))
     keyed = with_key(docs, id, text)
-    kept = keyed.join(dropped, KEY, "left_anti")
+    # The dropped keys grow with the table: a shuffle at every size, never a broadcast.
+    kept = keyed.join(dropped.hint("merge"), KEY, "left_anti")
     if not repeated.isEmpty():
         once = kept.join(repeated, KEY, "left_semi").dropDuplicates(KEY)
         kept = kept.join(repeated, KEY, "left_anti").unionByName(once)

@@ -83,17 +83,17 @@ def test_an_empty_corpus(spark, tmp_path):
 
 def test_planted_cases(spark, tmp_path):
     """Copies, near copies, toxic and clean documents among those of the test data."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     base = [r for r in docs.filter("lang = 'en' and n_chars between 1500 and 3000").orderBy("doc_id").limit(60).collect()]
     clean = [r for r in base if not set(r.text.lower().replace(".", " ").replace(",", " ").split()) & INSULTS]
-    near = [(90_000 + i, r.text.replace(" the ", " this ", 1), r.lang, r.source, r.n_chars) for i, r in enumerate(clean[:10])]
-    exact = [(91_000 + i, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(clean[10:20])]
+    near = [(900_000 + i, r.text.replace(" the ", " this ", 1), r.lang, r.source, r.n_chars) for i, r in enumerate(clean[:10])]
+    exact = [(910_000 + i, r.text, r.lang, r.source, r.n_chars) for i, r in enumerate(clean[10:20])]
     toxic = [
-        (92_000 + i, r.text[: len(r.text) // 2].rsplit(" ", 1)[0] + " idiot, stupid loser " + r.text[len(r.text) // 2 :][::-1], r.lang, r.source, None)
+        (920_000 + i, r.text[: len(r.text) // 2].rsplit(" ", 1)[0] + " idiot, stupid loser " + r.text[len(r.text) // 2 :][::-1], r.lang, r.source, None)
         for i, r in enumerate(clean[20:30])
     ]
     docs.unionByName(spark.createDataFrame([*near, *exact, *toxic], docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.read.parquet("/root/testdata/sf0.01/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet("/root/testdata/sf0.1/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     rows = spark.read.parquet(str(tmp_path / "documents.parquet"))
     quality = cut_lineage(corpus_pipeline.quality(spark, rows, str(tmp_path)))
     ids = {r.doc_id for r in quality.select("doc_id").collect()}
