@@ -3,11 +3,14 @@ documents of which too little is left without them. DataFrame functions only.
 
 Lines are normalised (lower case, single blanks, trimmed) and hashed with their host. A line's
 frequency is the number of distinct documents of the host that hold it. Copies and near copies are
-not distinct documents: a document is represented by the smallest and by the largest hash of its
-five-word windows, which copies share, so the text of a much-copied page is not mistaken for
-boilerplate. Each of the two is counted, and the larger count holds: documents that share a line
-may by chance share one extreme through it, but hardly both. The count never exceeds the number of
-distinct texts.
+not distinct documents: the text of a much-copied page is not mistaken for boilerplate. Frequencies
+count near-copy classes of a host. A document's sketch is the ``SKETCH_SIZE`` smallest hashes of its
+five-word windows; equal sketches are one node. Nodes whose sketches agree in one of ``BANDS`` parts
+meet in a bucket, each bucket has one of its nodes as representative, and a node is linked with the
+representative if the Jaccard similarity of their window sets, as the sketches tell it, is at least
+``NEAR``. Classes are the components of these links. Sketches of up to ``SKETCH_SIZE`` windows are
+whole sets; of longer texts the similarity is an estimate with a standard error of 0.04. So documents
+that share three quarters of their windows or more count as one, whatever the rest of them says.
 
 A line is common if its frequency exceeds both ``min_documents`` and ``share`` of the distinct
 documents of its host. A document is depleted if, without its common lines, fewer than
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pairlens.lineage import cut_lineage
 from pairlens.llm.common import BLANK_RUN, BLANKS, KEY, OWN, let, whole, with_key, words
+from pairlens.operators.split import component_of_edges
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -33,7 +37,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 
 LINE_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-HOST, SIGNATURES, LINES = OWN + "host", OWN + "signatures", OWN + "lines"
+HOST, NODE, SKETCH, LINES = OWN + "host", OWN + "node", OWN + "sketch", OWN + "lines"
+SKETCH_SIZE = 128
+BANDS, BAND_ROWS = 6, 4
+NEAR = 0.75
 
 
 def window_hashes(w: Column, size: int = WINDOW) -> Column:
@@ -62,12 +69,34 @@ def _covered(hashes: Column, size: int) -> Column:
     return F.when(repeated, let(let(pairs, twice), total)).otherwise(F.lit(0).cast("long"))
 
 
+def _sketch(hashes: Column) -> Column:
+    """The upper halves of the smallest distinct hashes, in ascending order."""
+    least = F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH_SIZE)
+    return F.transform(least, lambda h: F.shiftright(h, 32).cast("int"))
+
+
+def _bands(sketch: Column) -> Column:
+    """A hash of the smallest members of each part of a sketch; parts without members have none."""
+
+    def band(j: Column) -> Column:
+        part = F.slice(F.filter(sketch, lambda x: F.pmod(x, F.lit(BANDS)) == j), 1, BAND_ROWS)
+        return let(part, lambda p: F.when(F.size(p) > 0, F.xxhash64(HOST, j, p)))
+
+    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band))
+
+
+def _similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two window sets by the smallest members of their union."""
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH_SIZE)
+    return let(union, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+
+
 def normalised_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(line, F.lit(BLANKS))), BLANK_RUN, " ")
 
 
 def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """One narrow row per document: key, id, hashed host, base measures, signature and lines."""
+    """One narrow row per document: key, id, hashed host, base measures, sketch, node and lines."""
     w, h, spoken = OWN + "words", OWN + "windows", OWN + "spoken"
     t = whole(F.col(text))
     narrow = with_key(docs.select(id, text, host), id, text)
@@ -80,7 +109,7 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias(spoken),
     )
-    windows = split.withColumn(h, window_hashes(F.col(w)))
+    windows = split.withColumn(h, window_hashes(F.col(w))).withColumn(SKETCH, _sketch(F.col(h)))
     return windows.select(
         *KEY,
         id,
@@ -90,7 +119,8 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
         "n_symbols",
         (F.size(spoken) - F.size(F.array_distinct(spoken))).cast("long").alias("n_dup_lines"),
         _covered(F.col(h), WINDOW).alias("n_repeat_words"),
-        F.array(*[F.coalesce(end(h), F.xxhash64(w)) for end in (F.array_min, F.array_max)]).alias(SIGNATURES),
+        F.when(F.size(SKETCH) > 0, F.xxhash64(HOST, SKETCH)).otherwise(F.xxhash64(HOST, w)).alias(NODE),
+        SKETCH,
         F.transform(
             spoken,
             lambda x: F.struct(
@@ -100,21 +130,42 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
     )
 
 
+def near_copies(measured: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that are near copies of another node of their host.
+
+    No pairs of a bucket are listed: each node meets the representative only, and sketches move
+    only for nodes that share a bucket.
+    """
+    held = cut_lineage(measured.select(NODE, F.explode(_bands(F.col(SKETCH))).alias("_bucket")).distinct())
+    # Crossed with the bucket, nodes come in another order in each, so buckets differ in whom they take.
+    crossed = F.min(F.col(NODE).bitwiseXOR(F.col("_bucket")))
+    buckets = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_m"), crossed.alias("_least")).filter("_m > 1")
+    met = held.join(buckets, "_bucket").select(NODE, F.col("_least").bitwiseXOR(F.col("_bucket")).alias("_rep"))
+    pairs = cut_lineage(met.filter(F.col(NODE) != F.col("_rep")).distinct())
+    some = pairs.select(F.explode(F.array(NODE, "_rep")).alias(NODE)).distinct()
+    one = measured.select(NODE, SKETCH).groupBy(NODE).agg(F.first(SKETCH).alias(SKETCH))
+    sketches = cut_lineage(one.join(some, NODE, "left_semi"))
+    other = sketches.select(F.col(NODE).alias("_rep"), F.col(SKETCH).alias("_other"))
+    alike = pairs.join(sketches, NODE).join(other, "_rep").filter(_similarity(F.col(SKETCH), F.col("_other")) >= NEAR)
+    return component_of_edges(alike.select(F.col(NODE).alias("u"), F.col("_rep").alias("v")))
+
+
 def common_lines(measured: DataFrame, min_documents: int, share: float) -> DataFrame:
     """(host, line, n_documents) of the lines above the limits.
 
-    Counted in two steps, by (host, line, document) and by (host, line), both combined on the map
-    side, so a line that a third of all documents hold is spread over all tasks.
+    Counted in steps, by (host, line, node), (host, line, class) and (host, line), all combined on
+    the map side, so a line that a third of all documents hold is spread over all tasks.
     """
-    signed = measured.select(HOST, LINES, F.posexplode(SIGNATURES).alias("_kind", "_signature"))
-    lines = signed.select(HOST, "_kind", "_signature", F.explode(LINES).alias("l")).select("*", "l.line")
+    classes = near_copies(measured).select(F.col("node").alias(NODE), "component")
+    lines = measured.select(HOST, NODE, F.explode(LINES).alias("l")).select(HOST, NODE, "l.line")
 
     def distinct_documents(rows: DataFrame, by: list[str], out: str) -> DataFrame:
-        each = rows.select(*by, "_kind", "_signature").distinct().groupBy(*by)
-        return each.agg(F.greatest(*[F.count_if(F.col("_kind") == k) for k in range(2)]).alias(out))
+        named = rows.select(*by, NODE).distinct().join(classes, NODE, "left")
+        each = named.select(*by, F.coalesce("component", NODE).alias("_class")).distinct()
+        return each.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
     frequency = distinct_documents(lines, [HOST, "line"], "n_documents").filter(F.col("n_documents") > min_documents)
-    hosts = distinct_documents(signed, [HOST], "_host_documents")
+    hosts = distinct_documents(measured, [HOST], "_host_documents")
     return (
         frequency.join(hosts, HOST)
         .filter(F.col("n_documents") > F.col("_host_documents") * share)
@@ -156,7 +207,7 @@ def judge_documents(
     most = 2 * left < F.col("n_words")
     depleted = (left < min_left * F.col("n_words")) | (most & (left < min_words))
     return (
-        measured.drop(HOST, SIGNATURES, LINES)
+        measured.drop(HOST, NODE, SKETCH, LINES)
         .join(hits, KEY, "left")
         .fillna(0, ["n_common_lines", "n_common_words"])
         .withColumn("base_failed", failed)

@@ -58,6 +58,29 @@ def test_frequency_counts_texts_but_not_copies(spark):
     assert len(found) == 2 and all(45 <= r.n_documents <= 63 for r in found)
 
 
+def test_every_distinct_document_of_a_line_counts(spark):
+    found = line_rules.common_lines(line_rules.measure(host(spark)), 20, 0.005).collect()
+    assert len(found) == 2 and all(62 <= r.n_documents <= 63 for r in found)
+
+
+@pytest.mark.parametrize("n_lines", [1, 10])
+def test_documents_of_much_boilerplate_count_and_near_copies_do_not(spark, n_lines):
+    """Documents of four fifths boilerplate (similarity 0.64), and a page in 400 variants of one word."""
+    size = 160 // n_lines
+    notice = "\n".join(" ".join(f"n{k}x{j}" for j in range(size)) for k in range(n_lines))
+    rows = [(i, notice + "\n" + " ".join(f"d{i}x{j}" for j in range(40)), "h") for i in range(60)]
+    page = [f"p{j}" for j in range(120)]
+    for i in range(400):
+        at = 7 * i % 120
+        words = [*page[:at], f"v{i}", *page[at + 1 :]]
+        rows.append((1000 + i, "\n".join(" ".join(words[k : k + 12]) for k in range(0, 120, 12)), "h"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = line_rules.common_lines(line_rules.measure(docs), 20, 0.005).collect()
+    assert len(found) == n_lines and all(54 <= r.n_documents <= 60 for r in found)
+    verdict = {r.doc_id: r.kept for r in line_rules.judge_documents(docs).collect()}
+    assert not any(verdict[i] for i in range(60)) and all(verdict[1000 + i] for i in range(400))
+
+
 def test_common_lines_are_removed_from_texts(spark):
     docs = host(spark)
     common = line_rules.common_lines(line_rules.measure(docs), 20, 0.005)
