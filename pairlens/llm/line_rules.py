@@ -12,8 +12,8 @@ representative if the Jaccard similarity of their window sets, as the sketches t
 whole sets; of longer texts the similarity is an estimate with a standard error of 0.04. So documents
 that share three quarters of their windows or more count as one, whatever the rest of them says.
 
-A line is common if its frequency exceeds both ``min_documents`` and ``share`` of the distinct
-documents of its host. A document is depleted if, without its common lines, fewer than
+A line is common if its frequency exceeds ``min_documents`` and either ``share`` of the distinct
+documents of its host or ``enough`` documents, so no host is too large for its boilerplate. A document is depleted if, without its common lines, fewer than
 ``min_words`` words or less than ``min_left`` of its words remain.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its
@@ -41,6 +41,7 @@ HOST, NODE, SKETCH, LINES = OWN + "host", OWN + "node", OWN + "sketch", OWN + "l
 SKETCH_SIZE = 128
 BANDS, BAND_ROWS = 6, 4
 NEAR = 0.75
+ENOUGH = 1000
 
 
 def window_hashes(w: Column, size: int = WINDOW) -> Column:
@@ -150,7 +151,7 @@ def near_copies(measured: DataFrame) -> DataFrame:
     return component_of_edges(alike.select(F.col(NODE).alias("u"), F.col("_rep").alias("v")))
 
 
-def common_lines(measured: DataFrame, min_documents: int, share: float) -> DataFrame:
+def common_lines(measured: DataFrame, min_documents: int, share: float, enough: int = ENOUGH) -> DataFrame:
     """(host, line, n_documents) of the lines above the limits.
 
     Counted in steps, by (host, line, node), (host, line, class) and (host, line), all combined on
@@ -168,7 +169,7 @@ def common_lines(measured: DataFrame, min_documents: int, share: float) -> DataF
     hosts = distinct_documents(measured, [HOST], "_host_documents")
     return (
         frequency.join(hosts, HOST)
-        .filter(F.col("n_documents") > F.col("_host_documents") * share)
+        .filter(F.col("n_documents") > F.least(F.col("_host_documents") * share, F.lit(float(enough))))
         .select(HOST, "line", "n_documents")
     )
 
@@ -180,6 +181,7 @@ def judge_documents(
     host: str = "source",
     min_documents: int = 20,
     share: float = 0.005,
+    enough: int = ENOUGH,
     min_words: int = MIN_WORDS,
     min_left: float = 1 / 3,
 ) -> DataFrame:
@@ -190,7 +192,7 @@ def judge_documents(
     second is small, and Spark broadcasts it only if its file size is below its threshold.
     """
     measured = cut_lineage(measure(docs, id, text, host))
-    common = cut_lineage(common_lines(measured, min_documents, share))
+    common = cut_lineage(common_lines(measured, min_documents, share, enough))
     hits = (
         measured.select(*KEY, HOST, F.posexplode(LINES).alias("_at", "l"))
         .select(*KEY, HOST, "_at", "l.line", "l.words")
@@ -221,8 +223,9 @@ def without_common_lines(
     """``docs`` with the lines of ``common`` (as of ``common_lines``) removed from the texts.
 
     The other lines keep their order and their own blanks. Common lines of a host are gathered
-    into one array per host; a host has as many as pass its share, at most 1/share per average
-    line of a document.
+    into one array per host; each stands in more than ``share`` of its documents or in more than
+    ``enough``, so there are at most 1/share of them per average line of a document, or one for
+    each ``enough`` lines of the host if that is more.
     """
     lists = common.groupBy(HOST).agg(F.collect_set("line").alias(OWN + "common"))
     known = F.coalesce(F.col(OWN + "common"), F.array().cast("array<bigint>"))

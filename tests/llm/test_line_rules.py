@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairlens.llm import line_rules
 from pairlens.llm.common import with_key
@@ -81,6 +82,15 @@ def test_documents_of_much_boilerplate_count_and_near_copies_do_not(spark, n_lin
     assert not any(verdict[i] for i in range(60)) and all(verdict[1000 + i] for i in range(400))
 
 
+def test_boilerplate_of_a_large_host_is_common(spark):
+    """1200 documents of 300 000 are less than 0.5 % of them."""
+    held = F.when(F.col("id") < 1200, "\nall rights are reserved here")
+    text = F.concat(F.lit("own "), F.col("id").cast("string"), F.coalesce(held, F.lit("")))
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("h").alias("source"))
+    found = line_rules.common_lines(line_rules.measure(docs), 20, 0.005).collect()
+    assert [r.n_documents for r in found] == [1200]
+
+
 def test_common_lines_are_removed_from_texts(spark):
     docs = host(spark)
     common = line_rules.common_lines(line_rules.measure(docs), 20, 0.005)
