@@ -18,7 +18,9 @@ often it is published. A node or block needs ``min_pages`` different pages to be
 
 Entropy cannot tell what is random on every page, so elements that say what they are (navigation,
 adverts, forms, comments and the like) count as unimportant from the start, and where a page has
-an article or main element the rest does not matter.
+an article or main element the rest does not matter. Where only a class or id says so, an element
+that holds an article or main element, or more than half of the page's text, is left to the tree:
+a "content-sidebar-wrap" is no sidebar. An article that is named a comment does not count.
 
 Defined results: null and empty pages, and pages without a block left, have an empty text; a null
 or odd address is a host of its own; a page that ends inside a tag, comment or script ends there;
@@ -56,6 +58,7 @@ NOISE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended "
     "comment comments commentlist commentform reply replies respondent disqus adsbygoogle copyright widget toolbar pagination pager masthead topbar skip hidden".split()
 )
+COMMENT_WORDS = frozenset("comment comments reply replies respondent".split())
 # A header with one of these in its name belongs to the article.
 OWN_HEADER = frozenset("article post entry content story title image".split())
 CLOSES = {
@@ -82,10 +85,10 @@ def says_noise(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
-        return True
-    if tag in ("html", "body", "article", "main"):
-        return False
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")))
+
+
+def named_noise(attrs: dict[str, str]) -> bool:
     return not NOISE_WORDS.isdisjoint(name_words(attrs))
 
 
@@ -94,11 +97,13 @@ def name_words(attrs: dict[str, str]) -> list[str]:
     return [w.lower() for w in NAME_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")]
 
 
-def is_page_header(tag: str, attrs: dict[str, str]) -> bool:
-    if tag == "header":
-        return True
+def is_comment(attrs: dict[str, str]) -> bool:
+    return not COMMENT_WORDS.isdisjoint(name_words(attrs))
+
+
+def named_header(attrs: dict[str, str]) -> bool:
     words = name_words(attrs)
-    return tag not in ("html", "body") and "header" in words and OWN_HEADER.isdisjoint(words)
+    return "header" in words and OWN_HEADER.isdisjoint(words)
 
 
 def _hash(text: str, seed: int = 0) -> int:
@@ -117,11 +122,15 @@ class Page:
         self.children: dict[int, list[int]] = {0: []}
         self.parent: dict[int, int] = {}
         self.depth: dict[int, int] = {0: 0}
-        # Open elements: tag, node, noise, main.
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # Open elements: tag, node, noise, main, the innermost element whose name says noise.
+        self.stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, False, 0)]
+        # Such elements: the next one around, whether an article or main element is inside. 0 is the page.
+        self.named: list[list] = [[0, False]]
+        self.within: list[int] = []  # of each block, the innermost of them
         self.parts: list[str] = []
         self._read(source)
         self._end_block()
+        self._judge_names()
         if any(b[3] and not b[2] for b in self.blocks):
             self.blocks = [(p, t, noise or not main, main) for p, t, noise, main in self.blocks]
 
@@ -130,18 +139,37 @@ class Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             self.parts = []
             if text:
-                _, node, noise, main = self.stack[-1]
+                _, node, noise, main, name = self.stack[-1]
                 self.blocks.append((node, text, noise, main))
+                self.within.append(name)
+
+    def _judge_names(self) -> None:
+        """Mark the blocks inside elements that are noise by name and hold no main part of the page."""
+        held = [0] * len(self.named)
+        for (_, text, noise, _), name in zip(self.blocks, self.within):
+            held[name] += 0 if noise else len(text)
+        for k in range(len(self.named) - 1, 0, -1):  # inner elements come after outer ones
+            above, has_main = self.named[k]
+            held[above] += held[k]
+            self.named[above][1] |= has_main
+        noisy = [False] * len(self.named)
+        for k in range(1, len(self.named)):
+            above, has_main = self.named[k]
+            noisy[k] = noisy[above] or not (has_main or 2 * held[k] > held[0])
+        self.blocks = [(p, t, noise or noisy[k], main) for (p, t, noise, main), k in zip(self.blocks, self.within)]
 
     def _open(self, tag: str, source: str) -> None:
         attrs = attributes(source)
         noise = says_noise(tag, attrs)
-        if tag in INLINE and not noise:
+        whole_page = tag in ("html", "body")
+        is_part = tag in ("article", "main") or attrs.get("role", "").lower() == "main"
+        named = not whole_page and named_noise(attrs)
+        if tag in INLINE and not (noise or named):
             return
         self._end_block()
         if tag not in INLINE:
             self._close_implied(tag)
-        _, above, was_noise, main = self.stack[-1]
+        _, above, was_noise, main, around = self.stack[-1]
         name = ".".join([tag, *sorted(attrs.get("class", "").split())])
         node = _hash(name, above)
         if node not in self.parent:
@@ -149,9 +177,13 @@ class Page:
             self.children[node] = []
         if self.children[above][-1:] != [node]:  # a run of equal children counts once
             self.children[above].append(node)
-        is_main = main or tag in ("article", "main") or attrs.get("role", "").lower() == "main"
-        noise = noise or (not main and is_page_header(tag, attrs))
-        self.stack.append((tag, node, was_noise or noise, is_main))
+        noise = was_noise or noise or (not main and tag == "header")
+        is_main = is_part and not noise and not (tag == "article" and is_comment(attrs))
+        self.named[around][1] |= is_main
+        if not noise and tag not in ("article", "main") and (named or not (whole_page or main) and named_header(attrs)):
+            self.named.append([around, is_main])
+            around = len(self.named) - 1
+        self.stack.append((tag, node, noise, main or is_part, around))
 
     def _close_implied(self, tag: str) -> None:
         if any(x[0] == "p" for x in self.stack[-3:]) and self.stack[-1][0] in ("p", *INLINE):

@@ -40,6 +40,26 @@ def test_text_of_a_page(html, want):
     assert text_of(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<div class='content-sidebar-wrap'><main><p>in</p></main></div>", "in"),
+        ("<div class='no-sidebar'><main class=no-sidebar>in</main><p>a much longer text outside</p></div><p>x</p>", "in"),
+        ("<div class='overflow-hidden'><article class='post tag-ads'>in</article></div><p>a longer text</p>", "in"),
+        ("<div class='site no-sidebar'><div class='has-sidebar'><article><p>in</p></article><div class=sidebar>out out</div></div></div>", "in"),
+        ("<div class='overflow-hidden'><p>most of the text</p></div><p>less</p>", "most of the text less"),
+        ("<div class='page-widget' id='social-policy'><p>all the text</p></div>", "all the text"),
+        ("<div class='site-header-wrap'><article>in</article></div>", "in"),
+        ("<div class='has-menu'><div class=menu>Home</div><div hidden>long hidden text</div><p>a longer text</p></div>", "a longer text"),
+        ("<div class=sidebar><p>out</p></div><p>the text</p>", "the text"),
+        ("<article>the long text in here</article><ol class=commentlist><li><article class=comment>hm</article></ol>", "the long text in here"),
+        ("<div hidden><main>out</main></div><aside class=wrap><article>out</article></aside><p>in</p>", "in"),
+    ],
+)
+def test_names_do_not_remove_what_holds_the_main_text(html, want):
+    assert text_of(html) == want
+
+
 def site(spark):
     """Pages without telling names: entropy alone has to find what they share."""
     pages = []
