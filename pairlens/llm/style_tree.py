@@ -13,8 +13,12 @@ share and 1 for what only one has:
 
 A node's composite importance joins its own with its children's, as much of the former as there are
 different presentations (1 - GAMMA ** presentations). Branches below ``min_importance``, and blocks
-below it, are removed from each page. Copies of a page count as one, so an article stays however
-often it is published. A node or block needs ``min_pages`` different pages to be judged at all.
+below it, are removed from each page. Copies and near copies of a page count as one, so an article
+stays however often it is published and whatever date or teaser each variant has. Near copies are
+found as in ``line_rules``, by sketches of the five-word windows of a page's blocks, without the
+blocks that more than half of the host's pages hold: those are its template, unless variants of
+one article are more than half of the pages themselves. A class of near copies is represented by one
+page. A node or block needs ``min_pages`` different pages to be judged at all.
 
 Entropy cannot tell what is random on every page, so elements that say what they are (navigation,
 adverts, forms, comments and the like) count as unimportant from the start, and where a page has
@@ -42,6 +46,9 @@ from pyspark.sql import types as T
 
 from pairlens.lineage import cut_lineage
 from pairlens.llm.common import OWN, whole
+from pairlens.llm.line_rules import HOST, SKETCH, SKETCH_SIZE, near_copies
+from pairlens.llm.line_rules import NODE as PAGE_NODE
+from pairlens.llm.ngram_join import shingles
 
 GAMMA = 0.9
 SKIPPED = "script style noscript template title head iframe svg math object canvas audio video textarea select option button".split()
@@ -246,13 +253,19 @@ NODE = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("node", "parent", "shown")] + [T.StructField("depth", T.IntegerType())]
 )
 BLOCK = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "block")])
+READ_BLOCK = T.StructType([*BLOCK.fields, T.StructField("windows", T.ArrayType(T.IntegerType()))])
+
+
+def window_sketch(text: str) -> list[int]:
+    """The upper bits of the smallest hashes of a block's windows; of its words, if it has fewer than five."""
+    return (shingles(text.encode("utf-8", "replace"))[:SKETCH_SIZE] >> 33).astype("int32").tolist()
 
 
 def read_trees(pages: DataFrame) -> DataFrame:
     """(host, page, nodes, blocks) of each page; ``page`` hashes its text, so copies agree."""
     schema = T.StructType(
         [T.StructField("host", T.LongType()), T.StructField("page", T.LongType())]
-        + [T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(BLOCK))]
+        + [T.StructField("nodes", T.ArrayType(NODE)), T.StructField("blocks", T.ArrayType(READ_BLOCK))]
     )
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +282,9 @@ def read_trees(pages: DataFrame) -> DataFrame:
                     }
                     for node, above in tree.parent.items()
                 ]
-                blocks = [{"node": n, "block": _hash(t)} for n, t, noise, _ in tree.blocks if not noise]
+                blocks = [
+                    {"node": n, "block": _hash(t), "windows": window_sketch(t)} for n, t, noise, _ in tree.blocks if not noise
+                ]
                 page = _hash("\n".join(t for _, t, noise, _ in tree.blocks if not noise))
                 rows.append({"host": host, "page": page, "nodes": nodes, "blocks": blocks})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -280,6 +295,25 @@ def read_trees(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(over, schema)
 
 
+def distinct_pages(trees: DataFrame, min_pages: int) -> DataFrame:
+    """``trees`` without the pages that are near copies of another one of their host."""
+    held = trees.select("host", "page", F.explode("blocks.block").alias("block")).distinct()
+    counts = held.groupBy("host", "block").agg(F.count(F.lit(1)).alias("c"))
+    totals = trees.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    # At most twice as many blocks of a host as its average page has.
+    most = counts.join(totals.filter(F.col("n") >= min_pages), "host").filter("2 * c > n")
+    template = cut_lineage(most.groupBy("host").agg(F.collect_set("block").alias("template")))
+    known = F.coalesce("template", F.array().cast("array<bigint>"))
+    own = F.filter("blocks", lambda b: ~F.array_contains(known, b["block"]))
+    windows = F.sort_array(F.array_distinct(F.flatten(F.transform(own, lambda b: b["windows"]))))
+    node = F.xxhash64("host", "page").alias(PAGE_NODE)
+    measured = cut_lineage(
+        trees.join(template, "host", "left").select(F.col("host").alias(HOST), node, F.slice(windows, 1, SKETCH_SIZE).alias(SKETCH))
+    )
+    variants = near_copies(measured).filter("node <> component").select(F.col("node").alias(PAGE_NODE))
+    return trees.withColumn(PAGE_NODE, node).join(variants, PAGE_NODE, "left_anti").drop(PAGE_NODE)
+
+
 def _composite(group: pd.DataFrame, min_importance: float) -> pd.DataFrame:
     """Importance of the nodes of a host from the leaves up; rows of those below the limit."""
     children: dict[int, list[int]] = {}
@@ -360,7 +394,9 @@ def extract(
     site = F.lower(F.regexp_extract(whole(F.col(url)), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     host = F.xxhash64(F.when(site == "", F.coalesce(F.col(url), F.lit(""))).otherwise(site)).alias("host")
     read = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), host, whole(F.col(source)).alias("html"))
-    low = cut_lineage(unimportant(cut_lineage(read_trees(read.select("host", "html"))), min_pages, min_importance))
+    trees = cut_lineage(read_trees(read.select("host", "html")))
+    trees = cut_lineage(distinct_pages(trees, min_pages).withColumn("blocks", F.transform("blocks", lambda b: b.dropFields("windows"))))
+    low = cut_lineage(unimportant(trees, min_pages, min_importance))
     ready = read.join(low, "host", "left").select("id", "url", "host", "html", "low_nodes", "low_blocks")
     kind = read.schema["id"].dataType.simpleString()
     out = f"`{id}` {kind}, `{url}` string, text string"

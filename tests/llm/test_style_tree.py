@@ -83,6 +83,30 @@ def test_shared_branches_go_and_copies_stay(spark):
     assert got[200] == "Home all there is"
 
 
+def test_near_copies_keep_their_article(spark):
+    """A third of the pages are variants of one article: a word, a date or a teaser differs."""
+    article = [" ".join(f"a{k}x{j}" for j in range(30)) for k in range(5)]
+    menu = "<div class=x1><p>Home</p><p>Prices and terms of all that we sell</p></div>"
+
+    def page(i, name, paragraphs):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        return (i, f"http://n.example.org/{i}", f"<body>{menu}<div class='{name}'>{body}</div></body>")
+
+    own = [[" ".join(f"d{i}x{k}x{j}" for j in range(12)) for k in range(3 + i % 4)] for i in range(200)]
+    variants = []
+    for i in range(100):
+        changed = list(article)
+        if i % 3 == 0:
+            changed[i % 5] = changed[i % 5].replace(f"x{i % 30} ", f"x{i}new ")
+        variants.append(changed + ([f"Printed on day {i}"] if i % 3 == 1 else [f"next teaser t{i} here"] if i % 3 == 2 else []))
+    pages = [page(i, "x2", p) for i, p in enumerate(own)] + [page(1000 + i, "x2", p) for i, p in enumerate(variants)]
+    pages += [page(2000 + i, "post-123", [*(f"only {p}" for p in article), f"edit {i}"]) for i in range(3)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == " ".join(p) for i, p in enumerate(own))
+    assert all(got[1000 + i] == " ".join(p) for i, p in enumerate(variants))
+    assert all(got[2000 + i] == " ".join([*(f"only {p}" for p in article), f"edit {i}"]) for i in range(3))
+
+
 def test_odd_pages(spark):
     rows = [
         (None, None, None, 1), (1, None, "", 1), (2, "no address", "<p>x", 1), (2, "no address", "<p>x", 1),
