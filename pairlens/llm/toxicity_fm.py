@@ -1,13 +1,14 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the lower-cased words of a text and their beginnings of four and five characters, hashed
-to 30 bits; a text is the set of its terms. The machine adds a weight per term and, for each pair
+to 20 bits; a text is the set of its terms. The machine adds a weight per term and, for each pair
 of terms, the product of their factor vectors, so a pair can count for more or less than its parts.
 
-It is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of the id. Terms are
-counted by label on Spark, those that tell the labels apart best are kept, and the resulting
-matrix (rows x ``max_terms``, bounded by the two parameters) is fitted by full-batch gradient
-steps in numpy. Scoring goes over all whole texts in Arrow batches.
+It is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of the id, over all terms
+of these rows: none is left out for being rare or for telling nothing by itself, since it may matter
+in a pair. Rows come to the driver as arrays of their terms and are fitted by gradient steps over
+batches of rows in numpy. Rows are bounded by ``max_rows``, parameters by the hash space. Scoring goes
+over all whole texts in Arrow batches.
 
 Defined results: null and empty texts have no terms and score as the intercept says; without both
 labels among the training rows every score is the smoothed share of label 1; rows without id are
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from pairlens.lineage import cut_lineage
 from pairlens.llm.common import OWN, whole
 
-TERM_BITS = 30
+TERM_BITS = 20
 PREFIXES = (4, 5)
 TERMS, LABEL = OWN + "terms", OWN + "label"
 
@@ -78,53 +79,82 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
-def fit_machine(
-    x: np.ndarray,
+class _Batch:
+    """Rows given by the positions of their terms, with sums over rows and over terms."""
+
+    def __init__(self, at: np.ndarray, offsets: np.ndarray, y: np.ndarray):
+        self.y = y
+        self.rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offsets))
+        self.used, self.at = np.unique(at, return_inverse=True)
+
+    def per_row(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, v[self.at], len(self.y))
+
+    def per_term(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.at, r[self.rows], len(self.used))
+
+
+def fit_machine(x: np.ndarray, y: np.ndarray, terms: np.ndarray, **options) -> FactorizationMachine:
+    """As ``fit_rows``, for a matrix with a column of zeros and ones per term."""
+    rows, at = np.nonzero(x)
+    return fit_rows(at, np.searchsorted(rows, np.arange(len(x) + 1)), y, terms, **options)
+
+
+def fit_rows(
+    at: np.ndarray,
+    offsets: np.ndarray,
     y: np.ndarray,
     terms: np.ndarray,
     n_factors: int = 8,
-    steps: int = 300,
-    rate: float = 0.05,
+    steps: int = 200,
+    rate: float = 0.3,
     l2: float = 1e-4,
     seed: int = 7,
+    batch_rows: int = 1024,
 ) -> FactorizationMachine:
-    """Minimise the mean log loss plus ``l2`` times the squared parameters, by Adam steps."""
+    """Minimise the mean log loss plus ``l2`` times the squared parameters, by Adam steps over
+    batches of rows, given as concatenated positions in ``terms``.
+
+    A term's step is in proportion to its variance over the rows, so what is in all rows
+    does not compete with the intercept, and words of a single row hardly explain its label.
+    """
     rng = np.random.default_rng(seed)
-    m = x.shape[1]
-    share = (y.sum() + 0.5) / (len(y) + 1.0)
-    params = [np.array([np.log(share / (1 - share))]), np.zeros(m), rng.normal(0, 0.05, (m, n_factors))]
-    first = [np.zeros_like(p) for p in params]
-    second = [np.zeros_like(p) for p in params]
+    m, n = len(terms), len(y)
+    share = (y.sum() + 0.5) / (n + 1.0)
+    p = np.bincount(at, minlength=m) / n
+    pace = 4 * p * (1 - p)
+    spread = 0.05 / max(1.0, np.sqrt(len(at) / n / 10))  # long rows have many pairs
+    bias, w, v = np.log(share / (1 - share)), np.zeros(m), rng.normal(0, spread, (n_factors, m))
+    first, second = [np.zeros(1), np.zeros(m), np.zeros_like(v)], [np.zeros(1), np.zeros(m), np.zeros_like(v)]
+    order = rng.permutation(n) if n > batch_rows else np.arange(n)
+    batches = []
+    for chosen in np.array_split(order, -(-n // batch_rows)):
+        lengths = np.diff(offsets)[chosen]
+        ends = np.cumsum(lengths)
+        inside = np.arange(ends[-1]) + np.repeat(offsets[chosen] - (ends - lengths), lengths)
+        batches.append(_Batch(at[inside], np.r_[0, ends], y[chosen]))
     for step in range(1, steps + 1):
-        bias, w, v = params
-        v32 = v.astype(np.float32)
-        summed = x @ v32
-        margin = bias[0] + x @ w.astype(np.float32) + 0.5 * ((summed**2).sum(1) - x @ (v32**2).sum(1))
-        r = ((_sigmoid(margin.astype(float)) - y) / len(y)).astype(np.float32)
-        pull = x.T @ r
+        b = batches[step % len(batches)]
+        own_w, own_v = w[b.used], v[:, b.used]
+        summed = [b.per_row(f) for f in own_v]
+        margin = bias + b.per_row(own_w - 0.5 * (own_v**2).sum(0)) + 0.5 * sum(s * s for s in summed)
+        r = (_sigmoid(margin) - b.y) / len(b.y)
+        pull = b.per_term(r)
         grads = [
-            np.array([float(r.sum())]),
-            pull + l2 * w,
-            x.T @ (r[:, None] * summed) - pull[:, None] * v + l2 * v,
+            np.array([r.sum()]),
+            pull + l2 * own_w,
+            np.stack([b.per_term(r * s) - pull * f for s, f in zip(summed, own_v)]) + l2 * own_v,
         ]
+        moves = []
         for i, g in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.999 * second[i] + 0.001 * g * g
-            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (
-                np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8
-            )
-    return FactorizationMachine(terms, float(params[0][0]), params[1], params[2])
-
-
-def _signed_gain(a: Column, b: Column, pos: int, neg: int) -> Column:
-    """Log-likelihood ratio of a term seen in ``a`` of pos and ``b`` of neg rows."""
-
-    def part(k: Column, n: int, rate: Column) -> Column:
-        p = F.greatest(F.least(rate, F.lit(1 - 1e-12)), F.lit(1e-12))
-        return k * F.log(p) + (F.lit(float(n)) - k) * F.log(1 - p)
-
-    both = (a + b) / float(pos + neg)
-    return 2 * (part(a, pos, a / float(pos)) + part(b, neg, b / float(neg)) - part(a, pos, both) - part(b, neg, both))
+            here = (..., b.used) if i else slice(None)  # terms of other batches rest
+            first[i][here] = 0.9 * first[i][here] + 0.1 * g
+            second[i][here] = 0.999 * second[i][here] + 0.001 * g * g
+            moves.append(rate * (first[i][here] / (1 - 0.9**step)) / (np.sqrt(second[i][here] / (1 - 0.999**step)) + 1e-8))
+        bias -= float(moves[0][0])
+        w[b.used] -= moves[1] * pace[b.used]
+        v[:, b.used] -= moves[2] * pace[b.used]
+    return FactorizationMachine(terms, float(bias), w, np.ascontiguousarray(v.T))
 
 
 def train(
@@ -135,9 +165,6 @@ def train(
     text: str = "text",
     label: str = "toxic",
     max_rows: int = 20_000,
-    max_terms: int = 1024,
-    min_rows: int = 5,
-    min_gain: float = 20.0,
 ) -> FactorizationMachine:
     """Fit on labelled rows for which ``training`` (a condition on the id) holds."""
     known = (
@@ -150,35 +177,23 @@ def train(
     keep = int(2**63 * min(1.0, max_rows / max(n, 1))) - 1
     chosen = cut_lineage(known.filter(F.xxhash64(F.lit(11), F.col(id)).bitwiseAND(2**63 - 1) <= F.lit(keep)))
     # At most about max_rows ids and labels: a bounded broadcast.
-    rows = cut_lineage(
+    rows = (
         docs.select(id, text)
         .join(F.broadcast(chosen), id)
-        .select(F.monotonically_increasing_id().alias("row"), LABEL, hashed_terms(F.col(text)).alias(TERMS))
+        .select((F.col(LABEL) > 0).cast("int"), hashed_terms(F.col(text)))
+        .toArrow()
+        .combine_chunks()
     )
-    totals = {int(r[0] > 0): r[1] for r in rows.groupBy((F.col(LABEL) > 0).cast("int")).count().collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
+    y = rows.column(0).to_numpy().astype(float)
+    pos, neg = int(y.sum()), int(len(y) - y.sum())
     if not pos or not neg:
         share = (pos + 0.5) / (pos + neg + 1.0)
         empty = np.zeros(0)
         return FactorizationMachine(empty.astype(np.int32), float(np.log(share / (1 - share))), empty, np.zeros((0, 1)))
-    held = rows.select("row", (F.col(LABEL) > 0).cast("int").alias("y"), F.explode(TERMS).alias("term"))
-    counted = held.groupBy("term").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    best = (
-        counted.filter(F.col("a") + F.col("b") >= min_rows)
-        .withColumn("gain", _signed_gain(F.col("a"), F.col("b"), pos, neg))
-        .filter(F.col("gain") >= min_gain)
-        .orderBy(F.desc("gain"), "term")
-        .limit(max_terms)
-    )
-    terms = np.sort(np.array([r[0] for r in best.select("term").collect()], dtype=np.int32))
-    # Rows x max_terms at most: intersect first, then bring the positions of the ones over.
-    chosen_terms = F.array(*[F.lit(int(t)) for t in terms]) if len(terms) else F.array().cast("array<int>")
-    small = rows.select(F.col(LABEL).cast("int"), F.array_intersect(F.col(TERMS), chosen_terms)).collect()
-    x = np.zeros((len(small), len(terms)), dtype=np.float32)
-    for i, (_, present) in enumerate(small):
-        x[i, np.searchsorted(terms, np.array(present, dtype=np.int32))] = 1.0
-    y = np.array([float(r[0] > 0) for r in small])
-    return fit_machine(x, y, terms)
+    lists = pa.concat_arrays(rows.column(1).chunks)
+    offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    terms, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    return fit_rows(at, offsets, y, terms)
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:

@@ -50,6 +50,27 @@ def corpus(spark, n=1200):
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
 
 
+def test_an_interaction_is_learned_through_train(spark):
+    """Both words are as frequent in toxic as in other texts; only their meeting tells."""
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = (i // 2) % 2, i % 2
+        rows.append((i, " ".join([f"w{rng.integers(0, 40)}", *["ravens"] * a, *["glass"] * b])))
+        labels.append((i, int(a != b)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity_fm.train(docs, labels, F.col("doc_id") % 5 != 0)
+    got = toxicity_fm.score(docs, model).filter("doc_id % 5 = 0").join(labels, "doc_id").collect()
+    assert sum((r.score >= 0.5) == (r.toxic == 1) for r in got) / len(got) > 0.97
+
+
+def test_rare_terms_are_part_of_the_machine(spark):
+    docs, labels = corpus(spark, 400)
+    model = toxicity_fm.train(docs, labels, F.lit(True))
+    seen = docs.select(F.explode(toxicity_fm.hashed_terms(F.col("text")))).distinct()
+    assert set(model.terms.tolist()) == {r[0] for r in seen.collect()}
+
+
 def test_held_out_rows_are_told_apart(spark):
     docs, labels = corpus(spark)
     model = toxicity_fm.train(docs, labels, F.col("doc_id") % 3 != 0)
