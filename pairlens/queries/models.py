@@ -85,7 +85,7 @@ def abbreviated_descriptions(spark, sf_dir):
 @query()
 def generated_descriptions(spark, sf_dir):
     prefs = derived.preferences(spark, sf_dir)
-    cfg = InterpretConfig(n_examples=5, n_candidates=2, percentile_bin=(80, 100))
+    cfg = InterpretConfig()
     return interpret(
         acts(spark, sf_dir), lambda samples: sampled_pair_texts(prefs, samples, _dataset(sf_dir)), cfg, lexical_completer
     )

@@ -49,3 +49,15 @@ def test_entry_returns_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_descriptions_are_generated_with_the_defaults(monkeypatch):
+    from pairlens.operators.interpret import InterpretConfig
+    from pairlens.queries import models
+
+    seen = []
+    monkeypatch.setattr(models.derived, "preferences", lambda *a: None)
+    monkeypatch.setattr(models, "acts", lambda *a: None)
+    monkeypatch.setattr(models, "interpret", lambda acts, texts, cfg, completer: seen.append(cfg))
+    models.generated_descriptions(None, None)
+    assert seen == [InterpretConfig()]
