@@ -4,11 +4,12 @@ Terms are the lower-cased words of a text and their beginnings of four and five
 to 20 bits; a text is the set of its terms. The machine adds a weight per term and, for each pair
 of terms, the product of their factor vectors, so a pair can count for more or less than its parts.
 
-It is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of the id, over all terms
-of these rows: none is left out for being rare or for telling nothing by itself, since it may matter
-in a pair. Rows come to the driver as arrays of their terms and are fitted by gradient steps over
-batches of rows in numpy. Rows are bounded by ``max_rows``, parameters by the hash space. Scoring goes
-over all whole texts in Arrow batches.
+It is fitted on a bounded sample of the labelled rows, at most about ``max_rows`` of them and
+``max_chars`` characters of text together, chosen by a hash of the id, over all terms of these rows:
+none is left out for being rare or for telling nothing by itself, since it may matter in a pair. Rows
+come to the driver as 32-bit term numbers and are fitted by gradient steps over batches of rows in
+numpy; what a step needs beside them is made for one batch and dropped. Parameters are bounded by the
+hash space. Scoring goes over all whole texts in Arrow batches.
 
 Defined results: null and empty texts have no terms and score as the intercept says; without both
 labels among the training rows every score is the smoothed share of label 1; rows without id are
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,21 +81,6 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * z))
 
 
-class _Batch:
-    """Rows given by the positions of their terms, with sums over rows and over terms."""
-
-    def __init__(self, at: np.ndarray, offsets: np.ndarray, y: np.ndarray):
-        self.y = y
-        self.rows = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(offsets))
-        self.used, self.at = np.unique(at, return_inverse=True)
-
-    def per_row(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, v[self.at], len(self.y))
-
-    def per_term(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, r[self.rows], len(self.used))
-
-
 def fit_machine(x: np.ndarray, y: np.ndarray, terms: np.ndarray, **options) -> FactorizationMachine:
     """As ``fit_rows``, for a matrix with a column of zeros and ones per term."""
     rows, at = np.nonzero(x)
@@ -122,39 +109,43 @@ def fit_rows(
     m, n = len(terms), len(y)
     share = (y.sum() + 0.5) / (n + 1.0)
     p = np.bincount(at, minlength=m) / n
-    pace = 4 * p * (1 - p)
+    pace = (4 * p * (1 - p)).astype(np.float32)
     spread = 0.05 / max(1.0, np.sqrt(len(at) / n / 10))  # long rows have many pairs
-    bias, w, v = np.log(share / (1 - share)), np.zeros(m), rng.normal(0, spread, (n_factors, m))
-    first, second = [np.zeros(1), np.zeros(m), np.zeros_like(v)], [np.zeros(1), np.zeros(m), np.zeros_like(v)]
-    order = rng.permutation(n) if n > batch_rows else np.arange(n)
-    batches = []
-    for chosen in np.array_split(order, -(-n // batch_rows)):
-        lengths = np.diff(offsets)[chosen]
-        ends = np.cumsum(lengths)
-        inside = np.arange(ends[-1]) + np.repeat(offsets[chosen] - (ends - lengths), lengths)
-        batches.append(_Batch(at[inside], np.r_[0, ends], y[chosen]))
+    bias, w = np.array([np.log(share / (1 - share))], np.float32), np.zeros(m, np.float32)
+    v = rng.normal(0, spread, (n_factors, m)).astype(np.float32)
+    parameters = [bias, w, *v]
+    first, second = [np.zeros_like(x) for x in parameters], [np.zeros_like(x) for x in parameters]
+    batches = np.array_split(rng.permutation(n) if n > batch_rows else np.arange(n), -(-n // batch_rows))
     for step in range(1, steps + 1):
-        b = batches[step % len(batches)]
-        own_w, own_v = w[b.used], v[:, b.used]
-        summed = [b.per_row(f) for f in own_v]
-        margin = bias + b.per_row(own_w - 0.5 * (own_v**2).sum(0)) + 0.5 * sum(s * s for s in summed)
-        r = (_sigmoid(margin) - b.y) / len(b.y)
-        pull = b.per_term(r)
-        grads = [
-            np.array([r.sum()]),
-            pull + l2 * own_w,
-            np.stack([b.per_term(r * s) - pull * f for s, f in zip(summed, own_v)]) + l2 * own_v,
-        ]
-        moves = []
-        for i, g in enumerate(grads):
-            here = (..., b.used) if i else slice(None)  # terms of other batches rest
-            first[i][here] = 0.9 * first[i][here] + 0.1 * g
-            second[i][here] = 0.999 * second[i][here] + 0.001 * g * g
-            moves.append(rate * (first[i][here] / (1 - 0.9**step)) / (np.sqrt(second[i][here] / (1 - 0.999**step)) + 1e-8))
-        bias -= float(moves[0][0])
-        w[b.used] -= moves[1] * pace[b.used]
-        v[:, b.used] -= moves[2] * pace[b.used]
-    return FactorizationMachine(terms, float(bias), w, np.ascontiguousarray(v.T))
+        chosen = batches[step % len(batches)]
+        lengths, truth = (offsets[1:] - offsets[:-1])[chosen], y[chosen]
+        ends = np.cumsum(lengths)
+        here = at[np.arange(ends[-1]) + np.repeat(offsets[chosen] - (ends - lengths), lengths)]
+        row = np.repeat(np.arange(len(chosen)), lengths)
+        used = np.flatnonzero(np.bincount(here, minlength=m))
+
+        def per_row(x: np.ndarray) -> np.ndarray:
+            return np.bincount(row, x[here], len(chosen))
+
+        def per_term(r: np.ndarray) -> np.ndarray:
+            return np.bincount(here, r[row], m)[used]
+
+        summed = [per_row(f) for f in v]
+        margin = bias[0] + per_row(w - 0.5 * (v**2).sum(0)) + 0.5 * sum(s * s for s in summed)
+        r = (_sigmoid(margin) - truth) / len(truth)
+        pull = per_term(r)
+        for i, x in enumerate(parameters):  # terms of other batches rest
+            if i == 0:
+                where, g = slice(None), np.array([r.sum()])
+            elif i == 1:
+                where, g = used, pull + l2 * x[used]
+            else:
+                where, g = used, per_term(r * summed[i - 2]) + (l2 - pull) * x[used]
+            first[i][where] = 0.9 * first[i][where] + 0.1 * g
+            second[i][where] = 0.999 * second[i][where] + 0.001 * g * g
+            move = rate * (first[i][where] / (1 - 0.9**step)) / (np.sqrt(second[i][where] / (1 - 0.999**step)) + 1e-8)
+            x[where] -= move * pace[where] if i else move
+    return FactorizationMachine(terms, float(bias[0]), w, np.ascontiguousarray(v.T))
 
 
 def train(
@@ -165,24 +156,35 @@ def train(
     text: str = "text",
     label: str = "toxic",
     max_rows: int = 20_000,
+    max_chars: int = 64_000_000,
 ) -> FactorizationMachine:
-    """Fit on labelled rows for which ``training`` (a condition on the id) holds."""
+    """Fit on labelled rows for which ``training`` (a condition on the id) holds.
+
+    The sample holds at most about ``max_rows`` rows and ``max_chars`` characters; each row's chance is
+    the same, whatever its length.
+    """
     known = (
         labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull())
         .groupBy(id)
         .agg(F.max(label).alias(LABEL))
         .filter(training)
     )
+    known = cut_lineage(known.select(F.col(id).cast("long").alias(OWN + "id"), LABEL))
     n = known.count()
-    keep = int(2**63 * min(1.0, max_rows / max(n, 1))) - 1
-    chosen = cut_lineage(known.filter(F.xxhash64(F.lit(11), F.col(id)).bitwiseAND(2**63 - 1) <= F.lit(keep)))
+    rank = F.xxhash64(F.lit(11), F.col(OWN + "id")).bitwiseAND(2**63 - 1)
+
+    def below(share: float) -> DataFrame:
+        return known.filter(rank <= F.lit(int(2**63 * min(1.0, share)) - 1))
+
     # At most about max_rows ids and labels: a bounded broadcast.
+    share = max_rows / max(n, 1)
+    candidates = docs.select(F.col(id).cast("long").alias(OWN + "id"), F.col(text).alias(OWN + "text"))
+    chars = candidates.join(F.broadcast(below(share)), OWN + "id").agg(F.sum(F.length(OWN + "text"))).first()[0] or 0
+    chosen = below(min(1.0, share) * min(1.0, max_chars / max(chars, 1)))
     rows = (
-        docs.select(id, text)
-        .join(F.broadcast(chosen), id)
-        .select((F.col(LABEL) > 0).cast("int"), hashed_terms(F.col(text)))
+        candidates.join(F.broadcast(chosen), OWN + "id")
+        .select((F.col(LABEL) > 0).cast("int"), hashed_terms(F.col(OWN + "text")))
         .toArrow()
-        .combine_chunks()
     )
     y = rows.column(0).to_numpy().astype(float)
     pos, neg = int(y.sum()), int(len(y) - y.sum())
@@ -190,14 +192,19 @@ def train(
         share = (pos + 0.5) / (pos + neg + 1.0)
         empty = np.zeros(0)
         return FactorizationMachine(empty.astype(np.int32), float(np.log(share / (1 - share))), empty, np.zeros((0, 1)))
-    lists = pa.concat_arrays(rows.column(1).chunks)
-    offsets = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-    terms, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    return fit_rows(at, offsets, y, terms)
+    lists = rows.column(1)
+    offsets = np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy())]
+    at = np.concatenate([part.flatten().to_numpy(zero_copy_only=False) for part in lists.chunks])
+    del rows, lists
+    fitted = fit_rows(at, offsets, y, np.arange(1 << TERM_BITS, dtype=np.int32))
+    met = np.flatnonzero(np.bincount(at, minlength=1 << TERM_BITS))
+    return FactorizationMachine(met.astype(np.int32), fitted.bias, fitted.weights[met], fitted.factors[met])
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 added; all other columns pass through."""
+    """``docs`` with the probability of label 1 added; all other columns pass through, but one already
+    named as ``out``, which the score replaces."""
+    docs = docs.drop(out) if text != out else docs
     names = docs.columns
     ready = docs.withColumn(TERMS, hashed_terms(F.col(text)))
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
