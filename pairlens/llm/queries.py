@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import cross_polytope, elias_fano, katz, line_rules, mixing, ngram_join, packing, style_tree, token_counts, toxicity_fm
+from pairlens.llm import (
+    cross_polytope, elias_fano, importance, katz, line_rules, mixing, ngram_join, packing, style_tree, token_counts,
+    toxicity_fm, turn_repair, word_table,
+)
 from pairlens.llm.common import remainder
 from pairlens.llm.registry import query, table
 
@@ -87,3 +93,26 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query()
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def _digests(ids: np.ndarray, pieces: list[str]) -> tuple[int, str, str]:
+    wide = ids.astype("<u4").tobytes()
+    return len(ids), hashlib.sha256(wide).hexdigest(), hashlib.sha256(" ".join(pieces).encode()).hexdigest()
+
+
+@query()
+def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return word_table.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"), _digests, schema)
+
+
+@query()
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")

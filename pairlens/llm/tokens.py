@@ -32,6 +32,8 @@ BLANKS_KEPT_CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 OTHER_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CUT = re.compile(r"(?<=[^ \t-\r])(?=[ \t-\r])")
 NOT_PLAIN = re.compile("[^ \t-\r!-~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u023f]|<\\|")
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u023f"
+ONE_RUN = re.compile(f"[{LETTERS}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+")
 PLAIN_BYTES = bytes([*range(9, 14), 32, *range(33, 127), *range(0x80, 0xC0), *range(0xC3, 0xC9)])
 OTHER_BYTES = (b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0", b"<|")
 SEGMENT_CHARS = 1 << 20
@@ -199,6 +201,39 @@ class ChunkEncoder:
             chunks = BLANKS_KEPT_CHUNK.findall(text)
         return b"".join(map(self.chunks.hold(chunks, self._whole).__getitem__, chunks))
 
+    def words(self, texts: list[str]) -> tuple[pa.BinaryArray, list[int]]:
+        """What the ids of texts can be put together from, one text after the other, and how many each
+        has: the pieces of plain texts, the chunks of others."""
+        if self.blanks != "dropped":
+            raise ValueError("only a tokenizer that drops blanks has words of its own")
+        parts: list[pa.BinaryArray] = []
+        counts: list[int] = []
+        every = all_plain(texts)
+        for group in [texts] if every else [[t] for t in texts]:
+            if every or not NOT_PLAIN.search(group[0]):
+                many = [list(self.segments(t)) for t in group]
+                found, per_segment = self._cut([s for x in many for s in x])
+                parts.append(found)
+                sums = np.r_[0, np.cumsum(per_segment)]
+                counts += np.diff(sums[np.r_[0, np.cumsum([len(x) for x in many])]]).tolist()
+            else:
+                chunks = [c.encode() for c in group[0].replace("\n", " ").split(" ") if c]
+                parts.append(pa.array(chunks, pa.binary()))
+                counts.append(len(chunks))
+        return pa.concat_arrays(parts), counts
+
+    def encode_words(self, new: list[bytes]) -> list[bytes]:
+        """Ids of such words."""
+        out = [b""] * len(new)
+        texts = [w.decode() for w in new]
+        plain = [i for i, t in enumerate(texts) if ONE_RUN.fullmatch(t)]
+        other = [i for i, t in enumerate(texts) if not ONE_RUN.fullmatch(t)]
+        for i, ids in zip(plain, self._learn_pieces([new[i] for i in plain])):
+            out[i] = ids
+        for i, ids in zip(other, self._whole([texts[i] for i in other])):
+            out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. New pieces of all texts are encoded together; give it batches of
         bounded size."""
