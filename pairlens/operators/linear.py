@@ -116,10 +116,14 @@ def build_design(df: DataFrame, acts: str, label: str, controls: list[str], stan
 Evaluation = tuple[float, np.ndarray, np.ndarray]
 
 
-def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], Evaluation]:
-    """Mean loss, gradient and Hessian as functions of (coefficients, intercept)."""
+def _evaluator(design: Design, classification: bool) -> Callable[[list[np.ndarray]], list[Evaluation]]:
+    """Mean loss, gradient and Hessian as functions of (coefficients, intercept).
+
+    One pass over the data serves any number of points.
+    """
     p = design.width + 1
     scaling = design.scaling
+    size = 1 + p + p * p
 
     def with_intercept(x: np.ndarray) -> np.ndarray:
         return np.column_stack([scaling(x), np.ones(len(x))])
@@ -129,16 +133,20 @@ def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], E
 
     if classification:
 
-        def logistic(beta: np.ndarray) -> Evaluation:
+        def logistic(betas: list[np.ndarray]) -> list[Evaluation]:
             def kernel(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                 z = with_intercept(x)
-                f = z @ beta
-                prob = 1.0 / (1.0 + np.exp(-np.clip(f, -700, 700)))
-                loss = np.logaddexp(0.0, f) - y * f
-                hess = (z * (prob * (1 - prob))[:, None]).T @ z
-                return np.concatenate([[loss.sum()], z.T @ (prob - y), hess.ravel()])
-
-            return unpack(add_over_tasks(design.packed, kernel, 1 + p + p * p))
+                parts = []
+                for beta in betas:
+                    f = z @ beta
+                    prob = 1.0 / (1.0 + np.exp(-np.clip(f, -700, 700)))
+                    loss = np.logaddexp(0.0, f) - y * f
+                    hess = (z * (prob * (1 - prob))[:, None]).T @ z
+                    parts += [[loss.sum()], z.T @ (prob - y), hess.ravel()]
+                return np.concatenate(parts)
+
+            sums = add_over_tasks(design.packed, kernel, size * len(betas))
+            return [unpack(part) for part in np.split(sums, len(betas))]
 
         return logistic
 
@@ -147,65 +155,136 @@ def _evaluator(design: Design, classification: bool) -> Callable[[np.ndarray], E
         return np.concatenate([[(y**2).sum()], z.T @ y, (z.T @ z).ravel()])
 
     # The squared loss is determined by one pass over the data, whatever the penalty.
-    yy, zy, zz = unpack(add_over_tasks(design.packed, second_moments, 1 + p + p * p))
+    yy, zy, zz = unpack(add_over_tasks(design.packed, second_moments, size))
 
-    def squared(beta: np.ndarray) -> Evaluation:
-        return 0.5 * (yy - 2 * zy @ beta + beta @ zz @ beta), zz @ beta - zy, zz
+    def squared(betas: list[np.ndarray]) -> list[Evaluation]:
+        return [(0.5 * (yy - 2 * zy @ b + b @ zz @ b), zz @ b - zy, zz) for b in betas]
 
     return squared
 
 
-def _coordinate_descent(
-    grad: np.ndarray, hess: np.ndarray, beta: np.ndarray, alpha: float, penalised: np.ndarray, sweeps: int = 5000
+def violation(grad: np.ndarray, beta: np.ndarray, alpha: float, penalised: np.ndarray) -> np.ndarray:
+    """By how much each coefficient misses the optimality conditions of the L1 problem."""
+    moving = ~penalised | (beta != 0)
+    pull = np.where(penalised, alpha * np.sign(beta), 0.0)
+    return np.where(moving, np.abs(grad + pull), np.maximum(np.abs(grad) - alpha, 0.0))
+
+
+def solve_quadratic(
+    grad: np.ndarray, hess: np.ndarray, beta: np.ndarray, alpha: float, penalised: np.ndarray
 ) -> np.ndarray:
-    """Minimiser of the local quadratic model plus the L1 penalty."""
-    out = beta.copy()
-    slope = grad.copy()  # gradient of the quadratic model at ``out``
-    for _ in range(sweeps):
-        largest = 0.0
-        for j in range(len(out)):
-            curve = hess[j, j]
-            if curve <= 1e-14:
-                continue
-            free = out[j] - slope[j] / curve
-            new = np.sign(free) * max(abs(free) - alpha / curve, 0.0) if penalised[j] else free
-            step = new - out[j]
-            if step:
-                slope += step * hess[:, j]
-                out[j] = new
-                largest = max(largest, abs(step) * np.sqrt(curve))
-        if largest < 1e-10:
-            return out
-    raise RuntimeError(f"coordinate descent did not settle in {sweeps} sweeps")
-
-
-def _minimise(
-    evaluate: Callable[[np.ndarray], Evaluation], beta: np.ndarray, alpha: float, penalised: np.ndarray,
-    at: Evaluation | None = None, tol: float = 1e-7, max_steps: int = 50,
-) -> tuple[np.ndarray, Evaluation]:
-    """Proximal Newton with step halving; each evaluation is one pass over the data."""
-
-    def objective(loss: float, b: np.ndarray) -> float:
-        return loss + alpha * np.abs(b[penalised]).sum()
-
-    at = at or evaluate(beta)
-    for _ in range(max_steps):
-        target = _coordinate_descent(at[1], at[2], beta, alpha, penalised)
-        if np.abs(target - beta).max() < tol:
-            break
-        share = 1.0
-        while True:
-            candidate = target if share == 1.0 else beta + share * (target - beta)
-            there = evaluate(candidate)
-            if objective(there[0], candidate) <= objective(at[0], beta) + 1e-12:
+    """Exact minimiser of the quadratic model at ``beta`` plus the L1 penalty.
+
+    An active set with signs: the model is solved on the coefficients that move, with their signs
+    held, and the best point on the way there is taken, where a coefficient may have become zero
+    and leaves; then the coefficient that misses its condition most joins. Every step lowers the
+    objective, so no set comes twice. The Hessian may be singular, as with equal, constant or nearly
+    collinear columns: along directions without curvature the step ends where a coefficient does.
+    """
+    scale = np.sqrt(np.maximum(np.diag(hess), 0.0))
+    dead = scale <= 1e-12 * max(scale.max(initial=0.0), 1.0)  # constant columns
+    scale = np.where(dead, 1.0, scale)
+    h = hess / np.outer(scale, scale)
+    weight = np.where(penalised, alpha / scale, 0.0)  # penalty on the scaled coefficients
+    x = beta * scale
+    linear = grad / scale - h @ x
+    x = np.where(dead & penalised, 0.0, x)
+
+    def objective(v: np.ndarray) -> float:
+        return linear @ v + 0.5 * v @ h @ v + weight @ np.abs(v)
+
+    sign = np.where(penalised, np.sign(x), 0.0)
+    active = (~penalised | (x != 0)) & ~dead
+    settled = False  # no better point with these signs, within rounding
+    for _ in range(50 * len(x) + 100):
+        slope = linear + h @ x
+        tolerance = 1e-12 * max(1.0, np.abs(linear).max(initial=0.0)) + 1e-15 * np.abs(x).max(initial=0.0)
+        rest = np.flatnonzero(active)
+        miss = slope[rest] + weight[rest] * sign[rest]
+        if settled or not len(rest) or np.abs(miss).max() <= tolerance:
+            excess = np.where(active | dead, -np.inf, np.abs(slope) - weight)
+            worst = int(np.argmax(excess))
+            if excess[worst] <= tolerance:
                 break
-            share /= 2
-            if share < 1e-4:  # no better point in this direction within rounding
-                return beta, at
-        beta, at = candidate, there
-    else:
-        warnings.warn(f"penalised fit at {alpha:g} did not settle in {max_steps} steps", RuntimeWarning, stacklevel=2)
-    return beta, at
+            active[worst], sign[worst], settled = True, -np.sign(slope[worst]), False
+            rest = np.flatnonzero(active)
+            miss = slope[rest] + weight[rest] * sign[rest]
+        values, vectors = np.linalg.eigh(h[np.ix_(rest, rest)])
+        curved = values > 1e-13 * max(values[-1], 1e-300)
+        parts = vectors.T @ -miss
+        flat = vectors[:, ~curved] @ parts[~curved]
+        step = vectors[:, curved] @ (parts[curved] / values[curved])
+        if np.abs(flat).max(initial=0.0) > tolerance:
+            step = flat * (1e6 / np.abs(flat).max())  # until a coefficient becomes zero
+        ends = np.where(sign[rest] != 0, -x[rest] / np.where(step == 0, np.inf, step), np.inf)
+        stops = np.unique(ends[(ends > 0) & (ends < 1)])
+        best, least = None, objective(x)
+        for share in [*stops.tolist(), 1.0]:
+            trial = x.copy()
+            trial[rest] += share * step
+            trial[rest[np.abs(ends - share) <= 1e-15]] = 0.0
+            value = objective(trial)
+            if best is None or value < least:
+                best, least = trial, value
+            elif value > least:
+                break
+        settled = np.array_equal(best, x) or least >= objective(x)
+        x = best
+        gone = penalised & active & (x == 0)
+        sign = np.where(penalised & active & ~gone, np.sign(x), np.where(penalised, 0.0, sign))
+        active &= ~gone
+    return np.where(dead & ~penalised, beta, x / scale)
+
+
+@dataclass
+class Fit:
+    """A penalised fit under way, and what is known at its coefficients."""
+
+    alpha: float
+    beta: np.ndarray
+    at: Evaluation
+    target: np.ndarray | None = None
+    share: float = 1.0
+    steps: int = 0
+
+    def objective(self, penalised: np.ndarray) -> float:
+        return self.at[0] + self.alpha * np.abs(self.beta[penalised]).sum()
+
+
+def minimise(
+    evaluate: Callable[[list[np.ndarray]], list[Evaluation]], fits: list[Fit], penalised: np.ndarray,
+    tol: float = 1e-9, max_steps: int = 60,
+) -> list[Fit]:
+    """Proximal Newton with step halving for several penalties side by side.
+
+    Each pass over the data evaluates the next point of every fit that has not settled.
+    """
+    open_fits = list(fits)
+    while True:
+        moving = []
+        for fit in open_fits:
+            if fit.target is None:
+                if violation(fit.at[1], fit.beta, fit.alpha, penalised).max() <= tol:
+                    continue
+                if fit.steps >= max_steps:
+                    warnings.warn(f"penalised fit at {fit.alpha:g} did not settle in {max_steps} steps", RuntimeWarning, stacklevel=2)
+                    continue
+                fit.target, fit.share = solve_quadratic(fit.at[1], fit.at[2], fit.beta, fit.alpha, penalised), 1.0
+            moving.append(fit)
+        if not moving:
+            return fits
+        trials = [f.beta + f.share * (f.target - f.beta) if f.share < 1 else f.target for f in moving]
+        open_fits = []
+        for fit, trial, there in zip(moving, trials, evaluate(trials)):
+            fit.steps += 1
+            value = there[0] + fit.alpha * np.abs(trial[penalised]).sum()
+            if value <= fit.objective(penalised) + 1e-13 * max(1.0, abs(value)):
+                fit.beta, fit.at, fit.target = trial, there, None
+            elif fit.share < 1e-6:  # no better point in this direction within rounding
+                continue
+            else:
+                fit.share /= 2
+            open_fits.append(fit)
 
 
 @dataclass
@@ -245,15 +324,28 @@ class Trial:
         return int(np.count_nonzero(self.coefs))
 
 
-def search_penalty(fit: Callable[[float], np.ndarray], wanted: int, rounds: int) -> list[Trial]:
+def search_penalty(
+    fit: Callable[[float], np.ndarray], wanted: int, rounds: int,
+    ahead: Callable[[list[float]], None] | None = None, depth: int = 3,
+) -> list[Trial]:
     """Halve the range of log penalties towards ``wanted`` features; all trials in their order.
 
-    More features than wanted send the search to the stronger half. It ends with a hit.
+    More features than wanted send the search to the stronger half. It ends with a hit. Every
+    ``depth`` rounds ``ahead`` is told all penalties that the next ones may try.
     """
     weakest, strongest = np.log(ALPHA_RANGE)
     width = strongest - weakest
     trail: list[Trial] = []
+
+    def middles(low: float, span: float, levels: int) -> list[float]:
+        if not levels:
+            return []
+        span /= 2
+        return [float(np.exp(low + span)), *middles(low, span, levels - 1), *middles(low + span, span, levels - 1)]
+
     while len(trail) < rounds and not (trail and trail[-1].found == wanted):
+        if ahead is not None and len(trail) % depth == 0:
+            ahead(middles(weakest, width, min(depth, rounds - len(trail))))
         width /= 2
         alpha = float(np.exp(weakest + width))
         trail.append(Trial(alpha, fit(alpha)))
@@ -262,35 +354,48 @@ def search_penalty(fit: Callable[[float], np.ndarray], wanted: int, rounds: int)
 
 
 class LassoPath:
-    """Solutions for several penalties on one design, each started from the last one."""
+    """Solutions for several penalties on one design, each started from the nearest known one.
+
+    ``passes`` counts how often the data was read.
+    """
 
     def __init__(self, design: Design, classification: bool) -> None:
         self.design = design
-        self.evaluate = _evaluator(design, classification)
+        self.passes = 0
+        self._evaluate = _evaluator(design, classification)
         self.penalised = np.zeros(design.width + 1, dtype=bool)
         self.penalised[design.n_controls : design.width] = True
-        start = np.zeros(design.width + 1)
+        zero = np.zeros(design.width + 1)
         # With an infinite penalty only the controls and the intercept move.
-        self.null, self.null_at = _minimise(self.evaluate, start, 1e30, self.penalised)
-        self.alpha_max = float(np.abs(self.null_at[1][self.penalised]).max())
-        self.last, self.last_at = self.null, self.null_at
-        self.known: dict[float, np.ndarray] = {}
+        (null,) = minimise(self.evaluate, [Fit(1e30, zero, self.evaluate([zero])[0])], self.penalised)
+        self.alpha_max = float(np.abs(null.at[1][self.penalised]).max(initial=0.0))
+        null.alpha = max(self.alpha_max, 1e-300)
+        self.known: dict[float, Fit] = {null.alpha: null}
+
+    def evaluate(self, betas: list[np.ndarray]) -> list[Evaluation]:
+        self.passes += 1
+        return self._evaluate(betas)
+
+    def fit(self, alphas: list[float]) -> None:
+        """Fit the penalties that are not known yet, all in the same passes."""
+        new = [a for a in dict.fromkeys(alphas) if a < self.alpha_max and a not in self.known]
+        starts = [self.known[min(self.known, key=lambda k: abs(np.log(k) - np.log(a)))] for a in new]
+        for done in minimise(self.evaluate, [Fit(a, s.beta, s.at) for a, s in zip(new, starts)], self.penalised):
+            self.known[done.alpha] = done
 
     def coefs(self, alpha: float) -> np.ndarray:
         """Feature coefficients; above alpha_max all are zero without looking at the data."""
         if alpha >= self.alpha_max:
             return np.zeros(self.design.n_features)
-        if alpha not in self.known:
-            self.last, self.last_at = _minimise(self.evaluate, self.last, alpha, self.penalised, self.last_at)
-            self.known[alpha] = self.last[self.design.n_controls : self.design.width]
-        return self.known[alpha]
+        self.fit([alpha])
+        return self.known[alpha].beta[self.design.n_controls : self.design.width]
 
     def select(self, n_select: int) -> Selection:
         """The fit that keeps exactly ``n_select`` features.
 
         If the search meets none, the sparsest fit that keeps more is cut to its strongest.
         """
-        trail = search_penalty(self.coefs, n_select, rounds=30)
+        trail = search_penalty(self.coefs, n_select, rounds=30, ahead=self.fit)
         enough = [t for t in trail if t.found >= n_select]
         if not enough:
             raise ValueError("no penalty keeps enough features")
@@ -343,7 +448,9 @@ def lasso_select(
         def fit(penalty: float) -> np.ndarray:
             return path.coefs(penalty / weight)
 
-        last = Trial(alpha, fit(alpha)) if alpha is not None else search_penalty(fit, n_select, rounds=20)[-1]
+        last = Trial(alpha, fit(alpha)) if alpha is not None else search_penalty(
+            fit, n_select, rounds=20, ahead=lambda penalties: path.fit([a / weight for a in penalties])
+        )[-1]
         neurons, strongest = _strongest_first(last.coefs, n_select, nonzero=False)
         return Selection(neurons, strongest, last.alpha)
     finally:

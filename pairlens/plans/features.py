@@ -26,7 +26,7 @@ from pairlens.operators.encoder_fit import fit_encoder
 from pairlens.operators.fidelity import best_candidates, faithful, fidelity, mean_abs_correlation
 from pairlens.operators.interpret import Sampler, abbreviate, interpret, strongest_rows
 from pairlens.operators.linear import controlled_coefs, lasso_search
-from pairlens.operators.probe import feature_vector, fit_probe, probe_scores
+from pairlens.operators.probe import ProbeTask, fit_probes
 from pairlens.operators.redundancy import redundancy
 from pairlens.operators.sampling import sample_percentile_bins
 from pairlens.operators.stats import pearson, roc_auc
@@ -144,20 +144,6 @@ def _picked(neurons: list[int]) -> Column:
     return F.array(*[F.col("acts")[i] for i in neurons])
 
 
-def _scores(train: DataFrame, val: DataFrame, acts: Column, cfg: SelectionConfig, name: str) -> DataFrame:
-    """(probe, split, label, score) of a probe on these activations and the controls."""
-    parts = [acts, *([F.array(*[F.col(c) for c in cfg.controls])] if cfg.controls else [])]
-    sides = [
-        df.select("row_id", "label", feature_vector(*parts).alias("features")) for df in (train, val)
-    ]
-    model = fit_probe(sides[0], binary=cfg.classification)
-    scored = [
-        probe_scores(model, side).select(F.lit(name).alias("probe"), F.lit(split).alias("split"), "label", "score")
-        for side, split in zip(sides, ("train", "val"))
-    ]
-    return scored[0].unionByName(scored[1])
-
-
 @dataclass
 class Selections:
     aucs: DataFrame  # (metric, value)
@@ -179,11 +165,11 @@ def selection_sizes(wanted: list[int], n_kept: int) -> list[int]:
 def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: SelectionConfig) -> Selections:
     """For each size: pick features by controlled L1, refit a probe; then probe all features.
 
-    All probes are ranked in one pass over their scores.
+    All probes are fitted in the same passes, and ranked in one pass over their scores.
     """
     spark = train.sparkSession
     train, val = train.persist(), val.persist()
-    scores, coefs = [], []
+    tasks, coefs = [], []
     if cfg.use_lasso and kept:
         kept_rows = train.withColumn("acts", _picked(kept))
         with lasso_search(
@@ -197,11 +183,11 @@ def select_and_probe(train: DataFrame, val: DataFrame, kept: list[int], cfg: Sel
                     continue
                 neurons = [kept[i] for i in chosen.neurons]
                 coefs += [(size, n, c) for n, c in zip(neurons, chosen.coefs)]
-                scores.append(_scores(train, val, _picked(neurons), cfg, f"lasso_top_{size}"))
-    scores.append(_scores(train, val, F.col("acts"), cfg, "full_sae"))
-    together = scores[0]
-    for part in scores[1:]:
-        together = together.unionByName(part)
+                tasks.append(ProbeTask(f"lasso_top_{size}", neurons))
+    tasks.append(ProbeTask("full_sae"))
+    probes = fit_probes(train, tasks, cfg.controls, classification=cfg.classification)
+    sides = [probes.scores(df).withColumn("split", F.lit(split)) for df, split in ((train, "train"), (val, "val"))]
+    together = sides[0].unionByName(sides[1])
     by = ("probe", "split")
     if cfg.classification:
         values = roc_auc(together, "label", "score", by).withColumnRenamed("auc", "value")

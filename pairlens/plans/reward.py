@@ -17,9 +17,9 @@ from pairlens.operators.embed import embed_texts
 from pairlens.operators.encoder import EncoderParams, encode, load_params, params_exist
 from pairlens.operators.joins import response_deltas
 from pairlens.operators.linear import controlled_lasso
-from pairlens.operators.probe import evaluate_probe, feature_vector, fit_probe
+from pairlens.operators.probe import ProbeTask, evaluate_probe, feature_vector, fit_probe, fit_probes
 from pairlens.operators.split import component_split
-from pairlens.operators.stats import is_binary_label, margin_evaluation, standardise
+from pairlens.operators.stats import accuracy, is_binary_label, margin_evaluation, roc_auc, standardise
 from pairlens.sources.loader import load_preferences, with_length_delta
 
 TOP_K = (5, 10)
@@ -121,23 +121,15 @@ def feature_baselines(
 ) -> dict[str, tuple[float, float]]:
     """Probes on all encoder features and on the strongest 5 and 10 of one controlled L1 fit."""
     train, val = (encode(side, params, keep=RIDERS).persist() for side in deltas)
-
-    def probe(neurons: list[int] | None) -> tuple[float, float]:
-        acts = F.col("acts") if neurons is None else F.array(*[F.col("acts")[i] for i in neurons])
-        features = feature_vector(acts, F.array("length_delta")).alias("features")
-        return _evaluate(
-            train.select("row_id", "label", features), val.select("row_id", "label", features), standardize=True
-        )
-
-    out = {"full": probe(None)}
     wanted = min(max(TOP_K), params.n_neurons)
     try:
         chosen = controlled_lasso(train, wanted, ["length_delta"]).neurons
     except ValueError:  # too few informative features; the selections stay NaN
         chosen = []
-    for k in TOP_K:
-        if k <= len(chosen):
-            out[f"top{k}"] = probe(chosen[:k])
+    tasks = [ProbeTask("full"), *[ProbeTask(f"top{k}", chosen[:k]) for k in TOP_K if k <= len(chosen)]]
+    scores = fit_probes(train, tasks, ["length_delta"]).scores(val)
+    aucs = roc_auc(scores, "label", "score", ("probe",)).join(accuracy(scores, "label", "score", by=("probe",)), "probe")
+    out = {r["probe"]: (r["auc"], r["accuracy"]) for r in aucs.collect()}  # one row per probe
     train.unpersist(), val.unpersist()
     return out
 
