@@ -47,7 +47,7 @@ def annotate(
         parse = parse_pairwise if canonical(prompt_name) in PAIRWISE_PROMPTS else parse_yes_no
     wanted = tasks.dropDuplicates(KEYS)
     spark = tasks.sparkSession
-    cache = read_cache(spark, cache_path, ANNOTATION_CACHE, model=model, prompt_name=prompt_name)
+    cache = read_cache(spark, cache_path, ANNOTATION_CACHE, KEYS, model=model, prompt_name=prompt_name)
     _, misses = cached_split(wanted, cache, KEYS)
     text = F.col("text") if max_words is None else truncate_col(F.col("text"), max_words=max_words)
     prompts = misses.withColumn("prompt", render(template(prompt_name), text=text, concept=F.col("concept")))
@@ -60,18 +60,21 @@ def annotate(
 def _known(
     cache: DataFrame, fresh: DataFrame, wanted: DataFrame, cache_path: str | None, model: str, prompt_name: str
 ) -> DataFrame:
-    """Annotations of the wanted tasks; fresh ones replace cached ones."""
+    """Annotations of the wanted tasks; fresh ones replace cached ones, here and for later readers."""
     if cache_path is not None:
         old = cut_lineage(cache.join(wanted.select(*KEYS), KEYS, "left_semi"))
-        newer = fresh.join(old.select(*KEYS, F.col("annotation").alias("_old")), KEYS, "left").filter(
-            F.col("_old").isNull() | (F.col("_old") != F.col("annotation"))
+        newer = cut_lineage(
+            fresh.join(old.select(*KEYS, F.col("annotation").alias("_old")), KEYS, "left")
+            .filter(F.col("_old").isNull() | (F.col("_old") != F.col("annotation")))
+            .drop("_old")
         )
-        append_cache(newer.drop("_old"), cache_path, model=model, prompt_name=prompt_name)
+        if not newer.isEmpty():
+            append_cache(newer, cache_path, KEYS, model=model, prompt_name=prompt_name)
         cache = old
     kept = cache.join(fresh.select(*KEYS), KEYS, "left_anti").join(
         wanted.select(*KEYS), KEYS, "left_semi"
     )
-    return kept.select(*KEYS, "annotation").dropDuplicates(KEYS).unionByName(fresh)
+    return kept.select(*KEYS, "annotation").unionByName(fresh)
 
 
 def annotate_matrix(texts: DataFrame, concepts: list[str], completer: Completer, **options) -> DataFrame:
@@ -113,7 +116,7 @@ def annotate_multi(
     concepts = list(dict.fromkeys(concepts))
     spark = texts.sparkSession
     tasks = text_concept_tasks(texts.select("text_key"), concepts)
-    cache = read_cache(spark, cache_path, ANNOTATION_CACHE, model=model, prompt_name=prompt_name)
+    cache = read_cache(spark, cache_path, ANNOTATION_CACHE, KEYS, model=model, prompt_name=prompt_name)
     asked = texts.join(texts_to_reannotate(tasks, cache), "text_key", "left_semi")
     ordered = F.transform(
         F.array_sort(

@@ -13,7 +13,7 @@ from pairlens.lineage import cut_lineage
 from pairlens.operators.completion import Embedder
 from pairlens.operators.joins import cached_split
 from pairlens.schema import EMBEDDING_CACHE
-from pairlens.sources.caches import append_cache, read_cache
+from pairlens.sources.caches import append_bucketed, bucketed_table
 
 
 def embed_missing(texts: DataFrame, embedder: Embedder, batch_size: int = 128) -> DataFrame:
@@ -43,9 +43,10 @@ def embed_texts(
     if cache_path is None:
         return cut_lineage(embed_missing(wanted, embedder, batch_size))
     spark = texts.sparkSession
-    cache = read_cache(spark, cache_path, EMBEDDING_CACHE, model=model)
-    _, misses = cached_split(wanted, cache, ["text_key"])
-    append_cache(embed_missing(misses, embedder, batch_size), cache_path, model=model)
-    cache = read_cache(spark, cache_path, EMBEDDING_CACHE, model=model)
+    table = (cache_path, EMBEDDING_CACHE, "text_key")
+    _, misses = cached_split(wanted, bucketed_table(spark, *table, model=model), ["text_key"])
+    # Made and kept before the table grows: it must not read what it is about to add to.
+    append_bucketed(cut_lineage(embed_missing(misses, embedder, batch_size)), *table, model=model)
+    cache = bucketed_table(spark, *table, model=model)
     # Two jobs sharing the table may both have added a text; one vector per key is kept.
     return cache.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])
