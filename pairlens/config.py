@@ -53,7 +53,7 @@ class DatasetConfig:
 @dataclass
 class EmbeddingConfig:
     model: str = "offline"
-    n_workers: int = 2
+    n_workers: int | None = None  # tasks that call the embedder at once; all, if None
 
 
 @dataclass

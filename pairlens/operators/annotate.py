@@ -37,6 +37,7 @@ def annotate(
     concurrency: int | None = None,
     max_words: int | None = None,
     parse: Callable[[Column], Column] | None = None,
+    timeout: float | None = None,
 ) -> DataFrame:
     """(concept_key, text_key, annotation) of (text_key, text, concept_key, concept) tasks.
 
@@ -51,7 +52,7 @@ def annotate(
     _, misses = cached_split(wanted, cache, KEYS)
     text = F.col("text") if max_words is None else truncate_col(F.col("text"), max_words=max_words)
     prompts = misses.withColumn("prompt", render(template(prompt_name), text=text, concept=F.col("concept")))
-    fresh = complete(prompts, KEYS, completer, parse, max_tries, concurrency).select(
+    fresh = complete(prompts, KEYS, completer, parse, max_tries, concurrency, timeout).select(
         *KEYS, F.col("parsed").alias("annotation")
     )
     return _known(cache, fresh, wanted, cache_path, model, prompt_name)
@@ -107,6 +108,7 @@ def annotate_multi(
     max_tries: int = 3,
     concurrency: int | None = None,
     seed: int = 42,
+    timeout: float | None = None,
 ) -> DataFrame:
     """All concepts of a text in one call, for texts lacking any of them.
 
@@ -133,7 +135,7 @@ def annotate_multi(
     )
     n = len(concepts)
     answers = complete(
-        prompts, ["text_key"], completer, lambda a: parse_multi_label(a, n), max_tries, concurrency
+        prompts, ["text_key"], completer, lambda a: parse_multi_label(a, n), max_tries, concurrency, timeout
     )
     # The order is a function of the text key, so it can be rebuilt next to the answer.
     paired = F.explode(F.arrays_zip(ordered.alias("concept"), F.col("parsed").alias("annotation")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import queue
 import re
+import threading
 import zlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -22,7 +24,7 @@ Embedder = Callable[[Sequence[str]], np.ndarray]
 
 @dataclass(frozen=True)
 class Completers:
-    """A service for each role of a job. Models, timeouts and token limits are the services' own."""
+    """A service for each role of a job."""
 
     interpreter: Completer
     annotator: Completer
@@ -34,28 +36,86 @@ class Completers:
         return given if isinstance(given, cls) else cls(given, given, given)
 
 
-def ask(tasks: DataFrame, keys: list[str], completer: Completer, concurrency: int | None = None, batch_size: int = 64) -> DataFrame:
+def configured(completer: Completer, **options) -> Completer:
+    """The completer with a model, token limit or other options, where they are given.
+
+    A completer that takes options has a method ``with_options(**options)`` that returns a completer.
+    """
+    given = {k: v for k, v in options.items() if v not in (None, {})}
+    if hasattr(completer, "with_options"):
+        return completer.with_options(**given)
+    if given.keys() - {"model"}:  # the model still names cache entries and steps
+        raise ValueError(f"this completer takes no options, but the configuration sets {sorted(given.keys() - {'model'})}")
+    return completer
+
+
+def _within(seconds: float | None, completer: Completer, prompts: list[str]) -> Sequence[str | None]:
+    """The completer's answers, or a TimeoutError at the deadline; a late call is left to itself."""
+    if seconds is None:
+        return completer(prompts)
+    done: queue.Queue = queue.Queue()
+
+    def call() -> None:
+        try:
+            done.put((completer(prompts), None))
+        except BaseException as error:  # handed to the waiting task
+            done.put((None, error))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        found, error = done.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {seconds} s") from None
+    if error is not None:
+        raise error
+    return found
+
+
+def ask(
+    tasks: DataFrame, keys: list[str], completer: Completer, concurrency: int | None = None, batch_size: int = 64,
+    timeout: float | None = None,
+) -> DataFrame:
     """(keys..., answer) for every row's ``prompt``; a failing batch is retried item by item.
 
-    ``concurrency`` bounds the number of tasks that call the service at the same time.
+    ``concurrency`` bounds the number of tasks that call the service at the same time. Each batch has
+    ``timeout`` seconds. Late batches are asked once more at the end of their task, unless its service
+    has not answered anything: then it hangs, and the task stops asking after this one deadline.
     """
 
     def answers(prompts: list[str]) -> list[str | None]:
         try:
-            return list(completer(prompts))
+            return list(_within(timeout, completer, prompts))
+        except TimeoutError:
+            raise
         except Exception:
             if len(prompts) == 1:
                 return [None]
             return [answer for p in prompts for answer in answers([p])]
 
     def run(batches):
+        late, answered, hangs = [], False, False
+
+        def result(part: pa.RecordBatch, got: list[str | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(got, pa.string())], names=[*keys, "answer"])
+
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                got = answers(part.column(len(keys)).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(keys)], pa.array(got, pa.string())], names=[*keys, "answer"]
-                )
+                if hangs:
+                    yield result(part, [None] * part.num_rows)
+                    continue
+                try:
+                    yield result(part, answers(part.column(len(keys)).to_pylist()))
+                    answered = True
+                except TimeoutError:
+                    late.append(part)
+                    hangs = not answered
+        for part in late:
+            try:
+                got = [None] * part.num_rows if hangs else answers(part.column(len(keys)).to_pylist())
+            except TimeoutError:
+                got, hangs = [None] * part.num_rows, True
+            yield result(part, got)
 
     selected = tasks.select(*keys, "prompt")
     if concurrency is not None:
@@ -71,23 +131,27 @@ def complete(
     parse: Callable[[Column], Column],
     max_tries: int = 3,
     concurrency: int | None = None,
+    timeout: float | None = None,
 ) -> DataFrame:
     """(keys..., parsed) for the tasks whose answer could be parsed within ``max_tries``.
 
     Every round of answers is checkpointed: a completion is paid for once, also when an
-    executor is lost later. Only the tasks that failed enter the next round.
+    executor is lost later. Only the tasks that failed enter the next round; with a ``timeout`` there is
+    none after a round without any answer.
     """
     done, pending = None, tasks
     for _ in range(max_tries):
         round_answers = cut_lineage(
-            ask(pending, keys, completer, concurrency).select(*keys, parse(F.col("answer")).alias("parsed"))
+            ask(pending, keys, completer, concurrency, timeout=timeout).select(
+                *keys, parse(F.col("answer")).alias("parsed"), F.col("answer").isNull().alias("_silent")
+            )
         )
-        good = round_answers.filter(F.col("parsed").isNotNull())
+        good = round_answers.filter(F.col("parsed").isNotNull()).drop("_silent")
         done = good if done is None else done.unionByName(good)
-        failed = round_answers.filter(F.col("parsed").isNull()).select(*keys)
-        if failed.isEmpty():
+        failed = round_answers.filter(F.col("parsed").isNull())
+        if failed.isEmpty() or (timeout is not None and round_answers.filter("not _silent").isEmpty()):
             break
-        pending = tasks.join(failed, keys, "left_semi")
+        pending = tasks.join(failed.select(*keys), keys, "left_semi")
     return done
 
 

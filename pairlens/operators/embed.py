@@ -16,8 +16,11 @@ from pairlens.schema import EMBEDDING_CACHE
 from pairlens.sources.caches import append_bucketed, bucketed_table
 
 
-def embed_missing(texts: DataFrame, embedder: Embedder, batch_size: int = 128) -> DataFrame:
-    """(text_key, embedding) of every row of (text_key, text)."""
+def embed_missing(
+    texts: DataFrame, embedder: Embedder, batch_size: int = 128, concurrency: int | None = None
+) -> DataFrame:
+    """(text_key, embedding) of every row of (text_key, text); ``concurrency`` bounds the tasks that call
+    the embedder at the same time."""
 
     def run(batches):
         for batch in batches:
@@ -28,11 +31,15 @@ def embed_missing(texts: DataFrame, embedder: Embedder, batch_size: int = 128) -
                     [part.column(0), list_column(matrix, pa.float32())], names=["text_key", "embedding"]
                 )
 
-    return texts.select("text_key", "text").mapInArrow(run, "text_key string, embedding array<float>")
+    selected = texts.select("text_key", "text")
+    if concurrency is not None:
+        selected = selected.repartition(concurrency)
+    return selected.mapInArrow(run, "text_key string, embedding array<float>")
 
 
 def embed_texts(
-    texts: DataFrame, embedder: Embedder, model: str, cache_path: str | None = None, batch_size: int = 128
+    texts: DataFrame, embedder: Embedder, model: str, cache_path: str | None = None, batch_size: int = 128,
+    concurrency: int | None = None,
 ) -> DataFrame:
     """(text_key, embedding) for distinct (text_key, text) rows; null and blank texts drop out.
 
@@ -41,12 +48,12 @@ def embed_texts(
     """
     wanted = texts.filter(is_valid_text(F.col("text")))
     if cache_path is None:
-        return cut_lineage(embed_missing(wanted, embedder, batch_size))
+        return cut_lineage(embed_missing(wanted, embedder, batch_size, concurrency))
     spark = texts.sparkSession
     table = (cache_path, EMBEDDING_CACHE, "text_key")
     _, misses = cached_split(wanted, bucketed_table(spark, *table, model=model), ["text_key"])
     # Made and kept before the table grows: it must not read what it is about to add to.
-    append_bucketed(cut_lineage(embed_missing(misses, embedder, batch_size)), *table, model=model)
+    append_bucketed(cut_lineage(embed_missing(misses, embedder, batch_size, concurrency)), *table, model=model)
     cache = bucketed_table(spark, *table, model=model)
     # Two jobs sharing the table may both have added a text; one vector per key is kept.
     return cache.join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"])

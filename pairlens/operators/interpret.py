@@ -67,18 +67,18 @@ def interpretation_prompts(
 
 def interpret(
     acts: DataFrame, texts_for: TextsFor, cfg: InterpretConfig, completer: Completer,
-    concurrency: int | None = None, id: str = "row_id", sampler: Sampler = strongest_rows,
+    concurrency: int | None = None, id: str = "row_id", sampler: Sampler = strongest_rows, timeout: float | None = None,
 ) -> DataFrame:
     """(neuron_idx, candidate_idx, interpretation); empty or failed answers are left out."""
     prompts = interpretation_prompts(acts, texts_for, cfg, id, sampler)
     keys = ["neuron_idx", "candidate_idx"]
-    answers = complete(prompts, keys, completer, clean_interpretation, 1, concurrency)
+    answers = complete(prompts, keys, completer, clean_interpretation, 1, concurrency, timeout)
     return answers.select(*keys, F.col("parsed").alias("interpretation")).filter("interpretation <> ''")
 
 
 def abbreviate(
     interpretations: DataFrame, completer: Completer, column: str = "interpretation",
-    out: str = "abbreviated_interpretation", concurrency: int | None = None,
+    out: str = "abbreviated_interpretation", concurrency: int | None = None, timeout: float | None = None,
 ) -> DataFrame:
     """Add a short form; blank stays '', and the text itself is used if no answer comes back."""
     concept = strip(F.col(column))
@@ -88,7 +88,7 @@ def abbreviate(
     def non_blank(answer):
         return F.when(strip(answer) != "", strip(answer))
 
-    short = complete(prompts, ["_concept"], completer, non_blank, 3, concurrency)
+    short = complete(prompts, ["_concept"], completer, non_blank, 3, concurrency, timeout)
     return (
         interpretations.withColumn("_concept", F.coalesce(concept, F.lit("")))
         .join(short, "_concept", "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from pairlens.functions.text import text_key
 from pairlens.lineage import cut_lineage
 from pairlens.operators.activations import firing_rates
 from pairlens.operators.annotate import annotate
-from pairlens.operators.completion import Completer, Completers, Embedder
+from pairlens.operators.completion import Completer, Completers, Embedder, configured
 from pairlens.operators.dedup import augment_signs
 from pairlens.operators.embed import embed_texts
 from pairlens.operators.encoder import (
@@ -33,20 +35,22 @@ from pairlens.operators.stats import pearson, roc_auc
 from pairlens.plans.preprocess import (
     Embedded, Preprocessed, embed_responses, in_subset, load_and_preprocess, preprocess, sampled_pair_texts,
 )
+from pairlens.sources.steps import Steps, fingerprint, named, table_fingerprint
 
 SIMILARITY_THRESHOLD = 0.7
 
 
 def train_encoder(
     spark: SparkSession, dedup_train: DataFrame, dedup_val: DataFrame | None, cfg: EncoderConfig,
-    runtime: RuntimeConfig, n_partitions: int | None = None,
+    runtime: RuntimeConfig, n_partitions: int | None = None, step: str | None = None,
 ) -> EncoderParams:
-    """Fit on the sign-augmented deltas, or reuse the stored model of the same shape."""
-    path = None
+    """Fit on the sign-augmented deltas, or reuse the stored model: the one of the same shape in the
+    checkpoint folder, or else the one of an earlier run of the same job (``step``)."""
+    path = step
     if runtime.checkpoint_dir:
         path = os.path.join(runtime.checkpoint_dir, checkpoint_name(cfg.M, cfg.K, cfg.prefix_lengths))
-        if not runtime.retrain_sae and params_exist(spark, path):
-            return load_params(spark, path)
+    if path and not runtime.retrain_sae and params_exist(spark, path):
+        return load_params(spark, path)
     params, _ = fit_encoder(augment_signs(dedup_train), dedup_val, cfg.fit_config(), n_partitions)
     if path:
         save_params(spark, params, path)
@@ -90,7 +94,8 @@ def interpret_features(
         return hooks.texts(rows, samples, dataset)
 
     return interpret(
-        acts_dedup, texts_for, cfg.interpret_config(), completer, concurrency, sampler=hooks.interpret_sampler
+        acts_dedup, texts_for, cfg.interpret_config(), completer, concurrency, sampler=hooks.interpret_sampler,
+        timeout=cfg.timeout,
     )
 
 
@@ -120,7 +125,7 @@ def score_features(
         "neuron_idx",
     ).drop("neuron_idx")
     annotations = annotate(
-        tasks, completer, cfg.annotator_model, cache_path=cache_path, concurrency=concurrency
+        tasks, completer, cfg.annotator_model, cache_path=cache_path, concurrency=concurrency, timeout=cfg.timeout
     )
     metrics = cut_lineage(fidelity(samples, annotations, interpretations))
     best = best_candidates(metrics)
@@ -246,10 +251,19 @@ def run_job(
     ``completer`` serves all roles, or is one service for each (``Completers``).
 
     Results that later steps share, and all answers that cost money, are checkpointed or
-    cached; the rest stays lazy.
+    cached; the rest stays lazy. With a cache folder a job that failed goes on where it stopped:
+    vectors, the encoder, activations, descriptions, annotations and short forms are kept there under
+    fingerprints of the input and of the configuration they follow from. Model names tell services
+    apart; what a hook does is known by its name only.
     """
+    runtime, asked = cfg.runtime, cfg.interpretation
     ask = Completers.of(completer)
-    runtime = cfg.runtime
+    limits = {"max_tokens": asked.max_interpretation_tokens}
+    ask = Completers(
+        configured(ask.interpreter, model=asked.interpreter_model, **limits, **asked.completion_kwargs),
+        configured(ask.annotator, model=asked.annotator_model, **asked.completion_kwargs),
+        configured(ask.abbreviator, model=asked.abbreviator_model, **asked.completion_kwargs),
+    )
     if runtime.debug:
         cfg = for_debug(cfg)
     controls = tuple(cfg.selection.controls)
@@ -263,29 +277,46 @@ def run_job(
         return os.path.join(runtime.cache_dir, name) if runtime.cache_dir else None
 
     cores = spark.sparkContext.defaultParallelism
-    emb = embed_responses(data, embedder, cfg.embedding.model, cache("embeddings"))
-    params = train_encoder(spark, emb.of("dedup_train"), emb.of("dedup_val"), cfg.sae, runtime, n_partitions)
-    acts = cut_lineage(encode(emb.deltas, params, keep=emb.riders))
+    steps = Steps(spark, cache("steps"))
+    source = ""
+    if steps.folder:
+        source = table_fingerprint(data.rows, ["row_id", "prompt", "response_A", "response_B", "label", *dict.fromkeys(controls)])
+    made_from = fingerprint(source, asdict(cfg.dataset), asdict(cfg.embedding), asdict(cfg.sae), runtime.debug)
+    workers = cfg.embedding.n_workers
+    emb = embed_responses(data, embedder, cfg.embedding.model, cache("embeddings"), workers)
+    params = train_encoder(
+        spark, emb.of("dedup_train"), emb.of("dedup_val"), cfg.sae, runtime, n_partitions, steps.path("encoder", made_from)
+    )
+    model = hashlib.sha256(b"".join(np.ascontiguousarray(x).tobytes() for x in (params.enc, params.dec, params.input_bias, params.neuron_bias))).hexdigest()
+    acts_of = fingerprint(made_from, model, params.threshold)
+    acts = steps.table("activations", acts_of, lambda: encode(emb.deltas, params, keep=emb.riders))
     acts_train = acts.filter(in_subset("train"))
     loss = reconstruction_loss(emb.deltas, params)
 
     icfg = cfg.interpretation
-    interpretations = cut_lineage(
-        interpret_features(
+    described = fingerprint(acts_of, asdict(icfg.interpret_config()), icfg.interpreter_model, limits, icfg.completion_kwargs,
+                            named(hooks.interpret_sampler), named(hooks.texts))
+    interpretations = steps.table(
+        "interpretations", described,
+        lambda: interpret_features(
             data.rows, acts.filter(in_subset("dedup_train")), cfg.dataset, icfg, ask.interpreter,
             min(icfg.n_workers_interpretation, cores), hooks,
-        )
+        ),
     )
     scores = score_features(
         interpretations, data.rows, acts_train, cfg.dataset, icfg, ask.annotator, cache("annotations"),
         min(icfg.n_workers_annotation, cores), hooks,
     )
     best = cut_lineage(scores.best)
-    short = abbreviate(best, ask.abbreviator)
+    told = table_fingerprint(best, ["neuron_idx", "interpretation"]) if steps.folder else ""
+    short = steps.table(
+        "abbreviations", fingerprint(told, icfg.abbreviator_model, icfg.completion_kwargs),
+        lambda: abbreviate(best, ask.abbreviator, timeout=icfg.timeout),
+    )
     concepts = best.select(
         F.col("neuron_idx").alias("id"), F.col("interpretation").alias("text"), text_key(F.col("interpretation")).alias("text_key")
     )
-    vectors = embed_texts(concepts.select("text_key", "text").distinct(), embedder, cfg.embedding.model, cache("embeddings"))
+    vectors = embed_texts(concepts.select("text_key", "text").distinct(), embedder, cfg.embedding.model, cache("embeddings"), concurrency=workers)
     closeness, n_components = redundancy(
         cut_lineage(concepts.join(vectors, "text_key").select("id", "text", "embedding")), SIMILARITY_THRESHOLD
     )

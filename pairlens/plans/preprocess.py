@@ -139,14 +139,14 @@ def deltas_of(df: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def embed_responses(
-    data: Preprocessed, embedder: Embedder, model: str, cache_path: str | None = None
+    data: Preprocessed, embedder: Embedder, model: str, cache_path: str | None = None, concurrency: int | None = None
 ) -> Embedded:
     """Embed every distinct response once and form the delta of every row.
 
     Each row is in one split, so the texts come straight from the source rows.
     """
     texts = unique_texts(data.rows, F.col("response_A"), F.col("response_B"))
-    return deltas_for(data, embed_texts(texts, embedder, model, cache_path))
+    return deltas_for(data, embed_texts(texts, embedder, model, cache_path, concurrency=concurrency))
 
 
 def deltas_for(data: Preprocessed, embeddings: DataFrame) -> Embedded:
