@@ -8,9 +8,15 @@ count near-copy classes of a host. A document's sketch is the ``SKETCH_SIZE`` sm
 five-word windows; equal sketches are one node. Nodes whose sketches agree in one of ``BANDS`` parts
 meet in a bucket, each bucket has one of its nodes as representative, and a node is linked with the
 representative if the Jaccard similarity of their window sets, as the sketches tell it, is at least
-``NEAR``. Classes are the components of these links. Sketches of up to ``SKETCH_SIZE`` windows are
-whole sets; of longer texts the similarity is an estimate with a standard error of 0.04. So documents
-that share three quarters of their windows or more count as one, whatever the rest of them says.
+``NEAR``. Components of these links are candidates: they hold variants of one text, and just as well
+documents that are nearly all boilerplate. What tells them apart is the rest of each document. A
+line is marked by the smallest hashes of its word pairs; a line that shares less than half of its
+marks with the component's first member is a line of the document's own, while an edited line keeps
+most of them. Documents whose own lines have ``OWN_WORDS`` words or more together are distinct if their
+own lines differ; all others of a component are variants and count as one. Sketches of up to
+``SKETCH_SIZE`` windows are whole sets; of longer texts the similarity is an estimate with a standard
+error of 0.04. So a page in hundreds of variants is kept, and documents of a host with a notice around
+a line of their own count one by one, however large the notice is.
 
 A line is common if its frequency exceeds ``min_documents`` and either ``share`` of the distinct
 documents of its host or ``enough`` documents, so no host is too large for its boilerplate. A document is depleted if, without its common lines, fewer than
@@ -42,6 +48,7 @@ SKETCH_SIZE = 128
 BANDS, BAND_ROWS = 6, 4
 NEAR = 0.75
 ENOUGH = 1000
+MARKS, OWN_WORDS = 4, 4
 
 
 def window_hashes(w: Column, size: int = WINDOW) -> Column:
@@ -96,6 +103,22 @@ def normalised_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(line, F.lit(BLANKS))), BLANK_RUN, " ")
 
 
+def _marked_line(line: Column) -> Column:
+    """Hash, number of words and marks of a line: the smallest hashes of its word pairs (and last word)."""
+
+    def of_words(w: Column) -> Column:
+        pairs = F.transform(w, lambda x, i: F.shiftright(F.xxhash64(x, F.get(w, i + 1)), 32).cast("int"))
+        return F.struct(F.size(w).alias("words"), F.slice(F.sort_array(F.array_distinct(pairs)), 1, MARKS).alias("marks"))
+
+    def of_line(x: Column) -> Column:
+        return let(
+            let(F.split(x, " "), of_words),
+            lambda m: F.struct(F.xxhash64(x).alias("line"), m["words"].alias("words"), m["marks"].alias("marks")),
+        )
+
+    return let(normalised_line(line), of_line)
+
+
 def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """One narrow row per document: key, id, hashed host, base measures, sketch, node and lines."""
     w, h, spoken = OWN + "words", OWN + "windows", OWN + "spoken"
@@ -122,12 +145,7 @@ def measure(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
         _covered(F.col(h), WINDOW).alias("n_repeat_words"),
         F.when(F.size(SKETCH) > 0, F.xxhash64(HOST, SKETCH)).otherwise(F.xxhash64(HOST, w)).alias(NODE),
         SKETCH,
-        F.transform(
-            spoken,
-            lambda x: F.struct(
-                F.xxhash64(normalised_line(x)).alias("line"), F.size(words(x)).alias("words")
-            ),
-        ).alias(LINES),
+        F.transform(spoken, _marked_line).alias(LINES),
     )
 
 
@@ -151,18 +169,47 @@ def near_copies(measured: DataFrame) -> DataFrame:
     return component_of_edges(alike.select(F.col(NODE).alias("u"), F.col("_rep").alias("v")))
 
 
+def document_classes(measured: DataFrame) -> DataFrame:
+    """(node, class) of the nodes that are near copies of another node: variants of a text share a class,
+    and so do documents whose own lines agree, see the module's description.
+
+    Lines are compared with the first member once per component and line, so the lines that a large
+    group of copies shares are few.
+    """
+    classes = cut_lineage(near_copies(measured).select(F.col("node").alias(NODE), F.col("component").alias("_c")))
+    one = measured.select(NODE, LINES).join(classes, NODE).groupBy(NODE, "_c").agg(F.first(LINES).alias(LINES))
+    lines = cut_lineage(one.select(NODE, "_c", F.explode(LINES).alias("l")).select(NODE, "_c", "l.*").distinct())
+    first = lines.filter(F.col(NODE) == F.col("_c")).select("_c", F.explode("marks").alias("_mark")).distinct()
+    marked = lines.groupBy("_c", "line").agg(F.first("marks").alias("marks")).select("_c", "line", F.explode("marks").alias("_mark"))
+    known = marked.join(first.withColumn("_known", F.lit(1)), ["_c", "_mark"], "left")
+    own = (
+        known.groupBy("_c", "line")
+        .agg(F.count(F.lit(1)).alias("_n"), F.count("_known").alias("_k"), F.min("_mark").alias("_least"))
+        .filter(2 * F.col("_k") < F.col("_n"))
+        .select("_c", "line", "_least")
+    )
+    rest = (
+        lines.join(own, ["_c", "line"])
+        .groupBy(NODE, "_c")
+        .agg(F.sum("words").alias("_words"), F.sort_array(F.collect_set("_least")).alias("_rest"))  # a document's lines
+        .filter(F.col("_words") >= OWN_WORDS)
+        .select(NODE, F.xxhash64("_c", "_rest").alias("_own"))
+    )
+    return classes.join(rest, NODE, "left").select(NODE, F.coalesce("_own", "_c").alias("_class"))
+
+
 def common_lines(measured: DataFrame, min_documents: int, share: float, enough: int = ENOUGH) -> DataFrame:
     """(host, line, n_documents) of the lines above the limits.
 
     Counted in steps, by (host, line, node), (host, line, class) and (host, line), all combined on
     the map side, so a line that a third of all documents hold is spread over all tasks.
     """
-    classes = near_copies(measured).select(F.col("node").alias(NODE), "component")
+    classes = cut_lineage(document_classes(measured))
     lines = measured.select(HOST, NODE, F.explode(LINES).alias("l")).select(HOST, NODE, "l.line")
 
     def distinct_documents(rows: DataFrame, by: list[str], out: str) -> DataFrame:
         named = rows.select(*by, NODE).distinct().join(classes, NODE, "left")
-        each = named.select(*by, F.coalesce("component", NODE).alias("_class")).distinct()
+        each = named.select(*by, F.coalesce("_class", NODE).alias("_class")).distinct()
         return each.groupBy(*by).agg(F.count(F.lit(1)).alias(out))
 
     frequency = distinct_documents(lines, [HOST, "line"], "n_documents").filter(F.col("n_documents") > min_documents)

@@ -82,6 +82,72 @@ def test_documents_of_much_boilerplate_count_and_near_copies_do_not(spark, n_lin
     assert not any(verdict[i] for i in range(60)) and all(verdict[1000 + i] for i in range(400))
 
 
+@pytest.mark.parametrize("percent", [70, 80, 85, 90, 95, 98])
+@pytest.mark.parametrize("n_lines", [1, 10])
+def test_the_more_boilerplate_the_surer_the_verdict(spark, percent, n_lines):
+    """60 documents of 200 words: a notice, and a line of their own."""
+    size = 2 * percent // n_lines
+    notice = "\n".join(" ".join(f"n{k}x{j}" for j in range(size)) for k in range(n_lines))
+    rows = [(i, notice + "\n" + " ".join(f"d{i}x{j}" for j in range(200 - 2 * percent)), "h") for i in range(60)]
+    verdict = line_rules.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert not any(r.kept for r in verdict) and all(r.n_common_words == size * n_lines for r in verdict)
+
+
+def judged_by_hand(rows, min_documents, share=0.005):
+    """Verdicts from whole window sets: near copies by all pairs, frequencies by sets."""
+
+    def line_of(x):
+        return " ".join(words(x)).lower()
+
+    def marks(line):
+        w = line.split(" ")
+        return {(x, w[i + 1] if i + 1 < len(w) else None) for i, x in enumerate(w)}
+
+    docs = {}
+    for host, text in {(r.source, r.text) for r in rows}:
+        w = words(text)
+        windows = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or tuple(w)
+        docs.setdefault((host, windows), []).append([line_of(x) for x in (text or "").split("\n") if words(x)])
+    nodes = list(docs)
+    near = [
+        (i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i])
+        if a[0] == b[0] and isinstance(a[1], frozenset) and isinstance(b[1], frozenset)
+        and len(a[1] & b[1]) >= line_rules.NEAR * len(a[1] | b[1])
+    ]
+    root = {i: i for i in range(len(nodes))}
+    for i, j in near:
+        old, new = root[i], root[j]
+        root = {k: new if v == old else v for k, v in root.items()}
+    frequency, totals = {}, {}
+    for i, (host, windows) in enumerate(nodes):
+        held = {x for lines in docs[host, windows] for x in lines}
+        first = next(k for k in root if root[k] == root[i])
+        known = {m for x in docs[nodes[first]][0] for m in marks(x)}
+        own = frozenset(x for x in held if 2 * len(marks(x) & known) < len(marks(x)))
+        kind = (root[i], own if sum(len(x.split(" ")) for x in own) >= 4 else None)
+        totals.setdefault(host, set()).add(kind)
+        for x in held:
+            frequency.setdefault((host, x), set()).add(kind)
+    common = {k for k, v in frequency.items() if len(v) > min_documents and len(v) > share * len(totals[k[0]])}
+    out = Counter()
+    for r in rows:
+        n, _, _, _, repeated = brute(r.text)
+        failed = n < 10 or 100 * repeated > 20 * n
+        hit = sum(len(words(x)) for x in (r.text or "").split("\n") if words(x) and (r.source, line_of(x)) in common)
+        left = n - hit
+        depleted = hit > 0 and (3 * left < n or (2 * left < n and left < 10))
+        out[r.doc_id, hit, not (failed or depleted)] += 1
+    return out
+
+
+@pytest.mark.parametrize("min_documents", [2, 20])
+def test_verdict_on_the_real_table_against_brute_force(spark, min_documents):
+    docs = documents(spark)
+    found = line_rules.judge_documents(docs, min_documents=min_documents).collect()
+    want = judged_by_hand(docs.collect(), min_documents)
+    assert Counter((r.doc_id, r.n_common_words, r.kept) for r in found) == want
+
+
 def test_boilerplate_of_a_large_host_is_common(spark):
     """1200 documents of 300 000 are less than 0.5 % of them."""
     held = F.when(F.col("id") < 1200, "\nall rights are reserved here")
