@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from pairlens.lineage import cut_lineage
 from pairlens.llm.common import whole
-from pairlens.llm.ngram_join import _words
+from pairlens.llm.ngram_join import word_hashes
 
 END = np.uint64(0x5E9D3C7F00000001)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +161,7 @@ def blocks_of(docs: DataFrame, training: Column, id: str, text: str, block_token
         for batch in batches:
             for number, use, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = data.lower().split()  # bytes: A-Z only, ASCII blanks
-                h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+                h = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
                 ids.append(number)
                 trained.append(bool(use))
                 parts.append(np.append(h, END))

@@ -65,7 +65,7 @@ class _WordHashes(dict):
         return value
 
 
-_words = _WordHashes()
+word_hashes = _WordHashes()
 
 
 def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
@@ -73,15 +73,20 @@ def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
     words = (text or b"").split()  # splits bytes at ASCII blanks
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    w = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     k = min(n, len(w))
-    h = np.full(len(w) - k + 1, np.uint64(k))
+    return np.unique(mixed_windows(w, np.arange(len(w) - k + 1), k))
+
+
+def mixed_windows(w: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the windows of ``k`` words that begin at ``at``, from the hashes of words."""
+    h = np.full(len(at), np.uint64(k))
     for i in range(k):
-        h = h * STEP + w[i : len(w) - k + 1 + i]
+        h = h * STEP + w[at + i]
         h ^= h >> np.uint64(29)
     h *= MIX
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return h
 
 
 class Signer:

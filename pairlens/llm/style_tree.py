@@ -37,9 +37,12 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +51,7 @@ from pairlens.lineage import cut_lineage
 from pairlens.llm.common import OWN, whole
 from pairlens.llm.line_rules import HOST, SKETCH, SKETCH_SIZE, near_copies
 from pairlens.llm.line_rules import NODE as PAGE_NODE
-from pairlens.llm.ngram_join import shingles
+from pairlens.llm.ngram_join import SHINGLE, mixed_windows, word_hashes
 
 GAMMA = 0.9
 SKIPPED = "script style noscript template title head iframe svg math object canvas audio video textarea select option button".split()
@@ -114,8 +117,6 @@ def named_header(attrs: dict[str, str]) -> bool:
 
 
 def _hash(text: str, seed: int = 0) -> int:
-    import xxhash
-
     value = xxhash.xxh3_64_intdigest(text, seed=seed & (2**64 - 1))
     return value - (1 << 64) if value >> 63 else value
 
@@ -256,9 +257,39 @@ BLOCK = T.StructType([T.StructField(n, T.LongType()) for n in ("node", "block")]
 READ_BLOCK = T.StructType([*BLOCK.fields, T.StructField("windows", T.ArrayType(T.IntegerType()))])
 
 
-def window_sketch(text: str) -> list[int]:
-    """The upper bits of the smallest hashes of a block's windows; of its words, if it has fewer than five."""
-    return (shingles(text.encode("utf-8", "replace"))[:SKETCH_SIZE] >> 33).astype("int32").tolist()
+def window_sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the upper bits of the smallest hashes of its five-word windows (of all its words, if
+    it has fewer), one block after the other, and where each begins and the last one ends."""
+    words = [t.encode("utf-8", "replace").split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = np.cumsum(sizes) - sizes
+    w = np.fromiter(map(word_hashes.__getitem__, chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+    owners, hashes = [], []
+    for k in range(1, SHINGLE + 1):
+        blocks = np.flatnonzero(sizes == k if k < SHINGLE else sizes >= k)
+        counts = sizes[blocks] - k + 1
+        ends = np.cumsum(counts)
+        at = np.arange(counts.sum()) + np.repeat(starts[blocks] - (ends - counts), counts)
+        owners.append(np.repeat(blocks, counts))
+        hashes.append(mixed_windows(w, at, k))
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    fresh = np.r_[True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])][: len(h)]
+    owner, h = owner[fresh], h[fresh]
+    least = np.arange(len(owner)) - np.searchsorted(owner, owner) < SKETCH_SIZE
+    bounds = np.searchsorted(owner[least], np.arange(len(texts) + 1))
+    return (h[least] >> np.uint64(33)).astype(np.int32), bounds.astype(np.int32)
+
+
+def _lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), values)
+
+
+def _structs(schema: T.StructType, columns: list) -> pa.StructArray:
+    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32()}
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kinds[type(f.dataType)]) for c, f in zip(columns, schema.fields)]
+    return pa.StructArray.from_arrays(arrays, names=schema.names)
 
 
 def read_trees(pages: DataFrame) -> DataFrame:
@@ -270,28 +301,34 @@ def read_trees(pages: DataFrame) -> DataFrame:
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            node: list[list] = [[], [], [], []]
+            block: list[list] = [[], []]
+            page, n_nodes, n_blocks, texts = [], [], [], []
+            for source in batch.column(1).to_pylist():
                 tree = Page(source)
-                nodes = [
-                    {
-                        "node": node,
-                        "parent": above,
-                        "shown": _hash(" ".join(map(str, tree.children[node]))),
-                        "depth": tree.depth[node],
-                    }
-                    for node, above in tree.parent.items()
-                ]
-                blocks = [
-                    {"node": n, "block": _hash(t), "windows": window_sketch(t)} for n, t, noise, _ in tree.blocks if not noise
-                ]
-                page = _hash("\n".join(t for _, t, noise, _ in tree.blocks if not noise))
-                rows.append({"host": host, "page": page, "nodes": nodes, "blocks": blocks})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
+                node[0] += tree.parent
+                node[1] += tree.parent.values()
+                node[2] += [_hash(" ".join(map(str, tree.children[x]))) for x in tree.parent]
+                node[3] += [tree.depth[x] for x in tree.parent]
+                own = [(x, t) for x, t, noise, _ in tree.blocks if not noise]
+                block[0] += [x for x, _ in own]
+                block[1] += [_hash(t) for _, t in own]
+                texts += [t for _, t in own]
+                page.append(_hash("\n".join(t for _, t in own)))
+                n_nodes.append(len(tree.parent))
+                n_blocks.append(len(own))
+            values, bounds = window_sketches(texts)
+            windows = pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(page, pa.int64()),
+                    _lists(n_nodes, _structs(NODE, node)),
+                    _lists(n_blocks, _structs(READ_BLOCK, [*block, windows])),
+                ],
+                names=schema.names,
+            )
+
     return pages.mapInArrow(over, schema)
 
 
