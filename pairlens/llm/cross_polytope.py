@@ -30,6 +30,10 @@ from pyspark.sql import types as T
 from pairlens.lineage import cut_lineage
 
 ROUNDS = 3
+#: (tables, probes) by the number of axes that name a bucket. Recall of the ten nearest among 50 000
+#: Gaussian vectors of 64 dimensions, which have no structure to help, and the share of vectors looked
+#: at: 0.999 and 0.64, 0.946 and 0.17, 0.960 and 0.10.
+SEARCH = {1: (20, 8), 2: (20, 128), 3: (30, 4096)}
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -79,10 +83,11 @@ class Hasher:
         return names
 
 
-def parts_for(n_vectors: int, length: int, bucket_rows: int) -> int:
-    """How many axes name a bucket so that it holds about ``bucket_rows`` vectors, one at least."""
+def parts_for(n_vectors: int, length: int, bucket_rows: float) -> int:
+    """How many axes name a bucket so that it holds about ``bucket_rows`` vectors, one at least and at
+    most as many as recall was measured for: buckets grow beyond."""
     padded = 1 << max(length - 1, 0).bit_length()
-    return max(1, round(math.log(max(n_vectors, 1) / bucket_rows) / math.log(2 * padded)))
+    return min(max(SEARCH), max(1, round(math.log(max(n_vectors, 1) / bucket_rows) / math.log(2 * padded))))
 
 
 def usable(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -195,25 +200,27 @@ def nearest_neighbours(
     id: str = "vec_id",
     vector: str = "embedding",
     k: int = 10,
-    tables: int = 20,
-    probes: int = 8,
-    bucket_rows: int = 512,
+    tables: int | None = None,
+    probes: int | None = None,
+    bucket_rows: float = 512,
     block_rows: int = 4096,
     seed: int = 5,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for the rows for which
     ``is_query``, a condition on the column ``id``, holds; score is the Euclidean distance.
 
-    ``probes`` is per part of a bucket's name: names of two parts have probes ** 2 probes.
+    ``tables`` and ``probes`` (of a query in each table) are those of ``SEARCH`` unless given: names of
+    more axes are finer, so a query has to look into more buckets for the same recall.
     """
     dtype = "<f4" if rows.schema[vector].dataType == T.ArrayType(T.FloatType()) else "<f8"
     found = cut_lineage(usable(rows, id, vector))
     n, length = found.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     parts = parts_for(n, length or 1, bucket_rows)
+    tables, probes = tables or SEARCH[parts][0], probes or SEARCH[parts][1]
     by = ["bucket_table", "bucket", "length"]
     codes = hashed_rows(found, F.lit(False), tables, parts, 1, seed, None)
     sizes = cut_lineage(codes.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > block_rows))
-    placed = hashed_rows(found, is_query, tables, parts, probes**parts, seed, dtype)
+    placed = hashed_rows(found, is_query, tables, parts, probes, seed, dtype)
     near = cut_lineage(_best(_in_blocks(placed, by, sizes, block_rows, k, dtype), k))
     asked = found.filter(is_query).select(F.col("id").alias("query_id")).distinct()
     short = cut_lineage(

@@ -46,6 +46,33 @@ def test_recall_against_all_pairs(spark, table):
         assert got[q] == sorted(got[q]) and len(got[q]) == 10
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3])
+def test_recall_of_every_form_on_vectors_without_structure(parts):
+    """The buckets that production tables and probes look into, for each number of axes."""
+    tables, probes = cross_polytope.SEARCH[parts]
+    x = np.random.default_rng(4).normal(size=(50_000, 64))
+    q = np.arange(0, 50_000, 2500)
+    far = (x**2).sum(1)[None] - 2 * x[q] @ x.T
+    far[np.arange(len(q)), q] = np.inf
+    true = np.argpartition(far, 10, axis=1)[:, :10]
+    found = np.zeros(true.shape, bool)
+    hasher = cross_polytope.Hasher(64, tables, parts, 5)
+    for t in range(tables):
+        own = hasher.probes(x[true.ravel()], t, 1)[:, 0].reshape(true.shape)
+        for i, probed in enumerate(hasher.probes(x[q], t, probes)):
+            found[i] |= np.isin(own[i], probed)
+    assert found.mean() >= 0.9
+
+
+def test_recall_with_names_of_two_axes(spark):
+    rows = clusters(spark, 2000)
+    assert cross_polytope.parts_for(2000, 48, 0.25) == 2
+    got = answers(cross_polytope.nearest_neighbours(rows, F.col("id") % 200 == 0, bucket_rows=0.25))
+    want = brute([(r.vec_id, r.embedding) for r in rows.collect()], step=200)
+    hits = sum(len({v for _, v in got[q]} & {v for _, v in want[q]}) for q in want)
+    assert set(got) == set(want) and hits / sum(map(len, want.values())) >= 0.9
+
+
 def odd(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(a) for a in rng.normal(size=8)], 1) for i in range(30)]
@@ -96,4 +123,4 @@ def test_probes_are_the_nearest_buckets():
 
 
 def test_bucket_names_grow_with_the_table():
-    assert [cross_polytope.parts_for(n, 64, 512) for n in (10, 50_000, 10**7, 10**9)] == [1, 1, 2, 3]
+    assert [cross_polytope.parts_for(n, 64, 512) for n in (10, 50_000, 10**7, 10**9, 10**13)] == [1, 1, 2, 3, 3]
