@@ -15,6 +15,7 @@ from pairlens.llm import (
 )
 from pairlens.llm.common import remainder
 from pairlens.llm.registry import query, table
+from pairlens.llm.sql import IMPORTANCE, REPAIR
 
 THRESHOLD = 0.3
 
@@ -95,7 +96,7 @@ def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(REPAIR)
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(turn_repair.damage(table(spark, sf_dir, "conversations")))
 
@@ -112,7 +113,7 @@ def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_table.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"), _digests, schema)
 
 
-@query()
+@query(IMPORTANCE)
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, target = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return importance.resample(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
