@@ -19,6 +19,7 @@ from pairlens.operators.split import component_split
 from pairlens.plans.features import run_job, select_and_probe
 from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
+from pairlens.queries.crc import crc32_sql
 from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows
 from pairlens.queries.pairs import SPLIT_ON, deltas, preferences, stored_deltas
 from pairlens.queries.registry import STEPS, first_words, p_value_sql, query, responses_sql, strip_sql
@@ -71,6 +72,23 @@ def embedded_texts(spark, sf_dir):
     return embed_texts(texts, HashingEmbedder(DIMS), "hashing").select("text_key", F.size("embedding").alias("dims"))
 
 
+_EMBEDDED = f"""WITH texts AS (SELECT DISTINCT text FROM documents WHERE {strip_sql('text')} <> ''),
+  spoken AS (SELECT text, unnest(regexp_extract_all(text, '\\S+')) AS word FROM texts),
+  hashed AS (SELECT word, {crc32_sql('word')} AS h FROM (SELECT DISTINCT word FROM spoken)),
+  sums AS (SELECT text, h % {DIMS} AS pos, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v
+    FROM spoken JOIN hashed USING (word) GROUP BY text, h % {DIMS}),
+  norms AS (SELECT text, sqrt(sum(v * v))::FLOAT AS norm FROM sums GROUP BY text)
+  SELECT sha256(text) AS text_key, pos::INTEGER AS pos, (v::FLOAT / norm)::DOUBLE AS value FROM sums JOIN norms USING (text) WHERE v <> 0"""
+
+
+@query(_EMBEDDED)
+def embedded_vectors(spark, sf_dir):
+    """The components that are not zero of every text's vector."""
+    texts = unique_texts(table(spark, sf_dir, "documents"), F.col("text"))
+    found = embed_texts(texts, HashingEmbedder(DIMS), "hashing").select("text_key", F.posexplode("embedding").alias("pos", "value"))
+    return found.filter("value <> 0").select("text_key", "pos", F.col("value").cast("double").alias("value"))
+
+
 @query(
     """SELECT doc_id, trim(regexp_replace(regexp_replace('is the ' || source || ' at ' || lang, '\\b(is|the|at)\\b', '', 'g'), ' +', ' ', 'g'))
        AS abbreviated_interpretation FROM documents"""
@@ -132,9 +150,46 @@ def delta_probe(spark, sf_dir):
     return probe.linear_probe(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
 
 
-@query()
+# Newton's method on (1, control, activation) for each neuron, its 3 x 3 systems by Cramer's rule.
+_NEWTON = """, raw AS (SELECT neuron_idx, label AS y, length_delta::double AS c, act::double AS a
+    FROM acts JOIN rows USING (row_id) WHERE label IN (0, 1)),
+  scaled AS MATERIALIZED (SELECT neuron_idx, y, (c - avg(c) OVER w) / stddev_pop(c) OVER w AS c,
+    (a - avg(a) OVER w) / nullif(stddev_pop(a) OVER w, 0) AS a FROM raw WINDOW w AS (PARTITION BY neuron_idx)),
+  newton AS (SELECT DISTINCT neuron_idx, 0 AS step, 0.0::double AS b0, 0.0::double AS b1, 0.0::double AS b2 FROM scaled
+    UNION ALL SELECT neuron_idx, step + 1,
+      b0 + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d,
+      b1 + (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d,
+      b2 + (h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d
+    FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d
+      FROM (SELECT neuron_idx, step, b0, b1, b2, sum(y - p) AS g0, sum((y - p) * c) AS g1, sum((y - p) * a) AS g2,
+          sum(p * (1 - p)) AS h00, sum(p * (1 - p) * c) AS h01, sum(p * (1 - p) * a) AS h02, sum(p * (1 - p) * c * c) AS h11,
+          sum(p * (1 - p) * c * a) AS h12, sum(p * (1 - p) * a * a) AS h22
+        FROM (SELECT neuron_idx, step, b0, b1, b2, y, c, a, 1 / (1 + exp(-(b0 + b1 * c + b2 * a))) AS p
+          FROM newton JOIN scaled USING (neuron_idx) WHERE step < 25)
+        GROUP BY neuron_idx, step, b0, b1, b2)))
+  SELECT neuron_idx, round(b2, 6) AS coef FROM newton WHERE step = 25"""
+
+
+@query(_NEWTON, ("acts", "rows"))
 def controlled_logit_coefficients(spark, sf_dir):
-    return linear.controlled_coefs(binary_rows(spark, sf_dir), ["length_delta"])
+    return linear.controlled_coefs(binary_rows(spark, sf_dir), ["length_delta"]).withColumn("coef", F.round("coef", 6))
+
+
+_RIDGE = """, xy AS (SELECT row_id, label AS y, length_delta::double AS c, act::double AS a FROM acts JOIN rows USING (row_id) WHERE neuron_idx = 0),
+  m AS (SELECT avg(y) AS my, avg(c) AS mc, avg(a) AS ma, stddev_pop(c) AS sc, stddev_pop(a) AS sa, count(*) AS n,
+    covar_pop(c, y) / stddev_pop(c) AS cy, covar_pop(a, y) / stddev_pop(a) AS ay, corr(c, a) AS ca FROM xy),
+  b AS (SELECT *, 1 + 1.5 / n AS one, ((1 + 1.5 / n) ** 2 - ca * ca) AS d FROM m),
+  w AS (SELECT *, (one * cy - ca * ay) / d AS wc, (one * ay - ca * cy) / d AS wa FROM b)
+  SELECT row_id, round(my + wc * (c - mc) / sc + wa * (a - ma) / sa, 6) AS score FROM xy, w"""
+
+
+@query(_RIDGE, ("acts", "rows"))
+def ridge_probe_scores(spark, sf_dir):
+    """Length and the first activation as predictors of the numeric label (0, 0.5, 1)."""
+    rows = preferences(spark, sf_dir).select("row_id", "label", "length_delta").join(acts(spark, sf_dir), "row_id")
+    first = rows.select("row_id", "label", probe.feature_vector(F.array("length_delta"), F.slice("acts", 1, 1)).alias("features")).persist()
+    scores = probe.probe_scores(probe.fit_probe(first, c=1.5, binary=False), first)
+    return scores.select("row_id", F.round("score", 6).alias("score"))
 
 
 @query()

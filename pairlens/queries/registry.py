@@ -43,7 +43,7 @@ def with_ctes(sql: str, names: tuple[str, ...]) -> str:
         need(name)
     if not parts:
         return sql
-    recursive = "RECURSIVE " if "components" in parts else ""
+    recursive = "RECURSIVE " if "components" in parts or "newton AS (" in sql else ""
     # A query may open with a comma to add fragments of its own.
     return f"WITH {recursive}" + ",\n".join(parts.values()) + "\n" + sql
 

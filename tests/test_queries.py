@@ -21,7 +21,6 @@ FITS = {
     "generated_descriptions": "test_jobs: prompts and answers by hand",
     "fitted_encoder_activity": "test_models: gradients, planted directions, independence of tasks",
     "delta_probe": "test_models: Newton's method",
-    "controlled_logit_coefficients": "test_models: numpy fits",
     "controlled_lasso_selection": "test_models: optimality conditions",
     "plain_lasso_selection": "test_models: optimality conditions",
     "selection_sweep": "test_models: optimality conditions and probes",
