@@ -94,3 +94,21 @@ def test_missing_labels_give_the_share(spark):
     for some in (labels.limit(0), labels.filter("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
         model = toxicity_fm.train(docs, some, F.lit(True))
         assert toxicity_fm.score(docs, model).agg(F.max("score")).first()[0] <= 0.5
+
+
+def test_a_column_named_as_the_score_is_replaced(spark):
+    docs, labels = corpus(spark, 200)
+    model = toxicity_fm.train(docs, labels, F.lit(True))
+    named = docs.withColumn("score", F.lit(-7.0))
+    want = sorted((r.doc_id, r.score) for r in toxicity_fm.score(docs, model).collect())
+    got = toxicity_fm.score(named, model)
+    assert got.columns == ["doc_id", "text", "score"]
+    assert sorted((r.doc_id, r.score) for r in got.collect()) == want
+
+
+def test_the_sample_is_bounded_by_characters(spark):
+    docs, labels = corpus(spark, 600)
+    all_terms = toxicity_fm.train(docs, labels, F.lit(True))
+    total = sum(len(r.text) for r in docs.collect())
+    some = toxicity_fm.train(docs, labels, F.lit(True), max_chars=total // 4)
+    assert 0 < len(some.terms) < len(all_terms.terms)
