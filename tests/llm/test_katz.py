@@ -21,22 +21,19 @@ def tokens(text):
 
 
 class Model:
-    """The same model from dictionaries."""
+    """The same model from dictionaries: counts of words after each context of up to order - 1 words."""
 
-    def __init__(self, texts):
-        self.one, self.two = Counter(), {}
+    def __init__(self, texts, order=3):
+        self.order, self.after, self.backoff = order, [{} for _ in range(order)], {}
         for t in texts:
-            before = END
+            so_far = [END]
             for w in tokens(t):
-                self.one[w] += 1
-                self.two.setdefault(before, Counter())[w] += 1
-                before = w
+                for k in range(min(order - 1, len(so_far)) + 1):
+                    self.after[k].setdefault(tuple(so_far[len(so_far) - k :]), Counter())[w] += 1
+                so_far.append(w)
+        self.one = self.after[0].get((), Counter())
         self.n, self.v = sum(self.one.values()), len(self.one)
-        self.d1 = katz.discounts(self._ns(self.one.values()))
-        self.d2 = katz.discounts(self._ns(c for x in self.two.values() for c in x.values()))
-        freed = sum((1 - self.d1[c]) * c for c in self.one.values() if c <= katz.TOP)
-        self.total = self.n if freed > 0 else self.n + 1
-        self.unknown = (freed or 1.0) / self.total
+        self.d = [katz.discounts(self._ns(c for x in a.values() for c in x.values())) for a in self.after]
 
     @staticmethod
     def _ns(counts):
@@ -46,40 +43,41 @@ class Model:
                 out[c] += 1
         return out
 
-    @staticmethod
-    def f(d, c):
-        return d[c] if c <= katz.TOP else 1.0
-
-    def p1(self, w):
-        c = self.one.get(w, 0)
-        return self.f(self.d1, c) * c / self.total if c else self.unknown
+    def f(self, k, c):
+        return self.d[k][c] if c <= katz.TOP else 1.0
 
-    def p2(self, h, w):
-        after = self.two.get(h)
+    def p(self, h, w):
+        """Probability of ``w`` after the words ``h``."""
+        k, after = len(h), self.after[len(h)].get(tuple(h))
         if not after:
-            return self.p1(w)
-        n = sum(after.values())
-        freed = sum((1 - self.f(self.d2, c)) * c for c in after.values())
-        total = n if freed > 0 else n + 1
+            return self.p(h[1:], w) if h else 1.0
+        if tuple(h) not in self.backoff:
+            n = sum(after.values())
+            freed = sum((1 - self.f(k, c)) * c for c in after.values())
+            total = n if freed > 0 else n + 1
+            rest = 1 - sum(self.p(h[1:], x) for x in after) if h else 1.0
+            self.backoff[tuple(h)] = total, (freed if freed > 0 else 1.0) / total / rest
+        total, weight = self.backoff[tuple(h)]
         if w in after:
-            return self.f(self.d2, after[w]) * after[w] / total
-        return (freed if freed > 0 else 1.0) / total / (1 - sum(map(self.p1, after))) * self.p1(w)
+            return self.f(k, after[w]) * after[w] / total
+        return weight * self.p(h[1:], w) if h else weight
 
     def score(self, text):
-        out, before = 0.0, END
+        out, so_far = 0.0, [END]
         for w in tokens(text):
-            out += log10(self.p2(before, w))
-            before = w
+            out += log10(self.p(so_far[len(so_far) - min(self.order - 1, len(so_far)) :], w))
+            so_far.append(w)
         return out
 
     def base(self, text):
         return sum(log10((self.one.get(w, 0) + 0.5) / (self.n + 0.5 * (self.v + 1))) for w in tokens(text))
 
 
-def check(docs, **options):
+def check(docs, order=3, **options):
+    options["order"] = order
     got = katz.score_documents(docs, remainder("doc_id", 5) != 1, **options).collect()
     rows = docs.select("doc_id", "text", F.coalesce(remainder("doc_id", 5) != 1, F.lit(False)).alias("t")).collect()
-    model = Model([r.text for r in rows if r.t])
+    model = Model([r.text for r in rows if r.t], order)
     want = sorted(
         (
             (str(r.doc_id), r.t, len(tokens(r.text)), sum(model.one.get(w, 0) > 0 for w in tokens(r.text)), model.n,
@@ -100,15 +98,52 @@ def test_scores_agree_with_dictionaries(spark, table):
     check(table(spark))
 
 
-def test_many_blocks_partitions_and_hot_contexts(spark):
-    check(odd_documents(spark), block_tokens=500, part_entries=200, hot=20)
-
-
-def test_probabilities_sum_to_one(spark):
-    model = check(documents(spark))
-    for h in [END, *list(model.one)[:40], "never seen"]:
-        seen = sum(model.p2(h, w) for w in model.one) + model.p2(h, "\0unknown")
-        assert seen == pytest.approx(1.0)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_many_blocks_partitions_and_hot_contexts(spark, order):
+    check(odd_documents(spark), order, block_tokens=4000, part_entries=3000, hot=60)
+
+
+def test_probabilities_sum_to_one_after_contexts_of_every_length(spark):
+    rows = documents(spark).orderBy("doc_id").limit(40).collect()
+    model = Model([r.text for r in rows], 4)
+    for k in (1, 2, 3):
+        contexts = list(model.after[k])[:12] + [("never seen",) * k]
+        for h in contexts:
+            seen = sum(model.p(list(h), w) for w in model.one) + model.p(list(h), "\0unknown")
+            assert seen == pytest.approx(1.0)
+
+
+def test_kept_tables_score_texts_of_later_calls(spark, tmp_path):
+    rows = documents(spark).orderBy("doc_id").collect()
+    old, new = documents(spark).filter("doc_id % 3 > 0"), odd_documents(spark).unionByName(
+        documents(spark).filter("doc_id % 3 = 0"), allowMissingColumns=True
+    )
+    path = str(tmp_path / "model")
+    katz.fit(old, part_entries=8000, hot=300, block_tokens=20_000).save(path)
+    kept = katz.Model.load(spark, path)
+    assert kept.tables.filter("level = 3").count() > 1
+    got = katz.score_by(kept, new, block_tokens=20_000).collect()
+    model = Model([r.text for r in rows if r.doc_id % 3])
+    want = sorted((repr(r.doc_id), model.score(r.text)) for r in new.collect())
+    mine = sorted((repr(r.doc_id), r.score) for r in got)
+    assert [x[0] for x in mine] == [x[0] for x in want]
+    assert [x[1] for x in mine] == pytest.approx([x[1] for x in want], rel=1e-9)
+    assert {r.train_tokens for r in got} == {model.n}
+
+
+def test_a_model_of_nothing_knows_no_word(spark, tmp_path):
+    path = str(tmp_path / "model")
+    katz.fit(no_documents(spark)).save(path)
+    got = katz.score_by(katz.Model.load(spark, path), documents(spark)).collect()
+    assert got and all(r.score == 0 and r.n_known == 0 for r in got)
+
+
+def test_longer_contexts_help_on_held_out_texts(spark):
+    def total(order):
+        scored = katz.score_documents(documents(spark), remainder("doc_id", 5) != 1, order=order)
+        return scored.filter("not training").agg(F.sum("score")).first()[0]
+
+    assert total(1) < total(2) < total(3)
 
 
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
