@@ -16,7 +16,7 @@ to words not seen after h. A context all of whose counts are undiscounted frees
 instead. All words seen after h were seen after h' too, so the mass of these is a sum of d(c(h' w))
 c(h' w), and the counts of lower n-grams are all that a partition needs to know about the order below.
 
-How it runs. Documents become blocks of a few million tokens: files of numbers into the block's own
+How it runs. Documents become blocks of a million tokens or two: files of numbers into the block's own
 list of word hashes. Order by order, blocks ask partitions of the n-grams, by context, for counts; the
 answers carry ids of the n-grams, which name the contexts of the next order, and for contexts from
 which the block backs off the numbers of successors by count and by lower count. Then each block
@@ -53,7 +53,8 @@ from pairlens.llm.ngram_join import word_hashes
 END = np.uint64(0x5E9D3C7F00000001)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_500_000
+PART_ENTRIES = 2_000_000
 TOP = 5
 ORDER = 3
 
@@ -403,7 +404,7 @@ class GramTable:
         for r in range(TOP, 0, -1):
             self.least[own[counts == r]] = r
         for of in (counts, low):
-            self.sums += [np.bincount(own[of == r], minlength=n) for r in range(1, TOP + 1)]
+            self.sums += [narrow(np.bincount(own[of == r], minlength=n)) for r in range(1, TOP + 1)]
         large = low > TOP
         self.sums.append(np.bincount(own[large], low[large], n).astype(np.int64))
 
@@ -417,6 +418,7 @@ class GramTable:
             own, word = which[at : at + len(ids)], follows[done : done + len(followers)]
             at, done = at + len(ids), done + len(followers)
             keys.append(np.repeat(own, runs) * len(words) + word[number])
+        del which, follows
         keys, where = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(where, np.concatenate([q[5] for q in asked]), len(keys)).astype(np.int64)
         low = np.zeros(len(keys), dtype=np.int64)
@@ -686,7 +688,7 @@ def fit(
     order: int = ORDER,
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
-    part_entries: int = 4_000_000,
+    part_entries: int = PART_ENTRIES,
     hot: int = 1_000_000,
 ) -> Model:
     """Count the n-grams of all rows of ``docs`` and keep the tables."""
@@ -717,7 +719,7 @@ def score_documents(
     id: str = "doc_id",
     text: str = "text",
     block_tokens: int = BLOCK_TOKENS,
-    part_entries: int = 4_000_000,
+    part_entries: int = PART_ENTRIES,
     hot: int = 1_000_000,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, training, n_tokens, n_known, train_tokens, base_score
