@@ -165,7 +165,13 @@ LEXICAL_TRAITS: dict[str, Callable[[str], int]] = {
     "contains digits": lambda t: sum(c in "0123456789" for c in t),
 }
 
-_PAIR = re.compile(r'RESPONSE A: "Assistant: (.*?)"\n\nRESPONSE B: "Assistant: (.*?)"(?=\n|\Z)', re.S)
+# Responses may hold quotes before line ends, so a pair ends where its prompt goes on with another part.
+_PAIR = re.compile(
+    r'RESPONSE A: "Assistant: (.*?)"\n\nRESPONSE B: "Assistant: (.*?)"'
+    r'(?=\Z|\n\nCONTEXT: "|\n\nRESPONSE A: "Assistant: |\n\nReply with one line: )',
+    re.S,
+)
+_ONE_PAIR = re.compile(r'RESPONSE A: "Assistant: (.*?)"\n\nRESPONSE B: "Assistant: (.*)"', re.S)
 
 
 def _favours(trait: str, a: str, b: str) -> int:
@@ -182,15 +188,16 @@ def _lexical_answer(prompt: str) -> str:
     if prompt.endswith("Short form:"):
         words = prompt.rsplit("Description: ", 1)[1].rsplit("\n", 1)[0].split()
         return " ".join(w for w in words if w not in {"is", "the", "with", "into", "at"})
-    pairs = _PAIR.findall(prompt)
     letters = {1: "A", -1: "B", 0: "Tie"}
-    if "\nCONCEPTS:\n" in prompt:
-        block = prompt.split("\nCONCEPTS:\n", 1)[1].split("\n\n", 1)[0]
-        traits = [line[2:] for line in block.split("\n")]
-        return "[" + ", ".join(letters[_favours(t, *pairs[0])] for t in traits) + "]"
     if prompt.endswith("\nANSWER:"):
-        trait = prompt.rsplit("CONCEPT: ", 1)[1].rsplit("\n", 1)[0]
-        return letters[_favours(trait, *pairs[0])]
+        # The one pair reaches to the last quote of the prompt but for its concepts.
+        if "\nCONCEPTS:\n" in prompt.partition('RESPONSE A: "')[0]:
+            block = prompt.split("\nCONCEPTS:\n", 1)[1].split("\n\n", 1)[0]
+            a, b = _ONE_PAIR.findall(prompt)[0]
+            return "[" + ", ".join(letters[_favours(line[2:], a, b)] for line in block.split("\n")) + "]"
+        shown, _, trait = prompt.rpartition("\n\nCONCEPT: ")
+        return letters[_favours(trait.rsplit("\n", 1)[0], *_ONE_PAIR.findall(shown)[0])]
+    pairs = _PAIR.findall(prompt)
     votes = {t: sum(_favours(t, a, b) for a, b in pairs) for t in LEXICAL_TRAITS}
     return f'- "{max(votes, key=votes.get)}"'
 
