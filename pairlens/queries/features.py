@@ -16,7 +16,7 @@ from pairlens.operators.linear import controlled_coefs
 from pairlens.operators.ordered import exact_quantiles
 from pairlens.operators.redundancy import redundancy
 from pairlens.plans.features import feature_table
-from pairlens.queries.pairs import deltas, preferences, stored_deltas
+from pairlens.queries.pairs import deltas, stored_deltas
 from pairlens.queries.registry import STEPS, p_value_sql, query
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
@@ -25,9 +25,9 @@ DIMS = 64
 CONCEPTS = ["is written at greater length", "lists things with commas"]
 
 
-def acts(spark, sf_dir):
+def acts(spark, sf_dir, rows=None):
     """Activations in a checkpoint, as the composite job keeps them: they are read many times."""
-    return cut_lineage(encode(deltas(spark, sf_dir), one_hot_params(DIMS)))
+    return cut_lineage(encode(deltas(spark, sf_dir, rows), one_hot_params(DIMS)))
 
 
 def _as_double(df, *columns):
@@ -131,18 +131,13 @@ def samples_from_strongest(spark, sf_dir):
     return _as_double(sampling.sample_top_only(acts(spark, sf_dir), 10, n_top=40), "act")
 
 
-def annotations(prefs):
-    """Annotations a lexical annotator would give, one per row and concept."""
-    a, b = F.col("response_A"), F.col("response_B")
-
-    def commas(t):
-        return F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-
+def annotations(rows):
+    """Annotations a lexical annotator would give, one per measured pair and concept."""
     by_concept = F.array(
-        F.struct(F.lit(CONCEPTS[0]).alias("c"), F.sign(F.length(a) - F.length(b)).alias("v")),
-        F.struct(F.lit(CONCEPTS[1]).alias("c"), F.sign(commas(a) - commas(b)).alias("v")),
+        F.struct(F.lit(CONCEPTS[0]).alias("c"), F.sign("chars_delta").alias("v")),
+        F.struct(F.lit(CONCEPTS[1]).alias("c"), F.sign("commas_delta").alias("v")),
     )
-    return prefs.select(F.col("row_id").cast("string").alias("text_key"), F.explode(by_concept).alias("e")).select(
+    return rows.select(F.col("row_id").cast("string").alias("text_key"), F.explode(by_concept).alias("e")).select(
         "text_key", F.sha2("e.c", 256).alias("concept_key"), F.col("e.v").cast("int").alias("annotation")
     )
 
@@ -152,10 +147,12 @@ def interpretations(spark, n_neurons=8):
     return spark.createDataFrame(rows, "neuron_idx int, candidate_idx int, interpretation string")
 
 
-def _metrics(spark, sf_dir):
-    samples = sampling.sample_percentile_bins(acts(spark, sf_dir), 100, (50, 100), (0, 50))
+def _metrics(spark, sf_dir, rows=None, active=None):
+    rows = derived.measured(spark, sf_dir) if rows is None else rows
+    active = acts(spark, sf_dir, rows) if active is None else active
+    samples = sampling.sample_percentile_bins(active, 100, (50, 100), (0, 50))
     samples = samples.withColumn("text_key", F.col("row_id").cast("string"))
-    return fidelity.fidelity(samples, annotations(derived.preferences(spark, sf_dir)), interpretations(spark))
+    return fidelity.fidelity(samples, annotations(rows), interpretations(spark))
 
 
 _METRICS = (
@@ -287,9 +284,11 @@ def reconstruction_loss_over_slices(spark, sf_dir):
     return loss.select(F.round("reconstruction_loss", 8).alias("reconstruction_loss"))
 
 
-def binary_rows(spark, sf_dir):
-    prefs = preferences(spark, sf_dir).filter(stats.is_binary_label(F.col("label")))
-    return prefs.select("row_id", "label", "length_delta").join(acts(spark, sf_dir), "row_id")
+def binary_rows(spark, sf_dir, rows=None, active=None):
+    """(row_id, label, length_delta, acts) of rows with a binary label."""
+    rows = derived.measured(spark, sf_dir) if rows is None else rows
+    active = acts(spark, sf_dir, rows) if active is None else active
+    return rows.filter(stats.is_binary_label(F.col("label"))).select("row_id", "label", "length_delta").join(active, "row_id")
 
 
 @query(
@@ -305,14 +304,15 @@ def length_controlled_slopes(spark, sf_dir):
 
 
 def _assembled(spark, sf_dir):
-    a = acts(spark, sf_dir)
-    best = fidelity.best_candidates(_metrics(spark, sf_dir))
+    rows = derived.measured(spark, sf_dir)
+    a = acts(spark, sf_dir, rows)
+    best = cut_lineage(fidelity.best_candidates(_metrics(spark, sf_dir, rows, a)))
     kept = fidelity.faithful(best, 0.02, None)
     short = best.select("neuron_idx", F.upper("interpretation").alias("abbreviated_interpretation"))
     near = centroids(spark, sf_dir).select(
         "id", F.col("embedding")[0].alias("semantic_redundancy"), F.col("text").alias("semantic_neighbor")
     )
-    coefs = controlled_coefs(binary_rows(spark, sf_dir), ["length_delta"], classification=False)
+    coefs = controlled_coefs(binary_rows(spark, sf_dir, rows, a), ["length_delta"], classification=False)
     # Two neurons more than the encoder has: they must appear with empty fields.
     return feature_table(10, best, kept, short, activations.firing_rates(a), near, coefs)
 
@@ -358,7 +358,7 @@ def retained_feature_report(spark, sf_dir):
     ("annotated",),
 )
 def annotation_matrix_with_gaps(spark, sf_dir):
-    prefs = derived.preferences(spark, sf_dir)
+    prefs = derived.measured(spark, sf_dir)
     known = annotations(prefs.filter(stats.is_binary_label(F.col("label"))))
     tasks = annotations(prefs).select("text_key", "concept_key")
     names = F.when(F.col("concept_key") == F.sha2(F.lit(CONCEPTS[0]), 256), CONCEPTS[0]).otherwise(CONCEPTS[1])

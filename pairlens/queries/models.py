@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pairlens.config import DatasetConfig, JobConfig, SelectionConfig
 from pairlens.functions.special import pearson_p_value
 from pairlens.functions.text import pairwise_text, text_key
+from pairlens.lineage import cut_lineage
 from pairlens.operators import annotate, joins, linear, probe, stats
 from pairlens.operators.activations import firing_rates
 from pairlens.operators.completion import HashingEmbedder, lexical_completer
@@ -134,17 +135,18 @@ def fitted_encoder_activity(spark, sf_dir):
 
 
 def _split_rows(spark, sf_dir):
-    rows = binary_rows(spark, sf_dir)
-    sides = component_split(derived.preferences(spark, sf_dir), SPLIT_ON).select("row_id", "split")
-    joined = rows.join(sides, "row_id")
+    rows = derived.measured(spark, sf_dir)
+    sides = component_split(rows, SPLIT_ON).select("row_id", "split")
+    joined = cut_lineage(binary_rows(spark, sf_dir, rows).join(sides, "row_id"))
     return joined.filter("split = 'train'"), joined.filter("split = 'val'")
 
 
 @query()
 def delta_probe(spark, sf_dir):
-    labelled = preferences(spark, sf_dir).filter(stats.is_binary_label(F.col("label"))).select("row_id", "label")
-    sides = component_split(derived.preferences(spark, sf_dir), SPLIT_ON).select("row_id", "split")
-    rows = labelled.join(sides, "row_id").join(deltas(spark, sf_dir), "row_id").select(
+    pairs = derived.measured(spark, sf_dir)
+    labelled = pairs.filter(stats.is_binary_label(F.col("label"))).select("row_id", "label")
+    sides = component_split(pairs, SPLIT_ON).select("row_id", "split")
+    rows = labelled.join(sides, "row_id").join(deltas(spark, sf_dir, pairs), "row_id").select(
         "row_id", "label", "split", probe.feature_vector(F.col("delta")).alias("features")
     ).persist()
     return probe.linear_probe(rows.filter("split = 'train'"), rows.filter("split = 'val'"))
@@ -186,7 +188,8 @@ _RIDGE = """, xy AS (SELECT row_id, label AS y, length_delta::double AS c, act::
 @query(_RIDGE, ("acts", "rows"))
 def ridge_probe_scores(spark, sf_dir):
     """Length and the first activation as predictors of the numeric label (0, 0.5, 1)."""
-    rows = preferences(spark, sf_dir).select("row_id", "label", "length_delta").join(acts(spark, sf_dir), "row_id")
+    pairs = derived.measured(spark, sf_dir)
+    rows = pairs.select("row_id", "label", "length_delta").join(acts(spark, sf_dir, pairs), "row_id")
     first = rows.select("row_id", "label", probe.feature_vector(F.array("length_delta"), F.slice("acts", 1, 1)).alias("features")).persist()
     scores = probe.probe_scores(probe.fit_probe(first, c=1.5, binary=False), first)
     return scores.select("row_id", F.round("score", 6).alias("score"))

@@ -11,7 +11,7 @@ from pairlens.operators import joins, stats
 from pairlens.operators.dedup import augment_signs, dedup_unordered_pairs, merge_duplicate_labels
 from pairlens.operators.ordered import cap_rows
 from pairlens.operators.split import component_split, connected_components, split_report
-from pairlens.plans.preprocess import deltas_of, preprocess
+from pairlens.plans.preprocess import preprocess
 from pairlens.queries.registry import query
 from pairlens.sources import derived
 from pairlens.sources.derived import table
@@ -24,8 +24,11 @@ def preferences(spark, sf_dir):
     return with_length_delta(derived.preferences(spark, sf_dir))
 
 
-def deltas(spark, sf_dir):
-    return deltas_of(derived.preferences(spark, sf_dir), derived.response_embeddings(spark, sf_dir))
+def deltas(spark, sf_dir, rows=None):
+    """Deltas of the measured pairs ``rows``, which are derived if not given."""
+    rows = derived.measured(spark, sf_dir) if rows is None else rows
+    vectors = derived.response_embeddings(spark, sf_dir)
+    return joins.response_deltas(rows, vectors, F.col("key_a"), F.col("key_b"), materialised=True)
 
 
 def stored_deltas(spark, sf_dir):
@@ -182,7 +185,7 @@ _AUC = """SELECT {by} round(sum(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN
     ("rows", "split"),
 )
 def length_auc_by_split(spark, sf_dir):
-    prefs = preferences(spark, sf_dir)
+    prefs = derived.measured(spark, sf_dir)
     sides = component_split(prefs, SPLIT_ON).select("row_id", "split")
     auc = stats.roc_auc(prefs.select("row_id", "label", "length_delta").join(sides, "row_id"), "label", "length_delta", ("split",))
     return auc.select("split", F.round("auc", 9).alias("auc"))
@@ -194,7 +197,7 @@ def length_auc_by_split(spark, sf_dir):
     ("rows",),
 )
 def length_accuracy(spark, sf_dir):
-    prefs = preferences(spark, sf_dir).select("label", "length_delta")
+    prefs = derived.measured(spark, sf_dir).select("label", "length_delta")
     return stats.accuracy(prefs, "label", "length_delta", 0.0, strict=True)
 
 
@@ -218,9 +221,9 @@ def reward_margin_evaluation(spark, sf_dir):
     ("rows", "split"),
 )
 def standardised_length(spark, sf_dir):
-    prefs = preferences(spark, sf_dir).select("row_id", "length_delta")
-    sides = component_split(derived.preferences(spark, sf_dir), SPLIT_ON).select("row_id", "split")
-    rows = prefs.join(sides, "row_id")
+    prefs = derived.measured(spark, sf_dir)
+    sides = component_split(prefs, SPLIT_ON).select("row_id", "split")
+    rows = prefs.select("row_id", "length_delta").join(sides, "row_id")
     train, val = (rows.filter(F.col("split") == s) for s in ("train", "val"))
     scaled = stats.standardise(train, val, ["length_delta"])
     return scaled[0].unionByName(scaled[1]).select("row_id", F.round("length_delta", 6).alias("z"))
