@@ -117,9 +117,10 @@ def _strongest(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def loss_and_gradients(
-    state: FitState, x: np.ndarray, cfg: FitConfig, training: bool
+    state: FitState, x: np.ndarray, cfg: FitConfig, training: bool, gradients: bool = True
 ) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss of a batch and its gradients; advances the firing counters and the threshold."""
+    """Loss of a batch and its gradients (none without ``gradients``); advances the firing counters
+    and the threshold."""
     w = state.weights
     centred = x - w["input_bias"]
     pre = centred @ w["enc"].T + w["neuron_bias"]
@@ -141,35 +142,44 @@ def loss_and_gradients(
     grads = {n: np.zeros_like(v) for n, v in w.items()}
     loss = 0.0
 
-    def reconstruct(code: np.ndarray, end: int, weight: float) -> tuple[float, np.ndarray]:
-        """Weighted error of a code over the first ``end`` neurons, and its code gradient."""
+    def reconstruct(code: np.ndarray, end: int, weight: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Weighted error of a code over the first ``end`` neurons, its code gradient and differences."""
         diff = code[:, :end] @ w["dec"][:, :end].T + w["input_bias"] - x
+        error = weight * (diff**2).mean() / base
+        if not gradients:
+            return error, d_pre, diff
         grad = diff * (2.0 * weight / (rows * d * base))
         grads["dec"][:, :end] += grad.T @ code[:, :end]
         grads["input_bias"] += grad.sum(axis=0)
         back = np.zeros_like(code)
         back[:, :end] = grad @ w["dec"][:, :end]
-        return weight * (diff**2).mean() / base, back
+        return error, back, diff
 
     for end in cfg.ends:
-        part, back = reconstruct(acts, end, 1.0 / len(cfg.ends))
+        part, back, diff = reconstruct(acts, end, 1.0 / len(cfg.ends))
         loss += part
-        d_pre += back * mask
+        if gradients:
+            d_pre += back * mask
+    # The last prefix covers all neurons.
+    residual = -diff
     if cfg.multi_k is not None and cfg.multi_coef != 0:
         wide = _strongest(np.abs(pre), cfg.multi_k)
-        part, back = reconstruct(pre * wide, cfg.n_neurons, cfg.multi_coef)
+        part, back, _ = reconstruct(pre * wide, cfg.n_neurons, cfg.multi_coef)
         loss += part
-        d_pre += back * wide
+        if gradients:
+            d_pre += back * wide
 
     # Silent neurons learn to explain what the others leave over; the residual is a constant.
     silent = (state.idle > cfg.dead_after_steps).astype(float)
-    residual = x - (acts @ w["dec"].T + w["input_bias"])
     spread = ((residual - residual.mean(axis=0)) ** 2).mean()
-    offered = pre * silent
-    chosen = _strongest(offered, cfg.aux_k)
-    code = offered * chosen
-    diff = code @ w["dec"].T - residual
+    if silent.any():
+        offered = pre * silent
+        chosen = _strongest(offered, cfg.aux_k)
+        code = offered * chosen
+        diff = code @ w["dec"].T - residual
     loss += cfg.aux_coef * (diff**2).mean() / spread
+    if not gradients:
+        return float(loss), {}
     if silent.any():
         grad = diff * (2.0 * cfg.aux_coef / (rows * d * spread))
         grads["dec"] += grad.T @ code
@@ -239,16 +249,53 @@ def _cut(parts: Iterator[np.ndarray], size: int) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+BLOCK_BYTES = 8192  # an Arrow batch holds ten thousand blocks
+
+
+def _packed(rows: DataFrame, vector: str) -> DataFrame:
+    """(shard, width, single, block) of rows (vector, shard) sorted by shard: the bytes of a few vectors of a shard.
+
+    The epochs read them many times; numbers of a list column would be copied one by one each time.
+    """
+    single = rows.schema[vector].dataType.elementType.typeName() == "float"
+    dtype = np.dtype("<f4" if single else "<f8")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, shards = matrix_of(batch.column(0), dtype), batch.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(shards)) + 1
+            size = max(1, BLOCK_BYTES // (x.shape[1] * dtype.itemsize))
+            for first, part in zip(np.r_[0, cuts], np.split(x, cuts)):
+                blocks = [part[at : at + size].tobytes() for at in range(0, len(part), size)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(blocks), shards[first], np.int32)),
+                        pa.array(np.full(len(blocks), x.shape[1], np.int32)),
+                        pa.array([single] * len(blocks)),
+                        pa.array(blocks, pa.binary()),
+                    ],
+                    names=["shard", "width", "single", "block"],
+                )
+
+    return rows.mapInArrow(pack, "shard int, width int, single boolean, block binary")
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
-    """(shard, its matrices) for Arrow batches of (vector, shard) that are sorted by shard."""
+    """(shard, its matrices) for Arrow batches of packed rows that are sorted by shard."""
 
     def pieces() -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            if batch.num_rows:
-                x, shards = matrix_of(batch.column(0)), batch.column(1).to_numpy()
-                cuts = np.flatnonzero(np.diff(shards)) + 1
-                for first, part in zip(np.r_[0, cuts], np.split(x, cuts)):
-                    yield int(shards[first]), part
+            if not batch.num_rows:
+                continue
+            shards, blocks = batch.column(0).to_numpy(), batch.column(3)
+            width, single = batch.column(1)[0].as_py(), batch.column(2)[0].as_py()
+            cuts = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(shards)]
+            for first, end in zip(cuts, cuts[1:]):
+                for at in range(first, end, 256):
+                    held = b"".join(blocks.slice(at, min(256, end - at)).to_pylist())
+                    yield int(shards[first]), np.frombuffer(held, "<f4" if single else "<f8").reshape(-1, width).astype(float)
 
     for shard, group in itertools.groupby(pieces(), key=lambda p: p[0]):
         yield shard, (part for _, part in group)
@@ -286,7 +333,7 @@ def _run_epoch(data: DataFrame, state: FitState, cfg: FitConfig, epoch: int, tra
                 if training:
                     losses.append(train_step(local, x, cfg))
                 else:
-                    losses.append(loss_and_gradients(local, x, cfg, training=False)[0])
+                    losses.append(loss_and_gradients(local, x, cfg, training=False, gradients=False)[0])
             if losses:
                 yield from _positions(np.concatenate([local.flat(), [sum(losses), len(losses)]]), float(rows))
 
@@ -320,7 +367,7 @@ def lower_medians(deltas: DataFrame, vector: str = "delta", accuracy: int = 1000
 
 
 def _sharded(rows: DataFrame, id: str, vector: str, cfg: FitConfig, n_partitions: int | None) -> DataFrame:
-    """(vector, shard), each shard whole in one partition and in seeded hash order."""
+    """Packed rows, each shard whole in one partition and in seeded hash order."""
     parts = [F.col(c) for c in (id, "sign") if c in rows.columns]
     n_shards = max(1, -(-rows.count() // cfg.rows_per_shard))
     placed = rows.select(
@@ -331,7 +378,7 @@ def _sharded(rows: DataFrame, id: str, vector: str, cfg: FitConfig, n_partitions
     )
     ties = [f"_tie{i}" for i in range(len(parts))]
     spread = placed.repartition(n_partitions or n_shards, "_shard")
-    return spread.sortWithinPartitions("_shard", "_order", *ties).select(vector, "_shard")
+    return _packed(spread.sortWithinPartitions("_shard", "_order", *ties).select(vector, "_shard"), vector)
 
 
 def fit_encoder(
@@ -350,7 +397,8 @@ def fit_encoder(
     held_out = None
     if val is not None:
         held_out = _sharded(val, id, vector, cfg, n_partitions).persist(StorageLevel.MEMORY_AND_DISK)
-    medians = lower_medians(data, vector).orderBy("dim").toPandas()["median"].to_numpy(float)
+    # Over the rows as they come: the shards are few, and a sole one would do this in one task.
+    medians = lower_medians(train, vector).orderBy("dim").toPandas()["median"].to_numpy(float)
     state = initial_state(medians, cfg)
     best, best_loss, misses = state, float("inf"), 0
     history: list[dict[str, float]] = []
