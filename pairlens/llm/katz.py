@@ -42,13 +42,14 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.lineage import cut_lineage, ensure_checkpoint_dir
 from pairlens.llm.common import open_files, whole
-from pairlens.llm.ngram_join import word_hashes
 
 END = np.uint64(0x5E9D3C7F00000001)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +58,7 @@ BLOCK_TOKENS = 1_500_000
 PART_ENTRIES = 2_000_000
 TOP = 5
 ORDER = 3
+FORMAT = 2  #: of saved models; in the first, words had ids by hash
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -106,6 +108,31 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
+def ascending(values: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative integers; value and position are sorted as one number if they fit one."""
+    bits = len(values).bit_length()
+    if not len(values) or int(values.max()).bit_length() + bits > 63:
+        return np.argsort(values, kind="stable")
+    return np.sort(values.astype(np.int64) << bits | np.arange(len(values))) & ((1 << bits) - 1)
+
+
+def changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    out = np.ones(len(values), dtype=bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct non-negative integers in ascending order, and the position of each value among them."""
+    order = ascending(values)
+    ordered = values[order]
+    new = changes(ordered)
+    where = np.empty(len(values), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return ordered[new], where
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = h * MIX
     h ^= h >> np.uint64(31)
@@ -156,6 +183,16 @@ class Layout:
     hot: int
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words (A-Z only, ASCII blanks) of all texts in a row, and their number in each text."""
+    blank_free = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(blank_free)
+    words = lists.flatten()
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts[pc.binary_length(blank_free).to_numpy(zero_copy_only=False) == 0] = 0
+    return words.filter(pc.not_equal(pc.binary_length(words), 0)), counts
+
+
 INDEX = "block bigint, file string, n_words bigint, n_tokens bigint"
 INDEX_ARROW = pa.schema([("block", pa.int64()), ("file", pa.string()), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -169,12 +206,19 @@ def blocks_of(docs: DataFrame, training: Column, id: str, text: str, block_token
         first, nth = TaskContext.get().partitionId() << 32, 0
         ids: list = []
         trained: list[bool] = []
-        parts: list[np.ndarray] = []
-        size = 0
+        counted: list[np.ndarray] = []
+        coded: list[np.ndarray] = []  # words as numbers of their distinct hashes, batch by batch
+        distinct: list[np.ndarray] = [np.array([END])]
+        size, n_distinct = 0, 1
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(p) for p in parts], dtype=np.int64)
-            hashes, local, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+            lengths = np.concatenate(counted) + 1
+            hashes, which = np.unique(np.concatenate(distinct), return_inverse=True)
+            is_word = np.ones(size, dtype=bool)
+            is_word[np.cumsum(lengths) - 1] = False
+            tokens = np.full(size, which[0])
+            tokens[is_word] = which[np.concatenate(coded)]
+            counts = np.bincount(tokens, minlength=len(hashes))
             frequent = np.argsort(-counts, kind="stable")  # small numbers for frequent words
             rank = np.empty(len(hashes), dtype=np.uint32)
             rank[frequent] = np.arange(len(hashes), dtype=np.uint32)
@@ -183,28 +227,40 @@ def blocks_of(docs: DataFrame, training: Column, id: str, text: str, block_token
             # A task that runs again writes files of its own; only those in the table count.
             name = f"block-{first + nth}-{uuid.uuid4().hex}"
             with files.open_output_stream(f"{base}/{name}") as out:
-                out.write(pack(numbers, known, np.array(trained), narrow(lengths), rank[local], hashes[frequent]))
-            row = {"block": first + nth, "file": f"{folder}/{name}", "n_words": len(hashes), "n_tokens": len(local)}
+                out.write(pack(numbers, known, np.array(trained), narrow(lengths), rank[tokens], hashes[frequent]))
+            row = {"block": first + nth, "file": f"{folder}/{name}", "n_words": len(hashes), "n_tokens": len(tokens)}
             return pa.RecordBatch.from_pylist([row], schema=INDEX_ARROW)
 
         for batch in batches:
-            for number, use, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                words = data.lower().split()  # bytes: A-Z only, ASCII blanks
-                h = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
-                ids.append(number)
-                trained.append(bool(use))
-                parts.append(np.append(h, END))
-                size += len(h) + 1
+            texts = batch.column(2)
+            words, counts = words_of(texts)
+            numbers, uses = (batch.column(i).to_pylist() for i in range(2))
+            ends = np.r_[0, np.cumsum(counts)]
+            done = 0
+            while done < len(texts):
+                upto = np.searchsorted(ends + np.arange(len(ends)), ends[done] + done + block_tokens - size)
+                upto = min(int(upto), len(texts))
+                ids += numbers[done:upto]
+                trained += uses[done:upto]
+                counted.append(counts[done:upto])
+                own = words[ends[done] : ends[upto]].dictionary_encode()
+                coded.append(own.indices.to_numpy() + n_distinct)
+                seen = own.dictionary.cast(pa.binary()).to_pylist()
+                distinct.append(np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)))
+                n_distinct += len(seen)
+                size += int(ends[upto] - ends[done]) + upto - done
+                done = upto
                 if size >= block_tokens:
                     yield flush()
-                    ids, trained, parts, size, nth = [], [], [], 0, nth + 1
+                    ids, trained, counted, coded, distinct = [], [], [], [], distinct[:1]
+                    size, n_distinct, nth = 0, 1, nth + 1
         if ids:
             yield flush()
 
     files, base = open_files(folder)
     files.create_dir(base, recursive=True)
     use = F.coalesce(training, F.lit(False))
-    return cut_lineage(docs.select(F.col(id).cast("long"), use, whole(F.col(text)).cast("binary")).mapInArrow(over, INDEX))
+    return cut_lineage(docs.select(F.col(id).cast("long"), use, whole(F.col(text).cast("string"))).mapInArrow(over, INDEX))
 
 
 @dataclass
@@ -220,7 +276,7 @@ class Level:
     open: np.ndarray | None = None  #: for n-grams of the order below: may the block back off from it?
 
     def by_id(self) -> Level:
-        order = np.argsort(self.ids, kind="stable")
+        order = ascending(self.ids + 1)
         rank = np.empty(len(order) + 1, dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         rank[-1] = -1
@@ -268,7 +324,7 @@ class Block:
         seen = np.append(below.counts > 0, False)
         valid = np.flatnonzero(seen[before])
         n = len(words.counts)
-        pairs, where = np.unique(before[valid] * n + words.token[valid], return_inverse=True)
+        pairs, where = grouped(before[valid] * n + words.token[valid])
         token = np.full(len(self.words), -1, dtype=np.int32)
         token[valid] = where
         lower = np.empty(len(pairs), dtype=np.int64)
@@ -292,7 +348,8 @@ class Block:
             for p, at, contexts in routes(level, below, found[0], layout):
                 count, rank, least, *sums = unpack(answers[k, p])
                 counts[at] = count
-                level.ids[at] = np.where(count > 0, np.cumsum(rank.astype(np.int64)) * layout.parts + p, -1)
+                if k < layout.order:
+                    level.ids[at] = np.where(count > 0, np.cumsum(rank.astype(np.int64)) * layout.parts + p, -1)
                 after.least[contexts] = np.minimum(after.least[contexts], least)
                 wide = contexts[level.open[contexts]]
                 for r in range(TOP):
@@ -300,7 +357,7 @@ class Block:
                     after.covered[wide] += lower_factor[r] * sums[TOP + r]
                 after.covered[wide] += sums[-1]
             level.counts = counts
-            found.append(level.by_id())
+            found.append(level.by_id() if k < layout.order else level)
             masses.append(after)
         return found, masses
 
@@ -316,7 +373,7 @@ REPLY, STATS, TABLE, META = range(4)
 
 def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(partition, positions in ascending order) of each partition in ``part``."""
-    order = np.argsort(part, kind="stable")
+    order = ascending(part)
     cuts = np.flatnonzero(np.diff(part[order])) + 1
     for at in np.split(order, cuts):
         if len(at):
@@ -344,13 +401,13 @@ def routes(level: Level, below: Level, words: Level, layout: Layout) -> Iterator
 
     salt = mixed(words.ids[level.word[asked]].astype(np.uint64)) % spread[context].astype(np.uint64)
     of_gram = dict(_split(part(context, salt)))
-    present = np.unique(level.context)
+    present = level.context[changes(level.context)]
     times = spread[present]
     every = np.repeat(present, times)
     salts = np.arange(len(every)) - np.repeat(np.cumsum(times) - times, times)
     none = np.zeros(0, dtype=np.int64)
     for p, at in _split(part(every, salts)):
-        yield p, asked[of_gram.get(p, none)], np.unique(every[at])
+        yield p, asked[of_gram.get(p, none)], every[at][changes(every[at])]
 
 
 def find(values: np.ndarray, sought: np.ndarray) -> np.ndarray:
@@ -366,6 +423,8 @@ class WordTable:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         self.hashes, self.counts = hashes, counts
+        self.ranks = np.empty(len(counts), dtype=np.int64)  # frequent words get small ids, which take less room
+        self.ranks[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
 
     @classmethod
     def of(cls, questions: list[bytes]) -> WordTable:
@@ -384,9 +443,9 @@ class WordTable:
     def to_bytes(self) -> bytes:
         return pack(self.hashes, narrow(self.counts))
 
-    def answer(self, question: bytes) -> bytes:
+    def answer(self, question: bytes, last: bool) -> bytes:
         at = find(self.hashes, unpack(question)[0])
-        return pack(narrow(np.append(self.counts, 0)[at]), narrow(np.maximum(at, 0)))
+        return pack(narrow(np.append(self.counts, 0)[at]), narrow(np.append(self.ranks, 0)[at]))
 
     def stats(self) -> np.ndarray:
         return np.concatenate([_counts_of_counts(self.counts), [self.counts.sum(), len(self.counts)]])
@@ -411,15 +470,15 @@ class GramTable:
     @classmethod
     def of(cls, questions: list[bytes]) -> GramTable:
         asked = [_read_question(q) for q in questions]
-        contexts, which = np.unique(np.concatenate([q[0] for q in asked]), return_inverse=True)
-        words, follows = np.unique(np.concatenate([q[3] for q in asked]), return_inverse=True)
+        contexts, which = grouped(np.concatenate([q[0] for q in asked]))
+        words, follows = grouped(np.concatenate([q[3] for q in asked]))
         keys, at, done = [], 0, 0
         for ids, runs, _, followers, number, _, _ in asked:
             own, word = which[at : at + len(ids)], follows[done : done + len(followers)]
             at, done = at + len(ids), done + len(followers)
             keys.append(np.repeat(own, runs) * len(words) + word[number])
         del which, follows
-        keys, where = np.unique(np.concatenate(keys), return_inverse=True)
+        keys, where = grouped(np.concatenate(keys))
         counts = np.bincount(where, np.concatenate([q[5] for q in asked]), len(keys)).astype(np.int64)
         low = np.zeros(len(keys), dtype=np.int64)
         low[where] = np.concatenate([q[6] for q in asked])
@@ -443,14 +502,15 @@ class GramTable:
             narrow(self.counts), narrow(self.low),
         )
 
-    def answer(self, question: bytes) -> bytes:
-        """Counts and ranks of n-grams, the least count after each context, and sums of open contexts."""
+    def answer(self, question: bytes, last: bool) -> bytes:
+        """Counts and ranks of n-grams (the last order needs none), the least count after each context, and
+        sums of open contexts."""
         ids, runs, is_open, followers, number, _, _ = _read_question(question)
         own, word = find(self.contexts, ids), find(self.words, followers)[number]
         context = np.repeat(own, runs)
         key = np.where((context >= 0) & (word >= 0), context * len(self.words) + word, -1)
         at = find(self.keys, key)
-        rank = np.maximum.accumulate(np.maximum(at, 0)) if len(at) else at
+        rank = at[:0] if last or not len(at) else np.maximum.accumulate(np.maximum(at, 0))
         return pack(
             narrow(np.append(self.counts, 0)[at]), steps(rank), self.least[own],
             *[narrow(s[own[is_open]]) for s in self.sums],
@@ -493,7 +553,7 @@ def ask_grams(left: pa.Table, right: pa.Table, k: int, layout: Layout, d: list[n
     rows = []
     for p, at, contexts in routes(level, below, words, layout):
         runs = np.bincount(np.searchsorted(contexts, level.context[at]), minlength=len(contexts))
-        followers, number = np.unique(level.word[at], return_inverse=True)
+        followers, number = grouped(level.word[at])
         question = pack(
             steps(below.ids[contexts]), narrow(runs), level.open[contexts], steps(words.ids[followers]),
             steps_in_runs(number, runs), narrow(level.counts[at]), narrow(below.counts[level.lower[at]]),
@@ -509,7 +569,7 @@ def _read_question(question: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(contexts.astype(np.int64)), runs, is_open, np.cumsum(followers.astype(np.int64)), number, seen, low
 
 
-def answer_part(group: pa.Table, k: int, keep: bool, stored: pa.Table | None = None) -> pa.Table:
+def answer_part(group: pa.Table, k: int, keep: bool, last: bool, stored: pa.Table | None = None) -> pa.Table:
     """Answer the questions to a partition of order ``k``, from a stored table or from their own counts."""
     if not group.num_rows:
         return pa.Table.from_pylist([], schema=ANSWER_ARROW)
@@ -521,7 +581,7 @@ def answer_part(group: pa.Table, k: int, keep: bool, stored: pa.Table | None = N
     else:
         table = kind.read(stored.column("answer")[0].as_py() if stored.num_rows else None)
     rows = [
-        {"kind": REPLY, "level": k, "block": block, "part": part, "answer": table.answer(q)}
+        {"kind": REPLY, "level": k, "block": block, "part": part, "answer": table.answer(q, last)}
         for block, q in zip(group.column("block").to_pylist(), questions)
     ]
     if stored is None:
@@ -557,17 +617,16 @@ def evaluate(left: pa.Table, right: pa.Table, layout: Layout, unigrams: Unigrams
         log_p[at] = np.log10(p)[level.token[at]]
         total_below = total
     base = np.log10((words.counts + 0.5) / (unigrams.tokens + 0.5 * (unigrams.types + 1)))
-    docs = np.repeat(np.arange(len(block.lengths)), block.lengths)
 
     def per_doc(values: np.ndarray) -> np.ndarray:
-        return np.bincount(docs, values, len(block.lengths))
+        return np.add.reduceat(values, block.first)  # no document is without its end token
 
     return pa.table(
         {
             "doc_id": block.doc_ids,
             "training": pa.array(block.training),
             "n_tokens": pa.array(block.lengths),
-            "n_known": pa.array(per_doc(words.counts[words.token] > 0).astype(np.int64)),
+            "n_known": pa.array(per_doc((words.counts > 0).astype(np.int64)[words.token])),
             "base_score": pa.array(per_doc(base[words.token])),
             "score": pa.array(per_doc(log_p)),
         }
@@ -604,7 +663,7 @@ class Model:
     stats: list[list[int]]
 
     def save(self, path: str) -> None:
-        meta = json.dumps({"layout": asdict(self.layout), "stats": self.stats}).encode()
+        meta = json.dumps({"format": FORMAT, "layout": asdict(self.layout), "stats": self.stats}).encode()
         spark = self.tables.sparkSession
         about = spark.createDataFrame([(META, 0, None, 0, bytearray(meta))], ANSWER)
         self.tables.unionByName(about).write.partitionBy("level").parquet(path)
@@ -613,6 +672,8 @@ class Model:
     def load(cls, spark: SparkSession, path: str) -> Model:
         rows = spark.read.parquet(path)
         meta = json.loads(bytes(rows.filter("level = 0").first()["answer"]))
+        if meta.get("format") != FORMAT:
+            raise ValueError(f"{path} holds a model of another format; fit it again")
         return cls(rows.filter("level > 0"), Layout(**meta["layout"]), meta["stats"])
 
 
@@ -635,10 +696,10 @@ def _answered(
         parts = layout.word_parts if k == 1 else layout.parts
         asked = questions.repartition(parts, "part").groupBy("part")
         if model is None:
-            answers = asked.applyInArrow(_counter(k, keep), ANSWER)
+            answers = asked.applyInArrow(_counter(k, keep, k == layout.order), ANSWER)
         else:
             stored = model.tables.filter(F.col("level") == k).select("part", "answer").repartition(parts, "part")
-            answers = asked.cogroup(stored.groupBy("part")).applyInArrow(_reader(k), ANSWER)
+            answers = asked.cogroup(stored.groupBy("part")).applyInArrow(_reader(k, k == layout.order), ANSWER)
         tables.append(cut_lineage(answers))
         stats.append(_stats(tables[-1]) if model is None else model.stats[k - 1])
         d.append(discounts(np.array(stats[-1][: TOP + 2])))
@@ -649,12 +710,12 @@ def _asker(k: int, layout: Layout, d: list[np.ndarray]):
     return lambda left, right: ask_grams(left, right, k, layout, d)
 
 
-def _counter(k: int, keep: bool):
-    return lambda group: answer_part(group, k, keep)
+def _counter(k: int, keep: bool, last: bool):
+    return lambda group: answer_part(group, k, keep, last)
 
 
-def _reader(k: int):
-    return lambda group, stored: answer_part(group, k, False, stored)
+def _reader(k: int, last: bool):
+    return lambda group, stored: answer_part(group, k, False, last, stored)
 
 
 def _per_block(index: DataFrame, tables: list[DataFrame], n_blocks: int, apply, schema: str) -> DataFrame:

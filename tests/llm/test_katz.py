@@ -179,3 +179,48 @@ def test_steps_come_back():
     assert np.cumsum(katz.steps(ids).astype(np.int64)).tolist() == ids.tolist()
     none = np.zeros(0, dtype=np.int64)
     assert katz.from_steps_in_runs(katz.steps_in_runs(none, none), none).tolist() == []
+
+
+def test_sorting_value_and_position_as_one_number_agrees_with_unique():
+    rng = np.random.default_rng(1)
+    none = np.zeros(0, dtype=np.int64)
+    for values in (rng.integers(0, 50, 400), rng.integers(0, 2**62, 400), np.array([7]), none):
+        distinct, where = katz.grouped(values)
+        expected, inverse = np.unique(values, return_inverse=True)
+        assert distinct.tolist() == expected.tolist() and where.tolist() == inverse.tolist()
+        assert katz.ascending(values).tolist() == np.argsort(values, kind="stable").tolist()
+
+
+def test_words_of_many_texts_at_once():
+    texts = ["", "  ", " A b\tÉ\n", "x\x0b\x0cy\rz \x1c\x85", "\x00 A\x00", "one"]
+    found, counts = katz.words_of(katz.pa.array(texts))
+    assert counts.tolist() == [len(tokens(t)) - 1 for t in texts]
+    assert found.to_pylist() == [w for t in texts for w in tokens(t)[:-1]]
+
+
+def test_answers_of_the_last_order_hold_no_ranks():
+    """Ranks name the contexts of a next order; after the last one they were sent to every block for nothing."""
+    n = 3000
+    runs, words = np.full(n, 2), np.tile([0, 1], n)
+    parts = [np.ones(n, int), runs, np.zeros(n, bool), np.ones(2, int), katz.steps_in_runs(words, runs)]
+    question = katz.pack(*map(katz.narrow, parts[:2]), parts[2], *map(katz.narrow, parts[3:]), *[np.ones(2 * n, np.uint8)] * 2)
+    table = katz.GramTable.of([question])
+    with_ranks, without = (katz.unpack(table.answer(question, last)) for last in (False, True))
+    assert len(with_ranks[1]) == 2 * n and len(without[1]) == 0
+    assert [x.tolist() for x in without[:1] + without[2:]] == [x.tolist() for x in with_ranks[:1] + with_ranks[2:]]
+
+
+def test_frequent_words_get_small_ids():
+    hashes, counts = np.arange(1, 5, dtype=np.uint64), np.array([2, 9, 0, 5])
+    table = katz.WordTable.of([katz.pack(hashes, katz.narrow(counts))])
+    found, ranks = katz.unpack(table.answer(katz.pack(hashes), False))
+    assert found.tolist() == counts.tolist() and ranks.tolist() == [2, 0, 0, 1]
+
+
+def test_a_model_of_another_format_is_refused(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "model")
+    monkeypatch.setattr(katz, "FORMAT", 1)
+    katz.fit(no_documents(spark)).save(path)
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="format"):
+        katz.Model.load(spark, path)
