@@ -40,7 +40,8 @@ def length_delta(response_a: Column, response_b: Column) -> Column:
 
 
 def is_valid_text(text: Column) -> Column:
-    return text.isNotNull() & (strip(text) != "")
+    """Not null and not blank throughout; the text is read up to its first character that is no blank."""
+    return text.isNotNull() & text.rlike(f"(?U){NON_BLANK}")
 
 
 def text_key(text: Column) -> Column:

@@ -211,8 +211,7 @@ class HashingEmbedder:
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float32)
         for row, text in enumerate(texts):
-            for word in text.split():
-                h = zlib.crc32(word.encode())
-                out[row, h % self.dims] += 1.0 if h & 0x80000000 else -1.0
+            h = np.fromiter(map(zlib.crc32, map(str.encode, text.split())), np.int64)
+            out[row] = np.bincount(h % self.dims, np.where(h & 0x80000000, 1.0, -1.0), self.dims)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1.0)

@@ -22,7 +22,7 @@ from pairlens.plans.preprocess import sampled_pair_texts
 from pairlens.plans.reward import reward_baselines
 from pairlens.queries.crc import crc32_sql
 from pairlens.queries.features import CONCEPTS, DIMS, acts, binary_rows
-from pairlens.queries.pairs import SPLIT_ON, deltas, preferences, stored_deltas
+from pairlens.queries.pairs import SPLIT_ON, deltas, stored_deltas
 from pairlens.queries.registry import STEPS, first_words, p_value_sql, query, responses_sql, strip_sql
 from pairlens.sources import derived
 from pairlens.sources.derived import one_hot_params, table
@@ -214,8 +214,8 @@ def selection_sweep(spark, sf_dir):
 
 @query()
 def reward_baseline_scores(spark, sf_dir):
-    prefs = preferences(spark, sf_dir)
-    scores = prefs.select("row_id", F.length("response_A").alias("score_A"), F.length("response_B").alias("score_B"))
+    prefs = derived.preferences(spark, sf_dir, counted=True)
+    scores = prefs.select("row_id", F.col("chars_A").alias("score_A"), F.col("chars_B").alias("score_B"))
     return reward_baselines(
         prefs, _dataset(sf_dir), HashingEmbedder(DIMS), "hashing", one_hot_params(DIMS, 16, 0.05), scores
     )
